@@ -6,10 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm import byte_bpe, language_id, quality_rules, sharding, token_counts
+from skeinflow.llm import byte_bpe, chat_format, decontamination, language_id, quality_rules, sharding, token_counts
 from skeinflow.llm.common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations and one more, -7, whose turns say what other templates mark turns with."""
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, '{marks}' text FROM VALUES (-7, 0, 'user'), (-7, 1, 'assistant') AS t(conv_id, turn, role)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat_format.read_back(chat_format.format_chat(turns))
+    return read.select(
+        "conv_id", "n_turns", F.sha2("turns_text", 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,6 +46,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
