@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm import byte_bpe, chat_format, decontamination, language_id, quality_rules, sharding, token_counts
+from skeinflow.llm import byte_bpe, chat_format, decontamination, jaccard_join, language_id, quality_rules, sharding, token_counts
 from skeinflow.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
