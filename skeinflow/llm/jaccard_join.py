@@ -340,3 +340,17 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     found = named_classes.withColumn("component_id", F.min("rep").over(Window.partitionBy("label"))).select("cls", "component_id")
     out = profile.select("doc_id", "n_shingles", "cls").join(found, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, of which one per component stays: that with the component's id (of
+    several rows with this id, one); documents with a null id or an empty set stay."""
+    found = near_duplicate_classes(docs, doc_id, text).where("n_shingles > 0 and doc_id is not null")
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    again = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    rest = kept.join(again.select(F.col("doc_id").alias("_again")), F.col(doc_id) == F.col("_again"), "left_anti")
+    one = kept.join(again.select(F.col("doc_id").alias("_again")), F.col(doc_id) == F.col("_again"), "left_semi").dropDuplicates([doc_id])
+    return rest.unionByName(one)
