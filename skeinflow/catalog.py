@@ -1,11 +1,530 @@
-"""The queries of the library's own operators."""
+"""The queries of the library's own operators over the driver tables, each with the SQL that checks it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinflow.functions import text as tx
+from skeinflow.operators import dedup, match, reads, sessions, snapshots
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name; sql computes the same in another engine."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from skeinflow.plans import fixtures_queries
+
+    return _QUERIES | fixtures_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def at(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+AT = "strftime({}, '%Y-%m-%d %H:%M:%S')".format
+
+
+# --- relational reads
+
+
+@query(f"""
+    SELECT c_custkey, c_name, count(o_orderkey) AS observation_count,
+           {AT("max(CASE WHEN o_orderstatus = 'O' THEN o_orderdate END)")} AS last_interaction_at
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
+def contact_rollup(t: Tables) -> DataFrame:
+    rolled = reads.activity_rollup(t.customer.select("c_custkey", "c_name"), t.orders, "c_custkey", "o_custkey", "o_orderkey", F.col("o_orderstatus") == "O", "o_orderdate")
+    return rolled.withColumn("last_interaction_at", at("last_interaction_at")).orderBy(F.desc("last_interaction_at"), F.desc("c_custkey"))
+
+
+@query("SELECT sha256(text) AS sha256, max(doc_id) AS newest_id, count(*) AS copies FROM documents GROUP BY 1")
+def hash_latest_match(t: Tables) -> DataFrame:
+    return reads.newest_by_hash(t.documents, "text", "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_hash_antijoin(t: Tables) -> DataFrame:
+    return reads.missing_in(t.documents, t.labels, "doc_id", F.col("text").isNotNull()).select("doc_id", "source")
+
+
+@query("SELECT p_partkey, p_name, p_brand, translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS sort_name FROM part")
+def nocase_summaries(t: Tables) -> DataFrame:
+    return reads.summaries(t.part, "p_partkey", "p_name", ["p_partkey", "p_name", "p_brand"])
+
+
+@query(f"""
+    SELECT o_orderkey, time_iso, row_number() OVER (PARTITION BY o_custkey ORDER BY time_iso NULLS LAST, o_orderkey DESC) AS place
+    FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'P' THEN {AT("o_orderdate")} END AS time_iso FROM orders)""")
+def nulls_last_agenda(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", at("o_orderdate")).alias("time_iso"))
+    return dedup.top_k(rows, ["o_custkey"], [F.asc_nulls_last("time_iso"), F.desc("o_orderkey")], 1 << 30, "place").drop("o_custkey")
+
+
+@query(f"SELECT event_id, user_id, {AT('ts')} AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events")
+def timeline_rank(t: Tables) -> DataFrame:
+    return dedup.top_k(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 1 << 30).select("event_id", "user_id", at("ts").alias("at"), "rank")
+
+
+@query("""
+    SELECT event_id, user_id, rank FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events)
+    WHERE rank <= 5""")
+def recent_topk(t: Tables) -> DataFrame:
+    return dedup.top_k(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id", "rank")
+
+
+@query("""
+    SELECT o_orderkey, a, b FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS a, nullif(CASE WHEN o_orderkey % 3 = 0 THEN 'O' ELSE 'P' END, 'P') AS b FROM orders)
+    WHERE a IS NOT DISTINCT FROM b""")
+def null_safe_filter(t: Tables) -> DataFrame:
+    other = F.when(F.col("o_orderkey") % 3 == 0, "O").otherwise("P")
+    rows = t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("a"), F.nullif(other, F.lit("P")).alias("b"))
+    return reads.same_or_both_null(rows, "a", "b")
+
+
+@query("""
+    SELECT event_id, event_type, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS priority FROM events""")
+def exec_order(t: Tables) -> DataFrame:
+    return reads.priority_order(t.events.select("event_id", "event_type"), "event_type", ["signup", "purchase", "click"], "event_id")
+
+
+@query("""
+    SELECT 'foreign_key' AS "check", count(*) AS violations FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'enum', count(*) FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('O', 'F')""")
+def check_fk_validation(t: Tables) -> DataFrame:
+    return reads.integrity_report(t.orders, t.customer, "o_custkey", "c_custkey", "o_orderstatus", ["O", "F"])
+
+
+@query("SELECT event_id, CAST(raw AS BIGINT) AS id FROM (SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 'x' || event_id WHEN event_id % 3 = 1 THEN CAST(event_id AS VARCHAR) ELSE '-' || event_id END AS VARCHAR) AS raw FROM events) WHERE TRY_CAST(raw AS BIGINT) > 0")
+def safe_id_filter(t: Tables) -> DataFrame:
+    id_ = F.col("event_id").cast("string")
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), id_)).when(F.col("event_id") % 3 == 1, id_).otherwise(F.concat(F.lit("-"), id_))
+    return reads.safe_ids(t.events.select("event_id", raw.alias("raw")), "raw").select("event_id", "id")
+
+
+# --- matching
+
+
+@query("""
+    WITH people AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 2 = 0 THEN '  ' || upper(c_name) || ' ' ELSE 'alias ' || c_custkey END AS name FROM customer WHERE c_custkey % 5 < 3),
+    keys AS (SELECT c_custkey, lower(trim(c_name)) AS k FROM customer UNION SELECT c_custkey, lower('Alias ' || c_custkey) FROM customer)
+    SELECT DISTINCT pid, c_custkey FROM people JOIN keys ON lower(trim(name)) = k""")
+def exact_name_match(t: Tables) -> DataFrame:
+    key = F.col("c_custkey")
+    name = F.when(key % 2 == 0, F.concat(F.lit("  "), F.upper("c_name"), F.lit(" "))).otherwise(F.concat(F.lit("alias "), key.cast("string")))
+    people = t.customer.where("c_custkey % 5 < 3").select(key.alias("pid"), name.alias("name"))
+    contacts = t.customer.select("c_custkey", "c_name", F.array(F.concat(F.lit("Alias "), key.cast("string"))).alias("aliases"))
+    return match.exact_matches(people, contacts, "pid", "name", "c_custkey", "c_name", "aliases")
+
+
+@query("""
+    SELECT s_suppkey, min(c_custkey) AS c_custkey FROM (SELECT s_suppkey, 'segment ' || s_nationkey % 5 AS name FROM supplier) s
+    JOIN (SELECT c_custkey, 'Segment   ' || c_nationkey AS c_name FROM customer) c ON lower(regexp_replace(trim(c_name), '\\s+', ' ', 'g')) = name GROUP BY s_suppkey""")
+def first_match(t: Tables) -> DataFrame:
+    people = t.supplier.select("s_suppkey", F.concat(F.lit("segment "), (F.col("s_nationkey") % 5).cast("string")).alias("name"))
+    contacts = t.customer.select("c_custkey", F.concat(F.lit("Segment   "), F.col("c_nationkey").cast("string")).alias("c_name"))
+    return match.first_match(people, contacts, "s_suppkey", "name", "c_custkey", "c_name")
+
+
+_SHORT = "regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""
+    WITH a AS (SELECT DISTINCT substr(md5(CAST(s_suppkey % 40 AS VARCHAR)), 1, 3) AS x FROM supplier), b AS (SELECT DISTINCT substr(md5(CAST(p_partkey % 300 AS VARCHAR)), 1, 3) AS y FROM part)
+    SELECT x, y FROM a, b WHERE levenshtein(x, y) = 1""")
+def near_match_edit1(t: Tables) -> DataFrame:
+    a = t.supplier.select(F.substring(F.md5((F.col("s_suppkey") % 40).cast("string")), 1, 3).alias("x")).distinct()
+    b = t.part.select(F.substring(F.md5((F.col("p_partkey") % 300).cast("string")), 1, 3).alias("y")).distinct()
+    return match.near_matches(a.withColumn("kx", F.col("x")), b.withColumn("ky", F.col("y")), "x", "kx", "y", "ky")
+
+
+@query()
+def unicode_near_match(t: Tables) -> DataFrame:
+    words = t.documents.where("lang in ('fr', 'de', 'es')").select(F.explode(F.split("text", "[^\\p{L}]+")).alias("w")).where("length(w) between 4 and 8")
+    words = words.select(tx.norm_contact(F.col("w")).alias("key")).groupBy("key").count().where("count >= 20").select("key")
+    a, b = words.select(F.col("key").alias("a"), "key"), words.select(F.col("key").alias("b"), "key")
+    return match.near_matches(a, b, "a", "key", "b", "key")
+
+
+@query("""
+    WITH m AS (SELECT event_id, event_type AS kind, event_type || ' about ' || (user_id % 40) || ' and ' || (event_id % 7) AS title, strftime(ts, '%Y-%m-%d') AS day FROM events),
+    n AS (SELECT * FROM m WHERE event_id % 4 = 0), k AS (SELECT event_id AS kid, kind AS kk, title AS kt, day AS kd FROM m WHERE event_id % 4 = 1),
+    e AS (SELECT event_id, count(DISTINCT kid) AS c, min(kid) AS kid FROM n JOIN k ON kind = kk AND title = kt GROUP BY event_id),
+    s AS (SELECT event_id, kid FROM n JOIN k ON kind = kk AND day = kd WHERE event_id NOT IN (SELECT event_id FROM e) AND length(title) >= 8 AND length(kt) >= 8
+          AND 1 - levenshtein(title, kt) / CAST(greatest(length(title), length(kt)) AS DOUBLE) >= 0.9)
+    SELECT event_id, kid, 'exact' AS tier FROM e WHERE c = 1 UNION ALL SELECT event_id, min(kid), 'similar' FROM s GROUP BY event_id HAVING count(DISTINCT kid) = 1""")
+def duplicate_event_match(t: Tables) -> DataFrame:
+    title = F.concat("event_type", F.lit(" about "), (F.col("user_id") % 40).cast("string"), F.lit(" and "), (F.col("event_id") % 7).cast("string"))
+    m = t.events.select("event_id", F.col("event_type").alias("kind"), title.alias("title"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    known = m.where("event_id % 4 = 1").withColumnRenamed("event_id", "kid")
+    return match.duplicate_meetings(m.where("event_id % 4 = 0"), known, "event_id", "kid", "kind", "title", "day")
+
+
+@query("""
+    WITH n AS (SELECT event_id, strftime(ts, '%m-%d') AS day, [user_id % 50, user_id % 9] AS names FROM events WHERE event_type = 'view'),
+    m AS (SELECT o_orderkey, strftime(o_orderdate, '%m-%d') AS day, [o_custkey % 50, o_custkey % 11] AS names FROM orders WHERE o_orderstatus = 'O'),
+    p AS (SELECT DISTINCT event_id, o_orderkey FROM n JOIN m USING (day) WHERE list_has_any(n.names, m.names))
+    SELECT event_id, min(o_orderkey) AS o_orderkey FROM p GROUP BY event_id HAVING count(*) = 1""")
+def notice_match(t: Tables) -> DataFrame:
+    n = t.events.where("event_type = 'view'").select("event_id", F.date_format("ts", "MM-dd").alias("day"), F.expr("array(user_id % 50, user_id % 9)").alias("names"))
+    m = t.orders.where("o_orderstatus = 'O'").select("o_orderkey", F.date_format("o_orderdate", "MM-dd").alias("day"), F.expr("array(o_custkey % 50, o_custkey % 11)").alias("names"))
+    return match.overlap_matches(n, m, "event_id", "o_orderkey", "day", "names")
+
+
+@query("""
+    SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey
+    HAVING bool_and(l_returnflag = 'N') AND count(DISTINCT l_suppkey) = 1""")
+def progress_consensus(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "N", "high").otherwise("low").alias("confidence"))
+    return match.progress_targets(rows, "l_orderkey", "l_suppkey", "confidence")
+
+
+@query("""
+    SELECT o_custkey, CASE WHEN bool_and(o_orderstatus <> 'P') AND count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS target
+    FROM orders GROUP BY o_custkey""")
+def resolution_consensus(t: Tables) -> DataFrame:
+    return dedup.consensus(t.orders, ["o_custkey"], F.col("o_orderstatus") != "P", "o_orderpriority")
+
+
+@query("""
+    WITH q AS (SELECT doc_id, source, substr(text, 1, 60) AS quote FROM documents), c AS (SELECT DISTINCT source, substr(text, 1, 24) AS piece FROM documents WHERE doc_id % 3 = 0)
+    SELECT doc_id, source FROM q WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source = q.source AND ((length(piece) >= 8 AND contains(quote, piece)) OR (length(quote) >= 8 AND contains(piece, quote))))""")
+def coverage_antijoin(t: Tables) -> DataFrame:
+    d = t.documents
+    pieces = d.where("doc_id % 3 = 0").select("source", F.substring("text", 1, 24).alias("piece"))
+    # a similarity above 1 leaves containment alone, which both engines measure alike
+    return match.uncovered(d.select("doc_id", "source", F.substring("text", 1, 60).alias("quote")), pieces, "source", "quote", "piece", similarity=1.1).select("doc_id", "source")
+
+
+@query("""
+    WITH i AS (SELECT event_id, event_type || (user_id % 10) AS k, strftime(ts, '%Y-%m-%d') || ' value ' || CAST(floor(value) AS BIGINT) AS quote FROM events WHERE event_id % 3 = 0)
+    SELECT a.event_id, min(b.event_id) AS first FROM i a JOIN i b ON a.k = b.k AND b.event_id < a.event_id
+    WHERE 1 - levenshtein(a.quote, b.quote) / CAST(greatest(length(a.quote), length(b.quote)) AS DOUBLE) >= 0.85 GROUP BY a.event_id""")
+def batch_duplicates(t: Tables) -> DataFrame:
+    quote = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" value "), F.floor("value").cast("string"))
+    items = t.events.where("event_id % 3 = 0").select("event_id", F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("k"), quote.alias("quote"))
+    return match.batch_duplicates(items, "k", "event_id", "quote")
+
+
+@query("""
+    WITH p AS (SELECT o_orderkey, o_custkey % 20 AS g, [CAST(o_orderkey % 7 AS VARCHAR), CAST(o_orderkey % 11 AS VARCHAR)] AS names FROM orders),
+    h AS (SELECT g, names FROM p WHERE list_has_any(names, ['3', '8']))
+    SELECT g, array_to_string(list_sort(list_distinct(flatten(list(names)))), ',') AS related FROM h GROUP BY g""")
+def related_expansion(t: Tables) -> DataFrame:
+    people = t.orders.select((F.col("o_custkey") % 20).alias("g"), F.expr("array(cast(o_orderkey % 7 as string), cast(o_orderkey % 11 as string))").alias("names"))
+    seeds = t.spark.sql("SELECT * FROM VALUES ('3'), ('8') AS t(seed)")
+    return match.related(people, seeds, "g", "names", "seed").select("g", F.array_join("related", ",").alias("related"))
+
+
+@query("""
+    WITH r AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+    i AS (SELECT event_id, user_id, unnest([k, k + 1, k, 5]) AS ref, unnest([0, 1, 2, 3]) AS pos FROM r), o AS (SELECT DISTINCT user_id, k AS ref FROM r WHERE event_id % 2 = 0),
+    f AS (SELECT event_id, ref, min(pos) AS pos FROM i JOIN o USING (user_id, ref) GROUP BY event_id, ref)
+    SELECT event_id, string_agg(CAST(ref AS VARCHAR), ',' ORDER BY pos) AS based_on FROM f GROUP BY event_id""")
+def grounding(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    insights = rows.select("event_id", "user_id", F.expr("array(k, k + 1, k, 5L)").alias("based_on"))
+    found = match.grounded(insights, rows.where("event_id % 2 = 0"), "event_id", "user_id", "based_on", "k")
+    return found.select("event_id", F.array_join(F.col("based_on").cast("array<string>"), ",").alias("based_on"))
+
+
+@query("""
+    WITH r AS (SELECT o_custkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS rank FROM orders),
+    b AS (SELECT *, min(rank) OVER (PARTITION BY o_custkey) AS best FROM r)
+    SELECT o_custkey, min(o_orderpriority) AS o_orderpriority FROM b WHERE rank = best GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) = 1""")
+def status_priority_pick(t: Tables) -> DataFrame:
+    return match.one_by_status(t.orders, "o_custkey", "o_orderstatus", ["F", "P", "O"], "o_orderpriority")
+
+
+# --- aggregation and dedup
+
+
+@query("SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY text")
+def first_wins_dedup(t: Tables) -> DataFrame:
+    return dedup.keep_first(t.documents.select("text", "doc_id", "source", "lang"), ["text"], ["doc_id"]).select("doc_id", "source", "lang")
+
+
+@query("""
+    SELECT user_id, event_type, min(event_id) AS event_id, arg_min(props, length(props) * 1000000000000 + event_id) AS props FROM events GROUP BY user_id, event_type""")
+def content_dedup_shortest(t: Tables) -> DataFrame:
+    return dedup.keep_first_shortest(t.events, ["user_id", "event_type"], "event_id", "props")
+
+
+@query("SELECT DISTINCT user_id, event_type, nullif(event_type, 'view') AS quote FROM events")
+def provenance_dedup(t: Tables) -> DataFrame:
+    return t.events.select("user_id", "event_type", F.nullif("event_type", F.lit("view")).alias("quote")).dropDuplicates()
+
+
+@query("""
+    WITH f AS (SELECT conv_id, text, min(turn) AS turn FROM (SELECT conv_id, turn, trim(text, ' \n\t\r') AS text FROM conversations) WHERE text <> '' GROUP BY conv_id, text)
+    SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS joined FROM f GROUP BY conv_id""")
+def ordered_quotes(t: Tables) -> DataFrame:
+    return dedup.ordered_join(t.conversations, ["conv_id"], ["turn"], "text").select("conv_id", F.md5("joined").alias("joined"))
+
+
+@query("""
+    WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?.\n]'), lambda x: trim(x, ' \t\r\n')), lambda x: contains(x, ' th') AND x <> '') AS parts FROM documents WHERE lang = 'en'),
+    e AS (SELECT doc_id, min(length(p)) AS n FROM (SELECT doc_id, unnest(parts) AS p FROM s) GROUP BY doc_id)
+    SELECT doc_id, md5(coalesce(list_filter(parts, lambda x: length(x) = n)[1], text)) AS sentence FROM s LEFT JOIN e USING (doc_id)""")
+def shortest_sentence(t: Tables) -> DataFrame:
+    docs = t.documents.where("lang = 'en'")
+    return docs.select("doc_id", F.md5(tx.shortest_sentence(F.col("text"), F.lit(" th"))).alias("sentence"))
+
+
+@query("""
+    SELECT lang, CASE max(CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence
+    FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
+def confidence_max(t: Tables) -> DataFrame:
+    rank = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "high").when(F.col("quality") == 1, "medium").otherwise("low")
+    return dedup.highest_confidence(t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").withColumn("c", rank), ["lang"], "c")
+
+
+@query("""
+    WITH c AS (SELECT l_partkey, l_quantity, count(*) AS votes, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY l_partkey, l_quantity)
+    SELECT l_partkey, l_quantity AS peak, votes FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY votes DESC, f, l_quantity) = 1""")
+def mode_peak(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_partkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return dedup.mode_peak(rows, ["l_partkey"], "l_quantity", "pos")
+
+
+@query("SELECT user_id, round(count(*) FILTER (value < 50) / count(*)::DOUBLE, 9) AS share, count(*) FILTER (value < 50) / count(*)::DOUBLE > 0.6 AS flagged FROM events GROUP BY user_id")
+def ratio_threshold(t: Tables) -> DataFrame:
+    return dedup.share_over(t.events, ["user_id"], F.col("value") < 50, 0.6).withColumn("share", F.round("share", 9))
+
+
+@query("""
+    SELECT user_id, count(*) FILTER (value > 80) AS n_bright, round(CASE WHEN count(*) FILTER (value > 80) >= 20 THEN median(value) FILTER (value > 80) ELSE median(value) END, 6) AS median
+    FROM events GROUP BY user_id""")
+def median_guard(t: Tables) -> DataFrame:
+    return dedup.guarded_median(t.events, ["user_id"], "value", F.col("value") > 80, 20).withColumn("median", F.round("median", 6))
+
+
+@query("""
+    SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_ok, count(*) FILTER (o_orderstatus = 'P') AS n_failed,
+           CASE WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN 'success' WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'failed' ELSE 'partial_success' END AS status
+    FROM orders GROUP BY o_custkey""")
+def batch_status(t: Tables) -> DataFrame:
+    return dedup.batch_status(t.orders, ["o_custkey"], F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P")
+
+
+@query("""
+    SELECT user_id, arg_max(event_type, event_id) FILTER (event_type <> 'error') AS event_type, arg_max(props, event_id) AS props
+    FROM events GROUP BY user_id""")
+def last_writer_merge(t: Tables) -> DataFrame:
+    rows = t.events.select("user_id", "event_id", F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("event_type"), "props")
+    return dedup.last_writer(rows, ["user_id"], ["event_id"], ["event_type", "props"])
+
+
+@query("""
+    WITH q AS (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY user_id, event_type)
+    SELECT q.user_id, max(m) AS event_id, string_agg(event_type, ',' ORDER BY f) AS quotes FROM q JOIN (SELECT user_id, max(event_id) AS m FROM events GROUP BY user_id) USING (user_id) GROUP BY q.user_id""")
+def evidence_merge(t: Tables) -> DataFrame:
+    rows = t.events.select("user_id", "event_id", F.array("event_type").alias("quotes"))
+    return dedup.merged_evidence(rows, "user_id", "event_id", "quotes").withColumn("quotes", F.array_join("quotes", ","))
+
+
+# --- windows
+
+
+@query("""
+    WITH s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM events),
+    l AS (SELECT *, max(session) OVER (PARTITION BY user_id) AS m FROM s)
+    SELECT user_id, session, count(*) AS n_rows, arg_max(event_type, struct_pack(a := ts, b := event_id)) <> 'view' AS abnormal FROM l WHERE session = m GROUP BY user_id, session""")
+def session_tail(t: Tables) -> DataFrame:
+    return sessions.session_tail(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "view")
+
+
+@query("""
+    WITH g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 21600 THEN 1 ELSE 0 END AS n FROM events)
+    SELECT event_id, user_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_group FROM g""")
+def gap_groups(t: Tables) -> DataFrame:
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("_prev.ts").cast("timestamp")) / 1e6
+    return sessions.gap_groups(t.events, "user_id", ["ts", "event_id"], gap, 21600).select("event_id", "user_id", "gap_group")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def retention_lastn(t: Tables) -> DataFrame:
+    return sessions.newest(t.events.select("event_id", "event_type", "ts"), [F.desc("ts"), F.desc("event_id")], 200).drop("ts")
+
+
+@query("""
+    WITH e AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS era FROM events)
+    SELECT event_id, user_id, bool_or(event_type = 'error') OVER (PARTITION BY user_id, era ORDER BY ts, event_id) AS flag FROM e""")
+def sticky_flag(t: Tables) -> DataFrame:
+    return sessions.sticky_flag(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "signup").select("event_id", "user_id", "flag")
+
+
+@query("""
+    WITH r AS (SELECT event_id, user_id, event_id % 3 > 0 AS placed, value FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id, placed ORDER BY event_id) AS s, row_number() OVER (PARTITION BY user_id, placed ORDER BY value, event_id) AS g FROM r)
+    SELECT a.event_id, CASE WHEN a.placed THEN b.event_id ELSE a.event_id END AS new_slot FROM k a JOIN k b ON a.user_id = b.user_id AND a.placed = b.placed AND a.g = b.s""")
+def slot_reorder(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", "user_id", "value")
+    return sessions.slot_reorder(rows, "user_id", "event_id", F.col("event_id") % 3 > 0, ["value"]).select("event_id", "new_slot")
+
+
+# --- text and rules
+
+
+@query("""
+    SELECT doc_id, md5(lower(regexp_replace(trim(text, ' \t\n\r'), '[ \t\n\r]+', ' ', 'g'))) AS lookup, length(text) AS n, substr(text, 1, 120) AS head FROM documents WHERE lang = 'en'""")
+def norm_text(t: Tables) -> DataFrame:
+    c = F.col("text")
+    return t.documents.where("lang = 'en'").select("doc_id", F.md5(tx.norm_lookup(c)).alias("lookup"), F.length(c).cast("long").alias("n"), tx.truncated(c, 120).alias("head"))
+
+
+@query(r"""
+    SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[\s!-#%-*,-/:;?@\[-\]_{}]+'), lambda x: x <> '')) AS n_tokens FROM documents WHERE regexp_full_match(text, '[ -~\n\t]*')""")
+def tokenize(t: Tables) -> DataFrame:
+    return t.documents.where(F.col("text").rlike("^[ -~\\n\\t]*$")).select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS letters, 0.0::DOUBLE AS cjk FROM documents")
+def letter_ratio(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.regexp_count("text", F.lit("\\p{L}")).cast("long").alias("letters"), tx.cjk_ratio(F.col("text")).alias("cjk"))
+
+
+@query(r"""
+    SELECT conv_id, turn, regexp_matches(text, '(?i)(^|[^a-z])(the|der|die|la)($|[^a-z])') AS signal, starts_with(text, 'In') OR contains(text, ' the ') AS notice, length(text) <= 60 AND regexp_matches(text, 'tion|ment') AS logistics FROM conversations""")
+def classifier_flags(t: Tables) -> DataFrame:
+    c = F.col("text")
+    return t.conversations.select("conv_id", "turn", c.rlike(r"(?i)(^|[^a-z])(the|der|die|la)($|[^a-z])").alias("signal"), (c.startswith("In") | c.contains(" the ")).alias("notice"), ((F.length(c) <= 60) & c.rlike("tion|ment")).alias("logistics"))
+
+
+@query(r"""
+    WITH w AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z]', '', 'g') AS k, text FROM conversations WHERE regexp_full_match(text, '[ -~\n]*'))
+    SELECT conv_id, turn, length(k) <= 2 OR k IN ('the', 'noted', 'thanks') OR (length(k) >= 4 AND (levenshtein(k, 'noted') <= 1 OR levenshtein(k, 'thanks') <= 1)) AS acknowledged FROM w""")
+def ack_filter(t: Tables) -> DataFrame:
+    from skeinflow.functions.rules import acknowledges
+
+    rows = t.conversations.where(F.col("text").rlike("^[ -~\\n]*$")).withColumn("k", F.regexp_replace(F.lower("text"), "[^a-z]", ""))
+    return rows.select("conv_id", "turn", acknowledges(F.col("k"), ["the", "noted", "thanks"], 4).alias("acknowledged"))
+
+
+@query(r"""
+    SELECT doc_id, regexp_extract(text, '^([^:：\d]{1,20})[:：]', 1) AS label FROM documents""")
+def evidence_label(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", tx.label_of(F.col("text")).alias("label"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) > 50 AS over FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_props(t: Tables) -> DataFrame:
+    k = F.from_json("props", "k long")["k"]
+    return t.events.select("event_id", k.alias("k"), (k > 50).alias("over")).where("k is not null")
+
+
+# --- snapshots
+
+
+_NEW = "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END"
+
+
+@query(f"""
+    WITH n AS (SELECT c_custkey, c_name, {_NEW} AS seg, c_nationkey + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS nat, c_mktsegment, c_nationkey FROM customer)
+    SELECT c_custkey, 'c_mktsegment' AS field, c_mktsegment AS old, seg AS new FROM n WHERE c_mktsegment IS DISTINCT FROM seg
+    UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR), CAST(nat AS VARCHAR) FROM n WHERE c_nationkey IS DISTINCT FROM nat""")
+def change_map(t: Tables) -> DataFrame:
+    new = t.customer.withColumns({"c_mktsegment": F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).otherwise(F.col("c_mktsegment")), "c_nationkey": F.col("c_nationkey") + F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0)})
+    return snapshots.changes(t.customer, new, "c_custkey", ["c_mktsegment", "c_nationkey"])
+
+
+@query("""
+    WITH b AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(text, '.', ';'), ';'), lambda x: trim(x)), lambda x: x <> '') AS f FROM (SELECT conv_id, turn, replace(text, chr(10), ';') AS text FROM conversations))
+    SELECT a.conv_id, md5(array_to_string(list_distinct_ordered, '；')) AS agenda FROM (
+      SELECT x.conv_id, list_filter(list_concat(x.f, y.f), lambda e, i: list_position(list_concat(x.f, y.f), e) = i) AS list_distinct_ordered
+      FROM b x JOIN b y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn = 1) a""")
+def agenda_append(t: Tables) -> DataFrame:
+    turns = t.conversations.select("conv_id", "turn", F.translate("text", ".", ";").alias("f"))
+    a, b = turns.where("turn = 0").select("conv_id", F.col("f").alias("a")), turns.where("turn = 1").select("conv_id", F.col("f").alias("b"))
+    return a.join(b, "conv_id").select("conv_id", F.md5(snapshots.appended(F.col("a"), F.col("b"))).alias("agenda"))
+
+
+@query("""
+    WITH RECURSIVE o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'pending' AS status, n FROM o UNION ALL
+      SELECT o.user_id, o.i, CASE WHEN f.status = 'pending' AND event_type = 'purchase' THEN 'confirmed' WHEN f.status = 'pending' AND event_type = 'error' THEN 'rejected' WHEN f.status = 'rejected' AND event_type = 'signup' THEN 'pending' ELSE f.status END, f.n
+      FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+    SELECT user_id, status, CAST(n AS INTEGER) AS n_events FROM f WHERE i = n""")
+def state_fold(t: Tables) -> DataFrame:
+    legal = {("pending", "purchase"): "confirmed", ("pending", "error"): "rejected", ("rejected", "signup"): "pending"}
+    return snapshots.folded_status(t.events, "user_id", ["ts", "event_id"], "event_type", legal, "pending")
+
+
+@query("""
+    SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 1 - quality, 0 FROM labels WHERE doc_id % 5 = 0""")
+def replace_by_key(t: Tables) -> DataFrame:
+    new = t.labels.where("doc_id % 5 = 0").select("doc_id", (1 - F.col("quality")).cast("int").alias("quality"), F.lit(0).cast("int").alias("toxic"))
+    return snapshots.replaced(t.labels, new, "doc_id")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'new ' || s_name ELSE s_name END AS s_name, s_nationkey FROM supplier")
+def overlay_latest(t: Tables) -> DataFrame:
+    base = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    latest = base.where("s_suppkey % 4 = 0").withColumn("s_name", F.concat(F.lit("new "), F.col("s_name")))
+    return snapshots.overlaid(base, latest, "s_suppkey")
+
+
+@query("""
+    SELECT 'orders' AS "table", count(*) AS rows FROM orders WHERE o_custkey % 7 <> 0
+    UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0)""")
+def cascade_delete(t: Tables) -> DataFrame:
+    gone = t.customer.where("c_custkey % 7 = 0").unionByName(t.orders.where("o_custkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), allowMissingColumns=True).select("c_custkey").distinct()
+    orders = snapshots.without({"o": (t.orders, "o_custkey")}, gone, "c_custkey")["o"]
+    gone_orders = t.orders.join(gone, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    items = snapshots.without({"l": (t.lineitem, "l_orderkey")}, gone_orders, "o_orderkey")["l"]
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+    return count(orders, "orders").unionByName(count(items, "lineitem"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(props, event_id) AS props FROM events GROUP BY user_id, event_type")
+def upsert_latest(t: Tables) -> DataFrame:
+    return snapshots.upserted(t.events.select("user_id", "event_type", "event_id", "props"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def hash_backfill(t: Tables) -> DataFrame:
+    return snapshots.backfilled(t.labels.select("doc_id", "quality"), t.documents.select("doc_id", F.lit(-1).alias("quality")), "doc_id")
+
+
+@query("""
+    SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_name END AS s_name, CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE s_nationkey END AS s_nationkey FROM supplier""")
+def edit_patch(t: Tables) -> DataFrame:
+    base = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    key = F.col("s_suppkey")
+    patch = base.select("s_suppkey", F.lit(None).cast("string").alias("s_name"), F.lit(7).alias("s_nationkey"), (key % 2 == 0).alias("has_s_name"), (key % 3 == 0).alias("has_s_nationkey"))
+    return snapshots.patched(base, patch, "s_suppkey", ["s_name", "s_nationkey"])
+
+
+@query("""
+    WITH a AS (SELECT event_id % 500 AS k, event_id, 0 AS l FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id % 500, event_id, 1 FROM events WHERE event_id % 2 = 1 OR event_id % 500 < 100)
+    SELECT k, event_id FROM a QUALIFY row_number() OVER (PARTITION BY k ORDER BY l, event_id) = 1""")
+def newest_first_merge(t: Tables) -> DataFrame:
+    rows = t.events.select((F.col("event_id") % 500).alias("k"), "event_id")
+    return snapshots.newest_first([rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 or k < 100")], "k", "event_id")

@@ -1 +1 @@
-
+"""Column functions: text, time and rules."""

@@ -1 +1 @@
-
+"""Composite pipelines over evidence documents."""
