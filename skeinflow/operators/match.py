@@ -37,6 +37,21 @@ def near_matches(left: DataFrame, right: DataFrame, left_id: str, left_key: str,
     return pairs.where((F.levenshtein("_a", "_b") == 1) & ((F.length("_a") > 2) | (F.length("_b") == 2))).select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
 
 
+def bigrams(c: Column) -> Column:
+    """Distinct pairs of neighbouring characters; a shorter text is its own."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, similarity: float) -> DataFrame:
+    """(left, right) of texts at least so similar, for limits above 0.8: an edit spoils two of a text's
+    pairs of characters at most, so such texts have one in common, and an equality join finds them."""
+    a = left.select(F.col(left_id).alias("_l"), F.col(left_text).alias("_a"), F.explode(bigrams(F.col(left_text))).alias("_key"))
+    b = right.select(F.col(right_id).alias("_r"), F.col(right_text).alias("_b"), F.explode(bigrams(F.col(right_text))).alias("_key"))
+    lengths = F.least(F.length("_a"), F.length("_b")) >= similarity * F.greatest(F.length("_a"), F.length("_b"))
+    pairs = a.join(b, "_key").where(lengths).select("_l", "_a", "_r", "_b").distinct()
+    return pairs.where(edit_similarity(F.col("_a"), F.col("_b")) >= similarity).select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
+
+
 def unique_target(pairs: DataFrame, key: str, target: str) -> DataFrame:
     """(key, target) where a key has one target only: ambiguous matches stay empty."""
     return pairs.groupBy(key).agg(F.count_distinct(target).alias("_targets"), F.min(target).alias(target)).where("_targets = 1").drop("_targets")

@@ -1,5 +1,101 @@
-"""Queries over literal rows."""
+"""Queries of composite pipelines over literal evidence; and golden time phrases."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinflow.functions import chinese_time
+from skeinflow.plans import evidence, execute, propose, resolve
+
+CONTACTS = "id long, canonical_name string, aliases array<string>, company string, title string, phone string, wechat_id string, notes string, created_at string, updated_at string"
+MEETINGS = "id long, kind string, title string, time_iso string, time_text string, location string, participants array<struct<contact_id:long,name:string>>, agenda string, status string, created_at string"
+
+
+def person(name: str, **more) -> dict:
+    return {"name": name, "is_self": False, "confidence": "high", "source_quote": f"{name}：", **more}
+
+
+def event(kind: str, title: str, **more) -> dict:
+    return {"kind": kind, "title": title, "time_text": "", "has_time_signal": False, "participant_names": [], "confidence": "high", "source_quote": title, **more}
+
+
+DOCUMENTS = {
+    1: {
+        "participants": [person("林舟", company="北辰科技", source_quote="林舟：方案下周三前给您"), person("Ada", title="CTO", source_quote="Ada：收到"), {"name": "我", "confidence": None, "source_quote": "我：好的"}],
+        "events": [event("meeting", "北辰科技方案评审会议", time_text="9月2日下午3点", time_iso="2026-09-02T15:00:00+08:00", has_time_signal=True, participant_names=["林舟", "我"])],
+        "facts": [{"subject_name": "林舟", "field": "phone", "value": "13800000000", "confidence": "high", "source_quote": "电话13800000000"}, {"subject_name": "Ada", "field": "other", "value": "喜欢安静的会议室", "confidence": "medium", "source_quote": "Ada喜欢安静的会议室"}],
+        "quotes": [{"speaker_name": "林舟", "text": "报价单我明天整理好发给您", "source_quote": "报价单我明天整理好发给您"}, {"speaker_name": "Ada", "text": "收到", "source_quote": "收到"}],
+    },
+    2: {
+        "participants": [person("林州", source_quote="林州：合同已提交"), person("财务部", role="mentioned", source_quote="财务部"), person("王敏", speech_act="initiate", source_quote="王敏：新产品目录想请你先看看")],
+        "events": [event("other", "通知：评审会议改到周四", source_quote="通知：北辰科技方案评审会议改到周四"), event("other", "联系客户确认", source_quote="联系客户确认")],
+        "facts": [],
+        "quotes": [{"speaker_name": "王敏", "text": "新产品目录想请你先看看", "source_quote": "新产品目录想请你先看看"}, {"speaker_name": "林州", "text": "合同已提交", "source_quote": "合同已提交"}],
+    },
+}
+
+
+def documents(spark: SparkSession) -> DataFrame:
+    rows = [(k, json.dumps(v, ensure_ascii=False)) for k, v in DOCUMENTS.items()] + [(3, "{damaged")]
+    return evidence.parsed(spark.createDataFrame(rows, "screenshot_id long, raw_extraction string"))
+
+
+def contacts(spark: SparkSession) -> DataFrame:
+    at = "2026-08-01T09:00:00+08:00"
+    rows = [(1, "林舟", ["Lin Zhou"], "北辰", None, None, None, None, at, at), (2, "陈默", ["Mo"], None, None, None, None, None, at, at)]
+    return spark.createDataFrame(rows, CONTACTS)
+
+
+def meetings(spark: SparkSession) -> DataFrame:
+    rows = [(7, "meeting", "北辰科技方案评审会议", "2026-09-02T15:00:00+08:00", "9月2日", None, [(1, "林舟")], "看报价", "upcoming", "2026-08-20T09:00:00+08:00")]
+    return spark.createDataFrame(rows, MEETINGS)
+
+
+def model(spark: SparkSession) -> DataFrame:
+    rows = [(1, 1, "new", None, []), (2, 0, "new", None, []), (2, 1, "new", None, []), (2, 2, "new", None, [])]
+    return spark.createDataFrame(rows, "screenshot_id long, pos int, decision string, contact_id long, candidate_ids array<long>")
+
+
+def _parts(spark: SparkSession) -> dict[str, DataFrame]:
+    docs = documents(spark)
+    return {p: evidence.children(docs, p) for p in evidence.PARTS}
+
+
+def resolve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve_participants(_parts(spark)["participants"], contacts(spark), model(spark))
+
+
+def progress_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _parts(spark)
+    return resolve.progress_fragments(p["participants"], p["facts"], p["events"], p["quotes"]).drop("place")
+
+
+def propose_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _parts(spark)
+    resolved = resolve.resolve_participants(p["participants"], contacts(spark), model(spark))
+    related = evidence.related(p["participants"], p["facts"], p["quotes"])
+    return propose.propose(p, related, resolved, contacts(spark), meetings(spark))
+
+
+def execute_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations after all proposed cards were confirmed."""
+    cards = propose_pipeline(spark, sf_dir).select((F.col("screenshot_id") * 1000 + F.col("card_no")).alias("card_id"), "screenshot_id", "type", "payload", "source_quote", F.lit("pending").alias("status"), F.lit("2026-08-28T10:00:00+08:00").alias("resolved_at"))
+    facts = _parts(spark)["facts"].select("screenshot_id", "subject_name", "value", "source_quote", F.lit("2026-08-28T10:00:00+08:00").alias("observed_at"))
+    none = spark.createDataFrame([], "contact_id long, screenshot_id long, kind string, content string, source_quote string, observed_at string")
+    return execute.execute(cards, contacts(spark), meetings(spark), none, facts)["observations"]
+
+
+PHRASES = ["今天", "今晚12点", "下周三下午3点半", "本周三", "周三3点", "9月2日晚上8点", "1月2号", "改天", "第2号方案", "下周三点半", "礼拜五上午十点一刻"]
+
+
+def timeparse_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(p,) for p in PHRASES], "phrase string").withColumn("now", F.lit("2026-08-27 02:00:00").cast("timestamp"))
+    rows = rows.withColumn("iso", chinese_time.resolve_time(F.col("phrase"), F.col("now")))
+    return rows.select("phrase", "iso", chinese_time.confirm_label(F.col("iso"), F.col("phrase")).alias("label"))
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (resolve_pipeline, progress_fragments, propose_pipeline, execute_pipeline, timeparse_golden)}
