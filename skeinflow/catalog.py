@@ -528,3 +528,71 @@ def edit_patch(t: Tables) -> DataFrame:
 def newest_first_merge(t: Tables) -> DataFrame:
     rows = t.events.select((F.col("event_id") % 500).alias("k"), "event_id")
     return snapshots.newest_first([rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 or k < 100")], "k", "event_id")
+
+
+# --- layouts: events as lines of a page, users as images
+
+
+def _lines(t: Tables) -> DataFrame:
+    x = F.when(F.col("event_id") % 3 == 0, 20.0).when(F.col("event_id") % 3 == 1, 22.0).otherwise(400.0)
+    w = F.when(F.col("event_id") % 3 == 2, 560.0).otherwise(300.0 + F.col("event_id") % 2)
+    return t.events.select(F.col("user_id").alias("screenshot_id"), F.col("event_id").cast("int").alias("pos"), F.col("event_type").alias("text"), (F.col("value") / 100).alias("confidence"), x.alias("x"), (F.col("event_id") % 977 * 1.0).alias("y"), w.alias("width"), F.lit(30.0).alias("height"), F.lit(True).alias("placed"))
+
+
+@query("""
+    SELECT user_id AS screenshot_id, round(count(*) FILTER (value / 100 < 0.5) / count(*)::DOUBLE, 9) AS share, count(*) FILTER (value / 100 < 0.5) / count(*)::DOUBLE > 0.6 AS poor FROM events GROUP BY user_id""")
+def ocr_quality(t: Tables) -> DataFrame:
+    from skeinflow.operators.geometry import poor_quality
+
+    return poor_quality(_lines(t)).withColumn("share", F.round("share", 9))
+
+
+@query("""
+    WITH l AS (SELECT user_id AS screenshot_id, event_id, CASE event_id % 3 WHEN 0 THEN 20.0 WHEN 1 THEN 22.0 ELSE 400.0 END AS x, CASE WHEN event_id % 3 = 2 THEN 560.0 ELSE 300.0 + event_id % 2 END AS w FROM events),
+    a AS (SELECT screenshot_id, x AS v, count(*) AS n, min(event_id) AS f FROM l WHERE x < 500 GROUP BY screenshot_id, x QUALIFY row_number() OVER (PARTITION BY screenshot_id ORDER BY count(*) DESC, min(event_id), x) = 1),
+    b AS (SELECT screenshot_id, x + w AS v, count(*) AS n, min(event_id) AS f FROM l WHERE x + w > 500 GROUP BY screenshot_id, x + w QUALIFY row_number() OVER (PARTITION BY screenshot_id ORDER BY count(*) DESC, min(event_id), x + w) = 1)
+    SELECT screenshot_id, CAST(a.v AS DOUBLE) AS left_peak, CAST(b.v AS DOUBLE) AS right_peak FROM a FULL JOIN b USING (screenshot_id)""")
+def alignment_peaks(t: Tables) -> DataFrame:
+    from skeinflow.operators.geometry import alignment_peaks as peaks
+
+    return peaks(_lines(t), 1000.0)
+
+
+@query()
+def bubble_grouping(t: Tables) -> DataFrame:
+    from skeinflow.operators import geometry
+
+    lines = _lines(t)
+    return geometry.bubble_sides(geometry.bubbles(lines), geometry.alignment_peaks(lines, 1000.0))
+
+
+@query("""
+    SELECT user_id, event_type, CASE WHEN r - 0 > 245 AND g > 245 AND b > 245 AND NOT g - b > 40 THEN 'them' WHEN g - b > 40 THEN 'me' END AS side FROM (
+      SELECT user_id, event_type, CASE WHEN n >= 20 THEN rb ELSE ra END AS r, CASE WHEN n >= 20 THEN gb ELSE ga END AS g, CASE WHEN n >= 20 THEN bb ELSE ba END AS b FROM (
+        SELECT user_id, event_type, count(*) FILTER (x) AS n, median(r) AS ra, median(g) AS ga, median(b) AS ba, median(r) FILTER (x) AS rb, median(g) FILTER (x) AS gb, median(b) FILTER (x) AS bb
+        FROM (SELECT *, r + g + b > 450 AS x FROM (SELECT user_id, event_type, event_id % 256 AS r, event_id * 7 % 256 AS g, event_id * 13 % 256 AS b FROM events)) GROUP BY user_id, event_type))""")
+def region_colors(t: Tables) -> DataFrame:
+    from skeinflow.operators.geometry import sampled_colors
+
+    pixels = t.events.select("user_id", "event_type", (F.col("event_id") % 256).alias("r"), (F.col("event_id") * 7 % 256).alias("g"), (F.col("event_id") * 13 % 256).alias("b"))
+    return sampled_colors(pixels, ["user_id", "event_type"]).select("user_id", "event_type", "side")
+
+
+# --- streams and sources
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, md5(text) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT contains(text, chr(13))) WHERE trim(text, ' \t') <> ''")
+def pasted_text_lines(t: Tables) -> DataFrame:
+    from skeinflow.sources.tables import pasted_lines
+
+    rows = t.documents.where(~F.contains("text", F.lit("\r")))
+    return pasted_lines(rows, "doc_id", "text").select("doc_id", "pos", F.md5("text").alias("line"))
+
+
+@query(f"""
+    SELECT {AT('ts')} AS at, unnest(CASE WHEN event_type = 'click' THEN [event_type, 'mem'] ELSE [event_type] END) AS kind FROM events WHERE event_type IN ('click', 'view')""")
+def log_samples(t: Tables) -> DataFrame:
+    from skeinflow.streaming import logs
+
+    log = t.events.select(F.col("ts").alias("t"), F.col("event_type").alias("kind"), F.col("props").alias("detail"))
+    return logs.with_samples(logs.accepted(log, ["click", "view"]), "click").select(at("t").alias("at"), "kind")

@@ -114,7 +114,7 @@ def mentions(text: Column, names: Column) -> Column:
 def composed_of(text: Column, words: Column) -> Column:
     """Whether the text is a chain of the words and nothing else."""
     quoted = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
-    return (F.size(quoted) > 0) & text.rlike(F.concat(F.lit("^(?:"), F.array_join(quoted, "|"), F.lit(")+$")))
+    return (F.size(quoted) > 0) & F.rlike(text, F.concat(F.lit("^(?:"), F.array_join(quoted, "|"), F.lit(")+$")))
 
 
 def without_speaker(text: Column, names: Column) -> Column:

@@ -120,8 +120,8 @@ def interaction_cards(drafted: DataFrame, resolved: DataFrame, events: DataFrame
     })
     grouped = rows.groupBy(KEY, "_key").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "_own", "_said", "interaction_summary"))).alias("_g"), F.max("_rank").alias("_rank"), F.first("status").alias("status"), F.first("contact_id").alias("contact_id"), F.min("pos").alias("pos"))
     grouped = grouped.withColumns({"name": F.get("_g", F.lit(0))["name"], "_own": F.flatten(F.col("_g._own")), "_said": F.flatten(F.col("_g._said")), "summary": F.array_join(distinct_strings(F.filter("_g.interaction_summary", lambda s: s.isNotNull())), "；")})
-    made = created.where("type = 'create_contact'").select(KEY, norm_compare(F.col("payload")["name"]).alias("_made"), F.lit(True).alias("_has")).distinct()
-    grouped = grouped.join(made, (grouped[KEY] == made[KEY]) & (norm_compare(grouped["name"]) == made["_made"]), "left").drop(made[KEY], "_made")
+    made = created.where("type = 'create_contact'").select(F.col(KEY).alias("_shot"), norm_compare(F.col("payload")["name"]).alias("_made"), F.lit(True).alias("_has")).distinct()
+    grouped = grouped.join(made, (F.col(KEY) == F.col("_shot")) & (norm_compare(F.col("name")) == F.col("_made")), "left").drop("_shot", "_made")
     grouped = grouped.where((F.col("status") == "same_as") | F.col("_has"))
     evidence = distinct_strings(F.transform(F.when(F.size("_said") > 0, F.col("_said")).otherwise(F.col("_own")), lambda e: without_speaker(e, F.array("name"))))
     held = events.groupBy(KEY).agg(F.collect_set("source_quote").alias("_held"), F.bool_or(F.col("kind").isin("meeting", "appointment")).alias("_meets"))
