@@ -530,6 +530,83 @@ def newest_first_merge(t: Tables) -> DataFrame:
     return snapshots.newest_first([rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 or k < 100")], "k", "event_id")
 
 
+# --- batches: orders as cards, customers as batches
+
+
+@query("""
+    WITH c AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status, o_custkey AS r FROM orders),
+    d AS (SELECT l_orderkey * 10 + l_linenumber AS card_id, l_orderkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS a FROM lineitem)
+    SELECT card_id, a AS anchor_card_id, CASE status WHEN 'confirmed' THEN r WHEN 'pending' THEN -a END AS contact_id FROM d LEFT JOIN c ON c.id = a""")
+def anchor_resolution(t: Tables) -> DataFrame:
+    from skeinflow.operators.batch import resolved_anchors
+
+    status = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "pending").otherwise("rejected")
+    cards = t.orders.select(F.col("o_orderkey").cast("long").alias("id"), status.alias("status"), F.col("o_custkey").alias("resolved_contact_id"))
+    far = F.when(F.col("l_linenumber") == 7, 100_000_000).otherwise(0)
+    waits = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("card_id"), (F.col("l_orderkey") + far).alias("anchor_card_id"))
+    return resolved_anchors(waits, cards)
+
+
+@query("""
+    SELECT a AS anchor_card_id, count(*) AS waiting FROM (SELECT DISTINCT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS a FROM events WHERE event_type = 'view') GROUP BY a""")
+def pending_dependents(t: Tables) -> DataFrame:
+    from skeinflow.operators.batch import pending_dependents as waiting
+
+    deps = F.concat(F.lit('[{"kind":"x","anchor_card_id":'), F.get_json_object("props", "$.k"), F.lit("}]"))
+    kind = F.when(F.col("event_type") == "view", "record_interaction").otherwise("create_contact")
+    return waiting(t.events.select(F.col("event_id").alias("id"), kind.alias("type"), F.lit("pending").alias("status"), deps.alias("disambiguation")))
+
+
+@query("""
+    WITH u AS (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k, min(doc_id) OVER (PARTITION BY text) AS original FROM documents)
+    SELECT doc_id AS screenshot_id, original, coalesce((SELECT count(*) FROM labels l WHERE l.doc_id = original AND l.quality = 0), 0) AS pending FROM u WHERE k > 1""")
+def duplicate_uploads(t: Tables) -> DataFrame:
+    from skeinflow.operators.batch import duplicate_uploads as repeats
+
+    uploads = t.documents.select(F.col("doc_id").alias("upload_no"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("screenshot_id"))
+    cards = t.labels.select(F.col("doc_id").alias("screenshot_id"), F.when(F.col("quality") == 0, "pending").otherwise("confirmed").alias("status"))
+    return repeats(uploads, cards).select("screenshot_id", "original", "pending")
+
+
+@query("""
+    WITH a AS (SELECT event_id, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS anchor FROM events) SELECT event_id AS id, anchor FROM a""")
+def batch_anchors(t: Tables) -> DataFrame:
+    from skeinflow.operators.batch import anchors
+
+    cards = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("batch"), F.concat(F.lit(" "), F.upper("event_type")).alias("name"))
+    return anchors(cards).select("id", "anchor")
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey AS card_id, o_custkey AS s, -1 AS pos FROM orders UNION ALL SELECT l_orderkey, l_suppkey, l_linenumber FROM lineitem),
+    f AS (SELECT card_id, s, min(pos) AS pos FROM r GROUP BY card_id, s)
+    SELECT card_id, string_agg(coalesce(s_name, CAST(s AS VARCHAR)), ',' ORDER BY pos, s) AS sources FROM f LEFT JOIN supplier ON s_suppkey = s GROUP BY card_id""")
+def card_lineage(t: Tables) -> DataFrame:
+    from skeinflow.operators.batch import lineage
+
+    cards = t.orders.select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").alias("screenshot_id"))
+    more = t.lineitem.select(F.col("l_orderkey").alias("card_id"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("screenshot_id"))
+    labels = t.supplier.select(F.col("s_suppkey").alias("screenshot_id"), F.col("s_name").alias("label"))
+    return lineage(cards, more, labels).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("""
+    SELECT o_custkey, CASE WHEN count(*) = 1 THEN min(o_orderpriority) ELSE string_agg(o_orderstatus || '：' || o_orderpriority, '；' ORDER BY o_orderkey) END AS notice FROM orders GROUP BY o_custkey""")
+def notice_concat(t: Tables) -> DataFrame:
+    from skeinflow.operators.batch import notices
+
+    return notices(t.orders, "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("""
+    SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS done, count(*) AS total, bool_and(o_orderstatus <> 'P') AS settled, min(CAST(o_orderkey AS BIGINT)) FILTER (o_orderstatus = 'P') AS next FROM orders GROUP BY o_custkey""")
+def batch_progress(t: Tables) -> DataFrame:
+    from skeinflow.operators.batch import progress
+
+    status = F.when(F.col("o_orderstatus") == "P", "open").otherwise("success")
+    return progress(t.orders.select("o_custkey", F.col("o_orderkey").cast("long").alias("o_orderkey"), status.alias("status")), "o_custkey", "o_orderkey", "status")
+
+
 # --- layouts: events as lines of a page, users as images
 
 
