@@ -153,9 +153,6 @@ def first_match(t: Tables) -> DataFrame:
     return match.first_match(people, contacts, "s_suppkey", "name", "c_custkey", "c_name")
 
 
-_SHORT = "regexp_replace(lower(p_type || p_size), '[^a-z0-9]', '', 'g')"
-
-
 @query(f"""
     WITH a AS (SELECT DISTINCT substr(md5(CAST(s_suppkey % 40 AS VARCHAR)), 1, 3) AS x FROM supplier), b AS (SELECT DISTINCT substr(md5(CAST(p_partkey % 300 AS VARCHAR)), 1, 3) AS y FROM part)
     SELECT x, y FROM a, b WHERE levenshtein(x, y) = 1""")
