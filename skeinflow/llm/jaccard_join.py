@@ -67,24 +67,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text: 5 consecutive words [^\\x20\\x09-\\x0D]+ with A-Z
-    lower-cased; of a shorter text all words together."""
-    raw = b" ".join([b"", *[t.encode().translate(_FOLD) if t else b"" for t in texts], b""])
-    ends = np.cumsum([0, *[len(t.encode()) + 1 if t else 1 for t in texts]])
-    points = np.frombuffer(raw, np.uint8)
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, A-Z lower-cased, and where each text's
+    words start and the last one's end."""
+    coded = [t.encode().translate(_FOLD) if t else b"" for t in texts]
+    points = np.frombuffer(b" ".join([b"", *coded, b""]), np.uint8)
+    ends = np.cumsum([0, *[len(t) + 1 for t in coded]])
     blank = points == 0x20
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     stops = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     if not len(starts):
-        return [np.empty(0, _U)] * len(texts)
+        return np.empty(0, _U), np.zeros(len(texts) + 1, np.int64)
     lengths = stops - starts
-    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    letters = points[np.repeat(starts, lengths) + inside]
+    letters = points[~blank]
+    first = np.cumsum(lengths) - lengths
+    inside = np.arange(len(letters)) - np.repeat(first, lengths)
     powers = np.cumprod(np.concatenate([[_U(1)], np.full(int(lengths.max()), _STEP)]), dtype=np.uint64)
-    words = mix(np.add.reduceat(_BYTE[letters] * powers[inside], np.cumsum(lengths) - lengths) ^ lengths.astype(_U))
+    return mix(np.add.reduceat(_BYTE[letters] * powers[inside], first) ^ lengths.astype(_U)), np.searchsorted(starts, ends)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text: 5 consecutive words; of a shorter text all words
+    together."""
+    words, cut = word_hashes(texts)
     rolled = mix(sum((words[k : len(words) - SHINGLE + 1 + k] * _PLACE[k] for k in range(SHINGLE)), _U(0))) if len(words) >= SHINGLE else words[:0]
-    cut = np.searchsorted(starts, ends)  # first word of each text
     out = []
     for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False):
         if b - a >= SHINGLE:
@@ -113,24 +119,39 @@ def most_apart(n: int, top: int) -> int:
     return min(n // 3, (n + top) // 7)
 
 
-def band_signatures(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(band, spare, keys) for the set's own band and, if a partner may be in it, the next. The low 5 bits
-    of a key are its band; a class may leave out its ``spare`` most shared keys of a band."""
-    n = len(s)
-    if not n:
-        return []
+def bands_of(n: int) -> list[tuple[int, int, int]]:
+    """(band, blocks, most apart) of a set's own band and, if a partner may be in it, the next. Band 0 has
+    no blocks: its elements are."""
     own = 0 if n < SMALL else n.bit_length()
     after = SMALL if own == 0 else 1 << own
     out = []
     for band in [own] + [after.bit_length()] * (4 * n >= 3 * after):
         top = SMALL - 1 if band == 0 else (1 << band) - 1
-        apart = most_apart(n, top)
+        out.append((band, int(np.ceil(BLOCKS_PER_ELEMENT * (top + 1))) if band else 0, most_apart(n, top)))
+    return out
+
+
+def band_sizes(s: np.ndarray) -> list[dict[str, int]]:
+    """band, spare and number of keys, as band_signatures gives them."""
+    out = []
+    for band, blocks, apart in bands_of(len(s)):
+        block = ((s >> _U(32)) * _U(blocks)) >> _U(32)
+        keys = int(np.count_nonzero(block[1:] != block[:-1])) + 1 if band else len(s)
+        spare = keys - apart - 1
+        out.append({"band": band, "spare": max(0, spare), "keys": keys if spare >= 0 else keys + len(s)})
+    return out
+
+
+def band_signatures(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(band, spare, keys) for the set's own band and, if a partner may be in it, the next. The low 5 bits
+    of a key are its band; a class may leave out its ``spare`` most shared keys of a band."""
+    out = []
+    for band, blocks, apart in bands_of(len(s)):
         if band == 0:
             keys = mix(s ^ _U(1))
-            spare = n - apart - 1
+            spare = len(s) - apart - 1
         else:
-            blocks = _U(int(np.ceil(BLOCKS_PER_ELEMENT * (top + 1))))
-            block = ((s >> _U(32)) * blocks) >> _U(32)
+            block = ((s >> _U(32)) * _U(blocks)) >> _U(32)
             first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             keys = mix(mix(np.bitwise_xor.reduceat(s, first)) + block[first] * _STEP + _U(band))
             spare = len(keys) - apart - 1
@@ -162,7 +183,7 @@ def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                pa.array([[{"band": b, "spare": x, "keys": len(k)} for b, x, k in band_signatures(s)] if len(s) else None for s in sets], BANDS),
+                pa.array([band_sizes(s) if len(s) else None for s in sets], BANDS),
             ], ["doc_id", "n_shingles", "cls", "sketch", "bands"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cls bigint, sketch array<bigint>, bands array<struct<band:bigint,spare:bigint,keys:bigint>>")
@@ -277,10 +298,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFr
     return made.groupBy("cls").agg(F.first("elements").alias("elements"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = materialize(class_sets(docs, wanted, text))
     left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -323,7 +342,8 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     sized = classes.select("cls", "n", "sketch")
     named = lambda c: sized.select(*[F.col(x).alias(f"{x}_{c}" if x != "cls" else c) for x in sized.columns])
     first = tried.join(named("a"), "a").join(named("b"), "b").where(may_link(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b")))
-    links = materialize(verified(materialize(first.select("a", "b")), docs))
+    sets = materialize(class_sets(docs, kept.select("cls").distinct()))  # of all that may be compared, in either round
+    links = materialize(verified(first.select("a", "b"), sets))
     labels = components(links)
 
     placed = kept.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -334,10 +354,10 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     second = apart.where(may_link(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b")))
     second = materialize(second.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        labels = components(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).union(verified(second, docs)))
+        labels = components(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).union(verified(second, sets)))
 
     named_classes = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    found = named_classes.withColumn("component_id", F.min("rep").over(Window.partitionBy("label"))).select("cls", "component_id")
+    found = named_classes.join(named_classes.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("cls", "component_id")
     out = profile.select("doc_id", "n_shingles", "cls").join(found, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
