@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir. Only a local session, as in tests, may lack it and gets one of
+    its own; on a cluster executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skeinflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -77,16 +77,21 @@ class Segment:
         names = list(numbers)
         return Segment(starts, [names[i] for i in present.tolist()], np.append(first, len(at)), at[order])
 
-    def search(self, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, item number, exact) of all places where a window occurs: each term at its
-        offset, or with slop at most so many words from it, in one document."""
+    def document(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, position, "right") - 1
+
+    def search(self, windows: Windows, slop: int = 0) -> tuple[np.ndarray, ...]:
+        """(start, length, item number, exact, document) of all places where a window occurs: each term at its
+        offset, or with slop at most so many words from it, in the document of the rarest term. A start
+        may then lie up to slop words before the document."""
         local = {windows.terms[t]: k for k, t in enumerate(self.terms) if t in windows.terms}
         number = np.full(len(windows.terms), -1, np.int64)
         number[list(local.keys())] = list(local.values())
         span = int(self.starts[-1]) + 1
         keys = np.repeat(np.arange(len(self.terms)), np.diff(self.offsets)) * span + self.positions
         count = np.append(np.diff(self.offsets), 0)
-        out = [(np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)]
+        none = np.empty(0, np.int64)
+        out = [(none, none, none, np.empty(0, bool), none)]
         for rows, items in windows.groups:
             rows = number[rows]
             whole = (rows >= 0).all(axis=1)
@@ -99,20 +104,21 @@ class Segment:
             w = np.repeat(np.arange(len(rows)), n)
             inside = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
             start = self.positions[self.offsets[term[w, 0]] + inside] - order[w, 0]
-            exact = np.ones(len(w), bool)
+            anchor, exact = start + order[w, 0], np.ones(len(w), bool)
             for k in range(1, rows.shape[1]):
                 want = term[w, k] * span + start + order[w, k]
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                if slop:  # the nearer of the two postings around the place, in the anchor's document
+                    before = np.maximum(at - 1, 0)
+                    at = np.where(np.abs(keys[before] - want) < np.abs(keys[at] - want), before, at)
                 gap = np.abs(keys[at] - want)
-                if slop:
-                    gap = np.minimum(gap, np.abs(keys[np.maximum(at - 1, 0)] - want))
                 near = (gap <= slop) & (start + order[w, k] >= 0) & (start + order[w, k] < span)
+                if slop:
+                    near &= self.document(self.positions[at]) == self.document(anchor)
                 exact = (exact & (gap == 0))[near]
-                w, start = w[near], start[near]
+                w, start, anchor = w[near], start[near], anchor[near]
             length = rows.shape[1]
-            doc = np.searchsorted(self.starts, np.maximum(start, 0), "right")
-            one = (start >= 0) & (start + length < self.starts[np.minimum(doc, len(self.starts) - 1)] + (0 if not slop else slop))
-            out.append((start[one], np.full(one.sum(), length), items[w[one]], exact[one]))
+            out.append((start, np.full(len(start), length), items[w], exact, self.document(anchor)))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
@@ -125,10 +131,9 @@ class Hits:
         self.items: list[set[str]] = [set() for _ in range(len(segment.starts) - 1)]
 
     def add(self, windows: Windows) -> None:
-        start, length, item, _ = self.segment.search(windows)
+        start, length, item, _, doc = self.segment.search(windows)
         np.add.at(self.edges, start, 1)
         np.add.at(self.edges, start + length, -1)
-        doc = np.searchsorted(self.segment.starts, start, "right") - 1
         for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
             self.items[d].add(windows.items[i])
 
@@ -213,8 +218,7 @@ def phrase_matches(index: DataFrame, blocks: list, slop: int = 0) -> DataFrame:
         for batch in batches:
             for ids, segment in _opened(batch):
                 for block in blocks:
-                    start, _, item, exact = segment.search(block.value, slop)
-                    doc = np.searchsorted(segment.starts, start, "right") - 1
+                    start, _, item, exact, doc = segment.search(block.value, slop)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([ids[d] for d in doc.tolist()], batch.schema.field("doc_ids").type.value_type), pa.array([block.value.items[i] for i in item.tolist()], pa.string()),
                         pa.array(start - segment.starts[doc], pa.int64()), pa.array(exact, pa.bool_()),
