@@ -220,13 +220,20 @@ def shared_signatures(keyed: DataFrame, tasks: int) -> DataFrame:
         left_k, left_c = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def groups(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            many = np.zeros(len(k), bool)
+            same = k[1:] == k[:-1]
+            many[1:] |= same
+            many[:-1] |= same
+            k, c = k[many], c[many]  # few are left to order by class
+            order = np.lexsort((c, k))
+            k, c = k[order], c[order]
             new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))[: len(k)]
             k, c = k[new], c[new]
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
             size = np.diff(np.append(first, len(k)))
-            many = np.repeat(size, size)
-            keep = many > 1
-            return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(c[keep]), pa.array(many[keep])], ["key", "cls", "sharing"])
+            sharing = np.repeat(size, size)
+            keep = sharing > 1
+            return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(c[keep]), pa.array(sharing[keep])], ["key", "cls", "sharing"])
 
         for batch in batches:
             k = np.concatenate([left_k, batch.column("key").to_numpy()])
@@ -238,7 +245,7 @@ def shared_signatures(keyed: DataFrame, tasks: int) -> DataFrame:
             left_k, left_c = k[last:], c[last:]
         yield groups(left_k, left_c)
 
-    dealt = keyed.repartition(tasks, "key").sortWithinPartitions("key", "cls")
+    dealt = keyed.repartition(tasks, "key").sortWithinPartitions("key")  # by one number: a radix sort
     return dealt.mapInArrow(run, "key bigint, cls bigint, sharing bigint")
 
 
