@@ -81,20 +81,20 @@ def nocase_summaries(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT o_orderkey, time_iso, row_number() OVER (PARTITION BY o_custkey ORDER BY time_iso NULLS LAST, o_orderkey DESC) AS place
+    SELECT o_orderkey, time_iso, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY time_iso NULLS LAST, o_orderkey DESC) AS INTEGER) AS place
     FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'P' THEN {AT("o_orderdate")} END AS time_iso FROM orders)""")
 def nulls_last_agenda(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", at("o_orderdate")).alias("time_iso"))
     return dedup.top_k(rows, ["o_custkey"], [F.asc_nulls_last("time_iso"), F.desc("o_orderkey")], 1 << 30, "place").drop("o_custkey")
 
 
-@query(f"SELECT event_id, user_id, {AT('ts')} AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events")
+@query(f"SELECT event_id, user_id, {AT('ts')} AS at, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events")
 def timeline_rank(t: Tables) -> DataFrame:
     return dedup.top_k(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 1 << 30).select("event_id", "user_id", at("ts").alias("at"), "rank")
 
 
 @query("""
-    SELECT event_id, user_id, rank FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events)
+    SELECT event_id, user_id, rank FROM (SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events)
     WHERE rank <= 5""")
 def recent_topk(t: Tables) -> DataFrame:
     return dedup.top_k(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id", "rank")
@@ -353,14 +353,14 @@ def evidence_merge(t: Tables) -> DataFrame:
 @query("""
     WITH s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM events),
     l AS (SELECT *, max(session) OVER (PARTITION BY user_id) AS m FROM s)
-    SELECT user_id, session, count(*) AS n_rows, arg_max(event_type, struct_pack(a := ts, b := event_id)) <> 'view' AS abnormal FROM l WHERE session = m GROUP BY user_id, session""")
+    SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n_rows, arg_max(event_type, struct_pack(a := ts, b := event_id)) <> 'view' AS abnormal FROM l WHERE session = m GROUP BY user_id, session""")
 def session_tail(t: Tables) -> DataFrame:
     return sessions.session_tail(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "view")
 
 
 @query("""
     WITH g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 21600 THEN 1 ELSE 0 END AS n FROM events)
-    SELECT event_id, user_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_group FROM g""")
+    SELECT event_id, user_id, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS gap_group FROM g""")
 def gap_groups(t: Tables) -> DataFrame:
     gap = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("_prev.ts").cast("timestamp")) / 1e6
     return sessions.gap_groups(t.events, "user_id", ["ts", "event_id"], gap, 21600).select("event_id", "user_id", "gap_group")
