@@ -25,9 +25,9 @@ w AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY block, CASE WHE
   lag(tokens, 1) OVER c AS t1, lag(chars, 1) OVER c AS c1, lag(sys, 1) OVER c AS s1, lag(tokens, 2) OVER c AS t2, lag(chars, 2) OVER c AS c2, lag(sys, 2) OVER c AS s2 FROM d WINDOW c AS (PARTITION BY conv_id ORDER BY no)),
 o AS (SELECT *, win > 0 AND row_number() OVER (PARTITION BY conv_id, win ORDER BY no) = 1 AS opens FROM w)
 SELECT conv_id, count(*) AS n_turns, {_DIGEST("role || chr(10) || text || chr(10)", "")} AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars, {_DIGEST("text", " FILTER (role = 'assistant')")} AS loss_sha256,
-  sum(chars + CASE WHEN opens THEN head_chars + CASE WHEN NOT s1 AND t1 <= {_CHAT.history} THEN c1 ELSE 0 END
-    + CASE WHEN NOT s2 AND t1 + t2 <= {_CHAT.history} THEN c2 ELSE 0 END ELSE 0 END) AS formatted_chars
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, {_DIGEST("text", " FILTER (role = 'assistant')")} AS loss_sha256,
+  CAST(sum(chars + CASE WHEN opens THEN head_chars + CASE WHEN NOT s1 AND t1 <= {_CHAT.history} THEN c1 ELSE 0 END
+    + CASE WHEN NOT s2 AND t1 + t2 <= {_CHAT.history} THEN c2 ELSE 0 END ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM o GROUP BY conv_id"""
 
 _Q = QualityConfig()
