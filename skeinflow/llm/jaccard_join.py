@@ -175,18 +175,17 @@ def _text_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tupl
 
 
 def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, cls, sketch and bands of every document (the last three null for empty sets)."""
+    """doc_id, n_shingles, cls and bands of every document (the last two null for empty sets)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _text_batches(batches, text):
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 pa.array([band_sizes(s) if len(s) else None for s in sets], BANDS),
-            ], ["doc_id", "n_shingles", "cls", "sketch", "bands"])
+            ], ["doc_id", "n_shingles", "cls", "bands"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cls bigint, sketch array<bigint>, bands array<struct<band:bigint,spare:bigint,keys:bigint>>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cls bigint, bands array<struct<band:bigint,spare:bigint,keys:bigint>>")
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -276,7 +275,7 @@ def may_link(n_a: Column, sketch_a: Column, n_b: Column, sketch_b: Column) -> Co
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """cls, elements of the classes in wanted.cls, made from the texts again. A bitmap of the wanted
+    """cls, n, sketch, elements of the classes in wanted.cls, made from the texts again. A bitmap of the wanted
     classes keeps the others' sets in their tasks; what it lets through by chance joins with nothing."""
     flagged = wanted.select("cls", (F.pmod(F.col("cls"), F.lit(BITMAP_BITS))).alias("bit"))
     found = flagged.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bit, 64) as int))")).alias("bits")).toPandas()
@@ -299,10 +298,13 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFr
                 elements.append(s.view(np.int64))
             if ids:
                 offsets = np.cumsum([0, *map(len, elements)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(elements)))], ["cls", "elements"])
+                sketches = [parity_sketch(s.view(np.uint64)) for s in elements]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(elements))),
+                ], ["cls", "n", "sketch", "elements"])
 
-    made = docs.select(text).mapInArrow(run, "cls bigint, elements array<bigint>").join(wanted.select("cls"), "cls", "left_semi")
-    return made.groupBy("cls").agg(F.first("elements").alias("elements"))
+    made = docs.select(text).mapInArrow(run, "cls bigint, n bigint, sketch array<bigint>, elements array<bigint>").join(wanted.select("cls"), "cls", "left_semi")
+    return made.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "elements")])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -338,7 +340,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     profile = materialize(profiles(docs))
     filled = profile.where(F.col("cls").isNotNull())
-    classes = materialize(filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    classes = materialize(filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     elements = classes.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(elements * 0.7 // ROWS_PER_TASK) + 1)
     kept = materialize(kept_signatures(shared_signatures(signatures(docs), tasks), classes))
@@ -346,10 +348,10 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     group = Window.partitionBy("key")
     starred = kept.withColumn("pivot", F.max(F.struct("weight", "cls")).over(group)["cls"]).where("cls != pivot")
     tried = starred.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    sized = classes.select("cls", "n", "sketch")
+    sets = materialize(class_sets(docs, kept.select("cls").distinct()))  # of all that may be compared, in either round
+    sized = sets.select("cls", "n", "sketch")
     named = lambda c: sized.select(*[F.col(x).alias(f"{x}_{c}" if x != "cls" else c) for x in sized.columns])
     first = tried.join(named("a"), "a").join(named("b"), "b").where(may_link(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b")))
-    sets = materialize(class_sets(docs, kept.select("cls").distinct()))  # of all that may be compared, in either round
     links = materialize(verified(first.select("a", "b"), sets))
     labels = components(links)
 
