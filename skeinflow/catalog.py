@@ -162,10 +162,18 @@ def near_match_edit1(t: Tables) -> DataFrame:
     return match.near_matches(a.withColumn("kx", F.col("x")), b.withColumn("ky", F.col("y")), "x", "kx", "y", "ky")
 
 
+@query()
+def name_near_match(t: Tables) -> DataFrame:
+    """Pairs of all names; a cross join in SQL would be too slow for this."""
+    names = t.customer.select(F.col("c_name").alias("name")).union(t.supplier.select("s_name")).union(t.part.select("p_name")).distinct()
+    keyed = names.withColumn("key", tx.norm_contact(F.col("name")))
+    return match.near_matches(keyed.withColumnRenamed("name", "a"), keyed.withColumnRenamed("name", "b"), "a", "key", "b", "key")
+
+
 @query()
 def unicode_near_match(t: Tables) -> DataFrame:
-    words = t.documents.where("lang in ('fr', 'de', 'es')").select(F.explode(F.split("text", "[^\\p{L}]+")).alias("w")).where("length(w) between 4 and 8")
-    words = words.select(tx.norm_contact(F.col("w")).alias("key")).groupBy("key").count().where("count >= 20").select("key")
+    words = t.documents.select(F.explode(F.array_distinct(F.split("text", "[^\\p{L}]+"))).alias("w")).distinct()
+    words = words.select(tx.norm_contact(F.col("w")).alias("key")).where("length(key) >= 2").distinct()
     a, b = words.select(F.col("key").alias("a"), "key"), words.select(F.col("key").alias("b"), "key")
     return match.near_matches(a, b, "a", "key", "b", "key")
 

@@ -30,11 +30,13 @@ def deletions(c: Column) -> Column:
 
 def near_matches(left: DataFrame, right: DataFrame, left_id: str, left_key: str, right_id: str, right_key: str) -> DataFrame:
     """(left, right) at edit distance exactly 1, for keys of 2 characters or more; a key of 2 only
-    matches one of 2. An equality join on deletion keys finds the candidates."""
-    a = left.where(F.length(left_key) >= 2).select(F.col(left_id).alias("_l"), F.col(left_key).alias("_a"), F.explode(deletions(F.col(left_key))).alias("_key"))
-    b = right.select(F.col(right_id).alias("_r"), F.col(right_key).alias("_b"), F.explode(deletions(F.col(right_key))).alias("_key"))
-    pairs = a.join(b, "_key").select("_l", "_a", "_r", "_b").distinct()
-    return pairs.where((F.levenshtein("_a", "_b") == 1) & ((F.length("_a") > 2) | (F.length("_b") == 2))).select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
+    matches one of 2. An equality join on hashed deletion keys finds the candidates; only pairs that
+    pass the test are made distinct."""
+    keyed = lambda df, id_, key: df.where(F.length(key) >= 2).select(F.col(id_).alias("_id"), F.col(key).alias("_text"), F.explode(deletions(F.col(key))).alias("_key")).withColumn("_key", F.xxhash64("_key"))
+    a = keyed(left, left_id, left_key).select("_key", F.col("_id").alias("_l"), F.col("_text").alias("_a"))
+    b = keyed(right, right_id, right_key).select("_key", F.col("_id").alias("_r"), F.col("_text").alias("_b"))
+    pairs = a.join(b, "_key").where((F.levenshtein("_a", "_b") == 1) & ((F.length("_a") > 2) | (F.length("_b") == 2)))
+    return pairs.select("_l", "_a", "_r", "_b").distinct().select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
 
 
 def bigrams(c: Column) -> Column:

@@ -84,6 +84,31 @@ def test_near_matches_are_one_edit_apart(spark):
     assert rows(match.near_matches(a, b, "l", "x", "r", "y"), "l", "r") == [(0, 1), (1, 3)]
 
 
+def near(s, t):
+    """Whether two texts are one edit apart, by trying all edits."""
+    if len(s) > len(t):
+        s, t = t, s
+    cuts = [t[:i] + t[i + 1 :] for i in range(len(t))]
+    return s in cuts if len(s) < len(t) else len(s) == len(t) and sum(x != y for x, y in zip(s, t, strict=True)) == 1
+
+
+def test_near_matches_of_whole_tables_equal_brute_force(spark, tmp_path):
+    words = ["longestwordofall", "longestwordofal", "longestwordofell", "gärten", "garten", "gärte", "aab", "ab", "abb", "ba", "bb", "bcd", "abc", "𝔘x", "𝔘y", "z"]
+    docs = spark.createDataFrame([(i, f"{x} {x}, {words[0]}", lang) for i, (x, lang) in enumerate(zip(words, ["en", "fr", None, "zh"] * 4, strict=True))], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    from skeinflow import catalog
+
+    words = [text for (text,) in spark.createDataFrame([(w,) for w in words], "w string").select(text.norm_contact(F.col("w"))).collect()]
+    expected = lambda known: sorted(((s, t) for s in known for t in known if near(s, t) and min(len(s), len(t)) >= 2 and (len(s) > 2 or len(t) == 2)), key=repr)
+    assert rows(catalog.queries()["unicode_near_match"](spark, str(tmp_path)), "a", "b") == expected(words)
+
+    names = {"customer": ["ann lee", "anne lee", "bo"], "supplier": ["ann lea", "bob", "bi"], "part": ["anne lea", "box", "ann lee"]}
+    for table, found in names.items():
+        spark.createDataFrame([(x,) for x in found], f"{table[0]}_name string").write.parquet(str(tmp_path / f"{table}.parquet"))
+    found = rows(catalog.queries()["name_near_match"](spark, str(tmp_path)), "a", "b")
+    assert sorted(((a.replace(" ", ""), b.replace(" ", "")) for a, b in found), key=repr) == expected(sorted({x.replace(" ", "") for v in names.values() for x in v}))
+
+
 def test_near_matches_need_no_nested_loop(spark):
     a = spark.createDataFrame([(1, "abc")], "l long, x string")
     b = spark.createDataFrame([(1, "abd")], "r long, y string")
