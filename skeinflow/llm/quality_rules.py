@@ -46,7 +46,6 @@ class QualityConfig:
     max_class_distance: float = 0.28  #: Jensen-Shannon distance of the character classes
     max_word_distance: float = 0.25  #: and of the common words
     slack: float = 0.3  #: added to both limits as slack / sqrt(number of words): sampling noise
-    reference_docs: int = 20_000  #: the references are fitted on about this many labelled documents at most
 
     @property
     def words(self) -> list[str]:
@@ -131,13 +130,9 @@ def quality_features(docs: DataFrame, config: QualityConfig = QualityConfig(), t
 
 
 def language_references(docs: DataFrame, config: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[int], list[int]]]:
-    """Histogram totals of labelled documents by language, fitted on a bounded sample: all labelled
-    rows, or a share of them picked by text hash that holds ``reference_docs`` rows. At most one row
-    per language of COMMON_WORDS reaches the driver. Integer sums: the order of rows never matters."""
+    """Histogram totals of all labelled documents by language. At most one row per language of
+    COMMON_WORDS reaches the driver. Integer sums: the order of rows never matters."""
     labelled = docs.where(F.col(lang).isin(*COMMON_WORDS))
-    rows = labelled.count()
-    if rows > config.reference_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < config.reference_docs * (1 << 30) // rows)
     features = _histograms(labelled.select(text, lang), config, text).where(F.size("_words") >= config.min_words)
     k, n = len(CLASSES) + 2, len(config.words) + 1
     sums = [F.sum(F.get("class_hist", i)).alias(f"c{i}") for i in range(k)] + [F.sum(F.get("word_hist", i)).alias(f"w{i}") for i in range(n)]

@@ -195,6 +195,15 @@ def test_quality_counts_and_verdicts(documents):
     assert quality_rules.kept_documents(documents(texts)).count() == sum(r["kept"] for r in found.values())
 
 
+def test_quality_references_sum_all_labelled_rows(documents):
+    spanish = [" ".join(f"{w}{i}" for w in WORDS[:58]) + " de la" for i in range(400)]
+    found = quality_rules.language_references(documents([*spanish, *["short"] * 21_000], ["es"] * 400 + ["en"] * 21_000))
+    classes, words = found["es"]
+    names = quality_rules.QualityConfig().words
+    assert list(found) == ["es"] and sum(classes) == sum(map(len, spanish)) and sum(words) == 400 * 60
+    assert words[names.index("de")] == words[names.index("la")] == 400
+
+
 # --- 7
 
 
