@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 #: Characters of text that one call of the encoder sees at most, unless one text is longer.
@@ -67,9 +68,9 @@ class RankEncoder:
         merges = [tuple(map(show, last_merge(t, ranks))) for _, t in order]
         vocab = {show(t): r for t, r in ranks.items()}
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.matches = Tokenizer(models.BPE(vocab=vocab, merges=merges))  # of one match of the pattern
+        self.matches = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))  # of one match of the pattern
         self.matches.pre_tokenizer = as_bytes
-        self.whole = Tokenizer(models.BPE(vocab=vocab, merges=merges))  # of a text, with offsets
+        self.whole = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))  # of a text, with offsets
         self.whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), behavior="isolated"), as_bytes])
         self.pattern = regex.compile(pattern)
         self.known: dict[str, list[int]] = {}
@@ -119,9 +120,9 @@ def _kept(batch: pa.RecordBatch, names: list[str]) -> pa.Table:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
     """docs with ``n_tokens``, ``ids`` and, if asked for, ``token_starts``: the character of the text at
     which each token starts (for a token inside a character, that character)."""
-    made = ["n_tokens bigint", "ids array<int>"] + ["token_starts array<int>"] * offsets
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("token_starts", T.ArrayType(T.IntegerType()))] * offsets
     names = [c for c in docs.columns if c not in ("n_tokens", "ids", "token_starts")]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + made)
+    schema = T.StructType([*[docs.schema[c] for c in names], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(ranks_path, pattern)
@@ -144,7 +145,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
     """encoded with ``decoded_bytes`` and ``decoded`` (UTF-8, incomplete characters as U+FFFD). Null ids
     decode to nothing; an id outside the table fails."""
     names = [c for c in encoded.columns if c not in ("decoded_bytes", "decoded")]
-    schema = ", ".join([f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names] + ["decoded_bytes binary", "decoded string"])
+    schema = T.StructType([*[encoded.schema[c] for c in names], T.StructField("decoded_bytes", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load_encoder(ranks_path, pattern).table

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,22 +20,47 @@ def shared_dir(spark: SparkSession) -> str:
     its own; on a cluster executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skeinflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Scratch:
+    """A folder of written tables in the shared folder, deleted at the end of a ``with`` block: for steps
+    that nothing returned from the block reads any more. A table that is written cuts the lineage: a lost
+    executor costs a re-read, never a recomputation of what stands above."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/skeinflow-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet under the shared folder and reads it back.
+    """df, written under the shared folder, where it stays for as long as results may read it."""
+    return Scratch(df.sparkSession).write(df)
 
-    A lost executor costs a re-read, never a recomputation of what stands above.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def beside(df: DataFrame, **columns: str) -> DataFrame:
+    """The whole rows of df as the struct column ``row`` and beside it some of its columns under names of our
+    own: whatever else df's columns are called can't clash with what an operator adds."""
+    own = lambda c: F.col(f"`{c}`")
+    return df.select(F.struct(*map(own, df.columns)).alias("row"), *[own(c).alias(name) for name, c in columns.items()])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = 1 << 18  #: characters whose n-grams are hashed at once
 
@@ -143,7 +144,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """docs with ``lang_pred``, ``score`` and ``lang_rejected``. Only the text is looked at."""
     made = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_rejected", pa.bool_())])
     names = [c for c in docs.columns if c not in made.names]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["lang_pred string", "score double", "lang_rejected boolean"])
+    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids * bins floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 out = out.append_column(field, pa.array([x[i] for x in found], field.type))
             yield from out.combine_chunks().to_batches()
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text])]).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
