@@ -6,17 +6,17 @@ near-duplicates (one document of each component stays, the one with the smallest
 a window with a benchmark item. The last returns the documents' ids and token ids.
 
 Nulls, empty and very long texts, ties and repeated rows are each operator's own affair (see their
-docstrings). Of rows with the same doc_id in a component one stays. Extra columns go along.
+docstrings). Of rows with the same doc_id in a component one stays. Extra columns, whatever their names, go
+through the first four stages as they are.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skeinflow.llm import byte_bpe, decontamination, jaccard_join, language_id, quality_rules
-from skeinflow.llm.common import materialize, table
+from skeinflow.llm.common import Scratch, beside, table
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from labelled documents that aren't held out; the label itself stays as it is."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    return language_id.identify(docs, model).where(~F.col("lang_rejected")).select(docs.columns)
+    return language_id.identify(beside(docs, text="text"), model).where("not lang_rejected").select("row.*")
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,17 @@ STAGES = [
     ("encode", stage_encode),
 ]
 
-#: SQL has no language model and no tokenizer; the tests hold run() against brute force.
+#: SQL has no language model and no tokenizer; tests/llm holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; what a stage has read is deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        scratch = Scratch(spark)
+        docs = scratch.write(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
