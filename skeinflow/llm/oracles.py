@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skeinflow.llm.chat_format import ChatConfig
-from skeinflow.llm.quality_rules import CLASSES, COMMON_WORDS, QualityConfig
+from skeinflow.llm.quality_rules import CLASSES, QualityConfig
 
 _CHAT = ChatConfig()
 _ESCAPED = r"(length({0}) + length({0}) - length(replace({0}, '\', '')) + len(regexp_extract_all({0}, '<\||</?s>|<</?SYS>>|\[/?INST\]')))".format
@@ -34,8 +34,7 @@ _Q = QualityConfig()
 _COUNT = "length(regexp_replace(t, '[^{0}]+', '', 'g'))".format
 _SPACE = "length(t) - length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))"
 _CLASS = [_COUNT(c.replace("'", "''")) for c in CLASSES.values()] + [_SPACE]
-_WORDS = [f"len(list_filter(w, lambda x: x = '{x}'))" for x in _Q.words]
-_LANGS = ", ".join(f"'{x}'" for x in sorted(COMMON_WORDS))
+_SUM = "(SELECT lang, list(v ORDER BY i) AS {1} FROM (SELECT lang, i, sum(x) AS v FROM (SELECT lang, unnest({0}) AS x, unnest(range(len({0}))) AS i FROM b WHERE lang IS NOT NULL AND NOT base_failed AND n_words >= {2}) GROUP BY lang, i) GROUP BY lang)".format
 
 
 def _distance(hist: str, ref: str) -> str:
@@ -52,15 +51,18 @@ s AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda
 g AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 4], ' ')) AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM s)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
   SELECT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM g JOIN (SELECT doc_id, gram FROM g GROUP BY doc_id, gram HAVING count(*) > 1) USING (doc_id, gram)) GROUP BY doc_id),
-f AS (SELECT s.doc_id, lang, len(w) AS n_words, length(t) - ({_SPACE}) AS word_chars, {_COUNT(CLASSES["symbol"])} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-  [{", ".join(_CLASS)}, length(t) - ({" + ".join(f"({x})" for x in _CLASS)})] AS ch, [{", ".join(_WORDS)}, len(w) - ({" + ".join(_WORDS)})] AS wh FROM s LEFT JOIN c USING (doc_id)),
-r AS (SELECT lang, list(v ORDER BY i) AS rc FROM (SELECT lang, i, sum(x) AS v FROM (SELECT lang, unnest(ch) AS x, unnest(range(len(ch))) AS i FROM f WHERE lang IN ({_LANGS}) AND n_words >= {_Q.min_words}) GROUP BY lang, i) GROUP BY lang),
-q AS (SELECT lang, list(v ORDER BY i) AS rw FROM (SELECT lang, i, sum(x) AS v FROM (SELECT lang, unnest(wh) AS x, unnest(range(len(wh))) AS i FROM f WHERE lang IN ({_LANGS}) AND n_words >= {_Q.min_words}) GROUP BY lang, i) GROUP BY lang),
-j AS (SELECT doc_id, min({_distance("ch", "rc")}) AS jc, min({_distance("wh", "rw")}) AS jw FROM f, r JOIN q USING (lang) GROUP BY doc_id),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (n_words < {_Q.min_words} OR (jc <= {_Q.max_class_distance} + {_Q.slack} / sqrt(greatest(n_words, 1)) AND jw <= {_Q.max_word_distance} + {_Q.slack} / sqrt(greatest(n_words, 1)))) AS kept
-FROM b JOIN j USING (doc_id)"""
+k AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(w)) AS word FROM s WHERE lang IS NOT NULL AND len(w) >= {_Q.min_words}) GROUP BY lang, word)),
+u AS (SELECT coalesce(list(DISTINCT word ORDER BY word), []) AS words FROM k WHERE place <= {_Q.common}),
+e AS (SELECT s.*, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) AS counts FROM s, u),
+f AS (SELECT e.doc_id, lang, len(w) AS n_words, length(t) - ({_SPACE}) AS word_chars, {_COUNT(CLASSES["symbol"])} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  [{", ".join(_CLASS)}, length(t) - ({" + ".join(f"({x})" for x in _CLASS)})] AS ch, list_append(counts, len(w) - coalesce(list_sum(counts), 0)) AS wh FROM e LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+r AS {_SUM("ch", "rc", _Q.min_words)},
+q AS {_SUM("wh", "rw", _Q.min_words)},
+j AS (SELECT doc_id, {_distance("ch", "rc")} AS jc, {_distance("wh", "rw")} AS jw, {_Q.slack} / sqrt(greatest(n_words, 1)) AS noise FROM b, r JOIN q USING (lang)),
+h AS (SELECT doc_id, bool_or(jc <= {_Q.max_class_distance} + noise AND jw <= {_Q.max_word_distance} + noise) AS near FROM j GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < {_Q.min_words} OR coalesce(near, true)) AS kept
+FROM b LEFT JOIN h USING (doc_id)"""
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -1,24 +1,32 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Base counts of every text (words, symbols, repeated lines, words in repeated 5-word windows) give a
-first verdict; a text that passes is compared with language references: its character-class and
-common-word histograms against those of each language's whole corpus, by Jensen-Shannon distance.
+first verdict. A text that passes is compared with references of all labelled languages: its histogram of
+character classes and that of common words, by Jensen-Shannon distance; it is kept if one and the same
+language is near enough in both. A language's common words are those that most of its labelled documents
+hold, and its reference sums up the histograms of all its labelled documents that pass the base rule.
+
+The text is read twice: for the languages' common words, and for the counts and histograms, which are
+written to the shared folder (without the text, unless the caller wants it back), summed up by language,
+and judged.
 
 Cases: a null text counts as empty (no words, so it fails the base rule); documents below
 ``min_words`` skip the divergence test, their histograms are too noisy; rows are independent, so ties,
 repeated rows and repeated ids each get their own verdict; an empty table gives an empty result; a
-corpus without labelled languages has no references, and only the base rules decide. Columns of the
-input that clash with ours are replaced in the result of ``quality_features``.
+corpus without labelled languages has no references, and only the base rules decide; more labels than
+``max_langs`` end the job with an error, as a language without a reference would lose its documents.
+Columns of the input that clash with ours are replaced in the result of ``quality_rules``;
+``kept_documents`` gives back whatever columns it gets.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.llm.common import let
+from skeinflow.llm.common import let, materialize
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -31,25 +39,23 @@ CLASSES = {
     "stop": r".,;:?'()\x22-",
 }
 
-#: The commonest function words of each language with a reference.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
-    "es": ["de", "la", "que", "el", "en", "los", "se", "por"],
-}
+
+#: Columns of ``quality_features``.
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_hist", "word_hist"]
 
 
 @dataclass(frozen=True)
 class QualityConfig:
     min_words: int = 60  #: below this the divergence test is skipped
+    common: int = 8  #: common words of each language
     max_class_distance: float = 0.28  #: Jensen-Shannon distance of the character classes
     max_word_distance: float = 0.25  #: and of the common words
     slack: float = 0.3  #: added to both limits as slack / sqrt(number of words): sampling noise
+    max_langs: int = 2000  #: languages whose references the driver is meant to hold
+
 
-    @property
-    def words(self) -> list[str]:
-        return sorted({w for ws in COMMON_WORDS.values() for w in ws})
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
 def _windows(words: Column) -> Column:
@@ -80,15 +86,28 @@ def _covered(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(F.sort_array(pairs), repeated))
 
 
-def _histograms(docs: DataFrame, config: QualityConfig, text: str) -> DataFrame:
-    """Adds _t, _words, and from them n_words, word_chars, n_symbols, class_hist and word_hist.
+def common_words(docs: DataFrame, config: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang") -> list[str]:
+    """The ``common`` words of each language that most of its labelled documents hold (of equals the first
+    in order), all together, sorted: at most max_langs times common reach the driver."""
+    found = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), _split(F.col(text)).alias("words")).where(F.size("words") >= config.min_words)
+    counts = found.select("lang", F.explode(F.array_distinct("words")).alias("word")).groupBy("lang", "word").count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    rows = counts.withColumn("rank", rank).where(F.col("rank") <= config.common).select("lang", "word").limit(config.max_langs * config.common + 1).collect()
+    if len(rows) > config.max_langs * config.common:
+        raise ValueError(f"more than {config.max_langs} labels of languages")
+    return sorted({r["word"] for r in rows})
+
+
+def quality_features(docs: DataFrame, words: list[str], config: QualityConfig = QualityConfig(), text: str = "text") -> DataFrame:
+    """docs with the base counts, ``base_failed`` and the two histograms (arrays of counts; the last place of
+    word_hist holds all other words). Columns named like ours, or _ and a name, give way.
 
     What is left of a text without its lower-case letters and blanks is short, so only one expression
     runs over every character; common words are counted by what removing them takes away.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_t", t).withColumns({
-        "_words": F.filter(F.split("_t", WORD_GAP), lambda w: w != ""),
+    given = docs.columns
+    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumns({
+        "_words": _split(F.col("_t")),
         "_rest": F.regexp_replace("_t", r"[\p{Ll}\x20]+", ""),
         "_blanks": F.octet_length("_t") - F.octet_length(F.replace(F.col("_t"), F.lit(" "), F.lit(""))),
         "_length": F.length("_t"),
@@ -97,47 +116,39 @@ def _histograms(docs: DataFrame, config: QualityConfig, text: str) -> DataFrame:
     out = out.withColumns({
         **{f"_{k}": of(c) for k, c in CLASSES.items()},
         "_space": F.col("_blanks") + of(r"\x09-\x0D"),
-        "_common": F.concat(F.lit(" "), F.array_join(F.filter("_words", lambda w: w.isin(config.words)), "  "), F.lit(" ")),
+        "_common": F.concat(F.lit(" "), F.array_join(F.filter("_words", lambda w: w.isin(words)), "  "), F.lit(" ")),
         "n_words": F.size("_words").cast("long"),
     })
-    seen = lambda w: (F.octet_length("_common") - F.octet_length(F.replace(F.col("_common"), F.lit(f" {w} "), F.lit("")))) / F.lit(len(w) + 2)
+    seen = lambda w: (F.octet_length("_common") - F.octet_length(F.replace(F.col("_common"), F.lit(f" {w} "), F.lit("")))) / F.lit(len(w.encode()) + 2)
     classes = [F.col(f"_{k}") for k in CLASSES] + [F.col("_space")]
     out = out.withColumns({
         "word_chars": (F.col("_length") - F.col("_space")).cast("long"),
         "n_symbols": F.col("_symbol").cast("long"),
         "class_hist": F.array(*classes, F.col("_length") - sum(classes[1:], classes[0])).cast("array<bigint>"),
-        "_counts": F.array(*[seen(w) for w in config.words]).cast("array<bigint>"),
-    })
-    others = F.col("n_words") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumn("word_hist", F.concat("_counts", F.array(others)))
-
-
-def _bare(out: DataFrame) -> DataFrame:
-    return out.drop("_t", "_words", "_rest", "_blanks", "_length", "_common", "_counts", "_space", "_lines", "_windows", *[f"_{k}" for k in CLASSES])
-
-
-def quality_features(docs: DataFrame, config: QualityConfig = QualityConfig(), text: str = "text") -> DataFrame:
-    """docs with the base counts, ``base_failed`` and the two histograms (arrays of counts)."""
-    out = _histograms(docs, config, text).withColumns({
+        "_counts": F.array(*map(seen, words)).cast("array<bigint>"),
         "_lines": F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0),
         "_windows": _windows(F.col("_words")),
     })
+    others = F.col("n_words") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumns({
+        "word_hist": F.concat("_counts", F.array(others)),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": _covered(F.col("_windows")),
     })
-    return _bare(out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
+    out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    return out.select(*[F.col(f"`{c}`") for c in given if c not in MADE], *MADE)
 
 
-def language_references(docs: DataFrame, config: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[int], list[int]]]:
-    """Histogram totals of all labelled documents by language. At most one row per language of
-    COMMON_WORDS reaches the driver. Integer sums: the order of rows never matters."""
-    labelled = docs.where(F.col(lang).isin(*COMMON_WORDS))
-    features = _histograms(labelled.select(text, lang), config, text).where(F.size("_words") >= config.min_words)
-    k, n = len(CLASSES) + 2, len(config.words) + 1
-    sums = [F.sum(F.get("class_hist", i)).alias(f"c{i}") for i in range(k)] + [F.sum(F.get("word_hist", i)).alias(f"w{i}") for i in range(n)]
-    found = features.groupBy(lang).agg(*sums).collect()
-    return {r[0]: (list(r[1 : 1 + k]), list(r[1 + k :])) for r in found}
+def language_references(features: DataFrame, config: QualityConfig = QualityConfig(), lang: str = "lang") -> dict[str, tuple[list[int], list[int]]]:
+    """Histogram totals by language, of all labelled documents with ``min_words`` words that pass the base
+    rule. One row per language reaches the driver. Integer sums: the order of rows never matters."""
+    clean = features.where(F.col(lang).isNotNull() & ~F.col("base_failed") & (F.col("n_words") >= config.min_words))
+    places = clean.select(F.col(lang).alias("lang"), F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("class_hist").alias("hist")), F.struct(F.lit(1).alias("of"), F.col("word_hist").alias("hist")))).alias("h"))
+    sums = places.select("lang", "h.of", F.posexplode("h.hist").alias("place", "n")).groupBy("lang", "of", "place").agg(F.sum("n").alias("n"))
+    found: dict[str, tuple[list[int], list[int]]] = {}
+    for r in sums.orderBy("lang", "of", "place").collect():
+        found.setdefault(r["lang"], ([], []))[r["of"]].append(r["n"])
+    return found
 
 
 def js_distance(hist: Column, reference: list[int]) -> Column:
@@ -156,29 +167,33 @@ def js_distance(hist: Column, reference: list[int]) -> Column:
 
 
 def quality_verdict(features: DataFrame, references: dict[str, tuple[list[int], list[int]]], config: QualityConfig = QualityConfig()) -> DataFrame:
-    """Adds class_distance, word_distance (to the nearest reference) and ``kept``."""
+    """Adds class_distance and word_distance, both to the language that is nearest by their sum, and ``kept``."""
     if not references:
         return features.withColumns({"class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
-    refs = [references[k] for k in sorted(references)]
-    nearest = lambda cols: F.least(*cols) if len(cols) > 1 else cols[0]
-    out = features.withColumns({
-        "class_distance": nearest([js_distance(F.col("class_hist"), c) for c, _ in refs]),
-        "word_distance": nearest([js_distance(F.col("word_hist"), w) for _, w in refs]),
-    })
     noise = F.lit(config.slack) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    near = (F.col("class_distance") <= config.max_class_distance + noise) & (F.col("word_distance") <= config.max_word_distance + noise)
-    return out.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < config.min_words) | near))
+    each = F.array(*[F.struct(js_distance(F.col("class_hist"), c).alias("c"), js_distance(F.col("word_hist"), w).alias("w")) for _, (c, w) in sorted(references.items())])
+    near = F.exists("_each", lambda d: (d["c"] <= config.max_class_distance + noise) & (d["w"] <= config.max_word_distance + noise))
+    best = F.array_min(F.transform("_each", lambda d: F.struct((d["c"] + d["w"]).alias("s"), d["c"].alias("c"), d["w"].alias("w"))))
+    out = features.withColumn("_each", each)
+    return out.withColumns({"class_distance": best["c"], "word_distance": best["w"], "kept": ~F.col("base_failed") & ((F.col("n_words") < config.min_words) | near)}).drop("_each")
+
+
+def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those in ``carry``) with counts, histograms, distances and ``kept``."""
+    names = docs.columns if carry is None else carry
+    words = common_words(docs, config, text, lang)
+    own = [f"`{c}`" for c in names if c not in [*MADE, "class_distance", "word_distance", "kept"]]
+    found = _judged(docs, docs.select(*map(F.col, own)), words, config, text, lang)
+    return found.select("row.*", *MADE, "class_distance", "word_distance", "kept")
 
 
-def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with counts, histograms, distances and ``kept``."""
-    return quality_verdict(quality_features(docs, config, text), language_references(docs, config, text, lang), config)
+def _judged(docs: DataFrame, carried: DataFrame, words: list[str], config: QualityConfig, text: str, lang: str) -> DataFrame:
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried.columns]).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    features = materialize(quality_features(rows, words, config).drop("text"))
+    return quality_verdict(features, language_references(features, config), config)
 
 
 def kept_documents(docs: DataFrame, config: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents, all columns, that the rules keep."""
-    columns = docs.columns
-    # a filter on a row number can't sink below the projections: there it would repeat their whole
-    # expressions for each mention
-    found = quality_rules(docs, config, text, lang).withColumn("_row", F.monotonically_increasing_id())
-    return found.where(F.col("kept") & (F.col("_row") >= 0)).select(columns)
+    found = _judged(docs, docs, common_words(docs, config, text, lang), config, text, lang)
+    return found.where("kept").select("row.*")
