@@ -118,29 +118,57 @@ def test_split_characters_decode_to_replacements(spark):
 # --- 3
 
 
+def plain_log_probs(model, text):
+    """log P of each word of a text by the network's definition, one position at a time, over all symbols."""
+    import numpy as np
+
+    w, side = model.weights, model.config.side
+    ids, _ = model.symbols([text])
+    out = []
+    for i, target in enumerate(ids.tolist()):
+        near = [ids[j] if 0 <= (j := i + d) < len(ids) else model.pad for d in (*range(-side, 0), *range(1, side + 1))]
+        h = np.tanh(sum(w["embed"][n].astype(float) * w["place"][k] for k, n in enumerate(near)) + w["bias"])
+        high = np.exp(w["high"] @ h + w["high_bias"])
+        c = next(k for k in range(len(high)) if model.starts[k] <= target < model.starts[k + 1])
+        low = np.exp(w["low"][model.starts[c] : model.starts[c + 1]] @ h + w["low_bias"][model.starts[c] : model.starts[c + 1]])
+        out.append(np.log(high[c] / high.sum()) + np.log(low[target - model.starts[c]] / low.sum()) - np.log(model.parts[target]))
+    return out
+
+
 def test_pseudo_likelihood(documents):
     import numpy as np
 
     # the middle word follows from both sides together
     texts = [f"{a} m{i}{j} {b}" for i, a in enumerate("ab") for j, b in enumerate("de")] * 150
-    docs = documents([*texts, None, "", "solo", " ".join(texts)]).withColumn("log_prob", F.lit("clash"))
-    config = lm_scoring.LmConfig(rounds=3, share=1.0, batch=32)
-    weights = lm_scoring.train(docs, config)
-    found = by_id(lm_scoring.score(docs, weights, config))
+    odd = [None, "", "solo", " ".join(texts), "A m00 never seen before", "solo"]
+    docs = documents([*texts, *odd]).withColumn("log_prob", F.lit("clash")).withColumn("n_tokens", F.lit(3))
+    config = lm_scoring.LmConfig(rounds=8, batch=64, vocabulary=9, others=2, classes=4)
+    model = lm_scoring.train(docs, config)
+    found = by_id(lm_scoring.score(docs, model))
     n = len(texts)
     assert (found[n]["log_prob"], found[n + 1]["mean_log_prob"], found[n + 2]["n_tokens"]) == (0.0, None, 1)
-    ids, cut = lm_scoring.symbols(["a m00 d", "m00"])
-    near = lm_scoring.contexts(ids, cut, 2)
-    pad = lm_scoring.PAD
-    assert near.tolist() == [[pad, pad, ids[1], ids[2]], [pad, ids[0], ids[2], pad], [ids[0], ids[1], pad, pad], [pad] * 4]
-    logs = lm_scoring.log_probs(weights, ids, near)
-    assert abs(found[0]["log_prob"] - logs[:3].sum()) < 1e-3 and logs[1] > np.log(0.6)  # one side alone gives a half
-    counts = np.bincount(lm_scoring.symbols(texts)[0], minlength=lm_scoring.SYMBOLS)
-    plain = by_id(lm_scoring.score(docs, lm_scoring.initial(config, counts), config))
+    assert found[n + 2]["log_prob"] == found[n + 5]["log_prob"] and found[0]["log_prob"] == found[4]["log_prob"]
+    for i in (0, 1, 2, 3, n + 2, n + 4):
+        logs = plain_log_probs(model, [*texts, *odd][i])
+        assert abs(found[i]["log_prob"] - sum(logs)) < 1e-3 and found[i]["n_tokens"] == len(logs)
+    assert plain_log_probs(model, "a m00 d")[1] > np.log(0.6)  # one side alone gives a half
+    before = lm_scoring.train(docs, lm_scoring.LmConfig(rounds=0, vocabulary=9, others=2, classes=4))
+    plain = by_id(lm_scoring.score(docs, before))
     assert sum(found[i]["log_prob"] for i in range(n)) > sum(plain[i]["log_prob"] for i in range(n)) + 100
-    every = np.exp([lm_scoring.log_probs(weights, np.array([s]), near[:1])[0] for s in range(0, lm_scoring.SYMBOLS)])
-    assert abs(every.sum() - 1) < 1e-3
-    assert lm_scoring.score(documents([]), lm_scoring.train(documents([])), config).count() == 0
+    assert model.parts[:-2].tolist() == [1] * 9 and 3 <= model.parts[-2:].sum() <= 4  # never, seen and before share two symbols
+    again = by_id(lm_scoring.score(docs, lm_scoring.train(docs.repartition(7), config)))
+    assert all(again[i]["log_prob"] == found[i]["log_prob"] for i in found)
+    assert lm_scoring.score(documents([]), lm_scoring.train(documents([]))).count() == 0
+
+
+def test_the_shipped_model_is_no_table_of_frequencies(spark):
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lm_scoring.score(docs, lm_scoring.train(docs)).where("n_tokens > 20").select("doc_id", "mean_log_prob").collect()
+    plain = by_id(lm_scoring.score(docs, lm_scoring.train(docs, lm_scoring.LmConfig(rounds=0))))
+    pairs = np.array([(r["mean_log_prob"], plain[r["doc_id"]]["mean_log_prob"]) for r in rows])
+    assert np.corrcoef(pairs.T)[0, 1] < 0.95 and pairs[:, 0].mean() > pairs[:, 1].mean()
 
 
 # --- 5
@@ -162,6 +190,31 @@ def test_shards_are_even_and_slots_gapless(documents, n):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, found), key=repr)
 
 
+def test_shards_follow_a_plain_feistel_network(spark, documents):
+    """The place of every row number, by the network's definition in Python; round values come from Spark."""
+    n, seed = 50, 7
+    found = spark.range(n).select("id", sharding.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(8).cast("long"), F.lit(7).cast("long"), seed).alias("place")).collect()
+    mixed = {(r["v"], r["r"]): r["h"] for r in spark.range(8).withColumnRenamed("id", "v").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(sharding.ROUNDS - 1)))).select("v", "r", F.xxhash64("v", "r", F.lit(seed)).alias("h")).collect()}
+
+    def network(x, a=8, b=7):
+        left, right = divmod(x, b)
+        for r in range(sharding.ROUNDS):
+            if r % 2 == 0:
+                left = (left + mixed[right, r] % a) % a
+            else:
+                right = (right + mixed[left, r] % b) % b
+        return left * b + right
+
+    def walk(x):
+        x = network(x)
+        while x >= n:
+            x = network(x)
+        return x
+
+    assert {r["id"]: r["place"] for r in found} == {i: walk(i) for i in range(n)}
+    assert sorted(r["place"] for r in found) == list(range(n))
+
+
 def test_repeated_rows_get_slots_of_their_own(documents):
     docs = documents(["a"] * 3)
     found = sharding.shard_documents(docs.unionByName(docs), shards=2).collect()
@@ -195,40 +248,130 @@ def test_quality_counts_and_verdicts(documents):
     assert quality_rules.kept_documents(documents(texts)).count() == sum(r["kept"] for r in found.values())
 
 
-def test_quality_references_sum_all_labelled_rows(documents):
+def test_quality_references_sum_all_clean_labelled_rows(documents):
     spanish = [" ".join(f"{w}{i}" for w in WORDS[:58]) + " de la" for i in range(400)]
-    found = quality_rules.language_references(documents([*spanish, *["short"] * 21_000], ["es"] * 400 + ["en"] * 21_000))
-    classes, words = found["es"]
-    names = quality_rules.QualityConfig().words
-    assert list(found) == ["es"] and sum(classes) == sum(map(len, spanish)) and sum(words) == 400 * 60
-    assert words[names.index("de")] == words[names.index("la")] == 400
+    junk = ["de la " * 40] * 50
+    docs = documents([*spanish, *["short"] * 21_000, *junk], ["es"] * 400 + ["en"] * 21_000 + ["es"] * 50)
+    config = quality_rules.QualityConfig(common=2)
+    words = quality_rules.common_words(docs, config)
+    assert words == ["de", "la"]  # no English document is long enough to tell
+    found = quality_rules.language_references(quality_rules.quality_features(docs, words, config), config)
+    classes, counts = found["es"]
+    assert list(found) == ["es"] and sum(classes) == sum(map(len, spanish)) and counts == [400, 400, 400 * 58]
+
+
+def test_one_language_must_be_near_in_both_distances(spark):
+    refs = {"a": ([100, 0], [0, 100]), "b": ([0, 100], [100, 0])}
+    rows = [(1, [100, 0], [0, 100]), (2, [100, 0], [100, 0]), (3, [0, 100], [100, 0])]
+    df = spark.createDataFrame([(i, 100, c, w, False) for i, c, w in rows], "doc_id long, n_words long, class_hist array<long>, word_hist array<long>, base_failed boolean")
+    found = by_id(quality_rules.quality_verdict(df, refs))
+    assert [found[i]["kept"] for i in (1, 2, 3)] == [True, False, True]
+
+
+def test_too_many_labels_are_an_error(documents):
+    docs = documents([" ".join(WORDS[:70])] * 3, ["a", "b", "c"])
+    with pytest.raises(ValueError, match="labels"):
+        quality_rules.common_words(docs, quality_rules.QualityConfig(max_langs=2))
 
 
 # --- 7
 
 
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><a>menu {i}</a></nav><div class="box"><h2>Title&nbsp;{i} &amp; co</h2><p>Para <b>bold</b> {i}<p>second\n {i}<div class="notice">cookie {i}</div><ul><li>x{i}<li>y{i}</ul><p>All rights reserved.</p><form>f</form><div id="comments"><p>c{i}</p></div></div><div class="sidebar">s{i}</div><footer>&copy; {i}</footer></body></html>'
+BODY = ["Title {i} & co\nPara bold {i}\nsecond {i}\nx{i}\ny{i}", "\nAll rights reserved."]
 
 
 def test_pages(spark):
     rows = [(i, f"http://a.example/{i}", PAGE.replace("{i}", str(i))) for i in range(9)] + [(20, "http://b.example/1", PAGE.replace("{i}", "20")), (21, None, None), (22, "odd", ""), (23, "http://a.example/x", "<p>loose &lt;text"), (0, "http://a.example/0", PAGE.replace("{i}", "0"))]
     rows.append((30, "http://c.example/", "<article>" + "".join(f"<p>p{k}</p>" for k in range(5000)) + "</article>"))
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("templates", F.lit("clash"))
     found = html_extract.extract_pages(df).collect()
     texts = {r["page_id"]: r["text"] for r in found}
     assert len(found) == len(rows)
-    for i in [*range(9), 20]:
-        assert texts[i] == f"Title {i} & co\nPara bold {i}\nsecond {i}\nx{i}\ny{i}\nAll rights reserved."
+    for i in range(9):  # what is the same on all pages of the host is template
+        assert texts[i] == BODY[0].replace("{i}", str(i))
+    assert texts[20] == "".join(BODY).replace("{i}", "20")  # one page alone has no template
     assert (texts[21], texts[22], texts[23]) == ("", "", "loose <text")
     assert texts[30] == "\n".join(f"p{k}" for k in range(5000))
     assert all(r["n_chars"] == len(r["text"]) for r in found)
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
-def test_alignment_pairs_the_most_nodes():
-    a, b = html_extract.parse("<ul><li>1<li>2<li>3</ul><p>x</p>"), html_extract.parse("<ul><li>1<li>9</ul><div>y</div><p>x</p>")
-    pairs = []
-    assert html_extract.align(a, b, pairs) == len(pairs) == 5  # root, list, two items, paragraph
+def wrapped(pages):
+    import json
+
+    templates = json.dumps(html_extract.induce(sorted(pages)))
+    return [html_extract.extract(p, templates) for p in pages]
+
+
+def test_the_wrapper_finds_the_article_without_any_names():
+    """Classes say nothing, no element is made for anything: constant nodes go, links are a menu."""
+    page = '<html><body><div class="q1"><div class="q2">The Daily Page</div><div class="q3"><a href="/a">Home</a> <a href="/b">News {i}</a></div></div><div class="q4"><h1>Headline {i}</h1><div class="q5"><p>First words of {i}.</p>{more}</div></div><div class="q6"><p>Call us any time</p><p>No. 1 Street</p></div></body></html>'
+    pages = [page.replace("{more}", "<p>And more.</p>" * (i % 3) + f"<p>Of {i}</p>").replace("{i}", str(i)) for i in range(8)]
+    for i, text in enumerate(wrapped(pages)):
+        assert text == "\n".join([f"Headline {i}", f"First words of {i}.", *["And more."] * (i % 3), f"Of {i}"])
+    assert "Call us" in html_extract.extract(pages[0], None)  # that is the wrapper's doing
+
+
+def test_two_layouts_of_a_host_have_templates_of_their_own():
+    first = ["<div class=a><p>fixed one</p></div><div class=b><p>text " + str(i) + "</p></div>" for i in range(4)]
+    second = ["<table class=t><tr><td>fixed two</td></tr><tr><td><ul><li>item " + str(i) + "</li><li>b" + str(i) + "</li></ul></td></tr></table>" for i in range(4)]
+    assert wrapped(first + second) == [f"text {i}" for i in range(4)] + [f"item {i}\nb{i}" for i in range(4)]
+
+
+def test_names_alone_take_nothing_out_of_an_article():
+    page = '<body class="no-sidebar"><div class="site-header">top</div><article><h1>Head</h1><div class="related-work"><p>kept</p></div><div class="search"><p>kept too</p></div><p>Same on all pages</p><div class="ad">buy</div><aside>x</aside></article><div class="comments">c</div></body>'
+    assert html_extract.extract(page, None) == "Head\nkept\nkept too\nSame on all pages"
+    own = '<div class="related-work"><p>kept</p></div><div class="search"><p>kept too</p></div>'
+    others = [page.replace(own, "").replace("Head", h) for h in ("Other", "Third", "Fourth")]
+    assert wrapped([page, *others])[0] == "Head\nkept\nkept too\nSame on all pages"
+    assert wrapped([page, *(page.replace("Head", h) for h in "abc")])[0] == "Head\nkept\nSame on all pages"  # a search box on every page
+    lead = '<div class="content"><h1>H</h1><div class="body"><p>' + "long text " * 200 + '</p></div><div class="lead">short lead</div></div>'
+    assert html_extract.extract(lead, None).startswith("H\nlong") and html_extract.extract(lead, None).endswith("short lead")
+
+
+def test_copies_of_a_page_keep_their_text():
+    page = "<div class=x><p>one</p><p>two</p></div>"
+    assert wrapped([page] * 5) == ["one\ntwo"] * 5
+    assert wrapped([page, page + "<!-- -->", page + "<!-- - -->"])[0] == "one\ntwo"  # nothing varies: nothing to tell apart
+
+
+def test_deep_and_wide_pages_take_seconds():
+    import time
+
+    began = time.time()
+    deep = [f"<div>{k}" * 20_000 + "x" for k in "ab"] + ["<b>" * 50_000 + "y" + "</i>" * 50_000]
+    wide = ["<body>" + "".join(f"<p>{i} {k}</p>" if (i * k) % 7 else f"<div class=c{i % 5}>{i}</div>" for i in range(20_000)) + "</body>" for k in (1, 2, 3)]
+    found = wrapped(deep + wide)
+    assert found[0].count("a") == 20_000 and found[2] == "y" and all(t.count("\n") > 15_000 for t in found[3:])
+    assert time.time() - began < 120
+
+
+def plain_tree_matching(shapes, a, b):
+    if shapes.label[a] != shapes.label[b]:
+        return 0
+    left, right = shapes.kids[a], shapes.kids[b]
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_tree_matching(shapes, x, y))
+    return 1 + best[-1][-1]
+
+
+def test_alignment_equals_plain_tree_matching():
+    r = random.Random(3)
+
+    def tree(depth):
+        out = f"<{(tag := r.choice(['div', 'section', 'ul']))} class={r.choice('xy')}>"
+        return out + "".join(tree(depth - 1) for _ in range(r.randint(0, 4) if depth else 0)) + f"</{tag}>"
+
+    for _ in range(150):
+        shapes = html_extract.Shapes()
+        a, b = (html_extract.Page(tree(3), shapes) for _ in "ab")
+        pairs = a.tree.pairs(b.tree)
+        expected = plain_tree_matching(shapes, a.tree.numbers[0], b.tree.numbers[0])
+        assert shapes.match(a.tree.numbers[0], b.tree.numbers[0]) == expected == len(pairs)
+        assert all(a.tree.labels[i] == b.tree.labels[j] for i, j in pairs) and len(set(pairs)) == len({i for i, _ in pairs}) == len({j for _, j in pairs})
 
 
 # --- 8
@@ -254,6 +397,37 @@ def test_languages(documents):
     assert by_id(language_id.identify(documents(["a"]), empty))[0]["lang_pred"] == "und"
 
 
+def test_predictions_equal_plain_cosines(documents):
+    """Counts by a dictionary, cosines by sums, the nearest centroid by sorting; ties go to the first language."""
+    import numpy as np
+
+    config = language_id.LanguageConfig(bins=64, grams=(1, 2), centroids=2)
+    texts = ["der Hund und die Katze", "la maison est là", "the dog, the cat!", "und la the", "ÄÖ ü", "x"]
+    model = language_id.train(documents(texts[:3] * 4, ["de", "fr", "en"] * 4), config)
+
+    def plain(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        letters = " " + " ".join(words) + " "
+        counts = np.zeros(config.bins)
+        for n in config.grams:
+            for i in range(len(letters) - n + 1):
+                h = 0
+                for c in letters[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                counts[((h ^ n) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % config.bins] += 1
+        v = np.log1p(counts) * model.idf
+        v /= sum(x * x for x in v) ** 0.5
+        cosines = [(sum(a * b for a, b in zip(c, v, strict=True)), name) for c, name in zip(model.centroids, model.langs, strict=True)]
+        return min(cosines, key=lambda x: (-round(x[0], 12), x[1]))
+
+    found = by_id(language_id.identify(documents(texts), model))
+    for i, t in enumerate(texts):
+        cosine, name = plain(t)
+        assert found[i]["lang_pred"] == name and abs(found[i]["score"] - min(1, max(0, cosine))) < 1e-9
+    tied = language_id.LanguageModel(["aa", "bb"], np.stack([model.centroids[0]] * 2), model.idf, {"aa": 0, "bb": 0}, config)
+    assert language_id.predict(tied, "der Hund")[0] == "aa"
+
+
 # --- 9
 
 
@@ -277,6 +451,9 @@ def test_contamination_equals_brute_force(spark, documents):
                     of |= windows[tuple(w[a : a + k])]
                     hit |= set(range(a, a + k))
         assert (found[d]["n_words"], found[d]["n_hit"], found[d]["item_ids"]) == (len(w), len(hit), sorted(of))
+    many = decontamination.test_windows(bench, block_bytes=100)
+    assert len(many) > 2  # however the test set is cut into blocks
+    assert {d: (r["n_hit"], r["item_ids"]) for d, r in by_id(decontamination.search_index(decontamination.build_index(documents(texts)), many)).items()} == {d: (r["n_hit"], r["item_ids"]) for d, r in found.items()}
     kept = decontamination.without_contaminated(documents(texts), bench)
     assert {r["doc_id"] for r in kept.collect()} == {d for d in found if not found[d]["n_hit"]} and kept.columns == documents([]).columns
     assert decontamination.contamination(documents([]), bench).count() == 0
@@ -287,8 +464,25 @@ def test_proximity(spark, documents):
     item = "alpha beta gamma delta epsilon"
     docs = documents(["alpha beta gamma delta epsilon", "alpha beta x gamma delta epsilon", "epsilon alpha", "alpha beta gamma delta", "epsilon"])
     blocks = decontamination.test_windows(spark.createDataFrame([(1, item)], "item_id long, text string"))
-    found = decontamination.phrase_matches(decontamination.build_index(docs), blocks, slop=1).collect()
+    index = decontamination.build_index(docs)
+    found = decontamination.phrase_matches(index, blocks, slop=1).collect()
     assert {(r["doc_id"], r["exact"]) for r in found} == {(0, True), (1, False)}
+    assert [(r["doc_id"], r["start"]) for r in decontamination.phrase_matches(index, blocks).collect()] == [(0, 0)]
+
+
+def test_proximity_equals_brute_force(spark, documents):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.randint(0, 40))) for _ in range(30)]
+    docs, items = documents(texts), [(i, " ".join(r.sample("abcdefg", 3))) for i in range(6)]
+    found = decontamination.phrase_matches(decontamination.build_index(docs), decontamination.test_windows(spark.createDataFrame(items, "item_id long, text string"), width=3), slop=1).collect()
+    spots = {(x["doc_id"], x["item_id"], x["start"]) for x in found}
+    for d, t in enumerate(texts):
+        words = t.split()
+        for i, item in items:
+            near = {s for s in range(-1, len(words) + 1) if all(any(0 <= s + k + g < len(words) and words[s + k + g] == w for g in (-1, 0, 1)) for k, w in enumerate(item.split()))}
+            exact = {s for s in range(len(words) - 2) if words[s : s + 3] == item.split()}
+            own = {s for x, y, s in spots if (x, y) == (d, str(i))}
+            assert exact <= own <= near and bool(own) >= bool(exact)  # a place holds the rarest word at its offset
 
 
 # --- 10
@@ -340,6 +534,28 @@ def test_near_duplicates_equal_brute_force(documents):
     assert kept == [i for i in range(len(texts)) if expected[i] == i]
 
 
+def test_hot_signatures_change_no_result(documents, monkeypatch):
+    """Signatures dealt to all tasks, and rows passed on in pieces, as of a boilerplate that very many share."""
+    shared = " ".join(rnd.choice(WORDS) for _ in range(40))
+    texts = [f"{shared} {' '.join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 30)))}" for _ in range(60)]
+    sizes, expected = components_by_brute_force(texts)
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 1)
+    found = by_id(jaccard_join.near_duplicate_classes(documents(texts), hot=5))
+    assert [(found[i]["n_shingles"], found[i]["component_id"]) for i in range(len(texts))] == list(zip(sizes, expected, strict=True))
+
+
+def test_saturated_signatures_keep_all_classes(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    assert jaccard_join.HOT == 32 and not (jaccard_join.band_signatures(np.arange(9, dtype=np.uint64))[0][2] & np.uint64(32)).any()
+    rows = [(64, c) for c in range(50)] + [(128, 1), (128, 2), (128, 2), (192, 7)] + [(256 | 32, c) for c in range(9)]
+    keyed = spark.createDataFrame(rows, "key long, cls long")
+    told = spark.sparkContext.broadcast((np.array([256]), np.array([77])))
+    found = {(r["key"], r["cls"]): r["sharing"] for r in jaccard_join.shared_signatures(keyed, 3, told).collect()}
+    assert found == {**{(64, c): 50 for c in range(50)}, (128, 1): 2, (128, 2): 2, **{(288, c): 77 for c in range(9)}}
+
+
 def test_near_duplicates_of_empty_tables_and_repeated_ids(documents):
     assert jaccard_join.near_duplicate_classes(documents([])).count() == 0
     docs = documents(["a b c d e f g", None])
@@ -348,6 +564,17 @@ def test_near_duplicates_of_empty_tables_and_repeated_ids(documents):
     assert sorted(r["doc_id"] for r in jaccard_join.without_near_duplicates(twice).collect()) == [0, 1, 1]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "a b c d e f g h")
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, a, "w"), (None, a, "v"), (None, c, "u"), (None, c, "u2"), (4, "", "e"), (4, b, "f"), (5, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cls string").withColumns({"row": F.lit(1), "stays": F.lit(2), "component_id": F.lit(3), "odd_id": F.lit(4)})
+    kept = jaccard_join.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    # of each text the row with the smallest id, of the null ids' own text one of the two, and all without words
+    found = sorted(r["cls"] for r in kept.collect())
+    assert found in (["e", "g", "u", "x", "y"], ["e", "g", "u2", "x", "y"])
+
+
 def test_hamming_never_exceeds_the_difference():
     import numpy as np
 
