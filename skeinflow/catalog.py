@@ -4,53 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinflow import registry
+from skeinflow.functions import rules
 from skeinflow.functions import text as tx
 from skeinflow.operators import dedup, match, reads, sessions, snapshots
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-class Tables:
-    """The tables of a folder, by name."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name; sql computes the same in another engine."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+from skeinflow.registry import AT, Tables, at, query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from skeinflow import catalog_review  # noqa: F401  registers its own
     from skeinflow.plans import fixtures_queries
 
-    return _QUERIES | fixtures_queries.queries()
+    return registry.QUERIES | fixtures_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def at(c: str) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-
-
-AT = "strftime({}, '%Y-%m-%d %H:%M:%S')".format
+    queries()
+    return dict(registry.SQL)
 
 
 # --- relational reads
@@ -133,32 +106,36 @@ def safe_id_filter(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH people AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 2 = 0 THEN '  ' || upper(c_name) || ' ' ELSE 'alias ' || c_custkey END AS name FROM customer WHERE c_custkey % 5 < 3),
+    WITH people AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 2 = 0 THEN '  ' || upper(c_name) || ' ' ELSE 'alias ' || c_custkey END AS name FROM customer),
     keys AS (SELECT c_custkey, lower(trim(c_name)) AS k FROM customer UNION SELECT c_custkey, lower('Alias ' || c_custkey) FROM customer)
     SELECT DISTINCT pid, c_custkey FROM people JOIN keys ON lower(trim(name)) = k""")
 def exact_name_match(t: Tables) -> DataFrame:
     key = F.col("c_custkey")
     name = F.when(key % 2 == 0, F.concat(F.lit("  "), F.upper("c_name"), F.lit(" "))).otherwise(F.concat(F.lit("alias "), key.cast("string")))
-    people = t.customer.where("c_custkey % 5 < 3").select(key.alias("pid"), name.alias("name"))
+    people = t.customer.select(key.alias("pid"), name.alias("name"))
     contacts = t.customer.select("c_custkey", "c_name", F.array(F.concat(F.lit("Alias "), key.cast("string"))).alias("aliases"))
     return match.exact_matches(people, contacts, "pid", "name", "c_custkey", "c_name", "aliases")
 
 
 @query("""
-    SELECT s_suppkey, min(c_custkey) AS c_custkey FROM (SELECT s_suppkey, 'segment ' || s_nationkey % 5 AS name FROM supplier) s
-    JOIN (SELECT c_custkey, 'Segment   ' || c_nationkey AS c_name FROM customer) c ON lower(regexp_replace(trim(c_name), '\\s+', ' ', 'g')) = name GROUP BY s_suppkey""")
+    WITH p AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'segment ' || s_nationkey % 5 ELSE ' ALSO  ' || s_nationkey || ' ' END AS name FROM supplier),
+    c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Segment   ' ELSE 'segment ' END || c_nationkey AS c_name, 'also ' || (c_nationkey + c_custkey % 3) AS alias FROM customer),
+    k AS (SELECT c_custkey, c_name, lower(regexp_replace(trim(c_name), '\\s+', ' ', 'g')) AS k FROM c UNION SELECT c_custkey, c_name, alias FROM c)
+    SELECT s_suppkey, first(c_custkey ORDER BY lower(c_name), c_custkey) AS c_custkey FROM p JOIN k ON lower(regexp_replace(trim(name), '\\s+', ' ', 'g')) = k GROUP BY s_suppkey""")
 def first_match(t: Tables) -> DataFrame:
-    people = t.supplier.select("s_suppkey", F.concat(F.lit("segment "), (F.col("s_nationkey") % 5).cast("string")).alias("name"))
-    contacts = t.customer.select("c_custkey", F.concat(F.lit("Segment   "), F.col("c_nationkey").cast("string")).alias("c_name"))
-    return match.first_match(people, contacts, "s_suppkey", "name", "c_custkey", "c_name")
+    nation = F.col("s_nationkey")
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("segment "), (nation % 5).cast("string"))).otherwise(F.concat(F.lit(" ALSO  "), nation.cast("string"), F.lit(" ")))
+    named = F.concat(F.when(F.col("c_custkey") % 2 == 0, "Segment   ").otherwise("segment "), F.col("c_nationkey").cast("string"))
+    contacts = t.customer.select("c_custkey", named.alias("c_name"), F.array(F.concat(F.lit("also "), (F.col("c_nationkey") + F.col("c_custkey") % 3).cast("string"))).alias("aliases"))
+    return match.first_match(t.supplier.select("s_suppkey", name.alias("name")), contacts, "s_suppkey", "name", "c_custkey", "c_name", "aliases")
 
 
-@query(f"""
-    WITH a AS (SELECT DISTINCT substr(md5(CAST(s_suppkey % 40 AS VARCHAR)), 1, 3) AS x FROM supplier), b AS (SELECT DISTINCT substr(md5(CAST(p_partkey % 300 AS VARCHAR)), 1, 3) AS y FROM part)
-    SELECT x, y FROM a, b WHERE levenshtein(x, y) = 1""")
+@query("""
+    WITH a AS (SELECT CAST(s_suppkey AS VARCHAR) AS x FROM supplier), b AS (SELECT CAST(p_partkey AS VARCHAR) AS y FROM part)
+    SELECT x, y FROM a, b WHERE levenshtein(x, y) = 1 AND length(x) >= 2 AND length(y) >= 2 AND (length(x) > 2 OR length(y) = 2)""")
 def near_match_edit1(t: Tables) -> DataFrame:
-    a = t.supplier.select(F.substring(F.md5((F.col("s_suppkey") % 40).cast("string")), 1, 3).alias("x")).distinct()
-    b = t.part.select(F.substring(F.md5((F.col("p_partkey") % 300).cast("string")), 1, 3).alias("y")).distinct()
+    """All supplier keys against all part keys, as text."""
+    a, b = t.supplier.select(F.col("s_suppkey").cast("string").alias("x")), t.part.select(F.col("p_partkey").cast("string").alias("y"))
     return match.near_matches(a.withColumn("kx", F.col("x")), b.withColumn("ky", F.col("y")), "x", "kx", "y", "ky")
 
 
@@ -180,7 +157,7 @@ def unicode_near_match(t: Tables) -> DataFrame:
 
 @query("""
     WITH m AS (SELECT event_id, event_type AS kind, event_type || ' about ' || (user_id % 40) || ' and ' || (event_id % 7) AS title, strftime(ts, '%Y-%m-%d') AS day FROM events),
-    n AS (SELECT * FROM m WHERE event_id % 4 = 0), k AS (SELECT event_id AS kid, kind AS kk, title AS kt, day AS kd FROM m WHERE event_id % 4 = 1),
+    n AS (SELECT * FROM m WHERE event_id % 2 = 0), k AS (SELECT event_id AS kid, kind AS kk, title AS kt, day AS kd FROM m WHERE event_id % 2 = 1),
     e AS (SELECT event_id, count(DISTINCT kid) AS c, min(kid) AS kid FROM n JOIN k ON kind = kk AND title = kt GROUP BY event_id),
     s AS (SELECT event_id, kid FROM n JOIN k ON kind = kk AND day = kd WHERE event_id NOT IN (SELECT event_id FROM e) AND length(title) >= 8 AND length(kt) >= 8
           AND 1 - levenshtein(title, kt) / CAST(greatest(length(title), length(kt)) AS DOUBLE) >= 0.9)
@@ -188,8 +165,8 @@ def unicode_near_match(t: Tables) -> DataFrame:
 def duplicate_event_match(t: Tables) -> DataFrame:
     title = F.concat("event_type", F.lit(" about "), (F.col("user_id") % 40).cast("string"), F.lit(" and "), (F.col("event_id") % 7).cast("string"))
     m = t.events.select("event_id", F.col("event_type").alias("kind"), title.alias("title"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    known = m.where("event_id % 4 = 1").withColumnRenamed("event_id", "kid")
-    return match.duplicate_meetings(m.where("event_id % 4 = 0"), known, "event_id", "kid", "kind", "title", "day")
+    known = m.where("event_id % 2 = 1").withColumnRenamed("event_id", "kid")
+    return match.duplicate_meetings(m.where("event_id % 2 = 0"), known, "event_id", "kid", "kind", "title", "day")
 
 
 @query("""
@@ -218,23 +195,37 @@ def resolution_consensus(t: Tables) -> DataFrame:
     return dedup.consensus(t.orders, ["o_custkey"], F.col("o_orderstatus") != "P", "o_orderpriority")
 
 
-@query("""
-    WITH q AS (SELECT doc_id, source, substr(text, 1, 60) AS quote FROM documents), c AS (SELECT DISTINCT source, substr(text, 1, 24) AS piece FROM documents WHERE doc_id % 3 = 0)
-    SELECT doc_id, source FROM q WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source = q.source AND ((length(piece) >= 8 AND contains(quote, piece)) OR (length(quote) >= 8 AND contains(piece, quote))))""")
+_KEY = r"lower(regexp_replace({}, '[\p{{P}}\p{{Z}}\x09-\x0D\x{{85}}]+', '', 'g'))".format
+_PLAIN = r"regexp_replace(coalesce(text, ''), '[^\x20-\x7E\n]', '', 'g')"
+
+
+@query(rf"""
+    WITH c AS (SELECT conv_id, turn, role, {_PLAIN} AS text FROM conversations),
+    q AS (SELECT DISTINCT conv_id, CASE turn % 3 WHEN 0 THEN replace(text, 'ion ', 'oin ') WHEN 1 THEN substr(text, 5) ELSE substr(text, 1, 30) || '…' || substr(text, 61) END AS quote FROM c WHERE role = 'user'),
+    e AS (SELECT conv_id, turn, {_KEY("text")} AS k FROM c),
+    h AS (SELECT conv_id, {_KEY("quote")} AS k, regexp_matches(quote, '\.{{3,}}|…') AS cut,
+      list_filter(list_transform(string_split(regexp_replace(quote, '\.{{3,}}|…', chr(1), 'g'), chr(1)), lambda x: {_KEY("x")}), lambda x: length(x) >= 4) AS parts FROM q)
+    SELECT conv_id, turn FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = e.conv_id AND e.k <> '' AND h.k <> '' AND CASE WHEN cut THEN len(parts) > 0 AND len(list_filter(parts, lambda x: contains(e.k, x))) = len(parts)
+      ELSE (least(length(e.k), length(h.k)) >= 8 AND (contains(e.k, h.k) OR contains(h.k, e.k))) OR 1 - levenshtein(e.k, h.k) / CAST(greatest(length(e.k), length(h.k)) AS DOUBLE) >= 0.85 END)""")
 def coverage_antijoin(t: Tables) -> DataFrame:
-    d = t.documents
-    pieces = d.where("doc_id % 3 = 0").select("source", F.substring("text", 1, 24).alias("piece"))
-    # a similarity above 1 leaves containment alone, which both engines measure alike
-    return match.uncovered(d.select("doc_id", "source", F.substring("text", 1, 60).alias("quote")), pieces, "source", "quote", "piece", similarity=1.1).select("doc_id", "source")
+    """All turns against the user turns of their conversation, each misspelt, cut or with an ellipsis. Texts
+    keep their ASCII characters: the other engine compares bytes."""
+    c = t.conversations.select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\n]", "").alias("text"))
+    text, kind = F.col("text"), F.col("turn") % 3
+    elided = F.concat(F.substring(text, 1, 30), F.lit("…"), F.substring(text, F.lit(61), F.length(text)))
+    quote = F.when(kind == 0, F.replace(text, F.lit("ion "), F.lit("oin "))).when(kind == 1, F.substring(text, F.lit(5), F.length(text))).otherwise(elided)
+    quotes = c.where("role = 'user'").select("conv_id", quote.alias("quote"))
+    turns = c.select(F.struct("conv_id", "turn").alias("id"), "conv_id", "turn", "text")
+    return match.uncovered(turns, quotes, "id", "conv_id", "text", "quote").select("conv_id", "turn")
 
 
 @query("""
-    WITH i AS (SELECT event_id, event_type || (user_id % 10) AS k, strftime(ts, '%Y-%m-%d') || ' value ' || CAST(floor(value) AS BIGINT) AS quote FROM events WHERE event_id % 3 = 0)
+    WITH i AS (SELECT event_id, event_type || (user_id % 10) AS k, strftime(ts, '%Y-%m-%d') || ' value ' || CAST(floor(value) AS BIGINT) AS quote FROM events)
     SELECT a.event_id, min(b.event_id) AS first FROM i a JOIN i b ON a.k = b.k AND b.event_id < a.event_id
     WHERE 1 - levenshtein(a.quote, b.quote) / CAST(greatest(length(a.quote), length(b.quote)) AS DOUBLE) >= 0.85 GROUP BY a.event_id""")
 def batch_duplicates(t: Tables) -> DataFrame:
     quote = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" value "), F.floor("value").cast("string"))
-    items = t.events.where("event_id % 3 = 0").select("event_id", F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("k"), quote.alias("quote"))
+    items = t.events.select("event_id", F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("k"), quote.alias("quote"))
     return match.batch_duplicates(items, "k", "event_id", "quote")
 
 
@@ -282,9 +273,25 @@ def content_dedup_shortest(t: Tables) -> DataFrame:
     return dedup.keep_first_shortest(t.events, ["user_id", "event_type"], "event_id", "props")
 
 
-@query("SELECT DISTINCT user_id, event_type, nullif(event_type, 'view') AS quote FROM events")
+_SEEN = f"""SELECT user_id AS contact_id, event_id % 50 AS screenshot_id, CASE event_type WHEN 'click' THEN 'fact' WHEN 'view' THEN 'preference' WHEN 'purchase' THEN 'interaction' ELSE 'status_change' END AS kind,
+      CASE WHEN event_type = 'error' THEN '公司由 "a" 变为 "' || CAST(floor(value / 10) AS BIGINT) || '"' WHEN event_type = 'click' THEN '公司: ' || CAST(floor(value / 10) AS BIGINT) ELSE 'v' || CAST(floor(value / 10) AS BIGINT) END AS content, repeat('q', CAST(event_id % 13 AS INTEGER) + 1) AS source_quote, {AT("ts")} AS observed_at FROM events"""
+
+
+@query(f"""
+    WITH o AS ({_SEEN}), gone AS (SELECT DISTINCT contact_id, '公司: ' || regexp_extract(content, '变为 "(.*)"$', 1) AS content FROM o WHERE kind = 'status_change' AND starts_with(content, '公司由'))
+    SELECT contact_id, kind, content, arg_min(screenshot_id, (observed_at, screenshot_id)) AS screenshot_id, arg_min(source_quote, (length(source_quote), observed_at)) AS source_quote, min(observed_at) AS observed_at
+    FROM o WHERE kind IN ('fact', 'preference') AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.contact_id = o.contact_id AND gone.content = o.content) GROUP BY contact_id, kind, content
+    UNION ALL SELECT contact_id, kind, arg_min(content, (observed_at, content)), screenshot_id, arg_min(source_quote, (observed_at, content)), min(observed_at) FROM o WHERE kind = 'interaction' GROUP BY contact_id, screenshot_id, kind
+    UNION ALL SELECT contact_id, kind, content, screenshot_id, source_quote, min(observed_at) FROM o WHERE kind = 'status_change' GROUP BY contact_id, screenshot_id, kind, content, source_quote""")
 def provenance_dedup(t: Tables) -> DataFrame:
-    return t.events.select("user_id", "event_type", F.nullif("event_type", F.lit("view")).alias("quote")).dropDuplicates()
+    """Events as observations: users as contacts, 50 screenshots."""
+    from skeinflow.plans.execute import deduplicated
+
+    kind = F.when(F.col("event_type") == "click", "fact").when(F.col("event_type") == "view", "preference").when(F.col("event_type") == "purchase", "interaction").otherwise("status_change")
+    v = F.floor(F.col("value") / 10).cast("string")
+    content = F.when(F.col("event_type") == "error", F.concat(F.lit('公司由 "a" 变为 "'), v, F.lit('"'))).when(F.col("event_type") == "click", F.concat(F.lit("公司: "), v)).otherwise(F.concat(F.lit("v"), v))
+    seen = t.events.select(F.col("user_id").alias("contact_id"), (F.col("event_id") % 50).alias("screenshot_id"), kind.alias("kind"), content.alias("content"), F.repeat(F.lit("q"), (F.col("event_id") % 13 + 1).cast("int")).alias("source_quote"), at("ts").alias("observed_at"))
+    return deduplicated(seen)
 
 
 @query("""
@@ -295,12 +302,11 @@ def ordered_quotes(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?.\n]'), lambda x: trim(x, ' \t\r\n')), lambda x: contains(x, ' th') AND x <> '') AS parts FROM documents WHERE lang = 'en'),
+    WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?.\n]'), lambda x: trim(x, ' \t\r\n')), lambda x: contains(x, ' th') AND x <> '') AS parts FROM documents),
     e AS (SELECT doc_id, min(length(p)) AS n FROM (SELECT doc_id, unnest(parts) AS p FROM s) GROUP BY doc_id)
     SELECT doc_id, md5(coalesce(list_filter(parts, lambda x: length(x) = n)[1], text)) AS sentence FROM s LEFT JOIN e USING (doc_id)""")
 def shortest_sentence(t: Tables) -> DataFrame:
-    docs = t.documents.where("lang = 'en'")
-    return docs.select("doc_id", F.md5(tx.shortest_sentence(F.col("text"), F.lit(" th"))).alias("sentence"))
+    return t.documents.select("doc_id", F.md5(tx.shortest_sentence(F.col("text"), F.lit(" th"))).alias("sentence"))
 
 
 @query("""
@@ -398,45 +404,79 @@ def slot_reorder(t: Tables) -> DataFrame:
 # --- text and rules
 
 
-@query("""
-    SELECT doc_id, md5(lower(regexp_replace(trim(text, ' \t\n\r'), '[ \t\n\r]+', ' ', 'g'))) AS lookup, length(text) AS n, substr(text, 1, 120) AS head FROM documents WHERE lang = 'en'""")
+_SPACE = r"\p{Z}\x09-\x0D\x{85}"
+
+
+@query(rf"""
+    SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '^[{_SPACE}\x{{FEFF}}]+|[{_SPACE}\x{{FEFF}}]+$', '', 'g'), '[{_SPACE}]+', ' ', 'g'))) AS lookup, length(text) AS n, substr(text, 1, 120) AS head FROM documents""")
 def norm_text(t: Tables) -> DataFrame:
     c = F.col("text")
-    return t.documents.where("lang = 'en'").select("doc_id", F.md5(tx.norm_lookup(c)).alias("lookup"), F.length(c).cast("long").alias("n"), tx.truncated(c, 120).alias("head"))
+    return t.documents.select("doc_id", F.md5(tx.norm_lookup(c)).alias("lookup"), F.length(c).cast("long").alias("n"), tx.truncated(c, 120).alias("head"))
 
 
-@query(r"""
-    SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[\s!-#%-*,-/:;?@\[-\]_{}]+'), lambda x: x <> '')) AS n_tokens FROM documents WHERE regexp_full_match(text, '[ -~\n\t]*')""")
+@query(rf"SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[\p{{P}}{_SPACE}]+'), lambda x: x <> '')) AS n_tokens FROM documents WHERE text IS NOT NULL")
 def tokenize(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("text").rlike("^[ -~\\n\\t]*$")).select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n_tokens"))
-
-
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS letters, 0.0::DOUBLE AS cjk FROM documents")
-def letter_ratio(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.regexp_count("text", F.lit("\\p{L}")).cast("long").alias("letters"), tx.cjk_ratio(F.col("text")).alias("cjk"))
+    return t.documents.where("text is not null").select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query(r"""
-    SELECT conv_id, turn, regexp_matches(text, '(?i)(^|[^a-z])(the|der|die|la)($|[^a-z])') AS signal, starts_with(text, 'In') OR contains(text, ' the ') AS notice, length(text) <= 60 AND regexp_matches(text, 'tion|ment') AS logistics FROM conversations""")
+    WITH d AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN '明天の会議' WHEN 1 THEN '한글' ELSE '' END AS text FROM documents)
+    SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS letters, round(len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]')) / greatest(len(regexp_extract_all(text, '\p{L}')), 1)::DOUBLE, 12) AS cjk FROM d""")
+def letter_ratio(t: Tables) -> DataFrame:
+    """All documents, two thirds of them with some CJK letters behind."""
+    kind = F.col("doc_id") % 3
+    d = t.documents.select("doc_id", F.concat("text", F.when(kind == 0, "明天の会議").when(kind == 1, "한글").otherwise("")).alias("text"))
+    return d.select("doc_id", F.regexp_count("text", F.lit("\\p{L}")).cast("long").alias("letters"), F.round(tx.cjk_ratio(F.col("text")), 12).alias("cjk"))
+
+
+#: Phrases that the rules are about, and some that they are not about.
+PHRASES = [
+    "【通知】评审会议改到周四", "通 知：大家开会", "会议 时间调整为 3 点", "联系客户-确认", "对接 一下", "合同已 提交", "王总到了", "晚到十分钟，等我", "想提交合同", "地点换到三楼", "今天天气不错", "参加会议",
+]
+_PHRASED = f"SELECT *, {PHRASES!r}[(conv_id + turn) % {len(PHRASES)} + 1] AS phrase FROM conversations"
+_WORDS = lambda ws: "|".join(ws)
+
+
+@query(rf"""
+    WITH c AS ({_PHRASED}), k AS (SELECT conv_id, turn, phrase, {_KEY("phrase || text")} AS title, {_KEY("phrase")} AS quote FROM c)
+    SELECT conv_id, turn, regexp_matches(title, '^({_WORDS(rules.NOTICE_STARTS)})|{_WORDS(rules.NOTICE_WORDS)}') OR regexp_matches(quote, '^({_WORDS(rules.NOTICE_STARTS)})|{_WORDS(rules.NOTICE_WORDS)}') AS notice,
+      regexp_matches(title, '{_WORDS(rules.CHANGE_WORDS)}') AS change, conv_id % 2 = 0 AND regexp_matches(title, '{_WORDS(rules.TIMELESS_WORDS)}') AS timeless,
+      length(phrase) <= 60 AND regexp_matches(phrase, '{_WORDS(rules.LOGISTICS_WORDS)}') AS logistics, regexp_matches(phrase, '{_WORDS(f"({p})" for p in rules.PROGRESS)}') AS progress,
+      CASE WHEN regexp_matches(phrase, '{_WORDS(rules.PREFERENCE_WORDS)}') THEN 'preference' ELSE 'fact' END AS observed FROM k""")
 def classifier_flags(t: Tables) -> DataFrame:
-    c = F.col("text")
-    return t.conversations.select("conv_id", "turn", c.rlike(r"(?i)(^|[^a-z])(the|der|die|la)($|[^a-z])").alias("signal"), (c.startswith("In") | c.contains(" the ")).alias("notice"), ((F.length(c) <= 60) & c.rlike("tion|ment")).alias("logistics"))
+    """The rules on all turns, each behind one of the phrases."""
+    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), ((F.col("conv_id") + F.col("turn")) % len(PHRASES)).cast("int"))
+    c = t.conversations.select("conv_id", "turn", "text", phrase.alias("phrase"))
+    title, p, kind = F.concat("phrase", "text"), F.col("phrase"), F.lit("other")
+    return c.select(
+        "conv_id", "turn", rules.meeting_notice(kind, title, p).alias("notice"), rules.meeting_change(title).alias("change"),
+        rules.timeless_communication(kind, F.lit(False), F.when(F.col("conv_id") % 2 == 1, "room").otherwise("　"), title).alias("timeless"),
+        rules.meeting_logistics(p).alias("logistics"), rules.direct_progress(p).alias("progress"), rules.observation_kind(p).alias("observed"),
+    )
 
 
 @query(r"""
-    WITH w AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z]', '', 'g') AS k, text FROM conversations WHERE regexp_full_match(text, '[ -~\n]*'))
+    WITH w AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z]', '', 'g') AS k FROM conversations)
     SELECT conv_id, turn, length(k) <= 2 OR k IN ('the', 'noted', 'thanks') OR (length(k) >= 4 AND (levenshtein(k, 'noted') <= 1 OR levenshtein(k, 'thanks') <= 1)) AS acknowledged FROM w""")
 def ack_filter(t: Tables) -> DataFrame:
-    from skeinflow.functions.rules import acknowledges
+    rows = t.conversations.withColumn("k", F.regexp_replace(F.lower("text"), "[^a-z]", ""))
+    return rows.select("conv_id", "turn", rules.acknowledges(F.col("k"), ["the", "noted", "thanks"], 4).alias("acknowledged"))
 
-    rows = t.conversations.where(F.col("text").rlike("^[ -~\\n]*$")).withColumn("k", F.regexp_replace(F.lower("text"), "[^a-z]", ""))
-    return rows.select("conv_id", "turn", acknowledges(F.col("k"), ["the", "noted", "thanks"], 4).alias("acknowledged"))
 
+_LABELLED = r"'^([^:：\n\d]{1,20})[:：]\s*([^\n\r\x{2028}\x{2029}]*)$'"
 
-@query(r"""
-    SELECT doc_id, regexp_extract(text, '^([^:：\d]{1,20})[:：]', 1) AS label FROM documents""")
+
+@query(rf"""
+    WITH q AS (SELECT conv_id, turn, role || CASE turn % 4 WHEN 0 THEN ': ' WHEN 1 THEN ' 组：' WHEN 2 THEN chr(10) || '：' ELSE '7: ' END || replace(text, chr(10), CASE WHEN turn % 3 = 0 THEN ' ' ELSE chr(10) END) AS quote FROM conversations)
+    SELECT conv_id, turn, regexp_extract(quote, {_LABELLED}, 1) AS label, md5(coalesce({_KEY(f"nullif(regexp_extract(quote, {_LABELLED}, 1), '')")}, '')) AS label_key,
+      md5({_KEY(f"CASE WHEN regexp_extract(quote, {_LABELLED}, 1) <> '' THEN regexp_extract(quote, {_LABELLED}, 2) ELSE quote END")}) AS content_key FROM q""")
 def evidence_label(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.label_of(F.col("text")).alias("label"))
+    turn = F.col("turn")
+    mark = F.when(turn % 4 == 0, ": ").when(turn % 4 == 1, " 组：").when(turn % 4 == 2, "\n：").otherwise("7: ")
+    text = F.when(turn % 3 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(" "))).otherwise(F.col("text"))
+    q = t.conversations.select("conv_id", "turn", F.concat("role", mark, text).alias("quote"))
+    c = F.col("quote")
+    return q.select("conv_id", "turn", tx.label_of(c).alias("label"), F.md5(F.coalesce(tx.label_key(c), F.lit(""))).alias("label_key"), F.md5(tx.content_key(c)).alias("content_key"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) > 50 AS over FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
@@ -663,11 +703,12 @@ def region_colors(t: Tables) -> DataFrame:
 # --- streams and sources
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, md5(text) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT contains(text, chr(13))) WHERE trim(text, ' \t') <> ''")
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, md5(text) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, replace(replace(replace(replace(text, '. ', '.' || chr(13)), ', ', ',' || chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)) WHERE trim(text, ' \t') <> ''")
 def pasted_text_lines(t: Tables) -> DataFrame:
     from skeinflow.sources.tables import pasted_lines
 
-    rows = t.documents.where(~F.contains("text", F.lit("\r")))
+    # both kinds of foreign line ends, made of the sentences
+    rows = t.documents.select("doc_id", F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r")), F.lit(", "), F.lit(",\r\n")).alias("text"))
     return pasted_lines(rows, "doc_id", "text").select("doc_id", "pos", F.md5("text").alias("line"))
 
 

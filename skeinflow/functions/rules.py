@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skeinflow.functions.text import edit_similarity, tokens
+from skeinflow.functions.text import edit_similarity, norm_contact, norm_contacts, tokens, trimmed
 
 # What the rules look for.
 SELF_NAME = "我"
@@ -59,16 +59,26 @@ def direct_progress(c: Column) -> Column:
     return any_of(c, [f"(?:{p})" for p in PROGRESS])
 
 
-def meeting_notice(kind: Column, title: Column) -> Column:
-    return (kind == "other") & (F.trim(title).rlike("^(?:" + "|".join(NOTICE_STARTS) + ")") | any_of(title, NOTICE_WORDS))
+def meeting_notice(kind: Column, *texts: Column) -> Column:
+    """An event of another kind with a title or quote that starts like a notice or tells of a new time."""
+    starts = lambda c: c.rlike("^(?:" + "|".join(NOTICE_STARTS) + ")") | any_of(c, NOTICE_WORDS)
+    return (kind == "other") & _any(texts, starts)
 
 
-def meeting_change(c: Column) -> Column:
-    return any_of(c, CHANGE_WORDS)
+def meeting_change(*texts: Column) -> Column:
+    """Whether a title or quote names a change."""
+    return _any(texts, lambda c: any_of(c, CHANGE_WORDS))
+
+
+def _any(texts: tuple[Column, ...], test) -> Column:
+    found = F.lit(False)
+    for c in texts:
+        found = found | F.coalesce(test(norm_contact(c)), F.lit(False))
+    return found
 
 
 def timeless_communication(kind: Column, has_time: Column, location: Column, title: Column) -> Column:
-    return (kind == "other") & ~has_time & (F.trim(F.coalesce(location, F.lit(""))) == "") & any_of(title, TIMELESS_WORDS)
+    return (kind == "other") & ~has_time & (trimmed(F.coalesce(location, F.lit(""))) == "") & any_of(norm_contact(title), TIMELESS_WORDS)
 
 
 def meeting_logistics(c: Column) -> Column:
@@ -82,28 +92,61 @@ def observation_kind(c: Column) -> Column:
 def suppressed_mention(role: Column, name: Column, has_identity: Column, has_facts: Column) -> Column:
     """Mentioned parties that aren't people worth a contact: generic names, organisations, or nothing
     known about them."""
-    organisation = (F.length(name) >= 3) & name.rlike("(?:" + "|".join(ORGANIZATION_ENDS) + ")$")
-    return F.coalesce(role == "mentioned", F.lit(False)) & (name.isin(GENERIC_NAMES) | organisation | (~has_identity & ~has_facts))
+    key = norm_contact(name)
+    organisation = (F.length(key) >= 3) & key.rlike("(?:" + "|".join(ORGANIZATION_ENDS) + ")$")
+    return F.coalesce(role == "mentioned", F.lit(False)) & (key.isin(GENERIC_NAMES) | organisation | (~has_identity & ~has_facts))
 
 
 def redundant_value(old: Column, new: Column) -> Column:
     """Whether a company or title says no more than the known one: equal, contained, its words a subset,
-    or one edit apart (4 characters or more). A longer text that contains the known one says more."""
-    a, b = F.lower(F.trim(F.coalesce(old, F.lit("")))), F.lower(F.trim(new))
-    subset = F.size(F.array_except(tokens(new), tokens(F.coalesce(old, F.lit(""))))) == 0
+    or one edit apart (3 characters or more, of 3 only one as long). A longer text that contains the known
+    one says more."""
+    a, b = norm_contact(F.coalesce(old, F.lit(""))), norm_contact(F.coalesce(new, F.lit("")))
+    said = tokens(F.coalesce(new, F.lit("")))
+    subset = (F.size(said) > 0) & (F.size(F.array_except(said, tokens(F.coalesce(old, F.lit(""))))) == 0)
     more = F.contains(b, a) & (F.length(b) > F.length(a))
-    return (a != "") & ~more & ((a == b) | F.contains(a, b) | subset | ((F.least(F.length(a), F.length(b)) >= 4) & (F.levenshtein(a, b) == 1)))
+    close = (F.levenshtein(a, b) == 1) & (F.length(b) >= 3) & ((F.length(b) != 3) | (F.length(a) == 3))
+    return (a == b) | ((a != "") & (b != "") & ~more & (F.contains(a, b) | subset | close))
+
+
+ELLIPSIS = "\\.{3,}|…"
+
+
+def coverage(quotes: Column) -> Column:
+    """What ``covered_by`` takes, of an array of quotes: their keys and, of a quote with an ellipsis, the
+    segments of 4 characters or more around it."""
+    marked = norm_contacts(F.transform(quotes, lambda q: F.regexp_replace(q, ELLIPSIS, "\u0001")))
+    parts = lambda k: F.filter(F.split(k, "\u0001"), lambda s: F.length(s) >= 4)
+    return F.transform(marked, lambda k: F.struct(F.replace(k, F.lit("\u0001"), F.lit("")).alias("key"), F.when(F.contains(k, F.lit("\u0001")), parts(k)).alias("segments")))
+
+
+def holds(key: Column, quote: Column, least: int = 8, similarity: float = 0.85) -> Column:
+    """Whether one quote (key and segments, as ``coverage`` gives them) covers the text of a key: all its
+    segments stand in it; without an ellipsis, containment of ``least`` characters or more, or similarity."""
+    other = quote["key"]
+    long = (F.least(F.length(key), F.length(other)) >= least) & (F.contains(key, other) | F.contains(other, key))
+    elided = (F.size(quote["segments"]) > 0) & F.forall(quote["segments"], lambda s: F.contains(key, s))
+    return (key != "") & (other != "") & F.when(quote["segments"].isNotNull(), elided).otherwise(long | (edit_similarity(key, other) >= similarity))
+
+
+def covered_by(key: Column, quotes: Column, least: int = 8, similarity: float = 0.85) -> Column:
+    """Whether one of the quotes (``coverage``) covers the text with this norm_contact key. Both are bound
+    outside the lambda, since keys come from Python."""
+    each = lambda x: F.exists(x["quotes"], lambda q: holds(x["key"], q, least, similarity))
+    return F.get(F.transform(F.array(F.struct(key.alias("key"), quotes.alias("quotes"))), each), F.lit(0))
 
 
-def covered_by(text: Column, quotes: Column, least: int = 8, similarity: float = 0.85) -> Column:
-    """Whether a quote covers the text: containment of ``least`` characters or more, or similarity."""
-    holds = lambda a, b: (F.length(b) >= least) & F.contains(a, b)
-    return F.exists(quotes, lambda q: holds(q, text) | holds(text, q) | (edit_similarity(text, q) >= similarity))
+def discarded(quote_key: Column, label: Column, content: Column, gone: Column) -> Column:
+    """Whether a quote (its key, and those of its label and content) is one of the discarded ones (structs of
+    key, label, content): equal, equal but for a label that one of them lacks, or contained (4 characters)."""
+    same = lambda g: (content != "") & (content == g["content"]) & (label.isNull() | g["label"].isNull())
+    inside = lambda g: (F.least(F.length(quote_key), F.length(g["key"])) >= 4) & (F.contains(quote_key, g["key"]) | F.contains(g["key"], quote_key))
+    return F.exists(F.filter(gone, lambda g: g["key"] != ""), lambda g: (quote_key == g["key"]) | same(g) | inside(g))
 
 
 def interaction_text(summary: Column, fallback: Column, ratio) -> Column:
     """The summary, unless it is hardly CJK (below 0.3) where the fallback is (0.5 or more)."""
-    return F.when((ratio(fallback) >= 0.5) & (ratio(summary) < 0.3), fallback).otherwise(F.coalesce(F.nullif(F.trim(summary), F.lit("")), fallback))
+    return F.when((ratio(fallback) >= 0.5) & (ratio(summary) < 0.3), fallback).otherwise(F.coalesce(F.nullif(trimmed(summary), F.lit("")), fallback))
 
 
 def error_category(status: Column, message: Column) -> Column:

@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 EDGES = "(?U)^[\\s\\x{FEFF}]+|[\\s\\x{FEFF}]+$"
 #: Scripts that count as CJK.
@@ -38,14 +38,37 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_each(values: pd.Series) -> pd.Series:
+    return values.map(lambda a: None if a is None else [None if v is None else unicodedata.normalize("NFKC", v) for v in a])
+
+
+GAPS = "(?U)[\\p{P}\\s]+"
+
+
 def norm_contact(c: Column) -> Column:
     """Key of near matches: NFKC, lower case, without punctuation and white space."""
-    return F.regexp_replace(F.lower(nfkc(c)), "(?U)[\\p{P}\\s]+", "")
+    return F.regexp_replace(F.lower(nfkc(c)), GAPS, "")
+
+
+def norm_contacts(items: Column) -> Column:
+    """norm_contact of each string of an array (a lambda can't call the UDF itself)."""
+    return F.transform(nfkc_each(items), lambda x: F.regexp_replace(F.lower(x), GAPS, ""))
 
 
 def tokens(c: Column) -> Column:
     """Pieces between punctuation and white space after NFKC and lower case."""
-    return F.filter(F.split(F.lower(nfkc(c)), "(?U)[\\p{P}\\s]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(nfkc(c)), GAPS), lambda x: x != "")
+
+
+def tokens_of(items: Column) -> Column:
+    """tokens of all strings of an array, each once."""
+    return F.array_distinct(F.filter(F.flatten(F.transform(nfkc_each(items), lambda x: F.split(F.lower(x), GAPS))), lambda x: x != ""))
+
+
+def escaped(c: Column) -> Column:
+    """A text as the part of a pattern that stands for itself, whatever it holds."""
+    return F.regexp_replace(c, "([\\\\^$.|?*+()\\[\\]{}])", "\\\\$1")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -89,14 +112,28 @@ def without_fence(c: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(trimmed(c), "^```[A-Za-z]*\\s*", ""), "\\s*```$", ""))
 
 
+#: 'label: content' on one line: a label of up to 20 characters without digits.
+LABELLED = "^([^:：\\n\\d]{1,20})[:：]\\s*([^\\n\\r\\u2028\\u2029]*)\\z"
+
+
 def label_of(c: Column) -> Column:
-    """Label of 'label: content': up to 20 characters without digits before a colon of either width."""
-    return F.regexp_extract(c, "^([^:：\\d]{1,20})[:：]", 1)
+    """Label of 'label: content', as written; '' without one."""
+    return F.regexp_extract(c, LABELLED, 1)
 
 
 def content_of(c: Column) -> Column:
     """What follows the label; all of it without one."""
-    return trimmed(F.regexp_replace(c, "^[^:：\\d]{1,20}[:：]", ""))
+    return F.when(label_of(c) != "", F.regexp_extract(c, LABELLED, 2)).otherwise(c)
+
+
+def label_key(c: Column) -> Column:
+    """norm_contact of the label; null without one."""
+    return norm_contact(F.nullif(label_of(c), F.lit("")))
+
+
+def content_key(c: Column) -> Column:
+    """norm_contact of what follows the label."""
+    return norm_contact(content_of(c))
 
 
 def shortest_sentence(quote: Column, value: Column) -> Column:
@@ -108,25 +145,26 @@ def shortest_sentence(quote: Column, value: Column) -> Column:
 
 def mentions(text: Column, names: Column) -> Column:
     """Whether '@', blanks and one of the names stand in the text."""
-    return F.exists(names, lambda n: F.regexp_count(text, F.concat(F.lit("@\\s*\\Q"), n, F.lit("\\E"))) > 0)
+    return F.exists(names, lambda n: (n != "") & (F.regexp_count(text, F.concat(F.lit("(?U)@\\s*"), escaped(n))) > 0))
 
 
 def composed_of(text: Column, words: Column) -> Column:
     """Whether the text is a chain of the words and nothing else."""
-    quoted = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
+    quoted = F.transform(F.filter(words, lambda w: w != ""), escaped)
     return (F.size(quoted) > 0) & F.rlike(text, F.concat(F.lit("^(?:"), F.array_join(quoted, "|"), F.lit(")+$")))
 
 
 def without_speaker(text: Column, names: Column) -> Column:
-    """Text after the last 'name:' of one of the names; nothing if that is all there is."""
-    quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
-    return trimmed(F.regexp_replace(text, F.concat(F.lit("^(?s:.*)(?:"), quoted, F.lit(")\\s*[:：]")), F.lit("")))
-
-
-def free_notes(note: Column, values: Column) -> Column:
-    """Parts of a note, cut at sentence and list marks, that hold none of the structured values."""
-    parts = F.transform(F.split(note, "[,;.!?、。，；！？\n]"), trimmed)
-    return F.array_join(F.filter(parts, lambda p: (p != "") & ~F.exists(values, lambda v: (v != "") & F.contains(p, v))), "；")
+    """Text after the last place where one of the names is followed by punctuation or a blank; '' if the text
+    is a label that ends in a name behind such a separator; all of it if no name stands so."""
+    separator = "(?U)^[\\p{P}\\s]"
+    known = F.filter(names, lambda n: n != "")
+    before = lambda n: F.call_function("instr", F.reverse(text), F.reverse(n))  # noqa: E731  from the end: 1 if it ends in the name
+    end = lambda n: F.length(text) - before(n) + 1  # noqa: E731  characters up to the end of the last occurrence
+    follows = lambda n: F.substring(text, end(n) + 1, F.lit(1)).rlike(separator)
+    bare = F.exists(known, lambda n: (before(n) == 1) & (F.length(text) > F.length(n)) & F.substring(text, F.length(text) - F.length(n), F.lit(1)).rlike(separator))
+    cut = F.array_max(F.concat(F.array(F.lit(0)), F.transform(known, lambda n: F.when((before(n) > 0) & follows(n), end(n)).otherwise(0))))
+    return F.when(bare, F.lit("")).otherwise(F.when(cut == 0, text).otherwise(F.substring(text, cut + 2, F.length(text))))
 
 
 def key_values(detail: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions.text import distinct_strings, norm_compare
+from skeinflow.functions.text import distinct_strings, norm_compare, trimmed
 from skeinflow.operators import dedup, match
 
 DEPENDENCY = "array<struct<kind:string,anchor_card_id:bigint,participant_index:int,candidate_index:int>>"
@@ -14,7 +14,7 @@ DEPENDENCY = "array<struct<kind:string,anchor_card_id:bigint,participant_index:i
 
 def library_with_pending(contacts: DataFrame, cards: DataFrame) -> DataFrame:
     """Contacts and the people of pending create cards, these under the negative id of their card."""
-    pending = cards.where("type = 'create_contact' and status = 'pending'").select((-F.col("id")).alias("id"), F.trim("name").alias("canonical_name"), "aliases")
+    pending = cards.where("type = 'create_contact' and status = 'pending'").select((-F.col("id")).alias("id"), trimmed(F.col("name")).alias("canonical_name"), "aliases")
     return contacts.select("id", "canonical_name", "aliases").unionByName(pending)
 
 

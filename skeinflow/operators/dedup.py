@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.functions.text import distinct_strings, trimmed
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``, which should be unique within the key."""
@@ -19,8 +21,6 @@ def keep_first_shortest(df: DataFrame, keys: list[str], order: str, quote: str)
 
 def ordered_join(df: DataFrame, keys: list[str], order: list[str], value: str, separator: str = "\n\n", out: str = "joined") -> DataFrame:
     """Distinct trimmed values of a key in order, joined."""
-    from skeinflow.functions.text import distinct_strings
-
     rows = F.sort_array(F.collect_list(F.struct(*order, value)))
     return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.array_join(distinct_strings(F.col(f"_rows.{value}")), separator).alias(out))
 
@@ -60,9 +60,23 @@ def consensus(df: DataFrame, keys: list[str], agrees: Column, target: str, out:
     return df.groupBy(*keys).agg(F.when(one, F.min(target)).alias(out))
 
 
+def set_consensus(df: DataFrame, keys: list[str], ids: str, out: str = "ids") -> DataFrame:
+    """The set of ids that all rows of a key agree on, whatever its order, else null; a row without one (null)
+    agrees with nothing."""
+    sets = F.array_sort(F.array_distinct(ids))
+    one = (F.count_distinct(sets) == 1) & (F.count(ids) == F.count(F.lit(1)))
+    return df.groupBy(*keys).agg(F.when(one, F.min(sets)).alias(out))
+
+
+def affected(df: DataFrame, keys: list[str], ids: str, out: str = "affected") -> DataFrame:
+    """The distinct ids of all arrays of a key, ascending."""
+    found = df.select(*keys, F.explode(ids).alias("_id")).distinct()
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list("_id")).alias(out))
+
+
 def last_writer(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """Per field the last value that isn't blank."""
-    last = [F.max_by(F.nullif(F.trim(f), F.lit("")), F.when(F.trim(f) != "", F.struct(*order))).alias(f) for f in fields]
+    last = [F.max_by(trimmed(F.col(f)), F.when(trimmed(F.col(f)) != "", F.struct(*order))).alias(f) for f in fields]
     return df.groupBy(*keys).agg(*last)
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions.text import edit_similarity, norm_compare, norm_lookup
+from skeinflow.functions import rules
+from skeinflow.functions.text import ascii_nocase, edit_similarity, norm_compare, norm_lookup
+
+PAIR_BUCKETS = 4096  #: of pairs of characters, whose counts are told to all tasks
 
 
 def exact_matches(people: DataFrame, contacts: DataFrame, person: str, name: str, contact_id: str, contact_name: str, aliases: str) -> DataFrame:
@@ -15,11 +18,13 @@ def exact_matches(people: DataFrame, contacts: DataFrame, person: str, name: str
     return people.select(person, norm_compare(F.col(name)).alias("_key")).join(keys, "_key").select(person, contact_id).distinct()
 
 
-def first_match(people: DataFrame, contacts: DataFrame, person: str, name: str, contact_id: str, contact_name: str) -> DataFrame:
-    """The first contact, by name and id, under trimmed, collapsed lower case."""
-    keys = contacts.select(contact_id, F.col(contact_name).alias("_order"), norm_lookup(F.col(contact_name)).alias("_key"))
+def first_match(people: DataFrame, contacts: DataFrame, person: str, name: str, contact_id: str, contact_name: str, aliases: str) -> DataFrame:
+    """The first contact, by name without regard to ASCII case and then id, whose name or one of whose aliases
+    is the name, trimmed, collapsed and in lower case."""
+    named = contacts.select(contact_id, F.col(contact_name).alias("_order"), F.explode(F.concat(F.array(contact_name), F.coalesce(aliases, F.array()))).alias("_name"))
+    keys = named.select(contact_id, ascii_nocase(F.col("_order")).alias("_order"), norm_lookup(F.col("_name")).alias("_key")).where("_key != ''")
     found = people.select(person, norm_lookup(F.col(name)).alias("_key")).join(keys, "_key")
-    return found.groupBy(person).agg(F.min(F.struct(F.lower("_order"), F.col(contact_id).alias("id"))).alias("_f")).select(person, F.col("_f.id").alias(contact_id))
+    return found.groupBy(person).agg(F.min(F.struct("_order", F.col(contact_id).alias("id"))).alias("_f")).select(person, F.col("_f.id").alias(contact_id))
 
 
 def deletions(c: Column) -> Column:
@@ -44,14 +49,43 @@ def bigrams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, similarity: float) -> DataFrame:
-    """(left, right) of texts at least so similar, for limits above 0.8: an edit spoils two of a text's
-    pairs of characters at most, so such texts have one in common, and an equality join finds them."""
-    a = left.select(F.col(left_id).alias("_l"), F.col(left_text).alias("_a"), F.explode(bigrams(F.col(left_text))).alias("_key"))
-    b = right.select(F.col(right_id).alias("_r"), F.col(right_text).alias("_b"), F.explode(bigrams(F.col(right_text))).alias("_key"))
-    lengths = F.least(F.length("_a"), F.length("_b")) >= similarity * F.greatest(F.length("_a"), F.length("_b"))
-    pairs = a.join(b, "_key").where(lengths).select("_l", "_a", "_r", "_b").distinct()
-    return pairs.where(edit_similarity(F.col("_a"), F.col("_b")) >= similarity).select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
+def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, similarity: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """(left, right) of texts at least so similar, for limits above 0.8, with equal values in the columns
+    ``on``.
+
+    An edit spoils two of a text's pairs of characters at most, so a text has at most 2 * edits pairs that its
+    partner lacks. With all pairs in one order, one of the first 2 * edits + 1 of either is the first that
+    both have: only those are joined, and the order has rare pairs first (by the counts of PAIR_BUCKETS
+    buckets of pairs, known to all tasks; any order loses no pair)."""
+    own = lambda df, id_, text: df.select(F.col(id_).alias("_id"), F.col(text).alias("_text"), *on).where(F.col("_text") != "")
+    a, b = own(left, left_id, left_text), own(right, right_id, right_text)
+    pairs = a.select(F.explode(bigrams(F.col("_text"))).alias("_pair")).unionByName(b.select(F.explode(bigrams(F.col("_text"))).alias("_pair")))
+    bucket = lambda p: F.pmod(F.xxhash64(p), F.lit(PAIR_BUCKETS)).cast("int")
+    common = {r["b"]: r["count"] for r in pairs.groupBy(bucket("_pair").alias("b")).count().collect()}
+    counts = F.from_json(F.lit(str([common.get(k, 0) for k in range(PAIR_BUCKETS)])), "array<bigint>")
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        spoiled = F.floor(2 * (1 - similarity) / similarity * F.length("_text") + 1e-9).cast("int")
+        ranked = F.sort_array(F.transform(bigrams(F.col("_text")), lambda p: F.struct(F.get(counts, bucket(p)).alias("n"), p.alias("p"))))
+        first = F.slice(ranked, F.lit(1), spoiled + 1)
+        return df.select(*on, F.col("_id").alias(f"_{side}"), F.col("_text").alias(f"_text_{side}"), F.explode(first["p"]).alias("_key"))
+
+    lengths = F.least(F.length("_text_l"), F.length("_text_r")) >= similarity * F.greatest(F.length("_text_l"), F.length("_text_r"))
+    found = keyed(a, "l").join(keyed(b, "r"), [*on, "_key"]).where(lengths & (edit_similarity(F.col("_text_l"), F.col("_text_r")) >= similarity))
+    return found.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id)).distinct()
+
+
+def holding_pairs(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, least: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """(left, right) where one text holds the other, which has ``least`` characters or more, with equal values
+    in the columns ``on``: the shorter one's first characters are a piece of the longer one."""
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(least)))))
+    side = lambda df, id_, text, s: df.where(F.length(text) >= least).select(*on, F.col(id_).alias(f"_{s}"), F.col(text).alias(f"_text_{s}"))
+    a, b = side(left, left_id, left_text, "l"), side(right, right_id, right_text, "r")
+    first = lambda df, s: df.withColumn("_key", F.xxhash64(F.substring(f"_text_{s}", 1, least)))
+    every = lambda df, s: df.withColumn("_key", F.explode(pieces(F.col(f"_text_{s}"))))
+    held = lambda x, y: x.join(y, [*on, "_key"]).where(F.contains("_text_l", F.col("_text_r")) | F.contains("_text_r", F.col("_text_l")))
+    found = held(every(a, "l"), first(b, "r")).select("_l", "_r").union(held(first(a, "l"), every(b, "r")).select("_l", "_r"))
+    return found.distinct().select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
 
 
 def unique_target(pairs: DataFrame, key: str, target: str) -> DataFrame:
@@ -68,8 +102,8 @@ def duplicate_meetings(new: DataFrame, known: DataFrame, new_id: str, known_id:
     counted = exact.groupBy("_n").agg(F.count_distinct("_k").alias("_c"), F.min("_k").alias("_k"))
     tier1 = counted.where("_c = 1").select("_n", "_k", F.lit("exact").alias("tier"))
     rest = n.join(counted.select("_n"), "_n", "left_anti").where(F.length("_t") >= least_length)
-    longer = k.where(F.length("_u") >= least_length)
-    near = rest.join(longer, (rest["_kind"] == longer["_kind"]) & (rest["_day"] == longer["_day2"])).where(edit_similarity(F.col("_t"), F.col("_u")) >= least_similarity)
+    longer = k.where(F.length("_u") >= least_length).withColumnRenamed("_day2", "_day")
+    near = similar_pairs(rest.where("_day is not null"), longer, "_n", "_t", "_k", "_u", least_similarity, ("_kind", "_day"))
     tier2 = unique_target(near.select("_n", "_k"), "_n", "_k").select("_n", "_k", F.lit("similar").alias("tier"))
     return tier1.unionByName(tier2).select(F.col("_n").alias(new_id), F.col("_k").alias(known_id), "tier")
 
@@ -86,21 +120,33 @@ def progress_targets(matches: DataFrame, fragment: str, target: str, confidence:
     return agreed.where("_high and _n = 1").select(fragment, target)
 
 
-def uncovered(evidence: DataFrame, covering: DataFrame, key: str, text: str, quote: str, least: int = 8, similarity: float = 0.85) -> DataFrame:
-    """Evidence that no quote of its key covers: containment either way of 8 characters or more, or
-    similarity. The quotes of a key meet its evidence as an array."""
-    quotes = covering.groupBy(key).agg(F.collect_set(quote).alias("_quotes"))
-    holds = lambda a, b: (F.length(b) >= least) & F.contains(a, b)
-    covered = F.exists("_quotes", lambda q: holds(F.col(text), q) | holds(q, F.col(text)) | (edit_similarity(F.col(text), q) >= similarity))
-    return evidence.join(quotes, key, "left").where(~F.coalesce(covered, F.lit(False))).drop("_quotes")
+def uncovered(evidence: DataFrame, covering: DataFrame, id_: str, key: str, text: str, quote: str, least: int = 8, similarity: float = 0.85) -> DataFrame:
+    """Evidence (with unique ``id_``) that no quote of its key covers, as ``rules.holds`` says: texts and
+    quotes meet by normalised key, on shared pieces, pairs of characters or, with an ellipsis, the first
+    characters of a quote's first long segment."""
+    texts = evidence.select(F.col(id_).alias("_e"), F.col(key).alias("_on"), rules.norm_contact(F.col(text)).alias("_text"))
+    quotes = covering.select(F.col(key).alias("_on"), F.col(quote).alias("_raw")).distinct().select("_on", F.get(rules.coverage(F.array("_raw")), F.lit(0)).alias("_q"))
+    quotes = quotes.select("_on", "_q", F.col("_q.key").alias("_quote"), F.xxhash64("_q").alias("_c"))
+    plain = quotes.where("_q.segments is null")
+    near = similar_pairs(texts, plain, "_e", "_text", "_c", "_quote", similarity, ("_on",)).select("_e")
+    inside = holding_pairs(texts, plain, "_e", "_text", "_c", "_quote", least, ("_on",)).select("_e")
+    cut = quotes.where("size(_q.segments) > 0").withColumn("_key", F.xxhash64(F.substring(F.get(F.col("_q.segments"), F.lit(0)), 1, 4)))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_text") - 3), lambda i: F.xxhash64(F.substring("_text", i, F.lit(4)))))
+    elided = texts.where(F.length("_text") >= 4).withColumn("_key", F.explode(pieces)).join(cut, ["_on", "_key"]).where(rules.holds(F.col("_text"), F.col("_q"), least, similarity)).select("_e")
+    covered = near.union(inside).union(elided).distinct()
+    return evidence.join(covered, evidence[id_] == covered["_e"], "left_anti")
 
 
 def batch_duplicates(items: DataFrame, key: str, order: str, quote: str, similarity: float = 0.85) -> DataFrame:
-    """(order, first): for each item the first earlier one with the same key and a similar quote."""
-    a = items.select(F.col(key), F.col(order).alias("_a"), F.col(quote).alias("_qa"))
-    b = items.select(F.col(key), F.col(order).alias("_b"), F.col(quote).alias("_qb"))
-    pairs = a.join(b, key).where((F.col("_b") < F.col("_a")) & (edit_similarity(F.col("_qa"), F.col("_qb")) >= similarity))
-    return pairs.groupBy(F.col("_a").alias(order)).agg(F.min("_b").alias("first"))
+    """(order, first): for each item the first earlier one with the same key and a similar quote. Equal quotes
+    are compared once, by their first item and, beyond that, by their next one."""
+    once = items.groupBy(F.col(key).alias("_on"), F.col(quote).alias("_text")).agg(F.min(order).alias("_first"))
+    once = once.withColumn("_t", F.xxhash64("_on", "_text"))
+    other = once.select("_on", F.col("_text").alias("_other"), F.col("_t").alias("_u"))
+    pairs = similar_pairs(once, other, "_t", "_text", "_u", "_other", similarity, ("_on",))
+    least = pairs.join(once.select(F.col("_t").alias("_u"), "_first"), "_u").groupBy("_t").agg(F.min("_first").alias("first"))
+    found = items.withColumn("_t", F.xxhash64(key, quote)).join(least, "_t").where(F.col("first") < F.col(order))
+    return found.select(order, "first")
 
 
 def related(people: DataFrame, seeds: DataFrame, group: str, names: str, seed: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.functions.text import trimmed
+
 
 def changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, old, new) of the fields that differ, null-safe, as text."""
@@ -19,7 +21,7 @@ def changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> Data
 
 def appended(current: Column, added: Column, separator: str = "；") -> Column:
     """Agenda with the fragments that it doesn't hold yet; fragments end at semicolons or newlines."""
-    split = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[；;\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    split = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[；;\n]"), lambda x: trimmed(x)), lambda x: x != "")
     return F.array_join(F.array_distinct(F.concat(split(current), split(added))), separator)
 
 

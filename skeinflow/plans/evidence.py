@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions.rules import SELF_NAME
-from skeinflow.functions.text import norm_compare, norm_lookup
+from skeinflow.functions.text import norm_compare, norm_lookup, trimmed
 
 PARTICIPANT = "struct<name:string,is_self:boolean,role:string,speech_act:string,aliases:array<string>,company:string,title:string,phone:string,wechat_id:string,notes:string,interaction_summary:string,confidence:string,source_quote:string>"
 EVENT = "struct<kind:string,title:string,time_text:string,time_iso:string,has_time_signal:boolean,location:string,participant_names:array<string>,agenda:string,confidence:string,source_quote:string>"
@@ -27,7 +27,7 @@ def parsed(df: DataFrame, raw: str = "raw_extraction") -> DataFrame:
     people without confidence, make it null."""
     doc = F.from_json(raw, DOCUMENT)
     people = F.transform(F.coalesce(doc["participants"], F.array()), lambda p: _with_self(p))
-    events = F.transform(F.coalesce(doc["events"], F.array()), lambda e: e.withField("has_time_signal", F.coalesce(e["has_time_signal"], F.trim(F.coalesce(e["time_iso"], F.lit(""))) != "")).withField("participant_names", F.coalesce(e["participant_names"], F.array())))
+    events = F.transform(F.coalesce(doc["events"], F.array()), lambda e: e.withField("has_time_signal", F.coalesce(e["has_time_signal"], trimmed(F.coalesce(e["time_iso"], F.lit(""))) != "")).withField("participant_names", F.coalesce(e["participant_names"], F.array())))
     whole = F.struct(people.alias("participants"), events.alias("events"), F.coalesce(doc["facts"], F.array()).alias("facts"), F.coalesce(doc["quotes"], F.array()).alias("quotes"))
     bad = doc.isNull() | (doc["participants"].isNull() & doc["events"].isNull() & doc["facts"].isNull() & doc["quotes"].isNull())
     unsure = F.exists(people, lambda p: ~F.coalesce(p["confidence"].isin(CONFIDENCE), F.lit(False)))
@@ -35,7 +35,7 @@ def parsed(df: DataFrame, raw: str = "raw_extraction") -> DataFrame:
 
 
 def _with_self(p: Column) -> Column:
-    own = F.coalesce(p["is_self"], F.trim(p["name"]) == SELF_NAME)
+    own = F.coalesce(p["is_self"], trimmed(p["name"]) == SELF_NAME)
     return p.withField("is_self", own).withField("confidence", F.coalesce(p["confidence"], F.when(own, "high")))
 
 

@@ -6,11 +6,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions.rules import observation_kind
-from skeinflow.functions.text import alias_list, collapsed, norm_compare
+from skeinflow.functions.rules import SELF_NAME, observation_kind
+from skeinflow.functions.text import alias_list, collapsed, distinct_strings, norm_compare, norm_lookup, shortest_sentence, trimmed
 from skeinflow.operators.snapshots import rebased, replaced
 
 FIELDS = ["company", "title", "phone", "wechat_id", "notes"]
+#: How fields are called in observations.
+LABELS = {"company": "公司", "title": "职位", "phone": "电话", "wechat_id": "微信号", "notes": "备注"}
+ALLOWED = {
+    "create_contact": ["name", "aliases", *FIELDS, "merge_contact_id"],
+    "update_contact": ["contact_id", "contact_name", "aliases", "old_aliases", *FIELDS, *[f"old_{f}" for f in FIELDS]],
+    "create_meeting": ["kind", "title", "time_text", "time_iso", "location", "agenda", "agenda_append", "participants", "duplicate_of_meeting_id"],
+    "record_interaction": ["contact_id", "contact_name", "summary"],
+}
 OBSERVATION = ["contact_id", "screenshot_id", "kind", "content", "source_quote", "observed_at"]
 INSIGHTS_PER_CONTACT = 3
 
@@ -21,25 +29,35 @@ def value(name: str) -> Column:
 
 def card_errors(cards: DataFrame) -> DataFrame:
     """cards with ``errors``: what keeps a card from being applied."""
-    blank = lambda name: F.trim(F.coalesce(value(name), F.lit(""))) == ""
+    blank = lambda name: trimmed(F.coalesce(value(name), F.lit(""))) == ""
     is_ = lambda kind: F.col("type") == kind
     bad_id = lambda name: value(name).isNotNull() & ~F.coalesce((value(name).try_cast("long") > 0), F.lit(False))
     checks = [
         (F.col("status") != "pending", "not_pending"),
         (~F.col("type").isin("create_contact", "update_contact", "create_meeting", "record_interaction"), "type"),
-        (is_("create_contact") & blank("name"), "name"), (is_("create_contact") & (F.trim(value("name")) == "我"), "self_name"),
+        (is_("create_contact") & blank("name"), "name"), (is_("create_contact") & (trimmed(value("name")) == SELF_NAME), "self_name"),
         (is_("update_contact") & (blank("contact_id") | bad_id("contact_id")), "contact_id"),
         (is_("create_meeting") & blank("title"), "title"), (is_("create_meeting") & bad_id("duplicate_of_meeting_id"), "meeting_id"),
-        (is_("record_interaction") & blank("summary"), "summary"),
+        (is_("record_interaction") & blank("summary"), "summary"), (is_("record_interaction") & bad_id("contact_id"), "contact_id"),
+        ((is_("record_interaction") | is_("update_contact")) & (trimmed(F.coalesce(value("contact_name"), F.lit(""))) == SELF_NAME), "self_name"),
+        (is_("create_contact") & F.array_contains(alias_list(F.coalesce(value("aliases"), F.lit(""))), SELF_NAME), "self_name"),
+        (is_("create_meeting") & value("kind").isNotNull() & ~value("kind").isin("meeting", "appointment", "other"), "kind"),
+        (is_("create_contact") & value("merge_contact_id").isNotNull() & bad_id("merge_contact_id"), "contact_id"),
+        *[(is_(kind) & (F.size(F.array_except(F.map_keys("payload"), F.array(*[F.lit(f) for f in fields]))) > 0), "field") for kind, fields in ALLOWED.items()],
     ]
     found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in checks])
-    return cards.withColumn("errors", F.filter(found, lambda e: e.isNotNull()))
+    return cards.withColumn("errors", F.array_distinct(F.filter(found, lambda e: e.isNotNull())))
 
 
-def next_ids(df: DataFrame, table: DataFrame, order: str) -> DataFrame:
-    """df with ``new_id`` above the ids of a table. Confirmed cards come in batches of human size."""
+def next_ids(df: DataFrame, table: DataFrame, order: str, buckets: int = 256) -> DataFrame:
+    """df with ``new_id``, gapless above the ids of a table, the same for the same rows: numbers within
+    buckets of the order column (a long) by hash, after the counts of the buckets before."""
     top = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    return df.withColumn("new_id", F.row_number().over(Window.orderBy(order)) + top)
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    sizes = {r["_b"]: r["count"] for r in dealt.groupBy("_b").count().collect()}
+    before = [top + sum(sizes.get(k, 0) for k in range(b)) for b in range(buckets)]
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    return dealt.withColumn("new_id", F.get(F.from_json(F.lit(str(before)), "array<bigint>"), F.col("_b").cast("int")) + inside).drop("_b")
 
 
 def created_contacts(cards: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,12 +66,12 @@ def created_contacts(cards: DataFrame, contacts: DataFrame) -> tuple[DataFrame,
     rows = cards.where("type = 'create_contact'")
     rows = rows.withColumn("merge", value("merge_contact_id").try_cast("long"))
     fresh = next_ids(rows.where("merge is null"), contacts, "card_id")
-    new = fresh.select(F.col("new_id").cast("long").alias("id"), F.trim(value("name")).alias("canonical_name"), alias_list(F.coalesce(value("aliases"), F.lit(""))).alias("aliases"), *[value(f).alias(f) for f in FIELDS], F.col("resolved_at").alias("created_at"), F.col("resolved_at").alias("updated_at"))
-    merged = rows.where("merge is not null").groupBy(F.col("merge").alias("id")).agg(F.flatten(F.collect_list(F.concat(F.array(F.trim(value("name"))), alias_list(F.coalesce(value("aliases"), F.lit("")))))).alias("_more"))
+    new = fresh.select(F.col("new_id").cast("long").alias("id"), trimmed(value("name")).alias("canonical_name"), alias_list(F.coalesce(value("aliases"), F.lit(""))).alias("aliases"), *[value(f).alias(f) for f in FIELDS], F.col("resolved_at").alias("created_at"), F.col("resolved_at").alias("updated_at"))
+    merged = rows.where("merge is not null").groupBy(F.col("merge").alias("id")).agg(F.flatten(F.collect_list(F.concat(F.array(trimmed(value("name"))), alias_list(F.coalesce(value("aliases"), F.lit("")))))).alias("_more"))
     kept = contacts.join(merged, "id", "left")
     names = F.filter(F.array_distinct(F.concat("aliases", F.coalesce("_more", F.array()))), lambda a: norm_compare(a) != norm_compare(F.col("canonical_name")))
     kept = kept.withColumn("aliases", F.when(F.col("_more").isNull(), F.col("aliases")).otherwise(names)).drop("_more").select(*new.columns)
-    ids = fresh.select("card_id", "screenshot_id", F.trim(value("name")).alias("name"), F.col("new_id").cast("long").alias("contact_id")).unionByName(rows.where("merge is not null").select("card_id", "screenshot_id", F.trim(value("name")).alias("name"), F.col("merge").alias("contact_id")))
+    ids = fresh.select("card_id", "screenshot_id", trimmed(value("name")).alias("name"), F.col("new_id").cast("long").alias("contact_id")).unionByName(rows.where("merge is not null").select("card_id", "screenshot_id", trimmed(value("name")).alias("name"), F.col("merge").alias("contact_id")))
     return kept.unionByName(new), ids
 
 
@@ -65,8 +83,9 @@ def updated_contacts(cards: DataFrame, contacts: DataFrame) -> tuple[DataFrame,
     new = rows.groupBy("id").agg(*last, F.max("resolved_at").alias("_at"), F.max(F.struct("card_id", "screenshot_id", "source_quote")).alias("_c"))
     joined = contacts.join(new, "id", "left")
     news = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("old"), F.col(f"n_{f}").alias("new")) for f in FIELDS])
+    labels = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     moved = joined.where("_at is not null").select("id", "_at", "_c", F.explode(F.filter(news, lambda x: x["new"].isNotNull() & x["old"].isNotNull() & (x["old"] != x["new"]))).alias("x"))
-    seen = moved.select(F.col("id").alias("contact_id"), "_c.screenshot_id", F.lit("status_change").alias("kind"), F.concat("x.field", F.lit(": "), "x.old", F.lit(" → "), "x.new").alias("content"), "_c.source_quote", F.col("_at").alias("observed_at"))
+    seen = moved.select(F.col("id").alias("contact_id"), "_c.screenshot_id", F.lit("status_change").alias("kind"), F.concat(F.element_at(labels, F.col("x.field")), F.lit('由 "'), "x.old", F.lit('" 变为 "'), "x.new", F.lit('"')).alias("content"), "_c.source_quote", F.col("_at").alias("observed_at"))
     out = joined.select(*[F.coalesce(f"n_{c}", c).alias(c) if c in FIELDS else F.coalesce("_at", c).alias(c) if c == "updated_at" else F.col(c) for c in contacts.columns])
     return out, seen
 
@@ -100,12 +119,49 @@ def interactions(cards: DataFrame, contacts: DataFrame, created: DataFrame) -> D
     return rows.select("contact_id", "screenshot_id", F.lit("interaction").alias("kind"), value("summary").alias("content"), "source_quote", F.col("resolved_at").alias("observed_at"))
 
 
-def fact_observations(facts: DataFrame, created: DataFrame) -> DataFrame:
-    """Facts (screenshot_id, subject_name, value, source_quote, observed_at) about confirmed people, as
-    preference or fact."""
-    who = created.select("screenshot_id", norm_compare(F.col("name")).alias("_n"), "contact_id").distinct()
-    rows = facts.withColumn("_n", norm_compare(F.col("subject_name"))).join(who, ["screenshot_id", "_n"])
-    return rows.select("contact_id", "screenshot_id", observation_kind(F.col("value")).alias("kind"), F.col("value").alias("content"), "source_quote", "observed_at")
+def contexts(cards: DataFrame, contacts: DataFrame, created: DataFrame) -> DataFrame:
+    """screenshot_id, contact_id, name (norm_lookup): under which names a screenshot's evidence speaks of the
+    contacts of its confirmed cards; those of the contact, of the card, and of a new contact's card."""
+    made = created.select("screenshot_id", "contact_id", F.array("name").alias("said"))
+    given = cards.where("type in ('update_contact', 'record_interaction')").select("screenshot_id", value("contact_id").try_cast("long").alias("contact_id"), F.array(value("contact_name")).alias("said"))
+    rows = made.unionByName(given.where("contact_id is not null")).join(contacts.select(F.col("id").alias("contact_id"), "canonical_name", "aliases"), "contact_id")
+    names = distinct_strings(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array()), F.filter("said", lambda n: n.isNotNull())))
+    return rows.select("screenshot_id", "contact_id", F.explode(names).alias("_n")).select("screenshot_id", "contact_id", norm_lookup(F.col("_n")).alias("name")).distinct()
+
+
+def fact_observations(facts: DataFrame, known: DataFrame) -> DataFrame:
+    """Facts (screenshot_id, subject_name, value, source_quote, observed_at, and field if known) about the
+    people of ``contexts``: fields as 'label: value', notes and others as preference or fact; aliases are no
+    observation."""
+    rows = (facts if "field" in facts.columns else facts.withColumn("field", F.lit("other"))).where("field <> 'alias'")
+    rows = rows.withColumn("name", norm_lookup(F.col("subject_name"))).join(known, ["screenshot_id", "name"])
+    return _observed(rows, F.col("field"), trimmed(F.col("value")), trimmed(F.col("source_quote")))
+
+
+def people_observations(people: DataFrame, known: DataFrame) -> DataFrame:
+    """Fields of participants (screenshot_id, name, aliases, fields, source_quote, observed_at), each with the
+    shortest sentence of the quote that holds it."""
+    said = F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array())), norm_lookup)
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), trimmed(F.col(f)).alias("value")) for f in FIELDS])
+    rows = people.withColumn("_row", F.monotonically_increasing_id()).withColumns({"_names": said, "_f": F.filter(fields, lambda x: x["value"] != "")})
+    rows = rows.select("screenshot_id", "_f", "source_quote", "observed_at", F.explode(F.array_distinct("_names")).alias("name")).join(known, ["screenshot_id", "name"])
+    rows = rows.select("screenshot_id", "contact_id", "source_quote", "observed_at", F.explode("_f").alias("_x")).distinct()
+    return _observed(rows, F.col("_x.field"), F.col("_x.value"), trimmed(shortest_sentence(F.col("source_quote"), F.col("_x.value"))))
+
+
+def _observed(rows: DataFrame, field: Column, said: Column, quote: Column) -> DataFrame:
+    free = field.isin("notes", "other")
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), field)
+    rows = rows.withColumns({"kind": F.when(free, observation_kind(said)).otherwise("fact"), "content": F.when(free, said).otherwise(F.concat(label, F.lit(": "), said)), "source_quote": quote})
+    return rows.where("content <> '' and source_quote <> ''").select(*OBSERVATION)
+
+
+def sibling_cards(names: DataFrame, cards: DataFrame) -> DataFrame:
+    """screenshot_id, shown, name, status of the create cards of a screenshot that go by a displayed name, in
+    any state: why a card that waits for one can't be applied. names: screenshot_id, shown."""
+    made = cards.where("type = 'create_contact'").select("screenshot_id", "card_id", trimmed(value("name")).alias("name"), "status", F.explode(F.concat(F.array(value("name")), alias_list(F.coalesce(value("aliases"), F.lit(""))))).alias("_a"))
+    made = made.select("screenshot_id", "card_id", "name", "status", norm_lookup(F.col("_a")).alias("_k")).distinct()
+    return names.withColumn("_k", norm_lookup(F.col("shown"))).join(made, ["screenshot_id", "_k"]).select("screenshot_id", "shown", "card_id", "name", "status").distinct()
 
 
 def deduplicated(observations: DataFrame) -> DataFrame:
@@ -114,25 +170,37 @@ def deduplicated(observations: DataFrame) -> DataFrame:
     whose value a status change of the contact holds is left out."""
     by_content = F.col("kind").isin("fact", "preference")
     said = observations.where(by_content).groupBy("contact_id", "kind", "content").agg(F.min_by("screenshot_id", F.struct("observed_at", "screenshot_id")).alias("screenshot_id"), F.min_by("source_quote", F.struct(F.length("source_quote"), F.col("observed_at"))).alias("source_quote"), F.min("observed_at").alias("observed_at"))
-    changed = observations.where("kind = 'status_change'").select("contact_id", F.substring_index("content", " → ", -1).alias("content")).distinct()
+    changed = observations.where("kind = 'status_change'").select("contact_id", F.regexp_extract("content", "^(.+?)由 ", 1).alias("_f"), F.regexp_extract("content", '变为 "(?s:(.*))"$', 1).alias("_v"))
+    changed = changed.select("contact_id", F.when(F.col("_f") == LABELS["notes"], F.col("_v")).otherwise(F.concat("_f", F.lit(": "), "_v")).alias("content")).distinct()
     said = said.join(changed, ["contact_id", "content"], "left_anti")
     met = observations.where("kind = 'interaction'").groupBy("contact_id", "screenshot_id", "kind").agg(F.min_by(F.struct("content", "source_quote", "observed_at"), F.struct("observed_at", "content")).alias("_x")).select("contact_id", "screenshot_id", "kind", "_x.*")
     rest = observations.where(~by_content & (F.col("kind") != "interaction")).groupBy("contact_id", "screenshot_id", "kind", "content", "source_quote").agg(F.min("observed_at").alias("observed_at"))
     return said.select(*OBSERVATION).unionByName(met.select(*OBSERVATION)).unionByName(rest.select(*OBSERVATION))
 
 
-def execute(cards: DataFrame, contacts: DataFrame, meetings: DataFrame, observations: DataFrame, facts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The next snapshot: contacts, meetings, observations, and the rejected cards with their errors."""
+def settled(cards: DataFrame, created: DataFrame) -> DataFrame:
+    """The applied cards with status confirmed and the contact that each ended at."""
+    made = created.select("card_id", F.col("contact_id").alias("_made"))
+    rows = cards.join(made, "card_id", "left").withColumn("resolved_contact_id", F.coalesce("_made", value("contact_id").try_cast("long")))
+    return rows.withColumn("status", F.lit("confirmed")).drop("_made", "errors")
+
+
+def execute(cards: DataFrame, contacts: DataFrame, meetings: DataFrame, observations: DataFrame, facts: DataFrame | None = None, people: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The next snapshot: contacts, meetings, observations, the applied cards, and the rejected ones with
+    their errors. facts and people: of the evidence, for the observations that follow from it."""
     checked = card_errors(cards)
     valid = checked.where(F.size("errors") == 0)
-    people, created = created_contacts(valid, contacts)
-    people, moved = updated_contacts(valid, people)
-    told = interactions(valid, people, created).unionByName(moved)
+    library, created = created_contacts(valid, contacts)
+    library, moved = updated_contacts(valid, library)
+    told = interactions(valid, library, created).unionByName(moved)
+    known = contexts(valid, library, created)
     if facts is not None:
-        told = told.unionByName(fact_observations(facts, created))
+        told = told.unionByName(fact_observations(facts, known))
+    if people is not None:
+        told = told.unionByName(people_observations(people, known))
     return {
-        "contacts": people, "meetings": applied_meetings(valid, meetings, created), "observations": deduplicated(observations.select(*OBSERVATION).unionByName(told)),
-        "rejected": checked.where(F.size("errors") > 0), "created": created,
+        "contacts": library, "meetings": applied_meetings(valid, meetings, created), "observations": deduplicated(observations.select(*OBSERVATION).unionByName(told)),
+        "rejected": checked.where(F.size("errors") > 0), "created": created, "cards": settled(valid, created),
     }
 
 

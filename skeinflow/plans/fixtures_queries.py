@@ -1,4 +1,6 @@
-"""Queries of composite pipelines over literal evidence; and golden time phrases."""
+"""Queries of composite pipelines over evidence documents, and of time phrases. A document is made of every
+conversation (turns as people, quotes, facts and events), customers are the library, purchases the known
+meetings; a few literal documents, which tests read alone, come along."""
 
 from __future__ import annotations
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import chinese_time
 from skeinflow.plans import evidence, execute, propose, resolve
+from skeinflow.registry import Tables
+from skeinflow.scratch import materialize
 
 CONTACTS = "id long, canonical_name string, aliases array<string>, company string, title string, phone string, wechat_id string, notes string, created_at string, updated_at string"
 MEETINGS = "id long, kind string, title string, time_iso string, time_text string, location string, participants array<struct<contact_id:long,name:string>>, agenda string, status string, created_at string"
@@ -38,61 +42,115 @@ DOCUMENTS = {
 }
 
 
-def documents(spark: SparkSession) -> DataFrame:
-    rows = [(k, json.dumps(v, ensure_ascii=False)) for k, v in DOCUMENTS.items()] + [(3, "{damaged")]
-    return evidence.parsed(spark.createDataFrame(rows, "screenshot_id long, raw_extraction string"))
+OFFSET = 1000  #: ids from the tables lie above those of the literal rows
+NOW = "2026-08-28T10:00:00+08:00"
+SAID = ["【通知】评审会议改到周四", "合同已提交", "联系客户确认", "预算评审会议", "收到", "地点换到三楼", "客户拜访"]
 
 
-def contacts(spark: SparkSession) -> DataFrame:
+def _literal(spark: SparkSession) -> DataFrame:
+    rows = [(k, json.dumps(v, ensure_ascii=False)) for k, v in DOCUMENTS.items()] + [(3, "{damaged")]
+    return spark.createDataFrame(rows, "screenshot_id long, raw_extraction string")
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """screenshot_id, raw_extraction: a document of every conversation, as a model would give it."""
+    t = Tables(spark, sf_dir)
+    people = t.customer.select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
+    rows = t.conversations.withColumn("k", (F.col("conv_id") * 7 + F.col("turn")) % 100 + 1).join(people, "k")
+    no, text = F.col("conv_id") + F.col("turn"), F.coalesce("text", F.lit(""))
+    said = F.get(F.array(*[F.lit(x) for x in SAID]), (no % len(SAID)).cast("int"))
+    name = F.when(no % 4 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    own = F.col("role") == "system"
+    nothing = F.lit(None).cast("string")
+    person = F.struct(name.alias("name"), own.alias("is_self"), F.when(no % 5 == 0, "mentioned").alias("role"), F.when(no % 3 == 0, "respond").otherwise("initiate").alias("speech_act"), F.when(no % 2 == 0, F.col("c_mktsegment")).alias("company"), F.when(no % 7 == 0, F.concat("c_mktsegment", F.lit("，"), said)).alias("notes"), said.alias("interaction_summary"), F.lit("high").alias("confidence"), F.concat(name, F.lit("："), text).alias("source_quote"))
+    quote = F.struct(name.alias("speaker_name"), F.concat(said, F.lit(" "), text).alias("text"), F.concat(said, F.lit(" "), text).alias("source_quote"))
+    fact = F.struct(name.alias("subject_name"), F.get(F.array(*[F.lit(f) for f in ("phone", "alias", "other", "title", "notes")]), (no % 5).cast("int")).alias("field"), F.when(no % 5 == 1, F.concat("c_name", F.col("c_mktsegment"))).otherwise(F.concat(said, F.col("k").cast("string"))).alias("value"), F.lit("medium").alias("confidence"), text.alias("source_quote"))
+    event_ = F.struct(F.when(no % 2 == 0, "other").otherwise("meeting").alias("kind"), said.alias("title"), F.concat((F.col("turn") % 12 + 1).cast("string"), F.lit("月2日3点")).alias("time_text"), nothing.alias("time_iso"), F.lit(False).alias("has_time_signal"), nothing.alias("location"), F.array(name).alias("participant_names"), F.lit("high").alias("confidence"), F.concat(said, F.lit("："), text).alias("source_quote"))
+    each = lambda x, where=F.lit(True): F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("turn", x.alias("x"))))), lambda r: r["x"])
+    doc = rows.groupBy("conv_id").agg(each(person).alias("participants"), each(event_, F.col("turn") % 3 == 0).alias("events"), each(fact).alias("facts"), each(quote).alias("quotes"))
+    return doc.select((F.col("conv_id") + OFFSET).alias("screenshot_id"), F.to_json(F.struct("participants", "events", "facts", "quotes")).alias("raw_extraction"))
+
+
+def documents(spark: SparkSession, sf_dir: str = "") -> DataFrame:
+    raw = _literal(spark)
+    return evidence.parsed(raw.unionByName(_conversations(spark, sf_dir)) if sf_dir else raw)
+
+
+def contacts(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     at = "2026-08-01T09:00:00+08:00"
     rows = [(1, "林舟", ["Lin Zhou"], "北辰", None, None, None, None, at, at), (2, "陈默", ["Mo"], None, None, None, None, None, at, at)]
-    return spark.createDataFrame(rows, CONTACTS)
+    own = spark.createDataFrame(rows, CONTACTS)
+    if not sf_dir:
+        return own
+    empty = F.lit(None).cast("string")
+    more = Tables(spark, sf_dir).customer.where("c_custkey % 2 = 0").select((F.col("c_custkey") + OFFSET).alias("id"), F.col("c_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"), F.col("c_mktsegment").alias("company"), *[empty.alias(c) for c in ("title", "phone", "wechat_id", "notes")], F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"))
+    return own.unionByName(more)
 
 
-def meetings(spark: SparkSession) -> DataFrame:
+def meetings(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     rows = [(7, "meeting", "北辰科技方案评审会议", "2026-09-02T15:00:00+08:00", "9月2日", None, [(1, "林舟")], "看报价", "upcoming", "2026-08-20T09:00:00+08:00")]
-    return spark.createDataFrame(rows, MEETINGS)
+    own = spark.createDataFrame(rows, MEETINGS)
+    if not sf_dir:
+        return own
+    empty, id_ = F.lit(None).cast("string"), F.col("event_id")
+    who = F.array(F.struct(F.lit(None).cast("long").alias("contact_id"), F.concat(F.lit("Customer#"), F.lpad((id_ % 100 + 1).cast("string"), 9, "0")).alias("name")))
+    more = Tables(spark, sf_dir).events.where("event_type = 'purchase'").select((id_ + OFFSET).alias("id"), F.lit("meeting").alias("kind"), F.concat(F.lit("预算评审会议 第"), id_.cast("string"), F.lit("次")).alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss+08:00").alias("time_iso"), F.lit("").alias("time_text"), empty.alias("location"), who.alias("participants"), empty.alias("agenda"), F.lit("upcoming").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss+08:00").alias("created_at"))
+    return own.unionByName(more)
 
 
-def model(spark: SparkSession) -> DataFrame:
+def model(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     rows = [(1, 1, "new", None, []), (2, 0, "new", None, []), (2, 1, "new", None, []), (2, 2, "new", None, [])]
-    return spark.createDataFrame(rows, "screenshot_id long, pos int, decision string, contact_id long, candidate_ids array<long>")
+    own = spark.createDataFrame(rows, "screenshot_id long, pos int, decision string, contact_id long, candidate_ids array<long>")
+    if not sf_dir:
+        return own
+    people = evidence.children(evidence.parsed(_conversations(spark, sf_dir)), "participants")
+    return own.unionByName(people.select("screenshot_id", "pos", F.lit("new").alias("decision"), F.lit(None).cast("long").alias("contact_id"), F.array().cast("array<bigint>").alias("candidate_ids")))
 
 
-def _parts(spark: SparkSession) -> dict[str, DataFrame]:
-    docs = documents(spark)
+def _parts(spark: SparkSession, sf_dir: str = "") -> dict[str, DataFrame]:
+    docs = materialize(documents(spark, sf_dir))
     return {p: evidence.children(docs, p) for p in evidence.PARTS}
 
 
 def resolve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve_participants(_parts(spark)["participants"], contacts(spark), model(spark))
+    return resolve.resolve_participants(_parts(spark, sf_dir)["participants"], contacts(spark, sf_dir), model(spark, sf_dir))
 
 
 def progress_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark)
+    p = _parts(spark, sf_dir)
     return resolve.progress_fragments(p["participants"], p["facts"], p["events"], p["quotes"]).drop("place")
 
 
 def propose_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark)
-    resolved = resolve.resolve_participants(p["participants"], contacts(spark), model(spark))
+    """Cards of all documents. Fragments that report progress go to the one known meeting of the literal rows."""
+    p = _parts(spark, sf_dir)
+    resolved = resolve.resolve_participants(p["participants"], contacts(spark, sf_dir), model(spark, sf_dir))
     related = evidence.related(p["participants"], p["facts"], p["quotes"])
-    return propose.propose(p, related, resolved, contacts(spark), meetings(spark))
+    told = resolve.progress_fragments(p["participants"], p["facts"], p["events"], p["quotes"]).where("screenshot_id = 2").withColumn("fragment_id", F.xxhash64("content", "source_quote"))
+    found = resolve.progress_resolutions(told.select("fragment_id", "content", "source_quote"), told.select("fragment_id", F.lit(7).cast("long").alias("meeting_id"), F.lit("high").alias("confidence")))
+    source = spark.createDataFrame([(7, 2)], "meeting_id long, screenshot_id long")
+    return propose.propose(p, related, resolved, contacts(spark, sf_dir), meetings(spark, sf_dir), found, source, F.lit(NOW).cast("timestamp"))
 
 
 def execute_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations after all proposed cards were confirmed."""
-    cards = propose_pipeline(spark, sf_dir).select((F.col("screenshot_id") * 1000 + F.col("card_no")).alias("card_id"), "screenshot_id", "type", "payload", "source_quote", F.lit("pending").alias("status"), F.lit("2026-08-28T10:00:00+08:00").alias("resolved_at"))
-    facts = _parts(spark)["facts"].select("screenshot_id", "subject_name", "value", "source_quote", F.lit("2026-08-28T10:00:00+08:00").alias("observed_at"))
+    cards = propose_pipeline(spark, sf_dir).select((F.col("screenshot_id") * 1000 + F.col("card_no")).alias("card_id"), "screenshot_id", "type", "payload", "source_quote", F.lit("pending").alias("status"), F.lit(NOW).alias("resolved_at"))
+    p = _parts(spark, sf_dir)
+    facts = p["facts"].select("screenshot_id", "subject_name", "field", "value", "source_quote", F.lit(NOW).alias("observed_at"))
+    people = p["participants"].where("not is_self").withColumn("observed_at", F.lit(NOW))
     none = spark.createDataFrame([], "contact_id long, screenshot_id long, kind string, content string, source_quote string, observed_at string")
-    return execute.execute(cards, contacts(spark), meetings(spark), none, facts)["observations"]
+    return execute.execute(materialize(cards), contacts(spark, sf_dir), meetings(spark, sf_dir), none, facts, people)["observations"]
 
 
 PHRASES = ["今天", "今晚12点", "下周三下午3点半", "本周三", "周三3点", "9月2日晚上8点", "1月2号", "改天", "第2号方案", "下周三点半", "礼拜五上午十点一刻"]
 
 
 def timeparse_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases as of one moment and, of the tables, one phrase as of every event."""
     rows = spark.createDataFrame([(p,) for p in PHRASES], "phrase string").withColumn("now", F.lit("2026-08-27 02:00:00").cast("timestamp"))
+    if sf_dir:
+        phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("event_id") % len(PHRASES)).cast("int"))
+        rows = rows.unionByName(Tables(spark, sf_dir).events.select(phrase.alias("phrase"), F.col("ts").cast("timestamp").alias("now")))
     rows = rows.withColumn("iso", chinese_time.resolve_time(F.col("phrase"), F.col("now")))
     return rows.select("phrase", "iso", chinese_time.confirm_label(F.col("iso"), F.col("phrase")).alias("label"))
 

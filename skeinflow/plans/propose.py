@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions import rules
-from skeinflow.functions.chinese_time import calendar_day
-from skeinflow.functions.text import cjk_ratio, distinct_strings, free_notes, joined_quotes, mentions, norm_compare, norm_contact, without_speaker
+from skeinflow.functions import contacts, rules
+from skeinflow.functions.chinese_time import calendar_day, text_day
+from skeinflow.functions.text import cjk_ratio, content_key, distinct_strings, joined_quotes, label_key, mentions, norm_compare, norm_contact, norm_contacts, trimmed, without_speaker
 from skeinflow.operators import match
 from skeinflow.operators.snapshots import appended
-from skeinflow.plans.evidence import first_fact
+from skeinflow.scratch import materialize
 
 FIELDS = ["company", "title", "phone", "wechat_id", "notes"]
 TYPES = ["create_contact", "update_contact", "create_meeting", "record_interaction"]
@@ -28,29 +28,40 @@ def _card(kind: str, payload: dict[str, Column], confidence: Column, quote: Colu
 
 
 def drafts(related: DataFrame) -> DataFrame:
-    """What a contact would hold: a person's own fields, else the first fact of the field; aliases with
-    those from facts; of the notes the part that repeats no other field."""
-    fact = lambda f: F.coalesce(F.nullif(F.trim(f), F.lit("")), first_fact(F.col("facts"), f))
-    rows = related.withColumns({f"d_{f}": fact(f) for f in FIELDS})
-    said = F.filter(F.array(*[F.col(f"d_{f}") for f in FIELDS if f != "notes"]), lambda v: v.isNotNull())
-    found = F.transform(F.filter("facts", lambda f: f["field"] == "alias"), lambda f: f["value"])
-    return rows.withColumns({
-        "d_notes": F.nullif(free_notes(F.col("d_notes"), said), F.lit("")),
-        "d_aliases": F.filter(distinct_strings(F.concat(F.coalesce("aliases", F.array()), found)), lambda a: norm_compare(a) != norm_compare(F.col("name"))),
-        "d_quote": joined_quotes(F.concat(F.array("source_quote"), F.transform("facts", lambda f: f["source_quote"]))),
+    """What a contact would hold: a person's own fields, else the first fact of the field; aliases, with those
+    from facts, that say something new; of the notes and other facts what repeats no field of the same quote;
+    and the quotes of all that."""
+    own = lambda f: F.nullif(trimmed(F.col(f)), F.lit(""))
+    fields = [f for f in FIELDS if f != "notes"]
+    facts_of = lambda *names: F.filter("facts", lambda x: x["field"].isin(*names))
+    rows = related.withColumns({f"_f_{f}": F.when(own(f).isNull(), F.get(facts_of(f), F.lit(0))) for f in fields})
+    rows = rows.withColumns({f"d_{f}": F.coalesce(own(f), F.col(f"_f_{f}.value")) for f in fields})
+    anchors = F.array(*[F.struct(F.coalesce(f"_f_{f}.source_quote", "source_quote").alias("quote"), F.col(f"d_{f}").alias("value")) for f in fields])
+    rows = rows.withColumns({"_anchors": F.filter(anchors, lambda a: a["value"].isNotNull()), "_told": facts_of("notes", "other"), "_called": facts_of("alias")})
+    rows = rows.withColumns({
+        "_notes": contacts.gathered_notes(F.col("notes"), F.col("source_quote"), F.col("_told"), F.col("_anchors")),
+        "_names": contacts.gathered_aliases(F.coalesce("aliases", F.array().cast("array<string>")), F.col("_called")),
     })
+    known = F.array("d_company", "d_title")
+    quotes = F.concat(F.array("source_quote"), F.col("_names.quotes"), F.array(*[F.col(f"_f_{f}.source_quote") for f in fields]), F.col("_notes.quotes"))
+    rows = rows.withColumns({"_derived": contacts.derived_aliases(F.col("_names.values"), F.array("name"), known), "_quotes": F.filter(quotes, lambda q: q.isNotNull())})
+    return rows.withColumns({
+        "d_notes": F.nullif(F.array_join("_notes.values", "；"), F.lit("")),
+        "d_aliases": F.array_except("_names.values", "_derived"),
+        "d_quote": joined_quotes(F.col("_quotes")),
+    }).drop("_anchors", "_told", "_called", "_notes", "_names", "_derived", "_quotes", *[f"_f_{f}" for f in fields])
 
 
-def contact_cards(drafted: DataFrame, resolved: DataFrame, contacts: DataFrame) -> DataFrame:
+def contact_cards(drafted: DataFrame, resolved: DataFrame, people: DataFrame) -> DataFrame:
     """A create card for every person not in the library (unless a mere mention), an update card for
     every one in it with fields that say more than the library."""
     rows = drafted.join(resolved.select(KEY, "pos", "status", "contact_id", "candidate_ids"), [KEY, "pos"])
-    known = F.exists(F.array(*[F.col(f"d_{f}") for f in FIELDS]), lambda v: v.isNotNull())
+    known = F.exists(F.array(*[F.nullif(trimmed(F.col(f)), F.lit("")) for f in FIELDS if f != "notes"]), lambda v: v.isNotNull()) | (F.size(distinct_strings(F.coalesce("aliases", F.array()))) > 0)
     mention = rules.suppressed_mention(F.col("role"), F.col("name"), known, F.size("facts") > 0)
     new = rows.where((F.col("status") != "same_as") & ~mention)
-    values = {"name": F.trim("name"), "aliases": F.array_join("d_aliases", "、"), **{f: F.col(f"d_{f}") for f in FIELDS}}
+    values = {"name": trimmed(F.col("name")), "aliases": F.array_join("d_aliases", "、"), **{f: F.col(f"d_{f}") for f in FIELDS}}
     created = new.select(*_card("create_contact", values, F.col("confidence"), F.col("d_quote"), F.col("candidate_ids")))
-    lib = contacts.select(F.col("id").alias("contact_id"), "canonical_name", *[F.col(f).alias(f"c_{f}") for f in FIELDS])
+    lib = people.select(F.col("id").alias("contact_id"), "canonical_name", F.coalesce("aliases", F.array()).alias("c_aliases"), *[F.col(f).alias(f"c_{f}") for f in FIELDS])
     old = rows.where("status = 'same_as'").join(lib, "contact_id")
 
     def change(f: str) -> Column:
@@ -59,25 +70,36 @@ def contact_cards(drafted: DataFrame, resolved: DataFrame, contacts: DataFrame)
             differs = differs & ~rules.redundant_value(F.col(f"c_{f}"), F.col(f"d_{f}"))
         return F.when(F.col(f"d_{f}").isNotNull() & differs, F.col(f"d_{f}"))
 
-    changed = old.withColumns({f"n_{f}": change(f) for f in FIELDS})
-    changed = changed.where(F.exists(F.array(*[F.col(f"n_{f}") for f in FIELDS]), lambda v: v.isNotNull()))
-    fields = {"contact_id": F.col("contact_id"), "contact_name": F.col("canonical_name"), **{f: F.col(f"n_{f}") for f in FIELDS}, **{f"old_{f}": F.when(F.col(f"n_{f}").isNotNull(), F.col(f"c_{f}")) for f in FIELDS}}
+    said = distinct_strings(F.concat(F.array("name"), F.coalesce("aliases", F.array())))
+    old = old.withColumn("_said", said).withColumn("_derived", contacts.derived_aliases(F.col("_said"), F.concat(F.array("canonical_name"), F.col("c_aliases")), F.array("c_company", "c_title", "d_company", "d_title")))
+    more = F.array_except("_said", "_derived")
+    changed = old.withColumns({**{f"n_{f}": change(f) for f in FIELDS}, "n_aliases": F.nullif(F.array_join(more, "，"), F.lit("")), "c_aliases": F.array_join("c_aliases", "，")})
+    changed = changed.where(F.exists(F.array(*[F.col(f"n_{f}") for f in ["aliases", *FIELDS]]), lambda v: v.isNotNull()))
+    fields = {"contact_id": F.col("contact_id"), "contact_name": F.col("canonical_name"), **{f: F.col(f"n_{f}") for f in ["aliases", *FIELDS]}, **{f"old_{f}": F.when(F.col(f"n_{f}").isNotNull(), F.col(f"c_{f}")) for f in ["aliases", *FIELDS]}}
     return created.unionByName(changed.select(*_card("update_contact", fields, F.col("confidence"), F.col("d_quote"))))
 
 
 def routed_events(events: DataFrame) -> DataFrame:
     """events with ``route``: keep, timeless_dropped, no_change (a notice that changes nothing) or notice."""
-    notice = rules.meeting_notice(F.col("kind"), F.col("title")) | rules.meeting_notice(F.col("kind"), F.col("source_quote"))
-    changes = rules.meeting_change(F.col("title")) | rules.meeting_change(F.col("source_quote"))
+    notice = rules.meeting_notice(F.col("kind"), F.col("title"), F.col("source_quote"))
+    changes = rules.meeting_change(F.col("title"), F.col("source_quote"))
     timeless = rules.timeless_communication(F.col("kind"), F.col("has_time_signal"), F.col("location"), F.col("title"))
     return events.withColumn("route", F.when(notice & ~changes, "no_change").when(notice, "notice").when(timeless, "timeless_dropped").otherwise("keep"))
 
 
-def notice_targets(routed: DataFrame, meetings: DataFrame) -> DataFrame:
-    """screenshot_id, pos, meeting_id of notices: the one meeting of a like title, else the one of the
-    day with a common participant."""
-    n = routed.where("route = 'notice'").select(F.struct(KEY, "pos").alias("_n"), F.col("title").alias("_t"), calendar_day(F.col("time_iso")).alias("day"), F.filter("participant_names", lambda x: x != rules.SELF_NAME).alias("names"))
-    m = meetings.where("kind = 'meeting'").select(F.col("id").alias("_m"), F.col("title").alias("_u"), calendar_day(F.col("time_iso")).alias("day"), F.transform("participants", lambda p: p["name"]).alias("names"))
+def _named(events: DataFrame, names: Column, now: Column | None) -> DataFrame:
+    """Title keys, days and names of events or meetings, as notices are compared with them. now: a timestamp
+    whose year a month and day without a year has; without it only times count."""
+    day = calendar_day(F.col("time_iso"))
+    day = day if now is None else F.coalesce(day, text_day(F.col("time_text"), now))
+    return events.withColumns({"_t": norm_contact(F.col("title")), "day": day, "names": F.array_distinct(F.filter(F.transform(names, norm_compare), lambda n: n != ""))})
+
+
+def notice_targets(routed: DataFrame, meetings: DataFrame, now: Column | None = None) -> DataFrame:
+    """screenshot_id, pos, meeting_id of notices: the one meeting of a like title, else, if no title is alike,
+    the one of the day with a common participant."""
+    n = _named(routed.where("route = 'notice'"), F.col("participant_names"), now).select(F.struct(KEY, "pos").alias("_n"), "_t", "day", "names")
+    m = _named(meetings.where("kind = 'meeting'"), F.transform("participants", lambda p: p["name"]), now).select(F.col("id").alias("_m"), F.col("_t").alias("_u"), "day", "names")
     alike = match.similar_pairs(n, m, "_n", "_t", "_m", "_u", 0.9)
     first = match.unique_target(alike, "_n", "_m")
     rest = n.join(alike.select("_n").distinct(), "_n", "left_anti").where("day is not null")
@@ -85,14 +107,57 @@ def notice_targets(routed: DataFrame, meetings: DataFrame) -> DataFrame:
     return first.unionByName(second).select(f"_n.{KEY}", "_n.pos", F.col("_m").alias("meeting_id"))
 
 
-def meeting_cards(routed: DataFrame, meetings: DataFrame) -> DataFrame:
-    """A meeting card per kept event; one that repeats a known meeting names it."""
-    kept = routed.where("route = 'keep'").withColumns({"_id": F.struct(KEY, "pos"), "_title": norm_contact(F.col("title")), "_day": calendar_day(F.col("time_iso"))})
+def batch_targets(routed: DataFrame, stored: DataFrame, now: Column | None = None) -> DataFrame:
+    """screenshot_id, pos, target (pos of a meeting of the same screenshot) of notices without a stored
+    meeting: the one of a like title, else the one with a common participant and, if the notice has a day, of
+    that day."""
+    rows = _named(routed, F.col("participant_names"), now)
+    n = rows.where("route = 'notice'").join(stored.select(KEY, "pos"), [KEY, "pos"], "left_anti").select(KEY, F.struct(KEY, "pos").alias("_n"), "_t", "day", "names")
+    m = rows.where("kind = 'meeting'").select(KEY, F.col("pos").alias("_m"), F.col("_t").alias("_u"), F.col("day").alias("_day"), F.col("names").alias("_names"))
+    alike = match.similar_pairs(n, m, "_n", "_t", "_m", "_u", 0.9, (KEY,))
+    first = match.unique_target(alike, "_n", "_m")
+    rest = n.join(alike.select("_n").distinct(), "_n", "left_anti").select(KEY, "_n", "day", F.explode("names").alias("_p"))
+    met = rest.join(m.select(KEY, "_m", "_day", F.explode("_names").alias("_p")), [KEY, "_p"]).where(F.col("day").isNull() | (F.col("day") == F.col("_day")))
+    second = match.unique_target(met.select("_n", "_m").distinct(), "_n", "_m")
+    return first.unionByName(second).select(f"_n.{KEY}", "_n.pos", F.col("_m").alias("target"))
+
+
+def without_discarded(fragments: DataFrame, routed: DataFrame) -> DataFrame:
+    """Fragments (screenshot_id, source_quote, ...) without those whose quote a notice or a timeless event
+    that was taken out already holds."""
+    gone = routed.where("route <> 'keep'").withColumn("source_quote", trimmed(F.col("source_quote")))
+    gone = gone.select(KEY, F.struct(norm_contact(F.col("source_quote")).alias("key"), label_key(F.col("source_quote")).alias("label"), content_key(F.col("source_quote")).alias("content")).alias("_g"))
+    gone = gone.groupBy(KEY).agg(F.collect_set("_g").alias("_gone"))
+    rows = fragments.join(gone, KEY, "left").withColumns({"_k": norm_contact(F.col("source_quote")), "_l": label_key(F.col("source_quote")), "_c": content_key(F.col("source_quote"))})
+    hit = F.coalesce(rules.discarded(F.col("_k"), F.col("_l"), F.col("_c"), F.col("_gone")), F.lit(False))
+    return rows.where(~hit).select(*fragments.columns)
+
+
+def changed_targets(routed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Events that are kept, the targets of notices with the notices' quotes in agenda and quote."""
+    quotes = targets.join(routed.select(KEY, "pos", "source_quote"), [KEY, "pos"])
+    added = quotes.groupBy(KEY, F.col("target").alias("pos")).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").alias("p"), "source_quote")))["source_quote"].alias("_q"))
+    rows = routed.where("route = 'keep'").join(added, [KEY, "pos"], "left")
+    some = F.col("_q").isNotNull()
+    return rows.withColumns({
+        "agenda": F.when(some, appended(F.col("agenda"), F.array_join("_q", "；"))).otherwise(F.col("agenda")),
+        "source_quote": F.when(some, joined_quotes(F.concat(F.array("source_quote"), F.col("_q")))).otherwise(F.col("source_quote")),
+    }).drop("_q")
+
+
+def repeated_meetings(events: DataFrame, meetings: DataFrame) -> DataFrame:
+    """_id (screenshot_id, pos) and _m (known meeting) of events that repeat a known meeting."""
+    rows = events.select(F.struct(KEY, "pos").alias("_id"), "kind", norm_contact(F.col("title")).alias("_title"), calendar_day(F.col("time_iso")).alias("_day"))
     known = meetings.select(F.col("id").alias("_m"), "kind", norm_contact(F.col("title")).alias("_title"), calendar_day(F.col("time_iso")).alias("_day"))
-    same = match.duplicate_meetings(kept, known, "_id", "_m", "kind", "_title", "_day").drop("tier")
-    rows = kept.join(same, "_id", "left")
-    agenda = F.coalesce("agenda", F.when(F.col("kind") == "other", F.col("source_quote")))
-    fields = {"kind": F.col("kind"), "title": F.col("title"), "time_text": F.col("time_text"), "time_iso": F.col("time_iso"), "location": F.col("location"), "agenda": agenda, "participants": F.array_join("participant_names", "、"), "duplicate_of_meeting_id": F.col("_m")}
+    return match.duplicate_meetings(rows, known, "_id", "_m", "kind", "_title", "_day").drop("tier")
+
+
+def meeting_cards(kept: DataFrame, meetings: DataFrame) -> DataFrame:
+    """A meeting card per kept event; one that repeats a known meeting names it."""
+    rows = kept.withColumn("_id", F.struct(KEY, "pos")).join(repeated_meetings(kept, meetings), "_id", "left")
+    whole = F.nullif(trimmed(F.regexp_replace("source_quote", "(?U)\\s*\\n\\s*", "")), F.lit(""))
+    agenda = F.coalesce(F.nullif(F.col("agenda"), F.lit("")), F.when(F.col("kind") == "other", whole))
+    fields = {"kind": F.col("kind"), "title": F.col("title"), "time_text": trimmed(F.col("time_text")), "time_iso": F.nullif(trimmed(F.col("time_iso")), F.lit("")), "location": F.col("location"), "agenda": agenda, "participants": F.array_join("participant_names", "、"), "duplicate_of_meeting_id": F.col("_m")}
     return rows.select(*_card("create_meeting", fields, F.col("confidence"), F.col("source_quote")))
 
 
@@ -116,35 +181,47 @@ def interaction_cards(drafted: DataFrame, resolved: DataFrame, events: DataFrame
     own = F.when(mentions(F.col("source_quote"), names), F.array().cast("array<string>")).otherwise(F.array("source_quote"))
     rows = rows.withColumns({
         "_key": F.when(F.col("status") == "same_as", F.concat(F.lit("contact:"), F.col("contact_id").cast("string"))).otherwise(F.concat(F.lit("pending:"), F.col("normalized_name"))),
-        "_own": own, "_said": F.transform("quotes", lambda q: q["text"]), "_rank": F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0),
+        "_own": own, "_quotes": F.transform("quotes", lambda q: F.struct(q["text"].alias("text"), q["source_quote"].alias("source_quote"))), "_facts": F.transform("facts", lambda f: f["source_quote"]), "_rank": F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0),
     })
-    grouped = rows.groupBy(KEY, "_key").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "_own", "_said", "interaction_summary"))).alias("_g"), F.max("_rank").alias("_rank"), F.first("status").alias("status"), F.first("contact_id").alias("contact_id"), F.min("pos").alias("pos"))
-    grouped = grouped.withColumns({"name": F.get("_g", F.lit(0))["name"], "_own": F.flatten(F.col("_g._own")), "_said": F.flatten(F.col("_g._said")), "summary": F.array_join(distinct_strings(F.filter("_g.interaction_summary", lambda s: s.isNotNull())), "；")})
+    grouped = rows.groupBy(KEY, "_key").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "_own", "_quotes", "_facts", "interaction_summary"))).alias("_g"), F.max("_rank").alias("_rank"), F.first("status").alias("status"), F.first("contact_id").alias("contact_id"), F.min("pos").alias("pos"))
+    grouped = grouped.withColumns({"name": F.get("_g", F.lit(0))["name"], "_own": F.flatten(F.col("_g._own")), "_quotes": F.flatten(F.col("_g._quotes")), "_said": F.transform(F.flatten(F.col("_g._quotes")), lambda q: q["text"]), "_facts": F.flatten(F.col("_g._facts")), "summary": F.array_join(distinct_strings(F.filter("_g.interaction_summary", lambda s: s.isNotNull())), "；")})
     made = created.where("type = 'create_contact'").select(F.col(KEY).alias("_shot"), norm_compare(F.col("payload")["name"]).alias("_made"), F.lit(True).alias("_has")).distinct()
     grouped = grouped.join(made, (F.col(KEY) == F.col("_shot")) & (norm_compare(F.col("name")) == F.col("_made")), "left").drop("_shot", "_made")
     grouped = grouped.where((F.col("status") == "same_as") | F.col("_has"))
-    evidence = distinct_strings(F.transform(F.when(F.size("_said") > 0, F.col("_said")).otherwise(F.col("_own")), lambda e: without_speaker(e, F.array("name"))))
+    evidence = F.array_distinct(F.filter(F.transform(F.when(F.size("_said") > 0, F.col("_said")).otherwise(F.col("_own")), lambda e: trimmed(without_speaker(e, F.array("name")))), lambda e: e != ""))
     held = events.groupBy(KEY).agg(F.collect_set("source_quote").alias("_held"), F.bool_or(F.col("kind").isin("meeting", "appointment")).alias("_meets"))
-    rows = grouped.withColumn("_evidence", evidence).join(held, KEY, "left")
-    alive = F.filter("_evidence", lambda e: ~rules.pure_acknowledgement(e) & ~F.coalesce(rules.covered_by(e, F.col("_held")), F.lit(False)))
-    rows = rows.withColumn("_alive", alive).where((F.size("_alive") > 0) & ~(F.coalesce("_meets", F.lit(False)) & F.forall("_alive", rules.meeting_logistics)))
-    text = F.array_join(F.filter("_evidence", lambda e: ~rules.pure_acknowledgement(e)), "；")
+    rows = grouped.withColumn("_evidence", evidence).join(held, KEY, "left").withColumn("_held", rules.coverage(F.coalesce("_held", F.array().cast("array<string>"))))
+    rows = rows.withColumn("_keyed", F.arrays_zip("_evidence", norm_contacts(F.col("_evidence")).alias("key")))
+    alive = F.filter("_keyed", lambda e: ~rules.pure_acknowledgement(e["_evidence"]) & ~rules.covered_by(e["key"], F.col("_held")))
+    rows = rows.withColumn("_alive", F.transform(alive, lambda e: e["_evidence"])).where((F.size("_alive") > 0) & ~(F.coalesce("_meets", F.lit(False)) & F.forall("_alive", rules.meeting_logistics)))
+    own = distinct_strings(F.filter("_own", lambda e: ~rules.pure_acknowledgement(e)))
+    said = F.filter("_quotes", lambda q: ~rules.pure_acknowledgement(q["text"]))
+    text = F.array_join(distinct_strings(F.concat(F.array(F.array_join(own, "；")), F.transform(said, lambda q: q["text"]))), "；")
     fields = {"contact_id": F.col("contact_id"), "contact_name": F.col("name"), "summary": rules.interaction_text(F.col("summary"), text, cjk_ratio)}
     confidence = F.get(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("_rank"))
-    return rows.select(*_card("record_interaction", fields, confidence, joined_quotes(F.concat("_said", "_own"))))
+    return rows.select(*_card("record_interaction", fields, confidence, joined_quotes(F.concat(own, F.col("_facts"), F.transform(said, lambda q: q["source_quote"])))))
 
 
-def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame, contacts: DataFrame, meetings: DataFrame, progress: DataFrame | None = None, progress_source: DataFrame | None = None) -> DataFrame:
+def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame, people: DataFrame, meetings: DataFrame, progress: DataFrame | None = None, progress_source: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """All cards of the documents, with card_no in the order contacts, meetings, interactions."""
-    drafted = drafts(related)
-    contact = contact_cards(drafted, resolved, contacts)
-    routed = routed_events(parts["events"])
-    cards = [contact, meeting_cards(routed, meetings), interaction_cards(drafted, resolved, parts["events"], contact)]
-    told = notice_targets(routed, meetings).join(routed.select(KEY, "pos", F.col("source_quote").alias("content"), "source_quote"), [KEY, "pos"])
-    notices = told.groupBy("meeting_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(KEY, "pos", "content", "source_quote"))), lambda x: F.struct(x["content"].alias("content"), x["source_quote"].alias("source_quote"))).alias("fragments"))
-    cards.append(progress_cards(notices, meetings, told.groupBy("meeting_id").agg(F.max(KEY).alias(KEY))))
+    drafted, resolved = materialize(drafts(related)), materialize(resolved)  # written: plans that use them again stay small
+    contact = materialize(contact_cards(drafted, resolved, people))
+    routed = materialize(routed_events(parts["events"]))
+    stored = materialize(notice_targets(routed, meetings, now))
+    targets = materialize(batch_targets(routed, stored, now))
+    # a target that repeats a known meeting passes its notices on to it
+    twins = repeated_meetings(routed.where("route = 'keep'"), meetings).select(F.col(f"_id.{KEY}").alias(KEY), F.col("_id.pos").alias("target"), F.col("_m").alias("meeting_id"))
+    passed = targets.join(twins, [KEY, "target"]).select(KEY, "pos", "meeting_id")
+    kept = materialize(changed_targets(routed, targets.join(twins, [KEY, "target"], "left_anti")))
+    cards = [contact, meeting_cards(kept, meetings), interaction_cards(drafted, resolved, parts["events"], contact)]
+    told = stored.unionByName(passed).join(routed.select(KEY, "pos", F.col("source_quote").alias("content"), "source_quote"), [KEY, "pos"])
+    found = told.select(KEY, "pos", "meeting_id", "content", "source_quote", F.lit(1).alias("of"))
     if progress is not None:
-        cards.append(progress_cards(progress, meetings, progress_source))
+        reported = progress.join(progress_source, "meeting_id").select(KEY, F.posexplode("fragments").alias("pos", "_f"), "meeting_id").select(KEY, F.col("pos").cast("int"), "meeting_id", "_f.content", "_f.source_quote")
+        found = found.unionByName(without_discarded(reported, routed).withColumn("of", F.lit(0)))
+    fragments = F.transform(F.sort_array(F.collect_list(F.struct("of", KEY, "pos", "content", "source_quote"))), lambda x: F.struct(x["content"].alias("content"), x["source_quote"].alias("source_quote")))
+    gathered = materialize(found).groupBy("meeting_id").agg(fragments.alias("fragments"), F.max(KEY).alias(KEY))
+    cards.append(progress_cards(gathered.drop(KEY), meetings, gathered.select("meeting_id", KEY)))
     rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
     order = Window.partitionBy(KEY).orderBy(rank, "place", "source_quote")
     return reduce(DataFrame.unionByName, cards).withColumn("card_no", F.row_number().over(order))

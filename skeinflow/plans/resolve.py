@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions import rules
-from skeinflow.functions.text import norm_compare, norm_contact
+from skeinflow.functions.text import norm_compare, norm_contact, trimmed
 from skeinflow.operators import dedup, match
 
 LATEST_MEETINGS = 20  #: upcoming meetings that progress may refer to
@@ -61,9 +61,9 @@ def progress_fragments(people: DataFrame, facts: DataFrame, events: DataFrame, q
     rows = rows.select(key, F.struct(F.lit(0).alias("r"), F.col("pos").cast("int").alias("p"), F.col("s").alias("s")).alias("place"), "content", "source_quote")
     rows = rows.unionByName(part(facts, 1, F.col("value"), f"{sure} and field in ('notes', 'other')"))
     rows = rows.unionByName(part(events, 2, F.coalesce("agenda", "title"), sure)).unionByName(part(quotes, 3, F.col("text")))
-    rows = rows.where((F.trim("content") != "") & (F.trim("source_quote") != "") & (rules.direct_progress(F.col("content")) | rules.direct_progress(F.col("source_quote"))))
+    rows = rows.where((trimmed(F.col("content")) != "") & (trimmed(F.col("source_quote")) != "") & (rules.direct_progress(F.col("content")) | rules.direct_progress(F.col("source_quote"))))
     met = people.where(~F.coalesce("is_self", F.lit(False))).select(key).distinct()
-    first = dedup.keep_first(rows.join(met, key, "left_semi").withColumn("_q", F.trim("source_quote")), [key, "_q"], ["place"])
+    first = dedup.keep_first(rows.join(met, key, "left_semi").withColumn("_q", trimmed(F.col("source_quote"))), [key, "_q"], ["place"])
     return first.drop("_q")
 
 

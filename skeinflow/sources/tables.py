@@ -57,6 +57,18 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
     spark.range(1).select(F.lit(VERSION).alias("version")).coalesce(1).write.json(f"{path}/version.json")
 
 
+def seeded(spark: SparkSession, rows: dict[str, list[dict]]) -> dict[str, DataFrame]:
+    """The six tables, of literal rows by column; what a row lacks is null, a table without rows empty."""
+    return {name: spark.createDataFrame([[r.get(c.split()[0]) for c in _fields(schema)] for r in rows.get(name, [])], schema) for name, schema in SCHEMAS.items()}
+
+
+def without_uploads(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Tables without the screenshots (id) of failed uploads and their cards; all else stays."""
+    ids = gone.select(F.col("id").alias("_gone")).distinct()
+    left = {"screenshots": "id", "action_cards": "screenshot_id"}
+    return {name: df.join(ids, F.col(left[name]) == F.col("_gone"), "left_anti") if name in left else df for name, df in tables.items()}
+
+
 def pasted_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, text of the non-blank lines of pasted texts, with a synthetic address of the whole."""
     lines = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: trimmed(x) != "")
@@ -77,10 +89,12 @@ def traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def kept_traces(found: DataFrame, archive: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(current, archived): of each id the latest version; the versions before it, each content once; the
-    newest traces stay, the rest go to the archive."""
+    """(current, archived): of each id the latest version; the versions before it, each content once, and
+    none that only repeats the current content; the newest traces stay, the rest go to the archive."""
     every = found if archive is None else found.unionByName(archive)
-    distinct = every.dropDuplicates(["id", "started_at", "finished_at"])
+    content = F.xxhash64(F.to_json(F.struct(*[c for c in every.columns if c not in ("started_at", "finished_at")])))
+    whole = F.struct(*every.columns)
+    distinct = every.groupBy("id", content.alias("_content")).agg(F.max_by(whole, F.struct("finished_at", "started_at")).alias("_row")).select("_row.*")
     w = Window.partitionBy("id").orderBy(F.desc("finished_at"), F.desc("started_at"))
     ranked = distinct.withColumn("_v", F.row_number().over(w))
     latest = ranked.where("_v = 1").drop("_v")

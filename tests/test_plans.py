@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from skeinflow.functions import rules, text
-from skeinflow.operators import geometry, match, snapshots
-from skeinflow.plans import evidence, execute, fixtures_queries, resolve
+from skeinflow.functions import contacts, rules, text
+from skeinflow.operators import dedup, geometry, match, snapshots
+from skeinflow.plans import evidence, execute, fixtures_queries, propose, resolve
 
 
 def rows(df, *columns):
@@ -59,8 +59,10 @@ def test_proposed_cards(spark):
 
 def test_executed_cards(spark):
     seen = fixtures_queries.execute_pipeline(spark, "")
-    assert ("status_change", "company: 北辰 → 北辰科技") in rows(seen, "kind", "content")
-    assert ("preference", "喜欢安静的会议室") in rows(seen, "kind", "content")
+    told = rows(seen, "kind", "content")
+    assert ("status_change", '公司由 "北辰" 变为 "北辰科技"') in told
+    assert ("fact", "公司: 北辰科技") not in told and ("fact", "电话: 13800000000") in told and ("fact", "职位: CTO") in told
+    assert ("preference", "喜欢安静的会议室") in told
     assert seen.where("kind = 'interaction'").count() == 3
 
 
@@ -191,3 +193,130 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t/a.json").write_text('{"id": "a", "screenshot_id": 1, "started_at": "1", "finished_at": "2"}')
     (tmp_path / "t/b.json").write_text("{broken")
     assert rows(tables.traces(spark, str(tmp_path / "t")), "id") == [("a",)]
+
+
+def test_names_are_no_patterns(spark):
+    names = F.array(F.lit("li(n"), F.lit("a\\E"))
+    assert values(spark, lambda c: text.mentions(c, names), "@ li(n hi", "@a\\E", "@b", "li(n") == [True, True, False, False]
+    assert values(spark, lambda c: text.without_speaker(c, names), "dept li(n", "a\\E: x", "x li(n y a\\E z", "li(n") == ["", " x", "z", "li(n"]
+    assert values(spark, lambda c: text.composed_of(c, names), "li(na\\Eli(n", "li(n ") == [True, False]
+
+
+def test_labels_stay_on_one_line(spark):
+    assert values(spark, text.label_of, "组长：好", "a\n：b", "a: b\nc", "12: x") == ["组长", "", "", ""]
+    assert values(spark, text.content_key, "组长：好 的！", "a: b\nc") == ["好的", "abc"]
+    assert values(spark, text.label_key, "组 长: x", "x") == ["组长", None]
+
+
+def test_notices_and_changes_are_read_normalised(spark):
+    other = F.lit("other")
+    assert values(spark, lambda c: rules.meeting_notice(other, c), "【通知】开会", "会议 时间：三点", "开会") == [True, True, False]
+    assert values(spark, rules.meeting_change, "改 到周四", "开会") == [True, False]
+    assert values(spark, lambda c: rules.timeless_communication(other, F.lit(False), F.lit("　"), c), "联-系客户", "吃饭") == [True, False]
+
+
+def test_coverage(spark):
+    def covered(quote):
+        return lambda c: rules.covered_by(text.norm_contact(c), rules.coverage(F.array(F.lit(quote))))
+
+    assert values(spark, covered("原定于8月24日上午9:30…会议开场时间调整为9:00"), "他说原定于8月24日上午9：30，会议开场时间调整为9:00！", "原定于8月24日上午9:30") == [True, False]
+    assert values(spark, covered("明天下午三点开会讨论"), "明天 下午，三点开会讨论。好", "明天下午三点开会讨沦", "明天下午") == [True, True, False]
+    assert values(spark, covered("的...了"), "的了", "") == [False, False]
+
+
+def test_uncovered_equals_every_pair(spark):
+    import random
+
+    r = random.Random(1)
+    base = ["明天下午三点在三楼会议室开会", "please send the report by friday", "short", "", "合同已经寄出请注意查收谢谢"]
+    texts = [(i, i % 3, r.choice(base)[: r.randint(0, 40)] + r.choice(["", "!", " ok", "好"])) for i in range(60)]
+    quotes = [(i % 3, r.choice(base)[r.randint(0, 3) :] + r.choice(["", "。", "…and more to come"])) for i in range(20)]
+    a, b = spark.createDataFrame(texts, "i long, k long, t string"), spark.createDataFrame(quotes, "k long, q string")
+    found = {x for (x,) in rows(match.uncovered(a, b, "i", "k", "t", "q"), "i")}
+    held = a.crossJoin(b.withColumnRenamed("k", "k2")).where("k = k2").where(rules.covered_by(text.norm_contact(F.col("t")), rules.coverage(F.array("q"))))
+    assert found == {i for i, _, _ in texts} - {x for (x,) in rows(held, "i")} and 0 < len(found) < 60
+
+
+def test_batch_duplicates_equal_every_pair(spark):
+    import random
+
+    r = random.Random(2)
+    data = [(i, "ab"[i % 2], "".join(r.choice("xyz ") for _ in range(r.randint(0, 4))) + r.choice(["north wind review", "south wind review", "x"])) for i in range(80)]
+    df = spark.createDataFrame(data, "i long, k string, q string")
+    a, b = df, df.selectExpr("i as j", "k as k2", "q as q2")
+    held = a.crossJoin(b).where((F.col("k") == F.col("k2")) & (F.col("j") < F.col("i")) & (text.edit_similarity(F.col("q"), F.col("q2")) >= 0.85)).groupBy("i").agg(F.min("j").alias("first"))
+    assert rows(match.batch_duplicates(df, "k", "i", "q"), "i", "first") == rows(held, "i", "first")
+
+
+def test_first_match_looks_at_aliases(spark):
+    contacts = spark.createDataFrame([(1, "Zed", ["Al  Li"]), (2, "abe", ["al li"]), (3, "Bea", [])], "id long, name string, aliases array<string>")
+    people = spark.createDataFrame([(1, " AL LI "), (2, "bea"), (3, "")], "p long, n string")
+    assert rows(match.first_match(people, contacts, "p", "n", "id", "name", "aliases"), "p", "id") == [(1, 2), (2, 3)]
+
+
+def test_last_writer_knows_blanks_of_any_script(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "　\n"), (1, 3, "\t")], "k long, o long, f string")
+    assert rows(dedup.last_writer(df, ["k"], ["o"], ["f"]), "f") == [("a",)]
+
+
+def test_aliases_and_notes_that_say_nothing_new():
+    names, fields = ["林舟", "Lin Zhou"], ["北辰科技", "产品 经理"]
+    assert [contacts.derived(a, names, fields) for a in ("林舟", "林·舟", "北辰科技林舟", "林舟经理", "林舟北辰", "舟舟", "产品经理", "老林头", "林舟技术部")] == [True, True, True, True, True, False, True, False, False]
+    assert contacts.free_parts("电话13800，喜欢茶", ["13800"]) == ["喜欢茶"]
+    assert contacts.free_parts("13800", ["13800"]) == [] and contacts.free_parts("喜欢茶，不喝酒", ["13800"]) == ["喜欢茶，不喝酒"]
+    assert contacts.free_parts("北辰 总监：爱跑步。北辰和总监", ["北辰", "总监"]) == ["爱跑步"]
+    assert contacts.collected([(None, ["a"]), ("q1", ["a"]), ("q2", ["b", "b"]), ("q3", ["c", "b"])]) == (["a", "b", "c"], ["q2", "q3"])
+
+
+def test_notices_change_a_meeting_of_the_same_screenshot_and_discard_evidence(spark):
+    event = "screenshot_id long, pos int, kind string, title string, time_text string, time_iso string, has_time_signal boolean, location string, participant_names array<string>, agenda string, confidence string, source_quote string"
+    make = lambda pos, kind, title, quote, day=None, who=(): (1, pos, kind, title, "", day, False, None, list(who), None, "high", quote)
+    events = spark.createDataFrame([make(0, "meeting", "季度预算评审", "季度预算评审", "2026-09-02T10:00", ["林舟"]), make(1, "other", "通知改到周四", "通知：预算会改到周四", None, ["林舟"]), make(2, "other", "联系客户", "联系客户李总"), make(3, "other", "通知：周一", "通知：周一")], event)
+    none = spark.createDataFrame([], fixtures_queries.MEETINGS)
+    routed = propose.routed_events(events)
+    assert rows(routed, "pos", "route") == [(0, "keep"), (1, "notice"), (2, "timeless_dropped"), (3, "no_change")]
+    stored = propose.notice_targets(routed, none)
+    targets = propose.batch_targets(routed, stored)
+    assert stored.count() == 0 and rows(targets, "pos", "target") == [(1, 0)]
+    kept = propose.changed_targets(routed, targets)
+    assert rows(kept, "pos", "agenda", "source_quote") == [(0, "通知：预算会改到周四", "季度预算评审\n\n通知：预算会改到周四")]
+    told = spark.createDataFrame([(1, q) for q in ("预算会改到周四", "小王：联系客户李总", "联系客户李总了吗", "合同已提交", "周一")], "screenshot_id long, source_quote string")
+    assert rows(propose.without_discarded(told, routed), "source_quote") == [("合同已提交",)]
+
+
+def test_cards_are_checked_settled_and_seen_by_siblings(spark):
+    schema = "card_id long, screenshot_id long, type string, payload map<string,string>, status string, source_quote string, resolved_at string"
+    cards = spark.createDataFrame([(1, 1, "create_contact", {"name": "Ada", "aliases": "Bo，C"}, "pending", "q", "t"), (2, 1, "record_interaction", {"contact_name": "我", "summary": "s"}, "pending", "q", "t"), (3, 1, "create_meeting", {"title": "m", "kind": "party"}, "pending", "q", "t"), (4, 1, "create_contact", {"name": "D", "color": "x"}, "pending", "q", "t")], schema)
+    assert rows(execute.card_errors(cards), "card_id", "errors") == [(1, []), (2, ["self_name"]), (3, ["kind"]), (4, ["field"])]
+    names = spark.createDataFrame([(1, " bo "), (1, "nobody")], "screenshot_id long, shown string")
+    assert rows(execute.sibling_cards(names, cards), "shown", "name", "status") == [(" bo ", "Ada", "pending")]
+    none = lambda schema: spark.createDataFrame([], schema)
+    seen = none("contact_id long, screenshot_id long, kind string, content string, source_quote string, observed_at string")
+    done = execute.execute(cards, none(fixtures_queries.CONTACTS), none(fixtures_queries.MEETINGS), seen)
+    assert rows(done["cards"], "card_id", "status", "resolved_contact_id") == [(1, "confirmed", 1)]
+
+
+def test_ids_are_gapless_and_follow_the_rows(spark):
+    df, old = spark.range(300).withColumnRenamed("id", "card_id"), spark.createDataFrame([(7,)], "id long")
+    first = rows(execute.next_ids(df, old, "card_id"), "card_id", "new_id")
+    assert sorted(n for _, n in first) == list(range(8, 308)) and first == rows(execute.next_ids(df.repartition(5), old, "card_id"), "card_id", "new_id")
+
+
+def test_snapshots_seed_and_come_back(spark, tmp_path):
+    from skeinflow.sources import tables
+
+    seed = tables.seeded(spark, {"contacts": [{"id": 1, "canonical_name": "Ada", "aliases": ["A"]}], "screenshots": [{"id": 5}, {"id": 6}], "action_cards": [{"id": 9, "screenshot_id": 5}]})
+    left = tables.without_uploads(seed, seed["screenshots"].where("id = 5"))
+    tables.write_snapshot(left, str(tmp_path / "s"))
+    found = tables.read_snapshot(spark, str(tmp_path / "s"))
+    assert set(found) == set(tables.SCHEMAS) and rows(found["contacts"], "id", "aliases") == [(1, ["A"])]
+    assert rows(found["screenshots"], "id") == [(6,)] and found["action_cards"].count() == 0
+
+
+def test_traces_are_archived_only_when_they_change(spark):
+    from skeinflow.sources import tables
+
+    row = lambda end, error: ("a", 1, "1", end, [], error)
+    found = spark.createDataFrame([row("3", "x"), row("2", "x"), row("1", "y")], tables.TRACE)
+    now, old = tables.kept_traces(found)
+    assert rows(now, "finished_at", "error") == [("3", "x")] and rows(old, "finished_at", "error") == [("1", "y")]
