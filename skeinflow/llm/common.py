@@ -2,58 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinflow.scratch import Scratch, materialize, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session, as in tests, may lack it and gets one of
-    its own; on a cluster executors would not see each other's files."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="skeinflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """A folder of written tables in the shared folder, deleted at the end of a ``with`` block: for steps
-    that nothing returned from the block reads any more. A table that is written cuts the lineage: a lost
-    executor costs a re-read, never a recomputation of what stands above."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/skeinflow-{uuid.uuid4().hex}"
+__all__ = ["Scratch", "beside", "let", "materialize", "shared_dir", "table"]
 
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.path}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.drop()
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written under the shared folder, where it stays for as long as results may read it."""
-    return Scratch(df.sparkSession).write(df)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def beside(df: DataFrame, **columns: str) -> DataFrame:
