@@ -2,8 +2,8 @@
 its neighbours on both sides; the conditional log-probabilities of a document's tokens add up to its score.
 
 A token is a word, A-Z lower-cased. The ``vocabulary`` commonest words of the corpus are symbols of their
-own; the others share ``others`` symbols by hash, and such a word gets an even part of its symbol's
-probability. The network embeds the ``side`` words before and after the masked one, weights them by place,
+own; the others share ``others`` symbols by hash, and the counts of ``buckets`` finer ones (a few for each
+distinct word, up to a bound) give such a word its part of the symbol's probability. The network embeds the ``side`` words before and after the masked one, weights them by place,
 adds them up, and predicts the symbol in two steps: its class (symbols by frequency, classes of about equal
 sums of square roots of counts), then the symbol within its class.
 
@@ -46,6 +46,7 @@ class LmConfig:
     size: int = 16  #: of embeddings and hidden layer
     vocabulary: int = 4096  #: words that are symbols of their own
     others: int = 64  #: symbols of all other words
+    buckets: int = 1 << 22  #: that these words are counted in, at most: a multiple of ``others``
     classes: int = 40
     rounds: int = 1
     batch: int = 8192  #: positions of a step at most
@@ -59,13 +60,13 @@ class LmConfig:
 @dataclass
 class LmModel:
     """words: hashes of the vocabulary, ascending; numbers: their symbols; starts: where classes begin and
-    the last one ends; parts: words that share each symbol; weights: of the network, the padding last in
-    ``embed``."""
+    the last one ends; rare: log of a word's part of its shared symbol, by bucket; weights: of the network,
+    the padding last in ``embed``."""
 
     words: np.ndarray
     numbers: np.ndarray
     starts: np.ndarray
-    parts: np.ndarray
+    rare: np.ndarray
     weights: dict[str, np.ndarray]
     config: LmConfig
 
@@ -73,19 +74,25 @@ class LmModel:
     def pad(self) -> int:
         return int(self.starts[-1])
 
-    def symbols(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the words of all texts, and the bounds of each text."""
+    def symbols(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the words of all texts, the log of each word's part of its symbol, and the bounds of each
+        text."""
         words, cut = word_hashes(texts)
-        other = self.pad - self.config.others + words.view(np.int64) % self.config.others
+        bucket = words.view(np.int64) % len(self.rare)
+        other, part = self.pad - self.config.others + bucket % self.config.others, self.rare[bucket]
         if not len(self.words):
-            return other, cut
+            return other, part, cut
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.numbers[at], other), cut
+        known = self.words[at] == words
+        return np.where(known, self.numbers[at], other), np.where(known, 0, part), cut
 
 
-def initial(words: np.ndarray, counts: np.ndarray, others: np.ndarray, parts: np.ndarray, config: LmConfig = LmConfig()) -> LmModel:
+def initial(words: np.ndarray, counts: np.ndarray, rest: np.ndarray, distinct: np.ndarray, config: LmConfig = LmConfig()) -> LmModel:
     """The network before it has learned: it predicts words by frequency. words and counts: the vocabulary;
-    others and parts: count and number of the words of each shared symbol."""
+    rest and distinct: counts and number of all other words by bucket. Half an occurrence is added to each."""
+    others = rest.reshape(-1, config.others).sum(axis=0)
+    share = (rest + 0.5).reshape(-1, config.others)
+    rare = (np.log(share / share.sum(axis=0)).ravel() - np.log(np.maximum(distinct, 1))).astype(np.float32)
     order = np.lexsort((words, -counts))
     total = np.concatenate([counts[order], others]).astype(np.float64) + 0.5  # the shared symbols are the last
     share = np.cumsum(np.sqrt(total))
@@ -100,7 +107,7 @@ def initial(words: np.ndarray, counts: np.ndarray, others: np.ndarray, parts: np
         "low": small(len(total), config.size), "low_bias": np.log(total / np.repeat(mass, np.diff(starts))).astype(np.float32),
     }
     sorted_ = np.argsort(words[order])
-    return LmModel(words[order][sorted_], sorted_, starts, np.concatenate([np.ones(len(words)), np.maximum(parts, 1)]), weights, config)
+    return LmModel(words[order][sorted_], sorted_, starts, rare, weights, config)
 
 
 def padded(ids: np.ndarray, cut: np.ndarray, side: int, pad: int) -> np.ndarray:
@@ -141,7 +148,7 @@ def _by_class(model: LmModel, target: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def log_probs(model: LmModel, row: np.ndarray) -> np.ndarray:
-    """log P(word | its neighbours) of each position of a padded row that is no padding."""
+    """log P(symbol | its neighbours) of each position of a padded row that is no padding."""
     w, side, out = model.weights, model.config.side, []
     for a in range(side, len(row) - side, SLICE):
         part = row[a - side : min(a + SLICE, len(row) - side) + side]
@@ -152,7 +159,7 @@ def log_probs(model: LmModel, row: np.ndarray) -> np.ndarray:
             continue
         h = _hidden(w, w["embed"][part], side)[at]
         cls, order, groups = _by_class(model, target)
-        found = _picked(h @ w["high"].T + w["high_bias"], cls) - np.log(model.parts[target])
+        found = _picked(h @ w["high"].T + w["high_bias"], cls)
         h, target, low = h[order], target[order], np.empty(len(at))
         for c, i, j in groups:
             s, e = model.starts[c : c + 2]
@@ -270,19 +277,23 @@ def train(docs: DataFrame, config: LmConfig = LmConfig(), doc_id: str = "doc_id"
     with Scratch(docs.sparkSession) as scratch:
         counts = scratch.write(word_counts(docs, text))
         top = counts.orderBy(F.desc("n"), "word").limit(config.vocabulary).toPandas()
-        bucket = F.pmod(F.col("word"), F.lit(config.others)).cast("int")
-        rest = counts.groupBy(bucket.alias("symbol")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toPandas()
-    words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    own = words.view(np.int64) % config.others
-    others, parts = np.zeros(config.others, np.int64), np.zeros(config.others, np.int64)
-    others[rest["symbol"]], parts[rest["symbol"]] = rest["n"], rest["words"]
-    own_n = np.bincount(own, n, config.others).astype(np.int64)
-    model = initial(words, n, others - own_n, parts - np.bincount(own, minlength=config.others), config)
+        known = counts.count()
+        buckets = config.others
+        while buckets < min(config.buckets, 4 * known):
+            buckets *= 2
+        found = counts.groupBy(F.pmod("word", F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("words")).toPandas()
+    words, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    rest, distinct = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    rest[found["bucket"]], distinct[found["bucket"]] = found["n"], found["words"]
+    total = int(rest.sum())
+    np.subtract.at(rest, words % buckets, n)
+    np.subtract.at(distinct, words % buckets, 1)
+    model = initial(words.view(np.uint64), n, rest, distinct, config)
     if not len(words):
         return model
     size = docs.agg(F.sum(F.octet_length(text))).first()[0]
     shards = min(config.max_shards, 1 + size // config.shard_bytes)
-    batch = int(min(config.batch, max(16, int(others.sum()) // shards // config.steps)))
+    batch = int(min(config.batch, max(16, total // shards // config.steps)))
     content = F.xxhash64(F.col(text), F.col(doc_id).cast("string"))
     dealt = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), content.alias("deal")).repartition(shards, "deal").sortWithinPartitions("deal", "text")
     for _ in range(config.rounds):
@@ -292,13 +303,13 @@ def train(docs: DataFrame, config: LmConfig = LmConfig(), doc_id: str = "doc_id"
             model = shared.value
             learner = Learner(model, batch)
             for _, texts in text_slices(batches, "text"):
-                ids, cut = model.symbols(texts)
+                ids, _, cut = model.symbols(texts)
                 learner.learn(padded(ids, cut, model.config.side, model.pad))
             if learner.n:  # thousands of positions, so that sums stay in 64 bits
                 yield pa.RecordBatch.from_arrays([pa.array([1 + (learner.n >> 10)], pa.int64()), pa.array([_packed(learner.w).tobytes()], pa.binary())], ["n", "vector"])
 
         n, total = _summed(dealt.mapInArrow(learn, "n bigint, vector binary"))
-        model = LmModel(model.words, model.numbers, model.starts, model.parts, _unpacked(total / n, model.weights), config)
+        model = LmModel(model.words, model.numbers, model.starts, model.rare, _unpacked(total / n, model.weights), config)
     return model
 
 
@@ -310,8 +321,8 @@ def score(docs: DataFrame, model: LmModel, doc_id: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for rows, texts in text_slices(batches, "text"):
-            ids, cut = model.symbols(texts)
-            logs, n = log_probs(model, padded(ids, cut, model.config.side, model.pad)), np.diff(cut)
+            ids, parts, cut = model.symbols(texts)
+            logs, n = log_probs(model, padded(ids, cut, model.config.side, model.pad)) + parts, np.diff(cut)
             sums = [float(logs[a:b].sum()) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
             mean = [s / k if k else None for s, k in zip(sums, n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], schema.names)
