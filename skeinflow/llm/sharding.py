@@ -1,8 +1,8 @@
 """Reproducible shuffle and sharding by a Feistel permutation over global row numbers, in DataFrame
 functions only.
 
-Rows get gapless numbers without a total sort: a hash of the row's content deals them into a fixed
-number of buckets, the bucket counts (a table of at most ``buckets`` rows) give each bucket its offset,
+Rows get gapless numbers without a total sort: a hash of the row's content deals them into buckets (1024,
+or as many as keep about BUCKET_ROWS in each), the bucket counts give each bucket its offset,
 and a row number inside the bucket does the rest. All of it depends on content alone, so a task that
 runs again after a lost executor gives the same numbers. A keyed Feistel network over Z_a x Z_b with
 a * b just above the number of rows permutes the numbers; what leaves the range walks its cycle until
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from skeinflow.llm.common import let
 
 ROUNDS = 6
+BUCKET_ROWS = 1_000_000
 #: Steps of a cycle walk. Fewer than sqrt(rows) numbers lie outside the range, so a walk of k steps
 #: has a chance of rows^(-k/2); a longer one fails loudly.
 WALK = 32
@@ -44,8 +45,10 @@ def permuted(x: Column, rows: Column, a: Column, b: Column, seed: int) -> Column
     return let(walked, lambda y: F.when(y < rows, y).otherwise(F.raise_error(F.lit("cycle walk too long: use another seed")).cast("long")))
 
 
-def row_numbers(df: DataFrame, by: list[str], buckets: int = 1024) -> DataFrame:
-    """df with ``row_no``, gapless from 0, and ``rows``, by content alone."""
+def row_numbers(df: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
+    """df with ``row_no``, gapless from 0, and ``rows``, by content alone. The number of buckets follows the
+    number of rows; equal rows, however many, share one."""
+    buckets = buckets or max(1024, df.count() // BUCKET_ROWS)
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
     counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most `buckets` rows from here
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +57,7 @@ def row_numbers(df: DataFrame, by: list[str], buckets: int = 1024) -> DataFrame:
     return dealt.withColumn("_inside", inside).join(F.broadcast(offsets), "_bucket").withColumn("row_no", F.col("_offset") + F.col("_inside") - 1).drop("_bucket", "_inside", "_offset")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20_24, buckets: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20_24, buckets: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is ``rows``)."""
     sized = docs.select(
         F.col(doc_id).alias("doc_id"),
