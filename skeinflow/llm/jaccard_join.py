@@ -408,9 +408,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     stars in turn, each step written out, until nothing changes.
 
     A step's least neighbours are summed up on the map side and written before they are joined with the
-    edges, so that the adaptive join can split the edges of a hub.
+    edges, so that the adaptive join can split the edges of a hub. Nothing is grouped right behind a join by
+    the same key: that would keep its partitions whole.
     """
-    edges = scratch.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    edges = scratch.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")))  # repeated ones do no harm
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
