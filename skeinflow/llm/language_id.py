@@ -7,7 +7,7 @@ spherical k-means splits the vectors into ``centroids`` groups. Prediction is a
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; a text whose best
 cosine is below the language's limit is still named, but rejected; very long texts are read whole, in
-slices; a language with fewer documents than centroids gets fewer; no labelled document at all: every
+slices; a language with fewer documents than centroids gets fewer; more labels than ``langs`` are an error; no labelled document at all: every
 text is ``und``; equal cosines go to the first language in sorted order; repeated rows are independent;
 an empty table gives an empty result. Input columns whose names clash with the results give way.
 """
@@ -33,7 +33,7 @@ class LanguageConfig:
     grams: tuple[int, ...] = (1, 2, 3)
     centroids: int = 3  #: per language
     docs_per_lang: int = 400  #: bound of the training sample
-    langs: int = 256  #: bound of the number of languages
+    langs: int = 256  #: more labels than this end the training with an error
     reject: float = 0.4  #: texts below this share of the low training cosines are rejected
 
 
@@ -97,7 +97,9 @@ def train(labelled: DataFrame, config: LanguageConfig = LanguageConfig(), text:
     """Fits on labelled rows (null labels and texts are left out). The sample that reaches the driver is
     bounded: langs * docs_per_lang sparse vectors at most."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.langs).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.langs + 1).collect()}
+    if len(sizes) > config.langs:
+        raise ValueError(f"more than {config.langs} labels of languages")
     if not sizes:
         return LanguageModel([], np.zeros((0, config.bins)), np.ones(config.bins), {}, config)
     scale = 1 << 30

@@ -273,6 +273,8 @@ def test_too_many_labels_are_an_error(documents):
     docs = documents([" ".join(WORDS[:70])] * 3, ["a", "b", "c"])
     with pytest.raises(ValueError, match="labels"):
         quality_rules.common_words(docs, quality_rules.QualityConfig(max_langs=2))
+    with pytest.raises(ValueError, match="labels"):
+        language_id.train(docs, language_id.LanguageConfig(langs=2))
 
 
 # --- 7
