@@ -46,7 +46,7 @@ class LmConfig:
     size: int = 16  #: of embeddings and hidden layer
     vocabulary: int = 4096  #: words that are symbols of their own
     others: int = 64  #: symbols of all other words
-    buckets: int = 1 << 22  #: that these words are counted in, at most: a multiple of ``others``
+    buckets: int = 1 << 20  #: that these words are counted in, at most: a multiple of ``others``
     classes: int = 40
     rounds: int = 1
     batch: int = 8192  #: positions of a step at most
