@@ -77,4 +77,19 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-SQL = {"op1_chat_format": OP1, "op6_quality_rules": OP6, "op9_decontamination": OP9}
+_PIECE = rf"unnest(regexp_split_to_array(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]'))"
+
+OP13 = rf"""
+WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang, {_PIECE} AS piece FROM documents)),
+g AS (SELECT lang, w[i:i + k - 1] AS s, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k))),
+c AS (SELECT lang, k, array_to_string(s, ' ') AS phrase, any_value(s) AS s, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+x AS (SELECT lang, phrase, k, f AS a, s, unnest(range(1, k)) AS cut FROM c WHERE k > 1 AND f >= 10),
+y AS (SELECT x.lang, x.phrase, x.k, x.a, x.s, x.cut, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * x.a * x.a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM x JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(x.s[1:cut], ' ') JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(x.s[cut + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, part AS phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(s[1:2], ' ') AS part FROM z WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(s[2:3], ' ') FROM z WHERE k = 3) GROUP BY lang, part),
+o AS (SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS rank FROM z LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+SQL = {"op1_chat_format": OP1, "op6_quality_rules": OP6, "op9_decontamination": OP9, "op13_collocations": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm import byte_bpe, chat_format, decontamination, html_extract, jaccard_join, language_id, lm_scoring, oracles, periodic_runs, quality_rules, sharding, token_counts
+from skeinflow.llm import byte_bpe, chat_format, collocations, decontamination, html_extract, jaccard_join, language_id, lm_scoring, oracles, periodic_runs, quality_rules, sharding, token_counts
 from skeinflow.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"), plant=True)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
