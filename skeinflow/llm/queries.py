@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm import byte_bpe, chat_format, collocations, decontamination, html_extract, jaccard_join, language_id, lm_scoring, oracles, periodic_runs, quality_rules, sharding, token_counts
+from skeinflow.llm import ann_partitions, byte_bpe, chat_format, collocations, decontamination, html_extract, jaccard_join, language_id, lm_scoring, oracles, periodic_runs, quality_rules, sharding, token_counts
 from skeinflow.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_ann_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector against all."""
+    return ann_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, a tenth of them with a loop put in."""
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"), plant=True)

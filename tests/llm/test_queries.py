@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, name):
     assert oracle.difference(queries.queries()[name](spark, SMALL), oracle.connect(SMALL), queries.oracle_sql()[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql()) - {"op11_ann_partitions"}))  # which test_ann_partitions compares
 def test_query_covers_its_table(spark, name):
     table = "pages" if name.startswith("op7") else "documents"
     assert queries.queries()[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
