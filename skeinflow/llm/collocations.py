@@ -2,8 +2,8 @@
 
 Texts become shards of about SHARD_WORDS positions, in which an end of a piece takes a position of its own that
 no word has. A shard has a compressed bitmap of positions per word (its non-empty 64-bit blocks); shifting a
-phrase's bitmap by one and a logical AND with the words' bitmaps of the same blocks extends it by every word that
-ever follows, and the popcount is the number of occurrences, overlaps included. Extension is depth-first: a range
+phrase's bitmap by one and a logical AND with the bitmaps of the words that follow there extends it by each of them,
+and the popcount is the number of occurrences, overlaps included. Extension is depth-first: a range
 of words goes to its pairs and on to its triples before the next begins. Counts are summed over shards.
 
 Only what can reach ``least`` is counted: pairs of words that do, triples of pairs that do. Each shard is told
@@ -33,8 +33,8 @@ from skeinflow.llm.common import Scratch
 SHARD_WORDS = 1 << 20
 #: Counts of phrases that one task adds up at once, about.
 PART_COUNTS = 1 << 21
-#: Pairs of blocks that one step compares.
-STEP = 1 << 21
+#: Blocks of bitmaps that one step extends.
+STEP = 1 << 18
 
 #: Ends of pieces become an upper-case letter, which no lower-cased text has.
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"A" * 10)
@@ -78,6 +78,17 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
     return table
 
 
+def packed_tokens(tokens: np.ndarray) -> bytes:
+    """Small whole numbers, most of them in few bytes, as compressed bytes."""
+    return pa.compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True) + len(tokens).to_bytes(8, "little")
+
+
+def unpacked_tokens(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[-8:], "little")
+    planes = np.frombuffer(pa.decompress(blob[:-8], decompressed_size=4 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, size).T).view("<u4").ravel()
+
+
 # --- shards
 
 _SHARD = "shard bigint, n_words bigint, tokens binary, vocabulary array<struct<lang:string,word:string,n:bigint>>"
@@ -88,8 +99,7 @@ def _shard_row(number: int, listed: list, langs: dict, tokens: list[np.ndarray])
     counts = np.bincount(all_, minlength=len(listed) + 1)[1:]
     name = {id(d): lang for lang, d in langs.items()}
     words = pa.StructArray.from_arrays([pa.array([name[id(d)] for d, _ in listed], pa.string()), pa.array([w.decode() for _, w in listed], pa.string()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
-    stored = packed(np.arange(len(all_)), all_)
-    columns = [pa.array([number], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([stored], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)]
+    columns = [pa.array([number], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([packed_tokens(all_)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)]
     return pa.RecordBatch.from_arrays(columns, ["shard", "n_words", "tokens", "vocabulary"])
 
 
@@ -103,9 +113,10 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words:
                 words = pieces_and_words(t)
                 if not words:
                     continue
+                words.append(b"A")
                 known = langs.setdefault(l, _Numbers(listed))
-                tokens.append(np.fromiter(map(known.__getitem__, [*words, b"A"]), np.int64, len(words) + 1))
-                size += len(words) + 1
+                tokens.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+                size += len(words)
                 if size >= shard_words:
                     yield _shard_row(number, listed, langs, tokens)
                     number, listed, langs, tokens, size = number + 1, [], {}, [], 0
@@ -125,49 +136,55 @@ class Bitmaps:
         """words: at each position the number of a kept word, or -1."""
         at = np.flatnonzero(words >= 0)
         block, bit = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
-        key = block * max(n_kept, 1) + words[at]
-        order = np.argsort(key, kind="stable")
-        key, first = np.unique(key[order], return_index=True)
-        self.mask = np.bitwise_or.reduceat(bit[order], first) if len(first) else np.zeros(0, np.uint64)
-        self.block, self.word = key // max(n_kept, 1), key % max(n_kept, 1)
-        self.starts = np.searchsorted(self.block, np.arange((len(words) >> 6) + 3))  # of each block
+        keys, of = np.unique(block * max(n_kept, 1) + words[at], return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        self.mask = np.bitwise_or.reduceat(bit[order], np.searchsorted(of[order], np.arange(len(keys)))) if len(keys) else np.zeros(0, np.uint64)
+        self.block, self.word = keys // max(n_kept, 1), keys % max(n_kept, 1)
+        self.entry = np.full(((len(words) >> 6) + 2) << 6, -1, np.int64)  # at each position, of its word in its block
+        self.entry[at] = of
+        self.any = np.zeros(len(self.entry) >> 6, np.uint64)  # positions of a block with a kept word
+        np.bitwise_or.at(self.any, self.block, self.mask)
         self.by_word = np.argsort(self.word, kind="stable")
         self.word_starts = np.searchsorted(self.word[self.by_word], np.arange(n_kept + 1))
 
     def ranges(self) -> Iterator[np.ndarray]:
-        """Entries of ranges of words, one word at least, each of about as many entries as a step compares."""
+        """Entries of ranges of words, one word at least, each of about as many entries as a step takes."""
         n, low = len(self.word_starts) - 1, 0
         while low < n:
-            high = max(low + 1, int(np.searchsorted(self.word_starts, self.word_starts[low] + STEP // 32, "right")) - 1)
+            high = max(low + 1, int(np.searchsorted(self.word_starts, self.word_starts[low] + STEP, "right")) - 1)
             yield self.by_word[self.word_starts[low] : self.word_starts[high]]
             low = high
 
     def extended(self, prefix: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(prefix, word, block, mask) of every phrase that goes on with a word: shifted by one, and ANDed with
-        the words of the block."""
+        """(prefix, word, block, mask) of every phrase that goes on with a word. The bitmaps are shifted by one;
+        the word at the first position left is ANDed, what it hits is one longer phrase and leaves, and so on
+        until no position is left: no AND comes out empty."""
         carried = np.flatnonzero(mask >> np.uint64(63))
         prefix = np.concatenate([prefix, prefix[carried]])
         block = np.concatenate([block, block[carried] + 1])
-        mask = np.concatenate([mask << np.uint64(1), np.ones(len(carried), np.uint64)])
-        start, size = self.starts[block], self.starts[block + 1] - self.starts[block]
-        upto, low = np.cumsum(size), 0
-        while low < len(size):
-            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + STEP, "right")))
-            n = size[low:high]
-            entry = np.repeat(np.arange(low, high), n)
-            other = np.arange(len(entry)) + np.repeat(start[low:high] - (np.cumsum(n) - n), n)
-            both = mask[entry] & self.mask[other]
-            hit = np.flatnonzero(both)
-            yield prefix[entry[hit]], self.word[other[hit]], block[entry[hit]], both[hit]
-            low = high
+        mask = np.concatenate([mask << np.uint64(1), np.ones(len(carried), np.uint64)]) & self.any[block]
+        yield prefix[:0], prefix[:0], block[:0], mask[:0]
+        while True:
+            left = np.flatnonzero(mask)
+            if not len(left):
+                return
+            prefix, block, mask = prefix[left], block[left], mask[left]
+            first = np.bitwise_count(~mask & (mask - np.uint64(1))).astype(np.int64)
+            entry = self.entry[(block << 6) + first]
+            hit = mask & self.mask[entry]
+            yield prefix, self.word[entry], block, hit
+            mask = mask ^ hit
 
 
 def _grouped(parts: Iterator[tuple[np.ndarray, ...]], n_words: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """(keys prefix * n_words + word ascending, popcounts, (index of the key, block, mask) of the entries)."""
     prefix, word, block, mask = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keys, of = np.unique(prefix * n_words + word, return_inverse=True)
-    counts = np.bincount(of, np.bitwise_count(mask).astype(np.float64), len(keys)).astype(np.int64)
-    return keys, counts, (of, block, mask)
+    keys = prefix * n_words + word
+    order = np.argsort(keys)
+    keys, block, mask = keys[order], block[order], mask[order]
+    opens = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    counts = np.add.reduceat(np.bitwise_count(mask).astype(np.int64), np.flatnonzero(opens)) if len(keys) else np.zeros(0, np.int64)
+    return keys[opens], counts, (np.cumsum(opens) - 1, block, mask)
 
 
 def pairs_of(maps: Bitmaps, n_kept: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -217,11 +234,11 @@ def _dealt(shard: int, columns: list[np.ndarray], counts: np.ndarray, parts: int
         yield int(part[a]), shard, packed(*[c[a:b] for c in rows])
 
 
-def _opened(row: dict) -> tuple[Bitmaps, np.ndarray]:
+def _opened(tokens: bytes, kept: pa.StructArray) -> tuple[Bitmaps, np.ndarray]:
     """A shard's bitmaps of its kept words, and the ids of these, ascending."""
-    index, ids = (np.array([k[f] for k in row["kept"]], np.int64) for f in ("index", "id"))
+    index, ids = (kept.field(f).to_numpy().astype(np.int64) for f in ("index", "id"))
     order = np.argsort(ids)
-    tokens = unpacked(row["tokens"], 2)[1]
+    tokens = unpacked_tokens(tokens)
     number = np.full(int(max(tokens.max(initial=0), index.max(initial=0))) + 1, -1, np.int64)
     number[index[order]] = np.arange(len(ids))
     return Bitmaps(number[tokens], len(ids)), ids[order]
@@ -233,18 +250,18 @@ def _counted(opened: DataFrame, words: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                maps, ids = _opened(row)
+                shard = batch.column("shard")[i].as_py()
+                maps, ids = _opened(batch.column("tokens")[i].as_py(), batch.column("kept")[i].values)
                 n = len(ids)
                 if words == 2:
                     found = [(k // n, k % n, c) for k, c in pairs_of(maps, n)]
                 else:
-                    known = [np.searchsorted(ids, unpacked(b, 2)) for b in row["pairs"]]
+                    known = [np.searchsorted(ids, unpacked(b, 2)) for b in batch.column("pairs")[i].as_py()]
                     found = list(triples_of(maps, n, np.sort(np.concatenate([a * n + b for a, b in known]))))
                 if found:
                     *phrase, counts = (np.concatenate(x) for x in zip(*found, strict=True))
                     if len(counts):
-                        rows = list(zip(*_dealt(row["shard"], [ids[w] for w in phrase], counts, parts), strict=True))
+                        rows = list(zip(*_dealt(shard, [ids[w] for w in phrase], counts, parts), strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["part", "shard", "counts"])
 
     return opened.mapInArrow(run, "part bigint, shard bigint, counts binary")
@@ -310,7 +327,7 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int =
     sums = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f"))
     total = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
     words = scratch.write(sums.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
-    kept = vocabulary.join(words, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("index", "id")).alias("kept"))
+    kept = vocabulary.join(words.hint("shuffle_hash"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("index", "id")).alias("kept"))
     opened = stored.select("shard", "tokens").join(kept, "shard")
     two = scratch.write(_frequent(_counted(opened, 2, parts), 2, least))
     own = two.where("shard is not null").groupBy("shard").agg(F.collect_list("found").alias("pairs"))
