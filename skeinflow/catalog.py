@@ -196,21 +196,24 @@ def resolution_consensus(t: Tables) -> DataFrame:
 
 
 _KEY = r"lower(regexp_replace({}, '[\p{{P}}\p{{Z}}\x09-\x0D\x{{85}}]+', '', 'g'))".format
-_PLAIN = r"regexp_replace(coalesce(text, ''), '[^\x20-\x7E\n]', '', 'g')"
+#: The letters beyond ASCII of the texts, and for each a byte that no key has: the other engine's edit distance counts bytes.
+_LETTERS = "translate({}, 'éçêèüßäöóíñ明天开会，', 'ABCDEFGHIJKLMNOP')".format
+_ALIKE = f"1 - levenshtein({_LETTERS('{0}')}, {_LETTERS('{1}')}) / CAST(greatest(length({{0}}), length({{1}})) AS DOUBLE) >= 0.85".format
 
 
 @query(rf"""
-    WITH c AS (SELECT conv_id, turn, role, {_PLAIN} AS text FROM conversations),
+    WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') || CASE WHEN turn % 4 = 0 THEN '，明天 开会' ELSE '' END AS text FROM conversations),
     q AS (SELECT DISTINCT conv_id, CASE turn % 3 WHEN 0 THEN replace(text, 'ion ', 'oin ') WHEN 1 THEN substr(text, 5) ELSE substr(text, 1, 30) || '…' || substr(text, 61) END AS quote FROM c WHERE role = 'user'),
     e AS (SELECT conv_id, turn, {_KEY("text")} AS k FROM c),
     h AS (SELECT conv_id, {_KEY("quote")} AS k, regexp_matches(quote, '\.{{3,}}|…') AS cut,
       list_filter(list_transform(string_split(regexp_replace(quote, '\.{{3,}}|…', chr(1), 'g'), chr(1)), lambda x: {_KEY("x")}), lambda x: length(x) >= 4) AS parts FROM q)
     SELECT conv_id, turn FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = e.conv_id AND e.k <> '' AND h.k <> '' AND CASE WHEN cut THEN len(parts) > 0 AND len(list_filter(parts, lambda x: contains(e.k, x))) = len(parts)
-      ELSE (least(length(e.k), length(h.k)) >= 8 AND (contains(e.k, h.k) OR contains(h.k, e.k))) OR 1 - levenshtein(e.k, h.k) / CAST(greatest(length(e.k), length(h.k)) AS DOUBLE) >= 0.85 END)""")
+      ELSE (least(length(e.k), length(h.k)) >= 8 AND (contains(e.k, h.k) OR contains(h.k, e.k))) OR {_ALIKE("e.k", "h.k")} END)""")
 def coverage_antijoin(t: Tables) -> DataFrame:
-    """All turns against the user turns of their conversation, each misspelt, cut or with an ellipsis. Texts
-    keep their ASCII characters: the other engine compares bytes."""
-    c = t.conversations.select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\n]", "").alias("text"))
+    """All turns, some with a Chinese sentence behind, against the user turns of their conversation, each
+    misspelt, cut or with an ellipsis."""
+    more = F.when(F.col("turn") % 4 == 0, "，明天 开会").otherwise("")
+    c = t.conversations.select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
     text, kind = F.col("text"), F.col("turn") % 3
     elided = F.concat(F.substring(text, 1, 30), F.lit("…"), F.substring(text, F.lit(61), F.length(text)))
     quote = F.when(kind == 0, F.replace(text, F.lit("ion "), F.lit("oin "))).when(kind == 1, F.substring(text, F.lit(5), F.length(text))).otherwise(elided)
@@ -220,13 +223,13 @@ def coverage_antijoin(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH i AS (SELECT event_id, event_type || (user_id % 10) AS k, strftime(ts, '%Y-%m-%d') || ' value ' || CAST(floor(value) AS BIGINT) AS quote FROM events)
+    WITH i AS (SELECT event_id, user_id AS k, strftime(ts, '%Y-%m-%d') || ' ' || event_type || ' value ' || CAST(floor(value) AS BIGINT) AS quote FROM events)
     SELECT a.event_id, min(b.event_id) AS first FROM i a JOIN i b ON a.k = b.k AND b.event_id < a.event_id
     WHERE 1 - levenshtein(a.quote, b.quote) / CAST(greatest(length(a.quote), length(b.quote)) AS DOUBLE) >= 0.85 GROUP BY a.event_id""")
 def batch_duplicates(t: Tables) -> DataFrame:
-    quote = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" value "), F.floor("value").cast("string"))
-    items = t.events.select("event_id", F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("k"), quote.alias("quote"))
-    return match.batch_duplicates(items, "k", "event_id", "quote")
+    """Events as items, users as batches: their number grows with the table."""
+    quote = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" "), "event_type", F.lit(" value "), F.floor("value").cast("string"))
+    return match.batch_duplicates(t.events.select("event_id", F.col("user_id").alias("k"), quote.alias("quote")), "k", "event_id", "quote")
 
 
 @query("""

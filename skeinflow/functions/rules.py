@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skeinflow.functions.text import edit_similarity, norm_contact, norm_contacts, tokens, trimmed
+from skeinflow.functions.text import at_least_similar, norm_contact, norm_contacts, tokens, trimmed
 
 # What the rules look for.
 SELF_NAME = "我"
@@ -126,7 +126,7 @@ def holds(key: Column, quote: Column, least: int = 8, similarity: float = 0.85)
     other = quote["key"]
     long = (F.least(F.length(key), F.length(other)) >= least) & (F.contains(key, other) | F.contains(other, key))
     elided = (F.size(quote["segments"]) > 0) & F.forall(quote["segments"], lambda s: F.contains(key, s))
-    return (key != "") & (other != "") & F.when(quote["segments"].isNotNull(), elided).otherwise(long | (edit_similarity(key, other) >= similarity))
+    return (key != "") & (other != "") & F.when(quote["segments"].isNotNull(), elided).otherwise(long | at_least_similar(key, other, similarity))
 
 
 def covered_by(key: Column, quotes: Column, least: int = 8, similarity: float = 0.85) -> Column:

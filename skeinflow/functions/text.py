@@ -77,6 +77,20 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def edits_within(a: Column, b: Column, similarity: float) -> Column:
+    """Edits between two texts of these lengths that are so similar, at most."""
+    return F.floor((1 - similarity) * F.greatest(a, b) + 1e-9).cast("int")
+
+
+def at_least_similar(a: Column, b: Column, similarity: float) -> Column:
+    """edit_similarity(a, b) >= similarity, by a distance that gives up beyond the limit (and one edit more, so
+    that rounding decides nothing); texts whose lengths rule it out aren't compared."""
+    longer, apart = F.greatest(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))
+    most = edits_within(F.length(a), F.length(b), similarity) + 1
+    near = F.call_function("levenshtein", a, b, most)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0) | (apart > most), F.lit(False)).otherwise((near >= 0) & (1 - near / longer >= similarity))
+
+
 def optional(c: Column) -> Column:
     """Trimmed, blank as null."""
     return F.nullif(trimmed(c), F.lit(""))

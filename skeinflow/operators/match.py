@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions import rules
-from skeinflow.functions.text import ascii_nocase, edit_similarity, norm_compare, norm_lookup
+from skeinflow.functions.text import ascii_nocase, at_least_similar, edits_within, norm_compare, norm_lookup
+from skeinflow.scratch import materialize
 
-PAIR_BUCKETS = 4096  #: of pairs of characters, whose counts are told to all tasks
+GRAM = 3  #: characters of the pieces that similar texts share
+GRAM_BUCKETS = 1 << 14  #: of pieces, whose counts are told to all tasks
 
 
 def exact_matches(people: DataFrame, contacts: DataFrame, person: str, name: str, contact_id: str, contact_name: str, aliases: str) -> DataFrame:
@@ -44,48 +49,96 @@ def near_matches(left: DataFrame, right: DataFrame, left_id: str, left_key: str,
     return pairs.select("_l", "_a", "_r", "_b").distinct().select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
 
 
-def bigrams(c: Column) -> Column:
-    """Distinct pairs of neighbouring characters; a shorter text is its own."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hashes(c: Column) -> Column:
+    """Hashes of the pieces of GRAM characters at each position; a shorter text is its own."""
+    long = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - GRAM), lambda i: F.xxhash64(*[F.get(x, i + k) for k in range(GRAM)]))
+    return F.when(F.length(c) < GRAM, F.array(F.xxhash64(c))).otherwise(once(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), long))
+
+
+def _spoiled(length: Column, similarity: float) -> Column:
+    """Edits between a text of this length and the longest that may be so similar."""
+    return F.floor((1 - similarity) / similarity * length + 1e-9).cast("int")
+
+
+def _gram_texts(df: DataFrame, id_: str, text: str, on: tuple[str, ...]) -> DataFrame:
+    """on, _id, _n (the length) and _g, the hashes of a text that isn't empty."""
+    own = df.select(*on, F.col(id_).alias("_id"), F.col(text).alias("_text")).where(F.col("_text") != "")
+    return own.select(*on, "_id", F.length("_text").alias("_n"), _hashes(F.col("_text")).alias("_g"))
+
+
+def _gram_counts(*texts: DataFrame) -> Column:
+    """How often pieces occur, by GRAM_BUCKETS buckets of hashes, in an eighth of the texts: this only says which
+    pieces go first."""
+    eighth = [df.where(F.pmod(F.xxhash64("_id"), F.lit(8)) == 0) for df in texts]
+    grams = reduce(DataFrame.unionByName, [df.select(F.explode("_g").alias("_h")) for df in eighth])
+    found = {r["b"]: r["count"] for r in grams.groupBy(F.pmod("_h", F.lit(GRAM_BUCKETS)).cast("int").alias("b")).count().collect()}
+    return F.from_json(F.lit(str([found.get(k, 0) for k in range(GRAM_BUCKETS)])), "array<bigint>")
+
+
+def _ranked(counts: Column) -> Column:
+    """Of ``_g`` each piece once, rare ones first: n, h, i (where it stands) and whether it repeats."""
+    entry = lambda h, i: F.struct(F.get(counts, F.pmod(h, F.lit(GRAM_BUCKETS)).cast("int")).alias("n"), h.alias("h"), i.alias("i"))
+
+    def distinct(s: Column) -> Column:
+        first = F.transform(s, lambda x, k: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["i"].alias("i"), F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)).alias("again"), F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)).alias("late")))
+        return F.filter(first, lambda x: ~x["late"])
+
+    return once(F.sort_array(F.transform("_g", entry)), distinct)
+
+
+SIMILAR, EVERY, RAREST = 0, 1, 2
+
+
+def _postings(texts: DataFrame, counts: Column, similarity: float, on: tuple[str, ...], kinds: dict[int, tuple[int, Column]]) -> DataFrame:
+    """on, _kind, _key, _id, _n, _pos: pieces of texts under the kinds of join that they are for, each of which
+    takes all pieces, the rarest or those behind which similar texts meet, of texts where its condition holds.
+
+    An edit spoils GRAM pieces at most, so all but GRAM * edits of a text's distinct pieces also stand in a
+    similar one, shifted by no more than the edits. With all pieces in one order (rare ones first; any order
+    loses no pair), one of the first GRAM * edits + 1 of either text is the first that both have in such places.
+    _pos is null where the piece repeats, and then says nothing."""
+    take = {SIMILAR: lambda r: F.slice(r, F.lit(1), GRAM * _spoiled(F.col("_n"), similarity) + 1), EVERY: lambda r: r, RAREST: lambda r: F.slice(r, 1, 1)}
+    entry = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x["h"].alias("h"), F.when(~x["again"], x["i"]).alias("i"))
+    parts = [F.when(where, F.transform(take[what](F.col("_r")), entry(kind))).otherwise(F.array().cast("array<struct<kind:int,h:bigint,i:int>>")) for kind, (what, where) in kinds.items()]
+    rows = texts.withColumn("_r", _ranked(counts)).select(*on, "_id", "_n", F.explode(F.concat(*parts)).alias("_p"))
+    return rows.select(*on, F.col("_p.kind").alias("_kind"), F.col("_p.h").alias("_key"), "_id", "_n", F.col("_p.i").alias("_pos"))
+
+
+def _similar_postings(texts: DataFrame, counts: Column, similarity: float, on: tuple[str, ...]) -> DataFrame:
+    return _postings(texts, counts, similarity, on, {0: (SIMILAR, F.lit(True))}).drop("_kind")
+
+
+def _sided(df: DataFrame, side: str, on: tuple[str, ...]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_{side}") if c not in (*on, "_key") else F.col(c) for c in df.columns])
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Lengths and places of _l and _r allow the similarity."""
+    lengths = F.least("_n_l", "_n_r") >= similarity * F.greatest("_n_l", "_n_r") - 1e-9
+    return lengths & F.coalesce(F.abs(F.col("_pos_l") - F.col("_pos_r")) <= edits_within(F.col("_n_l"), F.col("_n_r"), similarity), F.lit(True))
+
+
+def _with_texts(pairs: DataFrame, left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str) -> DataFrame:
+    """pairs (_l, _r) with both texts, _a and _b."""
+    with_a = pairs.join(left.select(F.col(left_id).alias("_l"), F.col(left_text).alias("_a")), "_l")
+    return with_a.join(right.select(F.col(right_id).alias("_r"), F.col(right_text).alias("_b")), "_r")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, similarity: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """(left, right) of texts at least so similar, for limits above 0.8, with equal values in the columns
-    ``on``.
-
-    An edit spoils two of a text's pairs of characters at most, so a text has at most 2 * edits pairs that its
-    partner lacks. With all pairs in one order, one of the first 2 * edits + 1 of either is the first that
-    both have: only those are joined, and the order has rare pairs first (by the counts of PAIR_BUCKETS
-    buckets of pairs, known to all tasks; any order loses no pair)."""
-    own = lambda df, id_, text: df.select(F.col(id_).alias("_id"), F.col(text).alias("_text"), *on).where(F.col("_text") != "")
-    a, b = own(left, left_id, left_text), own(right, right_id, right_text)
-    pairs = a.select(F.explode(bigrams(F.col("_text"))).alias("_pair")).unionByName(b.select(F.explode(bigrams(F.col("_text"))).alias("_pair")))
-    bucket = lambda p: F.pmod(F.xxhash64(p), F.lit(PAIR_BUCKETS)).cast("int")
-    common = {r["b"]: r["count"] for r in pairs.groupBy(bucket("_pair").alias("b")).count().collect()}
-    counts = F.from_json(F.lit(str([common.get(k, 0) for k in range(PAIR_BUCKETS)])), "array<bigint>")
-
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        spoiled = F.floor(2 * (1 - similarity) / similarity * F.length("_text") + 1e-9).cast("int")
-        ranked = F.sort_array(F.transform(bigrams(F.col("_text")), lambda p: F.struct(F.get(counts, bucket(p)).alias("n"), p.alias("p"))))
-        first = F.slice(ranked, F.lit(1), spoiled + 1)
-        return df.select(*on, F.col("_id").alias(f"_{side}"), F.col("_text").alias(f"_text_{side}"), F.explode(first["p"]).alias("_key"))
-
-    lengths = F.least(F.length("_text_l"), F.length("_text_r")) >= similarity * F.greatest(F.length("_text_l"), F.length("_text_r"))
-    found = keyed(a, "l").join(keyed(b, "r"), [*on, "_key"]).where(lengths & (edit_similarity(F.col("_text_l"), F.col("_text_r")) >= similarity))
-    return found.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id)).distinct()
-
-
-def holding_pairs(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, least: int, on: tuple[str, ...] = ()) -> DataFrame:
-    """(left, right) where one text holds the other, which has ``least`` characters or more, with equal values
-    in the columns ``on``: the shorter one's first characters are a piece of the longer one."""
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(least)))))
-    side = lambda df, id_, text, s: df.where(F.length(text) >= least).select(*on, F.col(id_).alias(f"_{s}"), F.col(text).alias(f"_text_{s}"))
-    a, b = side(left, left_id, left_text, "l"), side(right, right_id, right_text, "r")
-    first = lambda df, s: df.withColumn("_key", F.xxhash64(F.substring(f"_text_{s}", 1, least)))
-    every = lambda df, s: df.withColumn("_key", F.explode(pieces(F.col(f"_text_{s}"))))
-    held = lambda x, y: x.join(y, [*on, "_key"]).where(F.contains("_text_l", F.col("_text_r")) | F.contains("_text_r", F.col("_text_l")))
-    found = held(every(a, "l"), first(b, "r")).select("_l", "_r").union(held(first(a, "l"), every(b, "r")).select("_l", "_r"))
-    return found.distinct().select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
+    """(left, right) of texts (with unique ids) at least so similar, for limits above 0.8, with equal values in
+    the columns ``on``. Only ids, lengths and places of pieces (``_similar_postings``) meet in the join that
+    finds candidates; each pair's texts are compared once."""
+    a, b = _gram_texts(left, left_id, left_text, on), _gram_texts(right, right_id, right_text, on)
+    counts = _gram_counts(a, b)
+    pairs = _sided(_similar_postings(a, counts, similarity, on), "l", on).join(_sided(_similar_postings(b, counts, similarity, on), "r", on), [*on, "_key"])
+    pairs = pairs.where(_may_be_similar(similarity)).select(F.col("_id_l").alias("_l"), F.col("_id_r").alias("_r")).distinct()
+    found = _with_texts(pairs, left, left_id, left_text, right, right_id, right_text).where(at_least_similar(F.col("_a"), F.col("_b"), similarity))
+    return found.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
 
 
 def unique_target(pairs: DataFrame, key: str, target: str) -> DataFrame:
@@ -121,31 +174,62 @@ def progress_targets(matches: DataFrame, fragment: str, target: str, confidence:
 
 
 def uncovered(evidence: DataFrame, covering: DataFrame, id_: str, key: str, text: str, quote: str, least: int = 8, similarity: float = 0.85) -> DataFrame:
-    """Evidence (with unique ``id_``) that no quote of its key covers, as ``rules.holds`` says: texts and
-    quotes meet by normalised key, on shared pieces, pairs of characters or, with an ellipsis, the first
-    characters of a quote's first long segment."""
-    texts = evidence.select(F.col(id_).alias("_e"), F.col(key).alias("_on"), rules.norm_contact(F.col(text)).alias("_text"))
+    """Evidence (with unique ``id_``) that no quote of its key covers, as ``rules.holds`` says.
+
+    Texts and quotes meet by id, key and a hashed piece, each for one reason: both have it among the pieces of
+    similar texts (``_postings``); it is the rarest piece of a quote, or of its first long segment, and
+    stands in the text; it is the rarest of the text and stands in the quote. One join finds the candidates, and
+    each pair's texts are compared once."""
+    texts = materialize(evidence.select(F.col(id_).alias("_id"), F.col(key).alias("_on"), rules.norm_contact(F.col(text)).alias("_text")))
     quotes = covering.select(F.col(key).alias("_on"), F.col(quote).alias("_raw")).distinct().select("_on", F.get(rules.coverage(F.array("_raw")), F.lit(0)).alias("_q"))
-    quotes = quotes.select("_on", "_q", F.col("_q.key").alias("_quote"), F.xxhash64("_q").alias("_c"))
-    plain = quotes.where("_q.segments is null")
-    near = similar_pairs(texts, plain, "_e", "_text", "_c", "_quote", similarity, ("_on",)).select("_e")
-    inside = holding_pairs(texts, plain, "_e", "_text", "_c", "_quote", least, ("_on",)).select("_e")
-    cut = quotes.where("size(_q.segments) > 0").withColumn("_key", F.xxhash64(F.substring(F.get(F.col("_q.segments"), F.lit(0)), 1, 4)))
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_text") - 3), lambda i: F.xxhash64(F.substring("_text", i, F.lit(4)))))
-    elided = texts.where(F.length("_text") >= 4).withColumn("_key", F.explode(pieces)).join(cut, ["_on", "_key"]).where(rules.holds(F.col("_text"), F.col("_q"), least, similarity)).select("_e")
-    covered = near.union(inside).union(elided).distinct()
+    quotes = quotes.where("_q.key <> '' and (_q.segments is null or size(_q.segments) > 0)").distinct().select("_on", "_q", F.xxhash64("_q").alias("_id"))
+    quotes = materialize(quotes)
+    elided = F.col("_q.segments").isNotNull()
+    looked = quotes.select("_on", F.struct("_on", "_id").alias("_id"), elided.alias("_cut"), F.when(elided, F.get(F.col("_q.segments"), F.lit(0))).otherwise(F.col("_q.key")).alias("_text"))
+    a = _gram_texts(texts, "_id", "_text", ("_on",))
+    b = _gram_texts(looked.withColumn("_k", F.struct("_on", "_cut")), "_id", "_text", ("_k",)).select("_k._on", "_k._cut", "_id", "_n", "_g")
+    counts = _gram_counts(a, b)
+    long, whole = F.col("_n") >= least, F.expr("not _cut")
+    left = _postings(a, counts, similarity, ("_on",), {0: (SIMILAR, F.lit(True)), 1: (EVERY, F.lit(True)), 2: (RAREST, long)})
+    right = _postings(b, counts, similarity, ("_on",), {0: (SIMILAR, whole), 1: (RAREST, long | ~whole), 2: (EVERY, whole & long)})
+    on = ("_on", "_kind")
+    pairs = _sided(left, "l", on).join(_sided(right, "r", on), [*on, "_key"])
+    shorter = F.when(F.col("_kind") == 2, F.col("_n_l") <= F.col("_n_r")).when(F.col("_kind") == 1, F.col("_n_r") <= F.col("_n_l"))
+    pairs = pairs.where(F.coalesce(shorter, _may_be_similar(similarity))).select(F.col("_id_l").alias("_l"), F.col("_id_r").alias("_r")).distinct()
+    held = _with_texts(pairs, texts, "_id", "_text", quotes.withColumn("_id", F.struct("_on", "_id")), "_id", "_q")
+    covered = held.where(rules.holds(F.col("_a"), F.col("_b"), least, similarity)).select(F.col("_l").alias("_e")).distinct()
     return evidence.join(covered, evidence[id_] == covered["_e"], "left_anti")
 
 
 def batch_duplicates(items: DataFrame, key: str, order: str, quote: str, similarity: float = 0.85) -> DataFrame:
-    """(order, first): for each item the first earlier one with the same key and a similar quote. Equal quotes
-    are compared once, by their first item and, beyond that, by their next one."""
-    once = items.groupBy(F.col(key).alias("_on"), F.col(quote).alias("_text")).agg(F.min(order).alias("_first"))
-    once = once.withColumn("_t", F.xxhash64("_on", "_text"))
-    other = once.select("_on", F.col("_text").alias("_other"), F.col("_t").alias("_u"))
-    pairs = similar_pairs(once, other, "_t", "_text", "_u", "_other", similarity, ("_on",))
-    least = pairs.join(once.select(F.col("_t").alias("_u"), "_first"), "_u").groupBy("_t").agg(F.min("_first").alias("first"))
-    found = items.withColumn("_t", F.xxhash64(key, quote)).join(least, "_t").where(F.col("first") < F.col(order))
+    """(order, first): for each item the first earlier one with the same key and a similar quote.
+
+    Equal quotes are compared once, by their first item. In each list of quotes that share a piece
+    (``_similar_postings``) all are first held against the list's first one: where that is similar, the list has
+    nothing earlier. Only what may come before the best found so far is compared further, so a crowd of similar
+    quotes costs one comparison each, not one a pair."""
+    once_each = items.groupBy(F.col(key).alias("_on"), F.col(quote).alias("_text")).agg(F.min(order).alias("_first"))
+    once_each = materialize(once_each.where("_text is not null"))
+    a = _gram_texts(once_each, "_first", "_text", ("_on",))
+    postings = materialize(_similar_postings(a, _gram_counts(a), similarity, ("_on",)))
+    at = ["_on", "_key"]
+    heads = postings.groupBy(*at).agg(F.min_by(F.struct("_id", "_n", "_pos"), "_id").alias("_h")).select(*at, F.col("_h._id").alias("_id_r"), F.col("_h._n").alias("_n_r"), F.col("_h._pos").alias("_pos_r"))
+    left = _sided(postings, "l", ("_on",))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """_l and the first _r that is similar."""
+        pairs = pairs.where(_may_be_similar(similarity)).select(F.col("_id_l").alias("_l"), F.col("_id_r").alias("_r")).distinct()
+        found = _with_texts(pairs, once_each, "_first", "_text", once_each, "_first", "_text").where(at_least_similar(F.col("_a"), F.col("_b"), similarity))
+        return found.groupBy("_l").agg(F.min("_r").alias("_r"))
+
+    by_head = materialize(verified(left.join(heads, at).where("_id_r < _id_l")))
+    best = by_head.select(F.col("_l").alias("_id_l"), F.col("_r").alias("_best"))
+    rest = left.join(best, "_id_l", "left").join(heads.select(*at, F.col("_id_r").alias("_head")), at)
+    others = rest.where("_head < _id_l and (_best is null or _head < _best)").join(_sided(postings, "r", ("_on",)), at)
+    by_rest = verified(others.where("_id_r > _head and _id_r < _id_l and (_best is null or _id_r < _best)"))
+    least = by_head.unionByName(by_rest).groupBy("_l").agg(F.min("_r").alias("_r"))
+    firsts = once_each.join(least, F.col("_first") == F.col("_l"), "left").select("_on", "_text", F.least("_first", "_r").alias("first"))
+    found = items.join(firsts, (items[key] == firsts["_on"]) & (items[quote] == firsts["_text"])).where((F.col("first") < F.col(order)) & (F.col("_text") != ""))
     return found.select(order, "first")
 
 
