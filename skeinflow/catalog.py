@@ -155,20 +155,38 @@ def unicode_near_match(t: Tables) -> DataFrame:
     return match.near_matches(a, b, "a", "key", "b", "key")
 
 
-@query("""
-    WITH m AS (SELECT event_id, event_type AS kind, event_type || ' about ' || (user_id % 40) || ' and ' || (event_id % 7) AS title, strftime(ts, '%Y-%m-%d') AS day FROM events),
-    n AS (SELECT * FROM m WHERE event_id % 2 = 0), k AS (SELECT event_id AS kid, kind AS kk, title AS kt, day AS kd FROM m WHERE event_id % 2 = 1),
-    e AS (SELECT event_id, count(DISTINCT kid) AS c, min(kid) AS kid FROM n JOIN k ON kind = kk AND title = kt GROUP BY event_id),
+_MEETINGS = """SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type WHEN event_id % 4 = 0 THEN NULL ELSE 'meeting' END AS kind,
+      CASE WHEN event_id % 13 = 0 THEN '' ELSE event_type || ' about ' || (user_id % 40) || ' and ' || (event_id % 7) END AS title, strftime(ts, '%Y-%m-%d') AS day FROM events"""
+
+
+@query(f"""
+    WITH m AS ({_MEETINGS}),
+    n AS (SELECT event_id, coalesce(kind, 'meeting') AS kind, title, day FROM m WHERE event_id % 2 = 0), k AS (SELECT event_id AS kid, kind AS kk, title AS kt, day AS kd FROM m WHERE event_id % 2 = 1),
+    e AS (SELECT event_id, count(DISTINCT kid) AS c, min(kid) AS kid FROM n JOIN k ON kind = kk AND title = kt WHERE title <> '' GROUP BY event_id),
     s AS (SELECT event_id, kid FROM n JOIN k ON kind = kk AND day = kd WHERE event_id NOT IN (SELECT event_id FROM e) AND length(title) >= 8 AND length(kt) >= 8
           AND 1 - levenshtein(title, kt) / CAST(greatest(length(title), length(kt)) AS DOUBLE) >= 0.9)
     SELECT event_id, kid, 'exact' AS tier FROM e WHERE c = 1 UNION ALL SELECT event_id, min(kid), 'similar' FROM s GROUP BY event_id HAVING count(DISTINCT kid) = 1""")
 def duplicate_event_match(t: Tables) -> DataFrame:
+    """Events as new and known meetings, some without a title or a kind."""
     title = F.concat("event_type", F.lit(" about "), (F.col("user_id") % 40).cast("string"), F.lit(" and "), (F.col("event_id") % 7).cast("string"))
-    m = t.events.select("event_id", F.col("event_type").alias("kind"), title.alias("title"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    kind = F.when(F.col("event_type") != "view", F.col("event_type")).when(F.col("event_id") % 4 != 0, "meeting")
+    m = t.events.select("event_id", kind.alias("kind"), F.when(F.col("event_id") % 13 == 0, "").otherwise(title).alias("title"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
     known = m.where("event_id % 2 = 1").withColumnRenamed("event_id", "kid")
     return match.duplicate_meetings(m.where("event_id % 2 = 0"), known, "event_id", "kid", "kind", "title", "day")
 
 
+@query(f"""
+    WITH v AS (SELECT event_id % 97 AS id, {AT('ts')} AS created_at, event_type AS title, CASE WHEN event_type = 'error' THEN 'past' ELSE 'upcoming' END AS status FROM events),
+    n AS (SELECT id, max(created_at) AS created_at FROM v WHERE status = 'upcoming' GROUP BY id)
+    SELECT id, created_at FROM n ORDER BY created_at DESC, id DESC LIMIT 20""")
+def upcoming_candidates(t: Tables) -> DataFrame:
+    """Events as versions of meetings: of each the newest, of these the newest 20."""
+    from skeinflow.plans.resolve import progress_candidates
+
+    status = F.when(F.col("event_type") == "error", "past").otherwise("upcoming")
+    return progress_candidates(t.events.select((F.col("event_id") % 97).alias("id"), at("ts").alias("created_at"), F.col("event_type").alias("title"), status.alias("status"))).select("id", "created_at")
+
+
 @query("""
     WITH n AS (SELECT event_id, strftime(ts, '%m-%d') AS day, [user_id % 50, user_id % 9] AS names FROM events WHERE event_type = 'view'),
     m AS (SELECT o_orderkey, strftime(o_orderdate, '%m-%d') AS day, [o_custkey % 50, o_custkey % 11] AS names FROM orders WHERE o_orderstatus = 'O'),

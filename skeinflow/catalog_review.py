@@ -90,7 +90,7 @@ def batch_cap(t: Tables) -> DataFrame:
 
 @query(rf"""
     WITH l AS (SELECT user_id, event_id, event_id % 977 AS y, event_id % 31 AS x, CASE event_id % 4 WHEN 0 THEN ' ' || month(ts) || '月' || day(ts) || '日 ' || strftime(ts, '%H:%M') || ' ' WHEN 1 THEN '昨天 ' || strftime(ts, '%H:%M') WHEN 2 THEN strftime(ts, '%H:%M') || '见' ELSE event_type END AS text, event_id % 5 > 0 AS placed FROM events)
-    SELECT user_id, string_agg(trim(text), '|' ORDER BY y, x, text) AS hints FROM l WHERE placed AND (regexp_matches(trim(text), '{chinese_time.ABSOLUTE_LINE}') OR regexp_matches(trim(text), '{chinese_time.RELATIVE_LINE}')) GROUP BY user_id""")
+    SELECT user_id, string_agg(trim(text), '|' ORDER BY y, x, text) AS hints FROM l WHERE placed AND regexp_matches(trim(text), '^\d+月\d+日 \d\d:\d\d$') GROUP BY user_id""")
 def timestamp_hints(t: Tables) -> DataFrame:
     clock, kind = F.date_format("ts", "HH:mm"), F.col("event_id") % 4
     day = F.concat(F.lit(" "), F.month("ts").cast("string"), F.lit("月"), F.dayofmonth("ts").cast("string"), F.lit("日 "), clock, F.lit(" "))

@@ -66,13 +66,6 @@ def inserted(candidates: Column, position: Column, contact_id: Column) -> Column
     return F.concat(F.slice(rest, F.lit(1), at), F.array(contact_id), F.slice(rest, at + 1, F.size(rest)))
 
 
-def other_items(items: DataFrame, key: str, order: str = "id") -> DataFrame:
-    """items with ``duplicate_of``: the first earlier pending or rejected item of the same time text with a
-    similar quote; a rejected one keeps its repeats out for good."""
-    live = items.where("status in ('pending', 'rejected')")
-    return items.join(match.batch_duplicates(live, key, order, "source_quote").withColumnRenamed("first", "duplicate_of"), order, "left")
-
-
 def backfilled_times(items: DataFrame, order: str = "id") -> DataFrame:
     """Pending items without a time take that of their first later duplicate that has one."""
     given = items.where("duplicate_of is not null and time_iso is not null").groupBy(F.col("duplicate_of").alias(order)).agg(F.min_by("time_iso", order).alias("_t"))

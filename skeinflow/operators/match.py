@@ -95,7 +95,7 @@ SIMILAR, EVERY, RAREST = 0, 1, 2
 
 
 def _postings(texts: DataFrame, counts: Column, similarity: float, on: tuple[str, ...], kinds: dict[int, tuple[int, Column]]) -> DataFrame:
-    """on, _kind, _key, _id, _n, _pos: pieces of texts under the kinds of join that they are for, each of which
+    """on, _why, _key, _id, _n, _pos: pieces of texts under the kinds of join that they are for, each of which
     takes all pieces, the rarest or those behind which similar texts meet, of texts where its condition holds.
 
     An edit spoils GRAM pieces at most, so all but GRAM * edits of a text's distinct pieces also stand in a
@@ -106,11 +106,11 @@ def _postings(texts: DataFrame, counts: Column, similarity: float, on: tuple[str
     entry = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x["h"].alias("h"), F.when(~x["again"], x["i"]).alias("i"))
     parts = [F.when(where, F.transform(take[what](F.col("_r")), entry(kind))).otherwise(F.array().cast("array<struct<kind:int,h:bigint,i:int>>")) for kind, (what, where) in kinds.items()]
     rows = texts.withColumn("_r", _ranked(counts)).select(*on, "_id", "_n", F.explode(F.concat(*parts)).alias("_p"))
-    return rows.select(*on, F.col("_p.kind").alias("_kind"), F.col("_p.h").alias("_key"), "_id", "_n", F.col("_p.i").alias("_pos"))
+    return rows.select(*on, F.col("_p.kind").alias("_why"), F.col("_p.h").alias("_key"), "_id", "_n", F.col("_p.i").alias("_pos"))
 
 
 def _similar_postings(texts: DataFrame, counts: Column, similarity: float, on: tuple[str, ...]) -> DataFrame:
-    return _postings(texts, counts, similarity, on, {0: (SIMILAR, F.lit(True))}).drop("_kind")
+    return _postings(texts, counts, similarity, on, {0: (SIMILAR, F.lit(True))}).drop("_why")
 
 
 def _sided(df: DataFrame, side: str, on: tuple[str, ...]) -> DataFrame:
@@ -148,8 +148,9 @@ def unique_target(pairs: DataFrame, key: str, target: str) -> DataFrame:
 
 def duplicate_meetings(new: DataFrame, known: DataFrame, new_id: str, known_id: str, kind: str, title: str, day: str, least_length: int = 8, least_similarity: float = 0.9) -> DataFrame:
     """(new, known, tier): same kind and title, if just one; several block; else the same kind and day,
-    long titles and similarity, if just one."""
-    n = new.select(F.col(new_id).alias("_n"), F.col(kind).alias("_kind"), F.col(title).alias("_t"), F.col(day).alias("_day"))
+    long titles and similarity, if just one. A new meeting without a kind is a meeting; empty titles match
+    nothing."""
+    n = new.select(F.col(new_id).alias("_n"), F.coalesce(kind, F.lit("meeting")).alias("_kind"), F.col(title).alias("_t"), F.col(day).alias("_day")).where("_t <> ''")
     k = known.select(F.col(known_id).alias("_k"), F.col(kind).alias("_kind"), F.col(title).alias("_u"), F.col(day).alias("_day2"))
     exact = n.join(k, (n["_kind"] == k["_kind"]) & (n["_t"] == k["_u"])).select("_n", "_k")
     counted = exact.groupBy("_n").agg(F.count_distinct("_k").alias("_c"), F.min("_k").alias("_k"))
@@ -192,9 +193,9 @@ def uncovered(evidence: DataFrame, covering: DataFrame, id_: str, key: str, text
     long, whole = F.col("_n") >= least, F.expr("not _cut")
     left = _postings(a, counts, similarity, ("_on",), {0: (SIMILAR, F.lit(True)), 1: (EVERY, F.lit(True)), 2: (RAREST, long)})
     right = _postings(b, counts, similarity, ("_on",), {0: (SIMILAR, whole), 1: (RAREST, long | ~whole), 2: (EVERY, whole & long)})
-    on = ("_on", "_kind")
+    on = ("_on", "_why")
     pairs = _sided(left, "l", on).join(_sided(right, "r", on), [*on, "_key"])
-    shorter = F.when(F.col("_kind") == 2, F.col("_n_l") <= F.col("_n_r")).when(F.col("_kind") == 1, F.col("_n_r") <= F.col("_n_l"))
+    shorter = F.when(F.col("_why") == 2, F.col("_n_l") <= F.col("_n_r")).when(F.col("_why") == 1, F.col("_n_r") <= F.col("_n_l"))
     pairs = pairs.where(F.coalesce(shorter, _may_be_similar(similarity))).select(F.col("_id_l").alias("_l"), F.col("_id_r").alias("_r")).distinct()
     held = _with_texts(pairs, texts, "_id", "_text", quotes.withColumn("_id", F.struct("_on", "_id")), "_id", "_q")
     covered = held.where(rules.holds(F.col("_a"), F.col("_b"), least, similarity)).select(F.col("_l").alias("_e")).distinct()

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.functions.chinese_time import is_time_line
+from skeinflow.functions.chinese_time import ABSOLUTE_LINE
 from skeinflow.functions.text import trimmed
 
 BATCH = 20  #: assets of one batch
@@ -59,8 +59,9 @@ def capped(assets: DataFrame, batch: str, order: str, most: int = BATCH) -> Data
 
 
 def timestamp_hints(lines: DataFrame, key: str) -> DataFrame:
-    """key, hints: trimmed time lines that have a place, from top to bottom, left to right."""
-    placed = lines.where("placed").where(is_time_line(F.col("text")))
+    """key, hints: trimmed absolute time lines (relative ones say nothing by themselves) that have a place, from
+    top to bottom, left to right."""
+    placed = lines.where("placed").where(trimmed(F.col("text")).rlike(ABSOLUTE_LINE))
     return placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", trimmed(F.col("text")).alias("text")))), lambda x: x["text"]).alias("hints"))
 
 

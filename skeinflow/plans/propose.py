@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions import contacts, rules
-from skeinflow.functions.chinese_time import calendar_day, text_day
+from skeinflow.functions.chinese_time import calendar_day, event_time, text_day
 from skeinflow.functions.text import cjk_ratio, content_key, distinct_strings, joined_quotes, label_key, mentions, norm_compare, norm_contact, norm_contacts, trimmed, without_speaker
 from skeinflow.operators import match
 from skeinflow.operators.snapshots import appended
@@ -183,7 +183,7 @@ def interaction_cards(drafted: DataFrame, resolved: DataFrame, events: DataFrame
         "_key": F.when(F.col("status") == "same_as", F.concat(F.lit("contact:"), F.col("contact_id").cast("string"))).otherwise(F.concat(F.lit("pending:"), F.col("normalized_name"))),
         "_own": own, "_quotes": F.transform("quotes", lambda q: F.struct(q["text"].alias("text"), q["source_quote"].alias("source_quote"))), "_facts": F.transform("facts", lambda f: f["source_quote"]), "_rank": F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0),
     })
-    grouped = rows.groupBy(KEY, "_key").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "_own", "_quotes", "_facts", "interaction_summary"))).alias("_g"), F.max("_rank").alias("_rank"), F.first("status").alias("status"), F.first("contact_id").alias("contact_id"), F.min("pos").alias("pos"))
+    grouped = rows.groupBy(KEY, "_key").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "_own", "_quotes", "_facts", "interaction_summary"))).alias("_g"), F.max("_rank").alias("_rank"), F.min_by("status", "pos").alias("status"), F.min_by("contact_id", "pos").alias("contact_id"), F.min("pos").alias("pos"))
     grouped = grouped.withColumns({"name": F.get("_g", F.lit(0))["name"], "_own": F.flatten(F.col("_g._own")), "_quotes": F.flatten(F.col("_g._quotes")), "_said": F.transform(F.flatten(F.col("_g._quotes")), lambda q: q["text"]), "_facts": F.flatten(F.col("_g._facts")), "summary": F.array_join(distinct_strings(F.filter("_g.interaction_summary", lambda s: s.isNotNull())), "；")})
     made = created.where("type = 'create_contact'").select(F.col(KEY).alias("_shot"), norm_compare(F.col("payload")["name"]).alias("_made"), F.lit(True).alias("_has")).distinct()
     grouped = grouped.join(made, (F.col(KEY) == F.col("_shot")) & (norm_compare(F.col("name")) == F.col("_made")), "left").drop("_shot", "_made")
@@ -206,14 +206,15 @@ def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame
     """All cards of the documents, with card_no in the order contacts, meetings, interactions."""
     drafted, resolved = materialize(drafts(related)), materialize(resolved)  # written: plans that use them again stay small
     contact = materialize(contact_cards(drafted, resolved, people))
-    routed = materialize(routed_events(parts["events"]))
+    events = parts["events"] if now is None else parts["events"].withColumn("time_iso", event_time(F.col("time_text"), F.col("time_iso"), now))
+    routed = materialize(routed_events(events))
     stored = materialize(notice_targets(routed, meetings, now))
     targets = materialize(batch_targets(routed, stored, now))
     # a target that repeats a known meeting passes its notices on to it
     twins = repeated_meetings(routed.where("route = 'keep'"), meetings).select(F.col(f"_id.{KEY}").alias(KEY), F.col("_id.pos").alias("target"), F.col("_m").alias("meeting_id"))
     passed = targets.join(twins, [KEY, "target"]).select(KEY, "pos", "meeting_id")
     kept = materialize(changed_targets(routed, targets.join(twins, [KEY, "target"], "left_anti")))
-    cards = [contact, meeting_cards(kept, meetings), interaction_cards(drafted, resolved, parts["events"], contact)]
+    cards = [contact, meeting_cards(kept, meetings), interaction_cards(drafted, resolved, events, contact)]
     told = stored.unionByName(passed).join(routed.select(KEY, "pos", F.col("source_quote").alias("content"), "source_quote"), [KEY, "pos"])
     found = told.select(KEY, "pos", "meeting_id", "content", "source_quote", F.lit(1).alias("of"))
     if progress is not None:

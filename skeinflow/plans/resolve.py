@@ -68,8 +68,9 @@ def progress_fragments(people: DataFrame, facts: DataFrame, events: DataFrame, q
 
 
 def progress_candidates(meetings: DataFrame) -> DataFrame:
-    """The newest upcoming meetings, each id once."""
-    rows = dedup.keep_first(meetings.where("status = 'upcoming'"), ["id"], ["created_at"])
+    """The newest upcoming meetings, each id once, in its newest version."""
+    row = F.max_by(F.struct(*meetings.columns), F.struct("created_at", F.to_json(F.struct(*meetings.columns))))
+    rows = meetings.where("status = 'upcoming'").groupBy("id").agg(row.alias("_m")).select("_m.*")
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(LATEST_MEETINGS)
 
 
