@@ -10,6 +10,7 @@ from skeinflow.functions import chinese_time, rules
 from skeinflow.functions import text as tx
 from skeinflow.operators import batch, dedup, geometry, reads, review, snapshots
 from skeinflow.plans import execute, resolve
+from skeinflow.catalog import _LETTERS
 from skeinflow.registry import AT, Tables, at, query
 from skeinflow.sources import tables
 
@@ -279,3 +280,51 @@ def merged_people(t: Tables) -> DataFrame:
     new = F.when(F.col("o_orderkey") % 2 == 0, F.array(one)).otherwise(F.array(person(F.lit(None), F.lit("c")), one)).cast(kind)
     people = snapshots.merged_participants(snapshots.without_participant(old.cast(kind), F.lit(9)), new)
     return t.orders.select("o_orderkey", F.array_join(F.transform(people, lambda p: F.concat(F.coalesce(p["contact_id"], F.lit(0)).cast("string"), F.lit(":"), p["name"])), ",").alias("people"))
+
+
+# --- batch sessions
+
+_STEPS = """SELECT conv_id, turn AS step, conv_id * 1000 + turn AS card, 'propose' AS action, turn % 3 AS kind, 'P' || (conv_id + turn * 7) % 2 AS name, 'day ' || turn % 2 AS day, CASE WHEN turn % 2 = 1 THEN 'About P' || (conv_id + turn * 7) % 2 || ' and the plan.' ELSE text END AS text, NULL::BIGINT AS contact FROM conversations
+      UNION ALL SELECT conv_id, 900, conv_id * 1000, CASE WHEN conv_id % 5 < 3 THEN 'confirm' ELSE 'reject' END, -1, NULL, NULL, NULL, conv_id FROM conversations WHERE turn = 0
+      UNION ALL SELECT conv_id, 901 + turn, conv_id * 1000 + turn, 'confirm', -1, NULL, NULL, NULL, NULL FROM conversations WHERE turn % 3 > 0"""
+_SAME = f"1 - levenshtein({_LETTERS('s.k')}, {_LETTERS('x.k')}) / CAST(greatest(length(s.k), length(x.k)) AS DOUBLE) >= 0.85"
+
+
+@query(f"""
+    WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY step, card) AS i, lower(regexp_replace(coalesce(text, ''), '[\\p{{P}}\\p{{Z}}\\x09-\\x0D\\x{{85}}]+', '', 'g')) AS k FROM ({_STEPS})),
+    f AS (SELECT conv_id, 0::BIGINT AS i, []::STRUCT(card BIGINT, name VARCHAR, real BIGINT, gone BOOLEAN)[] AS people, []::STRUCT(card BIGINT, k VARCHAR, day VARCHAR)[] AS items, []::STRUCT(card BIGINT, anchor BIGINT)[] AS waits,
+        NULL::BIGINT AS step, NULL::BIGINT AS card, NULL::VARCHAR AS outcome, NULL::BIGINT AS target FROM (SELECT DISTINCT conv_id FROM conversations)
+      UNION ALL SELECT conv_id, i,
+        CASE WHEN outcome = 'anchor' THEN list_append(people, struct_pack(card := card, name := name, real := NULL::BIGINT, gone := false))
+          WHEN action = 'reject' THEN list_transform(people, lambda p: struct_pack(card := p.card, name := p.name, real := p.real, gone := p.gone OR p.card = card))
+          WHEN outcome = 'confirmed' AND contact IS NOT NULL THEN list_transform(people, lambda p: struct_pack(card := p.card, name := p.name, real := CASE WHEN p.card = card THEN contact ELSE p.real END, gone := p.gone)) ELSE people END,
+        CASE WHEN outcome = 'kept' AND kind = 1 THEN list_append(items, struct_pack(card := card, k := k, day := day)) ELSE items END,
+        CASE WHEN outcome = 'kept' AND kind > 0 AND met IS NOT NULL THEN list_append(waits, struct_pack(card := card, anchor := met.card)) ELSE waits END,
+        step, card, outcome, CASE outcome WHEN 'anchor' THEN card WHEN 'merged' THEN met.card WHEN 'duplicate' THEN said.card END
+      FROM (SELECT *, CASE WHEN action = 'reject' THEN 'rejected' WHEN action = 'confirm' THEN CASE WHEN anchor IS NULL THEN 'confirmed' WHEN anchor.gone THEN 'broken' WHEN anchor.real IS NULL THEN 'waiting' ELSE 'confirmed' END
+          WHEN kind = 0 AND met IS NULL THEN 'anchor' WHEN kind = 0 THEN 'merged' WHEN kind = 1 AND said IS NOT NULL THEN 'duplicate' ELSE 'kept' END AS outcome
+        FROM (SELECT *, list_filter(people, lambda p: p.card = wait.anchor)[1] AS anchor FROM (
+          SELECT s.*, people, items, waits, list_filter(people, lambda p: NOT p.gone AND p.name = s.name)[1] AS met, list_filter(items, lambda x: x.day = s.day AND x.k <> '' AND s.k <> '' AND {_SAME})[1] AS said, list_filter(waits, lambda w: w.card = s.card)[1] AS wait
+          FROM f JOIN s ON s.conv_id = f.conv_id AND s.i = f.i + 1))))
+    SELECT conv_id AS batch, CAST(step AS INTEGER) AS step, card AS card_id, outcome, target FROM f WHERE i > 0""")
+def batch_session(t: Tables) -> DataFrame:
+    """Conversations as batches: turns as cards of contacts, other items and interactions, then a confirmation or
+    rejection of the first card and confirmations of those that may depend on people."""
+    from skeinflow.streaming.batch_session import fold_batches
+
+    turn, none = F.col("turn"), lambda kind: F.lit(None).cast(kind)
+    kind = turn % 3
+    name = F.concat(F.lit("P"), ((F.col("conv_id") + turn * 7) % 2).cast("string"))
+    quote = F.when(turn % 2 == 1, F.concat(F.lit("about "), name, F.lit(" and the plan"))).otherwise(F.col("text"))
+    blank = {"type": "string", "name": "string", "aliases": "array<string>", "fields": "map<string,string>", "people": "array<string>", "kind": "string", "time_text": "string", "time_iso": "string", "source_quote": "string", "contact_id": "bigint"}
+
+    def steps(rows: DataFrame, step, action, **given) -> DataFrame:
+        columns = [given.get(c, none(k)).alias(c) for c, k in blank.items()]
+        return rows.select(F.col("conv_id").alias("batch"), step.alias("step"), (F.col("conv_id") * 1000 + turn).alias("card_id"), action.alias("action"), *columns)
+
+    proposed = {"type": F.when(kind == 0, "create_contact").when(kind == 1, "create_meeting").otherwise("record_interaction"), "name": name, "people": F.array(name), "kind": F.lit("other"), "time_text": F.concat(F.lit("day "), (turn % 2).cast("string")), "source_quote": quote}
+    rows = t.conversations
+    all_ = steps(rows, turn, F.lit("propose"), **proposed)
+    all_ = all_.unionByName(steps(rows.where("turn = 0"), F.lit(900), F.when(F.col("conv_id") % 5 < 3, "confirm").otherwise("reject"), contact_id=F.col("conv_id")))
+    all_ = all_.unionByName(steps(rows.where("turn % 3 > 0"), turn + 901, F.lit("confirm")))
+    return fold_batches(all_).select("batch", "step", "card_id", "outcome", "target")

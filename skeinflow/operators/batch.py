@@ -6,18 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.functions.text import distinct_strings, norm_compare, trimmed
-from skeinflow.operators import dedup, match
+from skeinflow.functions.text import norm_compare
 
 DEPENDENCY = "array<struct<kind:string,anchor_card_id:bigint,participant_index:int,candidate_index:int>>"
 
 
-def library_with_pending(contacts: DataFrame, cards: DataFrame) -> DataFrame:
-    """Contacts and the people of pending create cards, these under the negative id of their card."""
-    pending = cards.where("type = 'create_contact' and status = 'pending'").select((-F.col("id")).alias("id"), trimmed(F.col("name")).alias("canonical_name"), "aliases")
-    return contacts.select("id", "canonical_name", "aliases").unionByName(pending)
-
-
 def anchors(cards: DataFrame, batch: str = "batch", order: str = "id") -> DataFrame:
     """cards with ``anchor``: of create cards of one name in a batch the first is the anchor; a later one
     names it, the first names itself."""
@@ -26,16 +19,6 @@ def anchors(cards: DataFrame, batch: str = "batch", order: str = "id") -> DataFr
     return rows.withColumn("anchor", F.first(order).over(w)).drop("_n")
 
 
-def merged_anchors(anchored: DataFrame, fields: list[str], order: str = "id") -> DataFrame:
-    """One row per anchor: of each field the last value that isn't blank, aliases and quotes of all in
-    order, and the screenshots they came from."""
-    last = dedup.last_writer(anchored, ["anchor"], [order], fields)
-    rows = F.sort_array(F.collect_list(F.struct(order, "aliases", "source_quote", "screenshot_id")))
-    lists = anchored.groupBy("anchor").agg(rows.alias("_r"))
-    lists = lists.select("anchor", distinct_strings(F.flatten(F.col("_r.aliases"))).alias("aliases"), distinct_strings(F.col("_r.source_quote")).alias("quotes"), F.array_distinct(F.col("_r.screenshot_id")).alias("screenshots"))
-    return last.join(lists, "anchor")
-
-
 def resolved_anchors(dependencies: DataFrame, cards: DataFrame) -> DataFrame:
     """dependencies (card_id, anchor_card_id) with ``contact_id``: of a confirmed anchor its contact, of a
     pending one its negative card id, else null."""
@@ -44,13 +27,6 @@ def resolved_anchors(dependencies: DataFrame, cards: DataFrame) -> DataFrame:
     return dependencies.join(at, "anchor_card_id", "left").withColumn("contact_id", found).drop("_s", "resolved_contact_id")
 
 
-def confirmable(dependencies: DataFrame, cards: DataFrame) -> DataFrame:
-    """card_id, ready, missing: a card is ready once all its anchors are confirmed."""
-    done = resolved_anchors(dependencies, cards)
-    open_ = F.count_if(F.col("contact_id").isNull() | (F.col("contact_id") < 0))
-    return done.groupBy("card_id").agg((open_ == 0).alias("ready"), open_.alias("missing"))
-
-
 def pending_dependents(cards: DataFrame, raw: str = "disambiguation") -> DataFrame:
     """anchor_card_id and the number of pending interaction cards that wait for it; damaged JSON is
     nothing."""
@@ -66,12 +42,6 @@ def inserted(candidates: Column, position: Column, contact_id: Column) -> Column
     return F.concat(F.slice(rest, F.lit(1), at), F.array(contact_id), F.slice(rest, at + 1, F.size(rest)))
 
 
-def backfilled_times(items: DataFrame, order: str = "id") -> DataFrame:
-    """Pending items without a time take that of their first later duplicate that has one."""
-    given = items.where("duplicate_of is not null and time_iso is not null").groupBy(F.col("duplicate_of").alias(order)).agg(F.min_by("time_iso", order).alias("_t"))
-    return items.join(given, order, "left").withColumn("time_iso", F.coalesce("time_iso", F.when(F.col("status") == "pending", F.col("_t")))).drop("_t")
-
-
 def duplicate_uploads(uploads: DataFrame, cards: DataFrame) -> DataFrame:
     """uploads (upload_no, sha256, screenshot_id) that repeat an earlier content: the earlier screenshot
     and the cards still pending there."""
