@@ -12,7 +12,8 @@ where memory is short); a task opens one at a time. Windows and places are expan
 memory of a search depends on neither the test set nor the frequency of a term.
 
 Cases: a null or wordless text has no words and no hits; an item without words has no window, one with
-fewer words than a window is a window of its own; repeated items each count; one text may be a segment
+fewer words than a window is a window of its own; an item without an id takes no part (nothing could name
+its hits); items that repeat an id count once for a document; one text may be a segment
 alone when it is very long; repeated rows and ids give a row each; empty tables give no hits or an
 empty result. Input columns whose names clash with the results give way. Two of N distinct words have the
 same hash with a chance of about N^2 / 2^65; a false hit would need this of a word whose neighbours match.
@@ -149,7 +150,7 @@ def test_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     """Broadcast blocks of windows, each made of about ``block_bytes`` of test text; the driver holds one at
     a time."""
     sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // block_bytes
     if blocks == 1:

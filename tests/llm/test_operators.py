@@ -463,6 +463,14 @@ def test_contamination_equals_brute_force(spark, documents):
     assert {r["n_hit"] for r in decontamination.contamination(documents(texts), bench.limit(0)).collect()} == {0}
 
 
+def test_items_without_an_id_take_no_part(spark, documents):
+    bench = spark.createDataFrame([(None, "alpha beta"), ("b", "alpha beta"), ("a", "beta gamma"), ("b", "gamma delta"), (None, "omega")], "item_id string, text string")
+    found = by_id(decontamination.contamination(documents(["alpha beta gamma delta", "omega psi", None]), bench))
+    assert {d: (r["n_hit"], r["item_ids"]) for d, r in found.items()} == {0: (4, ["a", "b"]), 1: (0, []), 2: (0, [])}
+    assert decontamination.without_contaminated(documents(["alpha beta", "omega psi"]), bench).count() == 1
+    assert {r["n_hit"] for r in decontamination.contamination(documents(["omega"]), bench.where("item_id is null")).collect()} == {0}
+
+
 def test_proximity(spark, documents):
     item = "alpha beta gamma delta epsilon"
     docs = documents(["alpha beta gamma delta epsilon", "alpha beta x gamma delta epsilon", "epsilon alpha", "alpha beta gamma delta", "epsilon"])
