@@ -537,7 +537,7 @@ def agenda_append(t: Tables) -> DataFrame:
     f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'pending' AS status, n FROM o UNION ALL
       SELECT o.user_id, o.i, CASE WHEN f.status = 'pending' AND event_type = 'purchase' THEN 'confirmed' WHEN f.status = 'pending' AND event_type = 'error' THEN 'rejected' WHEN f.status = 'rejected' AND event_type = 'signup' THEN 'pending' ELSE f.status END, f.n
       FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
-    SELECT user_id, status, CAST(n AS INTEGER) AS n_events FROM f WHERE i = n""")
+    SELECT user_id, status, n AS n_events FROM f WHERE i = n""")
 def state_fold(t: Tables) -> DataFrame:
     legal = {("pending", "purchase"): "confirmed", ("pending", "error"): "rejected", ("rejected", "signup"): "pending"}
     return snapshots.folded_status(t.events, "user_id", ["ts", "event_id"], "event_type", legal, "pending")

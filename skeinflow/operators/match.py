@@ -237,8 +237,9 @@ def batch_duplicates(items: DataFrame, key: str, order: str, quote: str, similar
 def related(people: DataFrame, seeds: DataFrame, group: str, names: str, seed: str) -> DataFrame:
     """Per group the union of names of the people who share a name with a seed."""
     spread = people.withColumn("_p", F.monotonically_increasing_id()).select(group, "_p", names, F.explode(names).alias("_name"))
-    hit = spread.join(seeds.select(F.col(seed).alias("_name")).distinct(), "_name", "left_semi").select(group, "_p", names).distinct()
-    return hit.groupBy(group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(names)))).alias("related"))
+    hit = spread.join(seeds.select(F.col(seed).alias("_name")).distinct(), "_name", "left_semi").dropDuplicates(["_p"])
+    each = hit.select(group, F.explode(names).alias("_name")).distinct()  # a group's names once, before they come together
+    return each.groupBy(group).agg(F.array_sort(F.collect_list("_name")).alias("related"))
 
 
 def grounded(insights: DataFrame, observations: DataFrame, id_: str, owner: str, based_on: str, observation: str) -> DataFrame:

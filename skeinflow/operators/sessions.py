@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.operators import scan
+
 
 def sessions(log: DataFrame, key: str, order: list[str], opens: Column, out: str = "session") -> DataFrame:
     """Numbers sessions: each marker opens one; what comes before the first is session 0."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn(out, F.sum(F.when(opens, 1).otherwise(0)).over(w))
+    return scan.running(scan.in_ranges(log, [key], order), [key], order, F.when(opens, 1).otherwise(0), out).drop("_range")
 
 
 def session_tail(log: DataFrame, key: str, order: list[str], opens: Column, quiet: Column) -> DataFrame:
@@ -23,9 +24,9 @@ def session_tail(log: DataFrame, key: str, order: list[str], opens: Column, quie
 def gap_groups(df: DataFrame, key: str, order: list[str], gap: Column, limit: float, out: str = "gap_group") -> DataFrame:
     """A new group starts where the gap to the row before reaches the limit. ``gap`` may use ``_prev``,
     the row before."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = df.withColumn("_prev", F.lag(F.struct(*df.columns)).over(w)).withColumn("_new", F.when(gap >= limit, 1).otherwise(0))
-    return rows.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_prev", "_new")
+    dealt = scan.previous(scan.in_ranges(df, [key], order), [key], order, df.columns, "_prev")
+    new = F.when(gap >= limit, 1).otherwise(0)
+    return scan.running(dealt, [key], order, new, out).drop("_prev", "_range")
 
 
 def newest(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -35,10 +36,12 @@ def newest(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 def sticky_flag(log: DataFrame, key: str, order: list[str], raises: Column, clears: Column, out: str = "flag") -> DataFrame:
     """Whether something failed since the last row that clears (which counts as cleared itself)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = log.withColumn("_era", F.sum(F.when(clears, 1).otherwise(0)).over(w)).withColumn("_raise", raises)
-    era = Window.partitionBy(key, "_era").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(out, F.bool_or("_raise").over(era)).drop("_era", "_raise")
+    dealt = scan.in_ranges(log, [key], order).withColumn("_raise", F.when(raises, 1).otherwise(0))
+    raised = scan.running(dealt, [key], order, F.col("_raise"), "_raised")
+    # what had been raised before the last row that clears
+    before = F.when(clears, F.col("_raised") - F.col("_raise")).otherwise(0)
+    rows = scan.running(raised, [key], order, before, "_cleared", "max")
+    return rows.withColumn(out, F.col("_raised") > F.col("_cleared")).drop("_raise", "_raised", "_cleared", "_range")
 
 
 def slot_reorder(df: DataFrame, key: str, slot: str, placed: Column, geometry: list[str]) -> DataFrame:

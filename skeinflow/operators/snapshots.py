@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions.text import trimmed
+from skeinflow.operators import scan
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -33,11 +34,8 @@ def rebased(base: Column, current: Column, wanted: Column) -> Column:
 
 def folded_status(events: DataFrame, key: str, order: list[str], action: str, legal: dict[tuple[str, str], str], start: str) -> DataFrame:
     """State machine per key: each action moves the state if the pair (state, action) is legal, else it is
-    ignored. The actions of a key are folded in order."""
-    acts = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, action))).alias("_a"))
-    moves = F.create_map(*[F.lit(x) for (s, a), t in legal.items() for x in (f"{s}\t{a}", t)])
-    step = lambda s, a: F.coalesce(F.element_at(moves, F.concat_ws("\t", s, a[action])), s)
-    return acts.select(key, F.aggregate("_a", F.lit(start), step).alias("status"), F.size("_a").alias("n_events"))
+    ignored. n_events: how many there were."""
+    return scan.composed(scan.in_ranges(events.select(key, *order, action), [key], order), [key], order, action, legal, start)
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
