@@ -170,7 +170,7 @@ def grounded_insights(t: Tables) -> DataFrame:
 
 
 _NAMED = """SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN ' ' || upper(c_name) WHEN 1 THEN 'Alias ' || c_custkey % 50 WHEN 2 THEN c_name || 'x' WHEN 3 THEN 'Nobody' || conv_id ELSE c_name END AS name, role = 'system' AS is_self
-      FROM conversations JOIN customer ON c_custkey = (conv_id * 7 + turn) % 100 + 1"""
+      FROM conversations JOIN customer ON c_custkey = (conv_id * 7 + turn) % (SELECT count(*) FROM customer) + 1"""
 
 
 @query(rf"""
@@ -183,7 +183,7 @@ _NAMED = """SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN ' ' || u
     FROM p LEFT JOIN e USING (conv_id, turn) LEFT JOIN x USING (conv_id, turn) WHERE NOT is_self""")
 def resolved_turns(t: Tables) -> DataFrame:
     """All turns as participants, customers as contacts; the model calls all others new."""
-    rows = t.conversations.withColumn("c_custkey", (F.col("conv_id") * 7 + F.col("turn")) % 100 + 1).join(t.customer.select("c_custkey", "c_name"), "c_custkey")
+    rows = t.conversations.withColumn("c_custkey", (F.col("conv_id") * 7 + F.col("turn")) % max(1, t.customer.count()) + 1).join(t.customer.select("c_custkey", "c_name"), "c_custkey")
     kind, key = (F.col("conv_id") + F.col("turn")) % 5, F.col("c_custkey")
     name = F.when(kind == 0, F.concat(F.lit(" "), F.upper("c_name"))).when(kind == 1, F.concat(F.lit("Alias "), (key % 50).cast("string"))).when(kind == 2, F.concat("c_name", F.lit("x"))).when(kind == 3, F.concat(F.lit("Nobody"), F.col("conv_id").cast("string"))).otherwise(F.col("c_name"))
     people = rows.select("conv_id", F.col("turn").alias("pos"), name.alias("name"), (F.col("role") == "system").alias("is_self"))

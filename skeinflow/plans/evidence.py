@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions.rules import SELF_NAME
+from skeinflow.functions.strict import ISO, Field, document_errors
 from skeinflow.functions.text import norm_compare, norm_lookup, trimmed
 
 PARTICIPANT = "struct<name:string,is_self:boolean,role:string,speech_act:string,aliases:array<string>,company:string,title:string,phone:string,wechat_id:string,notes:string,interaction_summary:string,confidence:string,source_quote:string>"
@@ -20,16 +21,32 @@ DOCUMENT = f"struct<participants:array<{PARTICIPANT}>,events:array<{EVENT}>,fact
 PARTS = ("participants", "events", "facts", "quotes")
 CONFIDENCE = ["high", "medium", "low"]
 
+_TEXT, _MAYBE, _SURE = Field(), Field(optional=True), Field(values=tuple(CONFIDENCE))
+#: What a document may hold. is_self, has_time_signal and the confidence of oneself may be missing: they are filled in.
+STRICT = {
+    "participants": {
+        "name": _TEXT, "is_self": Field("BOOLEAN", optional=True), "role": Field(optional=True, values=("speaker", "mentioned")), "speech_act": Field(optional=True, values=("initiate", "respond")),
+        "aliases": Field("ARRAY", optional=True), "company": _MAYBE, "title": _MAYBE, "phone": _MAYBE, "wechat_id": _MAYBE, "notes": _MAYBE, "interaction_summary": Field(optional=True, pattern="(?U)\\S"),
+        "confidence": Field(optional=True, values=tuple(CONFIDENCE)), "source_quote": _TEXT,
+    },
+    "events": {
+        "kind": Field(values=("meeting", "appointment", "other")), "title": _TEXT, "time_text": Field(empty=True), "time_iso": Field(nullable=True, pattern=ISO), "has_time_signal": Field("BOOLEAN", optional=True),
+        "location": _MAYBE, "participant_names": Field("ARRAY", optional=True), "agenda": _MAYBE, "confidence": _SURE, "source_quote": _TEXT,
+    },
+    "facts": {"subject_name": _TEXT, "field": Field(values=("alias", "company", "title", "phone", "wechat_id", "notes", "other")), "value": _TEXT, "confidence": _SURE, "source_quote": _TEXT},
+    "quotes": {"speaker_name": Field(nullable=True), "text": _TEXT, "source_quote": _TEXT},
+}
+
 
 def parsed(df: DataFrame, raw: str = "raw_extraction") -> DataFrame:
     """df with ``evidence``: the parsed document with what older ones lack filled in. is_self: the name is
-    the self name; has_time_signal: there is a time; confidence of oneself: high. Damaged documents, and
-    people without confidence, make it null."""
+    the self name; has_time_signal: there is a time; confidence of oneself: high. Damaged documents, those with
+    keys or values that STRICT doesn't allow, and people without confidence, make it null."""
     doc = F.from_json(raw, DOCUMENT)
     people = F.transform(F.coalesce(doc["participants"], F.array()), lambda p: _with_self(p))
     events = F.transform(F.coalesce(doc["events"], F.array()), lambda e: e.withField("has_time_signal", F.coalesce(e["has_time_signal"], trimmed(F.coalesce(e["time_iso"], F.lit(""))) != "")).withField("participant_names", F.coalesce(e["participant_names"], F.array())))
     whole = F.struct(people.alias("participants"), events.alias("events"), F.coalesce(doc["facts"], F.array()).alias("facts"), F.coalesce(doc["quotes"], F.array()).alias("quotes"))
-    bad = doc.isNull() | (doc["participants"].isNull() & doc["events"].isNull() & doc["facts"].isNull() & doc["quotes"].isNull())
+    bad = doc.isNull() | (F.size(document_errors(F.col(raw), STRICT)) > 0)
     unsure = F.exists(people, lambda p: ~F.coalesce(p["confidence"].isin(CONFIDENCE), F.lit(False)))
     return df.withColumn("evidence", F.when(~bad & ~unsure, whole))
 

@@ -21,6 +21,7 @@ ALLOWED = {
 }
 OBSERVATION = ["contact_id", "screenshot_id", "kind", "content", "source_quote", "observed_at"]
 INSIGHTS_PER_CONTACT = 3
+LARGEST_ID = (1 << 53) - 1  #: beyond it numbers of JSON aren't exact
 
 
 def value(name: str) -> Column:
@@ -31,7 +32,7 @@ def card_errors(cards: DataFrame) -> DataFrame:
     """cards with ``errors``: what keeps a card from being applied."""
     blank = lambda name: trimmed(F.coalesce(value(name), F.lit(""))) == ""
     is_ = lambda kind: F.col("type") == kind
-    bad_id = lambda name: value(name).isNotNull() & ~F.coalesce((value(name).try_cast("long") > 0), F.lit(False))
+    bad_id = lambda name: value(name).isNotNull() & ~F.coalesce(value(name).try_cast("long").between(1, LARGEST_ID), F.lit(False))
     checks = [
         (F.col("status") != "pending", "not_pending"),
         (~F.col("type").isin("create_contact", "update_contact", "create_meeting", "record_interaction"), "type"),

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions import chinese_time
@@ -23,12 +23,12 @@ def person(name: str, **more) -> dict:
 
 
 def event(kind: str, title: str, **more) -> dict:
-    return {"kind": kind, "title": title, "time_text": "", "has_time_signal": False, "participant_names": [], "confidence": "high", "source_quote": title, **more}
+    return {"kind": kind, "title": title, "time_text": "", "time_iso": None, "has_time_signal": False, "participant_names": [], "confidence": "high", "source_quote": title, **more}
 
 
 DOCUMENTS = {
     1: {
-        "participants": [person("林舟", company="北辰科技", source_quote="林舟：方案下周三前给您"), person("Ada", title="CTO", source_quote="Ada：收到"), {"name": "我", "confidence": None, "source_quote": "我：好的"}],
+        "participants": [person("林舟", company="北辰科技", source_quote="林舟：方案下周三前给您"), person("Ada", title="CTO", source_quote="Ada：收到"), {"name": "我", "source_quote": "我：好的"}],
         "events": [event("meeting", "北辰科技方案评审会议", time_text="9月2日下午3点", time_iso="2026-09-02T15:00:00+08:00", has_time_signal=True, participant_names=["林舟", "我"])],
         "facts": [{"subject_name": "林舟", "field": "phone", "value": "13800000000", "confidence": "high", "source_quote": "电话13800000000"}, {"subject_name": "Ada", "field": "other", "value": "喜欢安静的会议室", "confidence": "medium", "source_quote": "Ada喜欢安静的会议室"}],
         "quotes": [{"speaker_name": "林舟", "text": "报价单我明天整理好发给您", "source_quote": "报价单我明天整理好发给您"}, {"speaker_name": "Ada", "text": "收到", "source_quote": "收到"}],
@@ -56,16 +56,16 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """screenshot_id, raw_extraction: a document of every conversation, as a model would give it."""
     t = Tables(spark, sf_dir)
     people = t.customer.select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
-    rows = t.conversations.withColumn("k", (F.col("conv_id") * 7 + F.col("turn")) % 100 + 1).join(people, "k")
+    rows = t.conversations.withColumn("k", (F.col("conv_id") * 7 + F.col("turn")) % max(1, t.customer.count()) + 1).join(people, "k")
     no, text = F.col("conv_id") + F.col("turn"), F.coalesce("text", F.lit(""))
     said = F.get(F.array(*[F.lit(x) for x in SAID]), (no % len(SAID)).cast("int"))
-    name = F.when(no % 4 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    name = F.when(no % 4 == 0, F.concat("c_name", F.lit("x"))).when(no % 4 == 1, F.concat(F.lit("新客户"), "c_name")).otherwise(F.col("c_name"))
     own = F.col("role") == "system"
     nothing = F.lit(None).cast("string")
     person = F.struct(name.alias("name"), own.alias("is_self"), F.when(no % 5 == 0, "mentioned").alias("role"), F.when(no % 3 == 0, "respond").otherwise("initiate").alias("speech_act"), F.when(no % 2 == 0, F.col("c_mktsegment")).alias("company"), F.when(no % 7 == 0, F.concat("c_mktsegment", F.lit("，"), said)).alias("notes"), said.alias("interaction_summary"), F.lit("high").alias("confidence"), F.concat(name, F.lit("："), text).alias("source_quote"))
     quote = F.struct(name.alias("speaker_name"), F.concat(said, F.lit(" "), text).alias("text"), F.concat(said, F.lit(" "), text).alias("source_quote"))
-    fact = F.struct(name.alias("subject_name"), F.get(F.array(*[F.lit(f) for f in ("phone", "alias", "other", "title", "notes")]), (no % 5).cast("int")).alias("field"), F.when(no % 5 == 1, F.concat("c_name", F.col("c_mktsegment"))).otherwise(F.concat(said, F.col("k").cast("string"))).alias("value"), F.lit("medium").alias("confidence"), text.alias("source_quote"))
-    event_ = F.struct(F.when(no % 2 == 0, "other").otherwise("meeting").alias("kind"), said.alias("title"), F.concat((F.col("turn") % 12 + 1).cast("string"), F.lit("月2日3点")).alias("time_text"), nothing.alias("time_iso"), F.lit(False).alias("has_time_signal"), nothing.alias("location"), F.array(name).alias("participant_names"), F.lit("high").alias("confidence"), F.concat(said, F.lit("："), text).alias("source_quote"))
+    fact = F.struct(name.alias("subject_name"), F.get(F.array(*[F.lit(f) for f in ("phone", "alias", "other", "title", "notes")]), (no % 5).cast("int")).alias("field"), F.when(no % 5 == 1, F.concat("c_name", F.col("c_mktsegment"))).otherwise(F.concat(said, F.col("k").cast("string"))).alias("value"), F.lit("medium").alias("confidence"), F.concat(said, text).alias("source_quote"))
+    event_ = F.struct(F.when(no % 2 == 0, "other").otherwise("meeting").alias("kind"), said.alias("title"), F.concat((F.col("turn") % 12 + 1).cast("string"), F.lit("月2日3点")).alias("time_text"), F.lit("2026-09-02T15:00:00+08:00").alias("time_iso"), F.lit(False).alias("has_time_signal"), nothing.alias("location"), F.array(name).alias("participant_names"), F.lit("high").alias("confidence"), F.concat(said, F.lit("："), text).alias("source_quote"))
     each = lambda x, where=F.lit(True): F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("turn", x.alias("x"))))), lambda r: r["x"])
     doc = rows.groupBy("conv_id").agg(each(person).alias("participants"), each(event_, F.col("turn") % 3 == 0).alias("events"), each(fact).alias("facts"), each(quote).alias("quotes"))
     return doc.select((F.col("conv_id") + OFFSET).alias("screenshot_id"), F.to_json(F.struct("participants", "events", "facts", "quotes")).alias("raw_extraction"))
@@ -83,7 +83,7 @@ def contacts(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     if not sf_dir:
         return own
     empty = F.lit(None).cast("string")
-    more = Tables(spark, sf_dir).customer.where("c_custkey % 2 = 0").select((F.col("c_custkey") + OFFSET).alias("id"), F.col("c_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"), F.col("c_mktsegment").alias("company"), *[empty.alias(c) for c in ("title", "phone", "wechat_id", "notes")], F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"))
+    more = Tables(spark, sf_dir).customer.select((F.col("c_custkey") + OFFSET).alias("id"), F.col("c_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"), F.col("c_mktsegment").alias("company"), *[empty.alias(c) for c in ("title", "phone", "wechat_id", "notes")], F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"))
     return own.unionByName(more)
 
 
@@ -93,7 +93,7 @@ def meetings(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     if not sf_dir:
         return own
     empty, id_ = F.lit(None).cast("string"), F.col("event_id")
-    who = F.array(F.struct(F.lit(None).cast("long").alias("contact_id"), F.concat(F.lit("Customer#"), F.lpad((id_ % 100 + 1).cast("string"), 9, "0")).alias("name")))
+    who = F.array(F.struct(F.lit(None).cast("long").alias("contact_id"), F.concat(F.lit("Customer#"), F.lpad((id_ % max(1, Tables(spark, sf_dir).customer.count()) + 1).cast("string"), 9, "0")).alias("name")))
     more = Tables(spark, sf_dir).events.where("event_type = 'purchase'").select((id_ + OFFSET).alias("id"), F.lit("meeting").alias("kind"), F.concat(F.lit("预算评审会议 第"), id_.cast("string"), F.lit("次")).alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss+08:00").alias("time_iso"), F.lit("").alias("time_text"), empty.alias("location"), who.alias("participants"), empty.alias("agenda"), F.lit("upcoming").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss+08:00").alias("created_at"))
     return own.unionByName(more)
 
@@ -122,14 +122,18 @@ def progress_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def propose_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of all documents. Fragments that report progress go to the one known meeting of the literal rows."""
+    """Cards of all documents. The model takes fragments of the literal rows for progress of their meeting, those of
+    the tables for progress of one of the newest meetings."""
     p = _parts(spark, sf_dir)
     resolved = resolve.resolve_participants(p["participants"], contacts(spark, sf_dir), model(spark, sf_dir))
     related = evidence.related(p["participants"], p["facts"], p["quotes"])
-    told = resolve.progress_fragments(p["participants"], p["facts"], p["events"], p["quotes"]).where("screenshot_id = 2").withColumn("fragment_id", F.xxhash64("content", "source_quote"))
-    found = resolve.progress_resolutions(told.select("fragment_id", "content", "source_quote"), told.select("fragment_id", F.lit(7).cast("long").alias("meeting_id"), F.lit("high").alias("confidence")))
-    source = spark.createDataFrame([(7, 2)], "meeting_id long, screenshot_id long")
-    return propose.propose(p, related, resolved, contacts(spark, sf_dir), meetings(spark, sf_dir), found, source, F.lit(NOW).cast("timestamp"))
+    told = resolve.progress_fragments(p["participants"], p["facts"], p["events"], p["quotes"]).withColumn("fragment_id", F.xxhash64("screenshot_id", "content", "source_quote"))
+    newest = resolve.progress_candidates(meetings(spark, sf_dir)).select(F.col("id").alias("meeting_id"), (F.row_number().over(Window.orderBy("id")) - 1).alias("_no"))
+    told = materialize(told)
+    matches = told.where(f"screenshot_id >= {OFFSET}").withColumn("_no", F.pmod("fragment_id", F.lit(resolve.LATEST_MEETINGS))).join(newest, "_no").select("fragment_id", "meeting_id")
+    matches = matches.unionByName(told.where("screenshot_id = 2").select("fragment_id", F.lit(7).cast("long").alias("meeting_id")))
+    found = resolve.progress_resolutions(told, matches.withColumn("confidence", F.lit("high")))
+    return propose.propose(p, related, resolved, contacts(spark, sf_dir), meetings(spark, sf_dir), found, F.lit(NOW).cast("timestamp"))
 
 
 def execute_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,10 +161,10 @@ def meeting_cards(kept: DataFrame, meetings: DataFrame) -> DataFrame:
     return rows.select(*_card("create_meeting", fields, F.col("confidence"), F.col("source_quote")))
 
 
-def progress_cards(resolutions: DataFrame, meetings: DataFrame, screenshot: DataFrame) -> DataFrame:
-    """Agenda cards of meetings with progress, where fragments add something. resolutions: meeting_id,
-    fragments; screenshot: meeting_id, screenshot_id of the evidence."""
-    rows = resolutions.join(meetings.select(F.col("id").alias("meeting_id"), "kind", "title", F.col("agenda").alias("_old")), "meeting_id").join(screenshot, "meeting_id")
+def progress_cards(resolutions: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Agenda cards of meetings with progress, where fragments add something: one per document and meeting.
+    resolutions: screenshot_id, meeting_id, fragments."""
+    rows = resolutions.join(meetings.select(F.col("id").alias("meeting_id"), "kind", "title", F.col("agenda").alias("_old")), "meeting_id")
     rows = rows.withColumn("_new", appended(F.col("_old"), F.array_join(F.transform("fragments", lambda f: f["content"]), "；"))).where("_new <> coalesce(_old, '')")
     fields = {"kind": F.col("kind"), "title": F.col("title"), "agenda_append": F.array_join(F.transform("fragments", lambda f: f["content"]), "；"), "agenda": F.col("_new"), "duplicate_of_meeting_id": F.col("meeting_id")}
     quote = joined_quotes(F.transform("fragments", lambda f: f["source_quote"]))
@@ -202,7 +202,7 @@ def interaction_cards(drafted: DataFrame, resolved: DataFrame, events: DataFrame
     return rows.select(*_card("record_interaction", fields, confidence, joined_quotes(F.concat(own, F.col("_facts"), F.transform(said, lambda q: q["source_quote"])))))
 
 
-def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame, people: DataFrame, meetings: DataFrame, progress: DataFrame | None = None, progress_source: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame, people: DataFrame, meetings: DataFrame, progress: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """All cards of the documents, with card_no in the order contacts, meetings, interactions."""
     drafted, resolved = materialize(drafts(related)), materialize(resolved)  # written: plans that use them again stay small
     contact = materialize(contact_cards(drafted, resolved, people))
@@ -218,11 +218,10 @@ def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame
     told = stored.unionByName(passed).join(routed.select(KEY, "pos", F.col("source_quote").alias("content"), "source_quote"), [KEY, "pos"])
     found = told.select(KEY, "pos", "meeting_id", "content", "source_quote", F.lit(1).alias("of"))
     if progress is not None:
-        reported = progress.join(progress_source, "meeting_id").select(KEY, F.posexplode("fragments").alias("pos", "_f"), "meeting_id").select(KEY, F.col("pos").cast("int"), "meeting_id", "_f.content", "_f.source_quote")
+        reported = progress.select(KEY, F.posexplode("fragments").alias("pos", "_f"), "meeting_id").select(KEY, F.col("pos").cast("int"), "meeting_id", "_f.content", "_f.source_quote")
         found = found.unionByName(without_discarded(reported, routed).withColumn("of", F.lit(0)))
-    fragments = F.transform(F.sort_array(F.collect_list(F.struct("of", KEY, "pos", "content", "source_quote"))), lambda x: F.struct(x["content"].alias("content"), x["source_quote"].alias("source_quote")))
-    gathered = materialize(found).groupBy("meeting_id").agg(fragments.alias("fragments"), F.max(KEY).alias(KEY))
-    cards.append(progress_cards(gathered.drop(KEY), meetings, gathered.select("meeting_id", KEY)))
+    fragments = F.transform(F.sort_array(F.collect_list(F.struct("of", "pos", "content", "source_quote"))), lambda x: F.struct(x["content"].alias("content"), x["source_quote"].alias("source_quote")))
+    cards.append(progress_cards(materialize(found).groupBy(KEY, "meeting_id").agg(fragments.alias("fragments")), meetings))
     rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
     order = Window.partitionBy(KEY).orderBy(rank, "place", "source_quote")
     return reduce(DataFrame.unionByName, cards).withColumn("card_no", F.row_number().over(order))

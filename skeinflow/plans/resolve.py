@@ -74,8 +74,8 @@ def progress_candidates(meetings: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(LATEST_MEETINGS)
 
 
-def progress_resolutions(fragments: DataFrame, matches: DataFrame, fragment: str = "fragment_id") -> DataFrame:
-    """meeting_id with its fragments, of those that only high matches to one meeting claim."""
+def progress_resolutions(fragments: DataFrame, matches: DataFrame, fragment: str = "fragment_id", key: str = "screenshot_id") -> DataFrame:
+    """key, meeting_id and fragments of each document, of those that only high matches to one meeting claim."""
     target = match.progress_targets(matches, fragment, "meeting_id", "confidence")
     rows = fragments.join(target, fragment)
-    return rows.groupBy("meeting_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(fragment, "content", "source_quote"))), lambda x: F.struct(x["content"].alias("content"), x["source_quote"].alias("source_quote"))).alias("fragments"))
+    return rows.groupBy(key, "meeting_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(fragment, "content", "source_quote"))), lambda x: F.struct(x["content"].alias("content"), x["source_quote"].alias("source_quote"))).alias("fragments"))
