@@ -509,6 +509,23 @@ def json_props(t: Tables) -> DataFrame:
 # --- snapshots
 
 
+@query("""
+    WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, coalesce(text, '') AS text FROM conversations)
+    SELECT conv_id, turn, CASE WHEN k = 1 THEN 'quotes: mood: unknown' WHEN k = 4 THEN 'json' ELSE array_to_string(list_sort(list_filter([
+      CASE k WHEN 2 THEN 'quotes: speaker_name: missing' WHEN 3 THEN 'quotes: speaker_name: type' END, CASE WHEN text = '' THEN 'quotes: text: empty' END, CASE WHEN text = '' THEN 'quotes: source_quote: empty' END], lambda x: x IS NOT NULL)), '|') END AS errors FROM c""")
+def strict_documents(t: Tables) -> DataFrame:
+    """Turns as documents of one quote: whole, with a key too many, without one, with a number for a name, cut, and
+    with null for a name."""
+    from skeinflow.functions.strict import document_errors
+    from skeinflow.plans.evidence import STRICT
+
+    k, text = (F.col("conv_id") + F.col("turn")) % 6, F.coalesce("text", F.lit(""))
+    head = F.when(k == 1, '"mood":1,"speaker_name":"a",').when(k == 2, "").when(k == 3, '"speaker_name":7,').when(k == 5, '"speaker_name":null,').otherwise('"speaker_name":"a",')
+    body = F.regexp_replace(F.to_json(F.struct(text.alias("text"), text.alias("source_quote"))), "^\\{", "")
+    raw = F.concat(F.lit('{"quotes":[{'), head, body, F.when(k == 4, "").otherwise("]}"))
+    return t.conversations.select("conv_id", "turn", F.array_join(F.array_sort(document_errors(raw, STRICT)), "|").alias("errors"))
+
+
 _NEW = "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END"
 
 
@@ -543,6 +560,18 @@ def state_fold(t: Tables) -> DataFrame:
     return snapshots.folded_status(t.events, "user_id", ["ts", "event_id"], "event_type", legal, "pending")
 
 
+@query("""
+    WITH d AS (SELECT l_orderkey AS id, CASE l_returnflag WHEN 'A' THEN 'F' WHEN 'R' THEN 'O' END AS expected, min('s' || l_linenumber) AS status FROM lineitem GROUP BY 1, 2)
+    SELECT o_orderkey AS id, coalesce(d.status, o_orderstatus) AS status FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus FROM orders) LEFT JOIN d ON d.id = o_orderkey AND d.expected IS NOT DISTINCT FROM o_orderstatus""")
+def compare_and_set(t: Tables) -> DataFrame:
+    """Items as decisions on their orders, which count where the order's status is the one they expect."""
+    from skeinflow.sources.library import reviewed
+
+    expected = F.when(F.col("l_returnflag") == "A", "F").when(F.col("l_returnflag") == "R", "O")
+    decisions = t.lineitem.select(F.col("l_orderkey").alias("id"), expected.alias("expected"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("status"))
+    return reviewed(t.orders.select(F.col("o_orderkey").cast("long").alias("id"), F.nullif("o_orderstatus", F.lit("P")).alias("status")), decisions)
+
+
 @query("""
     SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 1 - quality, 0 FROM labels WHERE doc_id % 5 = 0""")
 def replace_by_key(t: Tables) -> DataFrame:
