@@ -3,10 +3,13 @@ merges into the first card of a person, duplicates and lineage."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.functions.text import norm_compare
+from skeinflow.scratch import materialize
 
 DEPENDENCY = "array<struct<kind:string,anchor_card_id:bigint,participant_index:int,candidate_index:int>>"
 
@@ -27,6 +30,26 @@ def resolved_anchors(dependencies: DataFrame, cards: DataFrame) -> DataFrame:
     return dependencies.join(at, "anchor_card_id", "left").withColumn("contact_id", found).drop("_s", "resolved_contact_id")
 
 
+def confirmed_in_order(cards: DataFrame, needs: DataFrame) -> DataFrame:
+    """card_id, round, outcome of cards (card_id, failed) that need others (card_id, needs) before them.
+
+    A card is confirmed in the round after the last card that it needs; ``failed`` ones fail by themselves. What
+    needs a card that failed, or that isn't there, gets ``dependency``, and so does all that needs it in turn; what
+    waits for itself gets ``cycle``. Each round is written; there are as many as the longest chain has cards."""
+    cards, edges = materialize(cards.select("card_id", "failed").dropDuplicates(["card_id"])), materialize(needs.select("card_id", "needs").distinct())
+    done = cards.limit(0).select("card_id", F.lit(0).alias("round"), F.lit("").alias("outcome"))
+    for no in count():
+        open_ = cards.join(done, "card_id", "left_anti")
+        state = edges.join(cards.select(F.col("card_id").alias("needs"), F.lit(True).alias("_there")), "needs", "left").join(done.select(F.col("card_id").alias("needs"), F.col("outcome").alias("_o")), "needs", "left")
+        bad = F.col("_there").isNull() | F.coalesce(F.col("_o") != "confirmed", F.lit(False))
+        met = state.groupBy("card_id").agg(F.bool_or(bad).alias("_bad"), F.bool_and(F.coalesce(F.col("_o") == "confirmed", F.lit(False))).alias("_met"))
+        verdict = F.when(F.col("failed"), "failed").when(F.col("_bad"), "dependency").when(F.coalesce("_met", F.lit(True)), "confirmed")
+        now = materialize(open_.join(met, "card_id", "left").select("card_id", F.lit(no).alias("round"), verdict.alias("outcome")).where("outcome is not null"))
+        if now.isEmpty():
+            return done.unionByName(open_.select("card_id", F.lit(no).alias("round"), F.lit("cycle").alias("outcome")))
+        done = materialize(done.unionByName(now))
+
+
 def pending_dependents(cards: DataFrame, raw: str = "disambiguation") -> DataFrame:
     """anchor_card_id and the number of pending interaction cards that wait for it; damaged JSON is
     nothing."""

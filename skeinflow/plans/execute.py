@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions.rules import SELF_NAME, observation_kind
 from skeinflow.functions.text import alias_list, collapsed, distinct_strings, norm_compare, norm_lookup, shortest_sentence, trimmed
+from skeinflow.operators import match
+from skeinflow.operators.batch import confirmed_in_order
 from skeinflow.operators.snapshots import rebased, replaced
+from skeinflow.scratch import materialize
 
 FIELDS = ["company", "title", "phone", "wechat_id", "notes"]
 #: How fields are called in observations.
@@ -165,6 +168,17 @@ def sibling_cards(names: DataFrame, cards: DataFrame) -> DataFrame:
     return names.withColumn("_k", norm_lookup(F.col("shown"))).join(made, ["screenshot_id", "_k"]).select("screenshot_id", "shown", "card_id", "name", "status").distinct()
 
 
+def contact_needs(cards: DataFrame, contacts: DataFrame) -> DataFrame:
+    """card_id, needs: the create cards of their screenshots that interactions without a contact go by, under the
+    displayed name; a card that names no contact of the library and no create card, or several, needs one that
+    isn't there (null)."""
+    rows = cards.where("type in ('record_interaction', 'update_contact')").select("card_id", "screenshot_id", value("contact_id").try_cast("long").alias("_given"), norm_compare(value("contact_name")).alias("_n"))
+    given = rows.where("_given is not null").join(contacts.select(F.col("id").alias("_given")), "_given", "left_anti").select("card_id", F.lit(None).cast("long").alias("needs"))
+    made = cards.where("type = 'create_contact'").select("screenshot_id", norm_compare(value("name")).alias("_n"), F.col("card_id").alias("needs"))
+    made = match.unique_target(made.withColumn("_k", F.struct("screenshot_id", "_n")), "_k", "needs").select("_k.screenshot_id", "_k._n", "needs")
+    return given.unionByName(rows.where("_given is null").join(made, ["screenshot_id", "_n"], "left").select("card_id", "needs"))
+
+
 def deduplicated(observations: DataFrame) -> DataFrame:
     """Facts and preferences once per contact and content, with the shortest quote and the first time;
     interactions once per contact and screenshot; others once per screenshot, content and quote; a fact
@@ -188,8 +202,12 @@ def settled(cards: DataFrame, created: DataFrame) -> DataFrame:
 
 def execute(cards: DataFrame, contacts: DataFrame, meetings: DataFrame, observations: DataFrame, facts: DataFrame | None = None, people: DataFrame | None = None) -> dict[str, DataFrame]:
     """The next snapshot: contacts, meetings, observations, the applied cards, and the rejected ones with
-    their errors. facts and people: of the evidence, for the observations that follow from it."""
-    checked = card_errors(cards)
+    their errors: ``dependency`` where a card waits for a contact that no card of the run creates. facts and
+    people: of the evidence, for the observations that follow from it."""
+    checked = materialize(card_errors(cards))
+    order = confirmed_in_order(checked.select("card_id", (F.size("errors") > 0).alias("failed")), contact_needs(checked, contacts))
+    late = order.where("outcome in ('dependency', 'cycle')").select("card_id", F.array("outcome").alias("_late"))
+    checked = materialize(checked.join(late, "card_id", "left").withColumn("errors", F.concat("errors", F.coalesce("_late", F.array().cast("array<string>")))).drop("_late"))
     valid = checked.where(F.size("errors") == 0)
     library, created = created_contacts(valid, contacts)
     library, moved = updated_contacts(valid, library)
