@@ -539,14 +539,15 @@ def change_map(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(text, '.', ';'), ';'), lambda x: trim(x)), lambda x: x <> '') AS f FROM (SELECT conv_id, turn, replace(text, chr(10), ';') AS text FROM conversations))
-    SELECT a.conv_id, md5(array_to_string(list_distinct_ordered, '；')) AS agenda FROM (
-      SELECT x.conv_id, list_filter(list_concat(x.f, y.f), lambda e, i: list_position(list_concat(x.f, y.f), e) = i) AS list_distinct_ordered
-      FROM b x JOIN b y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn = 1) a""")
+    WITH b AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(text, '.', ';'), ';'), lambda x: trim(x)), lambda x: x <> '') AS f FROM (SELECT conv_id, turn, replace(coalesce(text, ''), chr(10), ';') AS text FROM conversations))
+    SELECT a.conv_id, a.turn, md5(array_to_string(list_distinct_ordered, '；')) AS agenda FROM (
+      SELECT x.conv_id, x.turn, list_filter(list_concat(x.f, y.f), lambda e, i: list_position(list_concat(x.f, y.f), e) = i) AS list_distinct_ordered
+      FROM b x JOIN b y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) a""")
 def agenda_append(t: Tables) -> DataFrame:
+    """Each turn as an agenda to which the next one is added."""
     turns = t.conversations.select("conv_id", "turn", F.translate("text", ".", ";").alias("f"))
-    a, b = turns.where("turn = 0").select("conv_id", F.col("f").alias("a")), turns.where("turn = 1").select("conv_id", F.col("f").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", F.md5(snapshots.appended(F.col("a"), F.col("b"))).alias("agenda"))
+    a, b = turns.withColumnRenamed("f", "a"), turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("f").alias("b"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.md5(snapshots.appended(F.col("a"), F.col("b"))).alias("agenda"))
 
 
 @query("""

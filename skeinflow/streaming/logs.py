@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LOG = "t timestamp, kind string, detail string"
@@ -48,6 +49,34 @@ def session_stream(log: DataFrame, key: str, time: str, kind: str, opens: str, q
     return log.groupBy(key).applyInPandasWithState(fold, out, "session long, n_rows long, last string", "update", GroupStateTimeout.NoTimeout)
 
 
+class _LastEntries(StatefulProcessor):
+    """The last entries of a key as a list state; what is older leaves it."""
+
+    def __init__(self, keep: int, out: str):
+        self.keep, self.out = keep, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", LOG)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        old = list(self.kept.get()) if self.kept.exists() else []
+        new = [tuple(r) for frame in rows for r in frame[["t", "kind", "detail"]].itertuples(index=False)]
+        entries = sorted([*old, *new], key=lambda e: (pd.Timestamp(e[0]), *(str(x) for x in e[1:])))
+        gone, entries = len(entries) - min(len(entries), self.keep), entries[-self.keep :]
+        self.kept.put(entries)
+        yield pd.DataFrame({self.out: [key[0]] * len(entries), "place": range(1, len(entries) + 1), "t": [pd.Timestamp(e[0]) for e in entries], "kind": [e[1] for e in entries], "detail": [e[2] for e in entries], "evicted": [gone] * len(entries)})
+
+    def close(self) -> None:
+        pass
+
+
+def last_entries(log: DataFrame, key: str, keep: int = 200) -> DataFrame:
+    """key, place, t, kind, detail, evicted: after every batch the last entries of each key that had new ones, oldest
+    first, and how many left in this batch. The session needs the RocksDB state store provider."""
+    out = f"{key} {log.schema[key].dataType.simpleString()}, place long, {LOG}, evicted long"
+    return log.select(key, "t", "kind", "detail").groupBy(key).transformWithStateInPandas(_LastEntries(keep, key), out, "Update", "None")
+
+
 def first_uploads(stream: DataFrame, time: str, content_hash: str, lateness: str = "1 day") -> DataFrame:
     """Uploads whose content wasn't seen within the lateness."""
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([content_hash])

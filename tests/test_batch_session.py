@@ -108,3 +108,24 @@ def test_stream_equals_fold_across_a_restart(spark, tmp_path):
     streamed, folded = (sorted(df.collect(), key=key) for df in (spark.read.parquet(out), bs.fold_batches(spark.createDataFrame(rows, STEP))))
     assert streamed == folded and len(folded) == len(rows)
     assert {r["outcome"] for r in folded} >= {"anchor", "merged", "duplicate", "waiting", "confirmed", "known"}
+
+
+def test_the_last_entries_of_a_log_stay(spark, tmp_path):
+    """Three files, one micro-batch each; a key keeps its last four entries."""
+    from skeinflow.streaming import logs
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    inbox, seen = str(tmp_path / "in"), {}
+    schema = "k string, t timestamp, kind string, detail string"
+    try:
+        for part in range(3):
+            data = [(k, f"2026-01-01 00:{part:02d}:{i:02d}", "x", f"{part}{i}") for k in "ab"[: 2 - part % 2] for i in range(3)]
+            spark.createDataFrame(data, "k string, t string, kind string, detail string").coalesce(1).write.mode("append").json(inbox)
+            stream = logs.last_entries(spark.readStream.schema(schema).json(inbox), "k", keep=4)
+            q = stream.writeStream.foreachBatch(lambda df, _: seen.update({(r["k"], r["place"]): (r["detail"], r["evicted"]) for r in df.collect()})).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination(300)
+            assert q.exception() is None
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [seen["a", i] for i in range(1, 5)] == [("12", 3), ("20", 3), ("21", 3), ("22", 3)]
+    assert [seen["b", i] for i in range(1, 5)] == [("02", 2), ("20", 2), ("21", 2), ("22", 2)]
