@@ -91,6 +91,19 @@ def participants_json(participants: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
 
 
+def meeting_changes(old: Column, new: Column) -> Column:
+    """JSON of what a card changes of a known meeting (structs of title, time_iso, time_text, location,
+    participants, agenda): by field the old and new value as they are shown, null if blank; participants differ if
+    their ids or names do. '{}' if nothing changes."""
+    shown = lambda m, f: participants_text(m[f]) if f == "participants" else F.nullif(trimmed(m[f]), F.lit(""))
+    entries = []
+    for f in ("title", "time_iso", "time_text", "location", "participants", "agenda"):
+        a, b = (participants_json(old[f]), participants_json(new[f])) if f == "participants" else (shown(old, f), shown(new, f))
+        value = F.to_json(F.struct(shown(old, f).alias("old"), shown(new, f).alias("new")), {"ignoreNullFields": "false"})
+        entries.append(F.when(~a.eqNullSafe(b), F.concat(F.lit(f'"{f}":'), value)))
+    return F.concat(F.lit("{"), F.array_join(F.filter(F.array(*entries), lambda e: e.isNotNull()), ","), F.lit("}"))
+
+
 def json_text(c: Column) -> Column:
     """A text as a JSON string."""
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)

@@ -19,7 +19,7 @@ LABELS = {"company": "公司", "title": "职位", "phone": "电话", "wechat_id"
 ALLOWED = {
     "create_contact": ["name", "aliases", *FIELDS, "merge_contact_id"],
     "update_contact": ["contact_id", "contact_name", "aliases", "old_aliases", *FIELDS, *[f"old_{f}" for f in FIELDS]],
-    "create_meeting": ["kind", "title", "time_text", "time_iso", "location", "agenda", "agenda_append", "participants", "duplicate_of_meeting_id"],
+    "create_meeting": ["kind", "title", "time_text", "time_iso", "location", "agenda", "agenda_append", "participants", "participant_ids", "duplicate_of_meeting_id", "changes"],
     "record_interaction": ["contact_id", "contact_name", "summary"],
 }
 OBSERVATION = ["contact_id", "screenshot_id", "kind", "content", "source_quote", "observed_at"]
@@ -99,9 +99,10 @@ def applied_meetings(cards: DataFrame, meetings: DataFrame, created: DataFrame)
     what the card saw, and fills what is empty. Participants get the id of the one contact created on the
     same screenshot with their name."""
     rows = cards.where("type = 'create_meeting'").withColumn("known", value("duplicate_of_meeting_id").try_cast("long"))
-    people = rows.select("card_id", "screenshot_id", F.posexplode(F.split(F.coalesce(value("participants"), F.lit("")), "、")).alias("pos", "name")).where("name <> ''")
+    people = rows.select("card_id", "screenshot_id", F.split(F.coalesce(value("participant_ids"), F.lit("")), ",").alias("_ids"), F.posexplode(F.split(F.coalesce(value("participants"), F.lit("")), "、")).alias("pos", "name")).where("trim(name) <> ''")
+    people = people.withColumn("_given", F.get("_ids", F.col("pos")).try_cast("long")).drop("_ids")
     ids = created.groupBy("screenshot_id", norm_compare(F.col("name")).alias("_n")).agg(F.count_distinct("contact_id").alias("_c"), F.min("contact_id").alias("contact_id")).where("_c = 1").drop("_c")
-    people = people.withColumn("_n", norm_compare(F.col("name"))).join(ids, ["screenshot_id", "_n"], "left")
+    people = people.withColumn("_n", norm_compare(F.col("name"))).join(ids, ["screenshot_id", "_n"], "left").withColumn("contact_id", F.coalesce("_given", "contact_id"))
     who = people.groupBy("card_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "contact_id", "name"))), lambda p: F.struct(p["contact_id"].alias("contact_id"), p["name"].alias("name"))).alias("participants"))
     rows = rows.join(who, "card_id", "left").withColumn("participants", F.coalesce("participants", F.array()))
     fresh = next_ids(rows.where("known is null"), meetings, "card_id")

@@ -12,7 +12,8 @@ from skeinflow.functions import contacts, rules
 from skeinflow.functions.chinese_time import calendar_day, event_time, text_day
 from skeinflow.functions.text import cjk_ratio, content_key, distinct_strings, joined_quotes, label_key, mentions, norm_compare, norm_contact, norm_contacts, trimmed, without_speaker
 from skeinflow.operators import match
-from skeinflow.operators.snapshots import appended
+from skeinflow.operators.review import meeting_changes
+from skeinflow.operators.snapshots import appended, merged_participants
 from skeinflow.scratch import materialize
 
 FIELDS = ["company", "title", "phone", "wechat_id", "notes"]
@@ -152,12 +153,42 @@ def repeated_meetings(events: DataFrame, meetings: DataFrame) -> DataFrame:
     return match.duplicate_meetings(rows, known, "_id", "_m", "kind", "_title", "_day").drop("tier")
 
 
-def meeting_cards(kept: DataFrame, meetings: DataFrame) -> DataFrame:
-    """A meeting card per kept event; one that repeats a known meeting names it."""
-    rows = kept.withColumn("_id", F.struct(KEY, "pos")).join(repeated_meetings(kept, meetings), "_id", "left")
-    whole = F.nullif(trimmed(F.regexp_replace("source_quote", "(?U)\\s*\\n\\s*", "")), F.lit(""))
+PEOPLE = "array<struct<contact_id:bigint,name:string>>"
+
+
+def with_people(events: DataFrame, resolved: DataFrame | None) -> DataFrame:
+    """events with ``people``: participants in order, with the ids of those whom their document resolves; oneself
+    once."""
+    names = events.select(KEY, "pos", F.posexplode("participant_names").alias("_p", "_name")).withColumn("_n", norm_compare(F.col("_name")))
+    own = F.col("_n") == rules.SELF_NAME
+    if resolved is None:
+        found = names.withColumn("_id", F.lit(None).cast("long"))
+    else:
+        ids = resolved.where("status = 'same_as'").groupBy(KEY, F.col("normalized_name").alias("_n")).agg(F.min("contact_id").alias("_id"))
+        found = names.join(ids, [KEY, "_n"], "left")
+    found = found.groupBy(KEY, "pos", F.when(own, F.lit(-1)).otherwise(F.col("_p")).alias("_as")).agg(F.min(F.struct("_p", F.when(~own, F.col("_id")).alias("contact_id"), F.when(own, rules.SELF_NAME).otherwise(F.col("_name")).alias("name"))).alias("_x"))
+    people = F.transform(F.sort_array(F.collect_list("_x")), lambda x: F.struct(x["contact_id"].alias("contact_id"), x["name"].alias("name")))
+    return events.join(found.groupBy(KEY, "pos").agg(people.alias("people")), [KEY, "pos"], "left").withColumn("people", F.coalesce("people", F.array().cast(PEOPLE)))
+
+
+def meeting_cards(kept: DataFrame, meetings: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """A meeting card per kept event; one that repeats a known meeting names it, keeps what it doesn't say itself
+    and lists what it changes."""
+    rows = with_people(kept, resolved).withColumn("_id", F.struct(KEY, "pos")).join(repeated_meetings(kept, meetings), "_id", "left")
+    known = F.struct("title", "time_iso", "time_text", "location", F.coalesce("participants", F.array().cast(PEOPLE)).cast(PEOPLE).alias("participants"), "agenda")
+    rows = rows.join(meetings.select(F.col("id").alias("_m"), known.alias("_old")), "_m", "left")
+    said = lambda c: F.nullif(trimmed(c), F.lit(""))
+    kept_or = lambda c, f: F.coalesce(c, said(F.col(f"_old.{f}")))
+    whole = said(F.regexp_replace("source_quote", "(?U)\\s*\\n\\s*", ""))
     agenda = F.coalesce(F.nullif(F.col("agenda"), F.lit("")), F.when(F.col("kind") == "other", whole))
-    fields = {"kind": F.col("kind"), "title": F.col("title"), "time_text": trimmed(F.col("time_text")), "time_iso": F.nullif(trimmed(F.col("time_iso")), F.lit("")), "location": F.col("location"), "agenda": agenda, "participants": F.array_join("participant_names", "、"), "duplicate_of_meeting_id": F.col("_m")}
+    people = F.when(F.col("_m").isNotNull(), merged_participants(F.col("_old.participants"), F.col("people"))).otherwise(F.col("people"))
+    rows = rows.withColumns({"agenda": kept_or(agenda, "agenda"), "time_text": F.coalesce(kept_or(said(F.col("time_text")), "time_text"), F.lit("")), "time_iso": kept_or(said(F.col("time_iso")), "time_iso"), "location": kept_or(F.nullif(F.col("location"), F.lit("")), "location"), "_people": people})
+    new = F.struct("title", "time_iso", "time_text", "location", F.col("_people").alias("participants"), "agenda")
+    ids = F.array_join(F.transform("_people", lambda p: F.coalesce(p["contact_id"].cast("string"), F.lit(""))), ",")
+    fields = {
+        "kind": F.col("kind"), "title": F.col("title"), "time_text": F.col("time_text"), "time_iso": F.col("time_iso"), "location": F.col("location"), "agenda": F.col("agenda"), "participants": F.array_join(F.transform("_people", lambda p: p["name"]), "、"),
+        "participant_ids": F.when(F.exists("_people", lambda p: p["contact_id"].isNotNull()), ids), "duplicate_of_meeting_id": F.col("_m"), "changes": F.when(F.col("_m").isNotNull(), meeting_changes(F.col("_old"), new)),
+    }
     return rows.select(*_card("create_meeting", fields, F.col("confidence"), F.col("source_quote")))
 
 
@@ -214,7 +245,7 @@ def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame
     twins = repeated_meetings(routed.where("route = 'keep'"), meetings).select(F.col(f"_id.{KEY}").alias(KEY), F.col("_id.pos").alias("target"), F.col("_m").alias("meeting_id"))
     passed = targets.join(twins, [KEY, "target"]).select(KEY, "pos", "meeting_id")
     kept = materialize(changed_targets(routed, targets.join(twins, [KEY, "target"], "left_anti")))
-    cards = [contact, meeting_cards(kept, meetings), interaction_cards(drafted, resolved, events, contact)]
+    cards = [contact, meeting_cards(kept, meetings, resolved), interaction_cards(drafted, resolved, events, contact)]
     told = stored.unionByName(passed).join(routed.select(KEY, "pos", F.col("source_quote").alias("content"), "source_quote"), [KEY, "pos"])
     found = told.select(KEY, "pos", "meeting_id", "content", "source_quote", F.lit(1).alias("of"))
     if progress is not None:

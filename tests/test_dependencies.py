@@ -1,9 +1,10 @@
-"""Cards that wait for others: order, errors that spread, cycles; a missing contact in a run of cards."""
+"""Meeting cards of known meetings; cards that wait for others: order, errors that spread, cycles; a missing contact in a run of cards."""
 
+import json
 import random
 
 from skeinflow.operators.batch import confirmed_in_order
-from skeinflow.plans import execute, fixtures_queries
+from skeinflow.plans import execute, fixtures_queries, propose
 
 
 def outcomes(spark, cards, needs):
@@ -49,3 +50,17 @@ def test_a_missing_contact_is_a_dependency_error(spark):
     done = execute.execute(cards, none(fixtures_queries.CONTACTS), none(fixtures_queries.MEETINGS), none("contact_id long, screenshot_id long, kind string, content string, source_quote string, observed_at string"))
     assert {r["card_id"]: r["errors"] for r in done["rejected"].collect()} == {3: ["dependency"], 4: ["self_name"], 5: ["dependency"], 6: ["field"], 7: ["dependency"]}
     assert {r["card_id"] for r in done["cards"].collect()} == {1, 2} and done["observations"].count() == 1
+
+
+def test_cards_of_known_meetings_list_their_changes(spark):
+    schema = "screenshot_id long, pos int, kind string, title string, time_text string, time_iso string, location string, participant_names array<string>, agenda string, confidence string, source_quote string"
+    events = spark.createDataFrame([(1, 0, "meeting", "Budget review", "", None, "Room 2", ["Ada", "我", " 我 ", "Bo"], None, "high", "q"), (1, 1, "other", "Buy paper", "", None, None, [], None, "high", "a \n b"), (1, 2, "meeting", "Plan talk", "t", "2026-09-03T10:00:00Z", None, ["Cy"], "x", "low", "q")], schema)
+    known = spark.createDataFrame([(7, "meeting", "budget review!", "2026-09-02T15:00:00Z", "9/2", "Room 1", [(5, "Ada"), (None, "Di")], "old", "upcoming", "c"), (8, "meeting", "Plan talk", "2026-09-03T10:00:00Z", "t", None, [(None, "Cy")], "x", "upcoming", "c")], fixtures_queries.MEETINGS)
+    resolved = spark.createDataFrame([(1, "ada", "same_as", 5), (1, "bo", "same_as", 6), (1, "cy", "unsure", None)], "screenshot_id long, normalized_name string, status string, contact_id long")
+    cards = {r["place"]: r["payload"] for r in propose.meeting_cards(events, known, resolved).collect()}
+    first = cards[0]
+    assert (first["duplicate_of_meeting_id"], first["time_iso"], first["agenda"], first["location"]) == ("7", "2026-09-02T15:00:00Z", "old", "Room 2")
+    assert (first["participants"], first["participant_ids"]) == ("Ada、Di、我、Bo", "5,,,6")
+    assert json.loads(first["changes"]) == {"title": {"old": "budget review!", "new": "Budget review"}, "location": {"old": "Room 1", "new": "Room 2"}, "participants": {"old": "Ada（联系人 5）、Di", "new": "Ada（联系人 5）、Di、我、Bo（联系人 6）"}}
+    assert cards[1]["agenda"] == "ab" and "changes" not in cards[1]
+    assert cards[2]["changes"] == "{}"
