@@ -118,12 +118,12 @@ def train(labelled: DataFrame, config: LanguageConfig = LanguageConfig(), text:
     if not counted:
         return LanguageModel([], np.zeros((0, config.bins)), np.ones(config.bins), {}, config)
     names = np.array([r["lang"] for r in counted])
-    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in counted]).astype(np.float64)
+    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in counted])
+    del counted  # the driver holds the counts once, and the vectors of one language at a time
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    vectors = np.stack([vector(c, idf) for c in counts])
     langs, centers, limit = [], [], {}
     for name in sorted(set(names.tolist())):
-        own = vectors[names == name]
+        own = np.stack([vector(c.astype(np.float64), idf) for c in counts[names == name]])
         c = split_centroids(own, config.centroids)
         langs += [name] * len(c)
         centers.append(c)
