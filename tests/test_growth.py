@@ -41,3 +41,9 @@ def test_near_matches_share_one_deletion_key(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", match.deletions(F.col("w")).alias("k"))
     pairs = df.crossJoin(df.select(F.col("w").alias("v"), F.col("k").alias("m"))).where(F.levenshtein("w", "v") == 1)
     assert [r[0] for r in pairs.select(F.size(F.array_intersect("k", "m")).alias("n")).distinct().collect()] == [1]
+
+
+def test_first_match_takes_one_contact_a_name(spark):
+    contacts = spark.range(300).select("id", F.lit("Ann").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    found, joined = joined_rows(match.first_match(spark.range(200).select(F.col("id").alias("p"), F.lit(" ann").alias("n")), contacts, "p", "n", "id", "name", "aliases"))
+    assert len(found) == 200 and {r["id"] for r in found} == {0} and joined <= 1000
