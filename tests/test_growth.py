@@ -47,3 +47,13 @@ def test_first_match_takes_one_contact_a_name(spark):
     contacts = spark.range(300).select("id", F.lit("Ann").alias("name"), F.array().cast("array<string>").alias("aliases"))
     found, joined = joined_rows(match.first_match(spark.range(200).select(F.col("id").alias("p"), F.lit(" ann").alias("n")), contacts, "p", "n", "id", "name", "aliases"))
     assert len(found) == 200 and {r["id"] for r in found} == {0} and joined <= 1000
+
+
+def test_duplicate_meetings_of_one_title_make_no_pairs(spark):
+    known = spark.range(300).select(F.col("id").alias("k"), F.lit("meeting").alias("kind"), F.when(F.col("id") < 299, "weekly review of plans").otherwise("one of its kind").alias("title"), F.lit("2026-01-01").alias("day"))
+    title = F.when(F.col("id") % 3 == 0, "weekly review of plans").when(F.col("id") % 3 == 1, "one of its kind").otherwise("weekly review of plan")
+    new = spark.range(300).select("id", F.lit(None).cast("string").alias("kind"), title.alias("title"), F.lit("2026-01-01").alias("day"))
+    found, joined = joined_rows(match.duplicate_meetings(new, known, "id", "k", "kind", "title", "day"))
+    assert {(r["id"] % 3, r["k"], r["tier"]) for r in found} == {(1, 299, "exact")} and len(found) == 100 and joined <= 3000
+    alone = match.duplicate_meetings(new, known.where("k = 0 or k = 299"), "id", "k", "kind", "title", "day")
+    assert {(r["id"] % 3, r["k"], r["tier"]) for r in alone.collect()} == {(0, 0, "exact"), (1, 299, "exact"), (2, 0, "similar")}
