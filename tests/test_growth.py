@@ -57,3 +57,10 @@ def test_duplicate_meetings_of_one_title_make_no_pairs(spark):
     assert {(r["id"] % 3, r["k"], r["tier"]) for r in found} == {(1, 299, "exact")} and len(found) == 100 and joined <= 3000
     alone = match.duplicate_meetings(new, known.where("k = 0 or k = 299"), "id", "k", "kind", "title", "day")
     assert {(r["id"] % 3, r["k"], r["tier"]) for r in alone.collect()} == {(0, 0, "exact"), (1, 299, "exact"), (2, 0, "similar")}
+
+
+def test_overlap_matches_of_one_day_make_no_pairs(spark):
+    meetings = spark.range(300).select(F.col("id").alias("m"), F.lit("d").alias("day"), F.when(F.col("id") == 7, F.array(F.lit("only"), F.lit("both"))).otherwise(F.array(F.lit("all"))).alias("names"))
+    notices = spark.range(300).select(F.col("id").alias("n"), F.lit("d").alias("day"), F.when(F.col("id") % 2 == 0, F.array(F.lit("only"), F.lit("both"))).otherwise(F.array(F.lit("only"), F.lit("all"))).alias("names"))
+    found, joined = joined_rows(match.overlap_matches(notices, meetings, "n", "m", "day", "names"))
+    assert sorted(map(tuple, found)) == [(i, 7) for i in range(0, 300, 2)] and joined <= 3000
