@@ -98,12 +98,15 @@ def meetings(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     return own.unionByName(more)
 
 
-def model(spark: SparkSession, sf_dir: str = "") -> DataFrame:
+def model(spark: SparkSession, sf_dir: str = "", people: DataFrame | None = None) -> DataFrame:
+    """What a model decided; people: the participants of all documents, if they are at hand."""
     rows = [(1, 1, "new", None, []), (2, 0, "new", None, []), (2, 1, "new", None, []), (2, 2, "new", None, [])]
     own = spark.createDataFrame(rows, "screenshot_id long, pos int, decision string, contact_id long, candidate_ids array<long>")
     if not sf_dir:
         return own
-    people = evidence.children(evidence.parsed(_conversations(spark, sf_dir)), "participants")
+    if people is None:
+        people = evidence.children(evidence.parsed(_conversations(spark, sf_dir)), "participants")
+    people = people.where(f"screenshot_id >= {OFFSET}")
     return own.unionByName(people.select("screenshot_id", "pos", F.lit("new").alias("decision"), F.lit(None).cast("long").alias("contact_id"), F.array().cast("array<bigint>").alias("candidate_ids")))
 
 
@@ -113,7 +116,8 @@ def _parts(spark: SparkSession, sf_dir: str = "") -> dict[str, DataFrame]:
 
 
 def resolve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve_participants(_parts(spark, sf_dir)["participants"], contacts(spark, sf_dir), model(spark, sf_dir))
+    people = _parts(spark, sf_dir)["participants"]
+    return resolve.resolve_participants(people, contacts(spark, sf_dir), model(spark, sf_dir, people))
 
 
 def progress_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +128,11 @@ def progress_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def propose_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of all documents. The model takes fragments of the literal rows for progress of their meeting, those of
     the tables for progress of one of the newest meetings."""
-    p = _parts(spark, sf_dir)
-    resolved = resolve.resolve_participants(p["participants"], contacts(spark, sf_dir), model(spark, sf_dir))
+    return _proposed(spark, sf_dir, _parts(spark, sf_dir))
+
+
+def _proposed(spark: SparkSession, sf_dir: str, p: dict[str, DataFrame]) -> DataFrame:
+    resolved = resolve.resolve_participants(p["participants"], contacts(spark, sf_dir), model(spark, sf_dir, p["participants"]))
     related = evidence.related(p["participants"], p["facts"], p["quotes"])
     told = resolve.progress_fragments(p["participants"], p["facts"], p["events"], p["quotes"]).withColumn("fragment_id", F.xxhash64("screenshot_id", "content", "source_quote"))
     newest = resolve.progress_candidates(meetings(spark, sf_dir)).select(F.col("id").alias("meeting_id"), (F.row_number().over(Window.orderBy("id")) - 1).alias("_no"))
@@ -138,8 +145,8 @@ def propose_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def execute_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations after all proposed cards were confirmed."""
-    cards = propose_pipeline(spark, sf_dir).select((F.col("screenshot_id") * 1000 + F.col("card_no")).alias("card_id"), "screenshot_id", "type", "payload", "source_quote", F.lit("pending").alias("status"), F.lit(NOW).alias("resolved_at"))
     p = _parts(spark, sf_dir)
+    cards = _proposed(spark, sf_dir, p).select((F.col("screenshot_id") * 1000 + F.col("card_no")).alias("card_id"), "screenshot_id", "type", "payload", "source_quote", F.lit("pending").alias("status"), F.lit(NOW).alias("resolved_at"))
     facts = p["facts"].select("screenshot_id", "subject_name", "field", "value", "source_quote", F.lit(NOW).alias("observed_at"))
     people = p["participants"].where("not is_self").withColumn("observed_at", F.lit(NOW))
     none = spark.createDataFrame([], "contact_id long, screenshot_id long, kind string, content string, source_quote string, observed_at string")

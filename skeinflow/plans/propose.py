@@ -101,8 +101,8 @@ def notice_targets(routed: DataFrame, meetings: DataFrame, now: Column | None =
     the one of the day with a common participant."""
     n = _named(routed.where("route = 'notice'"), F.col("participant_names"), now).select(F.struct(KEY, "pos").alias("_n"), "_t", "day", "names")
     m = _named(meetings.where("kind = 'meeting'"), F.transform("participants", lambda p: p["name"]), now).select(F.col("id").alias("_m"), F.col("_t").alias("_u"), "day", "names")
-    alike = match.similar_pairs(n, m, "_n", "_t", "_m", "_u", 0.9)
-    first = match.unique_target(alike, "_n", "_m")
+    alike = materialize(match.similar_ends(n, m, "_n", "_t", "_m", "_u", 0.9))
+    first = match.one_target(alike, "_n", "_m")
     rest = n.join(alike.select("_n").distinct(), "_n", "left_anti").where("day is not null")
     second = match.overlap_matches(rest, m.where("day is not null"), "_n", "_m", "day", "names")
     return first.unionByName(second).select(f"_n.{KEY}", "_n.pos", F.col("_m").alias("meeting_id"))
@@ -115,8 +115,8 @@ def batch_targets(routed: DataFrame, stored: DataFrame, now: Column | None = Non
     rows = _named(routed, F.col("participant_names"), now)
     n = rows.where("route = 'notice'").join(stored.select(KEY, "pos"), [KEY, "pos"], "left_anti").select(KEY, F.struct(KEY, "pos").alias("_n"), "_t", "day", "names")
     m = rows.where("kind = 'meeting'").select(KEY, F.col("pos").alias("_m"), F.col("_t").alias("_u"), F.col("day").alias("_day"), F.col("names").alias("_names"))
-    alike = match.similar_pairs(n, m, "_n", "_t", "_m", "_u", 0.9, (KEY,))
-    first = match.unique_target(alike, "_n", "_m")
+    alike = materialize(match.similar_ends(n, m, "_n", "_t", "_m", "_u", 0.9, (KEY,)))
+    first = match.one_target(alike, "_n", "_m")
     rest = n.join(alike.select("_n").distinct(), "_n", "left_anti").select(KEY, "_n", "day", F.explode("names").alias("_p"))
     met = rest.join(m.select(KEY, "_m", "_day", F.explode("_names").alias("_p")), [KEY, "_p"]).where(F.col("day").isNull() | (F.col("day") == F.col("_day")))
     second = match.unique_target(met.select("_n", "_m").distinct(), "_n", "_m")
