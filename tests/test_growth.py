@@ -64,3 +64,31 @@ def test_overlap_matches_of_one_day_make_no_pairs(spark):
     notices = spark.range(300).select(F.col("id").alias("n"), F.lit("d").alias("day"), F.when(F.col("id") % 2 == 0, F.array(F.lit("only"), F.lit("both"))).otherwise(F.array(F.lit("only"), F.lit("all"))).alias("names"))
     found, joined = joined_rows(match.overlap_matches(notices, meetings, "n", "m", "day", "names"))
     assert sorted(map(tuple, found)) == [(i, 7) for i in range(0, 300, 2)] and joined <= 3000
+
+
+def test_batches_hold_items_of_many_users(spark, tmp_path):
+    from skeinflow import catalog
+
+    rows = [(1, 1, "click", 5.0), (2, 11, "click", 5.5), (3, 2, "click", 5.0), (4, 21, "view", 5.0)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in catalog.queries()["batch_duplicates"](spark, str(tmp_path)).collect()] == [(2, 1)]
+
+
+def test_documents_are_parsed_once(spark, monkeypatch):
+    from skeinflow.plans import evidence, fixtures_queries
+
+    class Built(Exception):
+        pass
+
+    def stop(*_):
+        raise Built
+
+    seen, parsed = [], evidence.parsed
+    monkeypatch.setattr(evidence, "parsed", lambda *a: seen.append(1) or parsed(*a))
+    monkeypatch.setattr(fixtures_queries.execute, "execute", stop)
+    try:
+        fixtures_queries.execute_pipeline(spark, "")
+    except Built:
+        pass
+    assert len(seen) == 1
