@@ -281,10 +281,11 @@ def train(docs: DataFrame, config: LmConfig = LmConfig(), doc_id: str = "doc_id"
         buckets = config.others
         while buckets < min(config.buckets, 4 * known):
             buckets *= 2
-        found = counts.groupBy(F.pmod("word", F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("words")).toPandas()
+        found = counts.groupBy(F.pmod("word", F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("words")).toArrow()  # columns: a row object each would be the driver's memory
     words, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     rest, distinct = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    rest[found["bucket"]], distinct[found["bucket"]] = found["n"], found["words"]
+    at = found["bucket"].to_numpy()
+    rest[at], distinct[at] = found["n"].to_numpy(), found["words"].to_numpy()
     total = int(rest.sum())
     np.subtract.at(rest, words % buckets, n)
     np.subtract.at(distinct, words % buckets, 1)
