@@ -300,6 +300,24 @@ def test_pages(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_templates_come_from_all_pages_of_a_host(spark):
+    """Menus of a layout that few pages of a large host have, one odd page, and pages of any length."""
+    menu = "<div class=top><p>Same everywhere</p></div><div class=text><p>words of {i}</p></div>"
+    rare = "<table class=t><tr><td>Rarely seen</td></tr><tr><td>cell {i}</td></tr><tr><td>more {i}</td></tr></table>"
+    rows = [(i, "http://a.example/", (rare if i % 50 == 7 else menu).replace("{i}", str(i))) for i in range(200)]
+    rows.append((200, "http://a.example/", menu.replace("everywhere", "here").replace("{i}", "200")))
+    rows += [(i, "http://b.example/", menu.replace("{i}", str(i) + " long" * 220_000)) for i in (300, 301, 302)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+    assert all(texts[i] == (f"cell {i}\nmore {i}" if i % 50 == 7 else f"words of {i}") for i in range(200))
+    assert texts[200] == "Same here\nwords of 200" and all(texts[i].startswith(f"words of {i} long") for i in (300, 301, 302))
+    few = html_extract.read(df.where("page_id < 200").withColumn("host", F.lit("a")))
+    articles = ["<nav>n</nav><article><p>one {i}</p>{x}</article>".replace("{x}", x).replace("{i}", str(i)) for i, x in enumerate(["", "<div class=search>s</div>", "<div class=ad>a</div>"])]
+    found = [html_extract.settled(html_extract.Page(a, html_extract.Shapes())) for a in articles]
+    assert found == ["one 0", None, "one 2"] == [html_extract.extract(articles[0], None), None, html_extract.extract(articles[2], None)]
+    assert html_extract.wrappers(few, 8).collect() == html_extract.wrappers(few.repartition(5), 8).collect()
+
+
 def wrapped(pages):
     import json
 
