@@ -75,6 +75,30 @@ def test_batches_hold_items_of_many_users(spark, tmp_path):
     assert [tuple(r) for r in catalog.queries()["batch_duplicates"](spark, str(tmp_path)).collect()] == [(2, 1)]
 
 
+def test_texts_of_few_quotes_make_no_pieces(spark, monkeypatch):
+    texts = spark.range(300).select("id", (F.col("id") % 30).alias("k"), F.concat(F.lit("see the agenda of room "), (F.col("id") % 40).cast("string")).alias("t"))
+    quotes = spark.range(30).select(F.col("id").alias("k"), F.lit("the agenda of room 7").alias("q"))
+    held = {(r["id"]) for r in match.uncovered(texts, quotes, "id", "k", "t", "q", heads=0).collect()}
+    monkeypatch.setattr(match, "_postings", None)  # no piece is made
+    assert {r["id"] for r in match.uncovered(texts, quotes, "id", "k", "t", "q").collect()} == held and 0 < len(held) < 300
+
+
+def test_large_keys_are_held_against_every_quote(spark):
+    import random
+
+    from skeinflow.functions import rules, text
+
+    r = random.Random(4)
+    base = ["明天下午三点在三楼会议室开会", "please send the report by friday", "short", "合同已经寄出请注意查收谢谢", "the north wind blows"]
+    texts = [(i, i % 3, r.choice(base)[: r.randint(0, 40)] + r.choice(["", "!", " ok", "好"])) for i in range(80)] + [(80, 3, "one alone")]
+    quotes = [(i % 4, r.choice(base)[r.randint(0, 6) :] + r.choice(["", "。", "…and more to come"])) for i in range(40)]
+    a, b = spark.createDataFrame(texts, "i long, k long, t string"), spark.createDataFrame(quotes, "k long, q string")
+    every = a.crossJoin(b.withColumnRenamed("k", "k2")).where("k = k2").where(rules.covered_by(text.norm_contact(F.col("t")), rules.coverage(F.array("q"))))
+    held = {r["i"] for r in every.select("i").collect()}
+    for heads in (0, 2, 32):
+        assert {r["i"] for r in match.uncovered(a, b, "i", "k", "t", "q", heads=heads).collect()} == set(range(81)) - held
+
+
 def test_documents_are_parsed_once(spark, monkeypatch):
     from skeinflow.plans import evidence, fixtures_queries
 
