@@ -99,6 +99,34 @@ def test_large_keys_are_held_against_every_quote(spark):
         assert {r["i"] for r in match.uncovered(a, b, "i", "k", "t", "q", heads=heads).collect()} == set(range(81)) - held
 
 
+def test_items_of_one_form_make_no_pieces(spark, monkeypatch):
+    monkeypatch.setattr(match, "_postings", None)  # no piece is made
+    items = spark.range(600).select("id", F.lit("k").alias("k"), F.concat(F.lit("2024-01-01 value "), (F.col("id") + 100).cast("string")).alias("q"))
+    found = match.batch_duplicates(items, "k", "id", "q").collect()
+    assert sorted(map(tuple, found)) == [(i, 0) for i in range(1, 600)]
+
+
+def test_items_meet_all_earlier_ones(spark, monkeypatch):
+    import random
+
+    from skeinflow.functions import text
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(24))
+    some = [word() for _ in range(12)]
+    spoiled = lambda w: w[: (i := r.randint(0, 20))] + r.choice(["", "x", "xy"]) + w[i + r.randint(0, 2) :]
+    forms = {"pieces": [spoiled(r.choice(some)) if r.random() < 0.5 else word() for _ in range(90)], "batch": [f"2024-01-{r.randint(1, 30):02} value {r.randint(0, 150)}" for _ in range(90)]}
+    monkeypatch.setattr(match, "PART", 7)
+    for form, quotes in forms.items():
+        df = spark.createDataFrame([(i, "ab"[i % 2], q) for i, q in enumerate(quotes)] + [(90, "c", "")], "i long, k string, q string")
+        b = df.selectExpr("i as j", "k as k2", "q as q2")
+        held = df.crossJoin(b).where((F.col("k") == F.col("k2")) & (F.col("j") < F.col("i")) & (text.edit_similarity(F.col("q"), F.col("q2")) >= 0.85)).groupBy("i").agg(F.min("j").alias("first"))
+        expected = sorted(map(tuple, held.collect()))
+        for earliest in ((1, 2), (3,), (32, 256)):
+            assert sorted(map(tuple, match.batch_duplicates(df, "k", "i", "q", earliest=earliest).collect())) == expected, form
+        assert len(expected) > 10
+
+
 def test_documents_are_parsed_once(spark, monkeypatch):
     from skeinflow.plans import evidence, fixtures_queries
 
