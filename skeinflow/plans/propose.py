@@ -221,16 +221,20 @@ def interaction_cards(drafted: DataFrame, resolved: DataFrame, events: DataFrame
     grouped = grouped.where((F.col("status") == "same_as") | F.col("_has"))
     evidence = F.array_distinct(F.filter(F.transform(F.when(F.size("_said") > 0, F.col("_said")).otherwise(F.col("_own")), lambda e: trimmed(without_speaker(e, F.array("name")))), lambda e: e != ""))
     held = events.groupBy(KEY).agg(F.collect_set("source_quote").alias("_held"), F.bool_or(F.col("kind").isin("meeting", "appointment")).alias("_meets"))
-    rows = grouped.withColumn("_evidence", evidence).join(held, KEY, "left").withColumn("_held", rules.coverage(F.coalesce("_held", F.array().cast("array<string>"))))
-    rows = rows.withColumn("_keyed", F.arrays_zip("_evidence", norm_contacts(F.col("_evidence")).alias("key")))
+    # dealt to as many tasks as there are, and written before what it filters: short rows, but much to do for each
+    rows = grouped.join(held, KEY, "left").repartition(int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY, "_key")
+    rows = rows.withColumn("_evidence", evidence).withColumn("_held", rules.coverage(F.coalesce("_held", F.array().cast("array<string>"))))
+    rows = materialize(rows.withColumn("_keyed", F.arrays_zip("_evidence", norm_contacts(F.col("_evidence")).alias("key"))))
     alive = F.filter("_keyed", lambda e: ~rules.pure_acknowledgement(e["_evidence"]) & ~rules.covered_by(e["key"], F.col("_held")))
     rows = rows.withColumn("_alive", F.transform(alive, lambda e: e["_evidence"])).where((F.size("_alive") > 0) & ~(F.coalesce("_meets", F.lit(False)) & F.forall("_alive", rules.meeting_logistics)))
     own = distinct_strings(F.filter("_own", lambda e: ~rules.pure_acknowledgement(e)))
     said = F.filter("_quotes", lambda q: ~rules.pure_acknowledgement(q["text"]))
-    text = F.array_join(distinct_strings(F.concat(F.array(F.array_join(own, "；")), F.transform(said, lambda q: q["text"]))), "；")
-    fields = {"contact_id": F.col("contact_id"), "contact_name": F.col("name"), "summary": rules.interaction_text(F.col("summary"), text, cjk_ratio)}
+    rows = rows.withColumns({"_own": own, "_quotes": said})
+    text = F.array_join(distinct_strings(F.concat(F.array(F.array_join("_own", "；")), F.transform("_quotes", lambda q: q["text"]))), "；")
+    rows = rows.withColumn("_text", text)
+    fields = {"contact_id": F.col("contact_id"), "contact_name": F.col("name"), "summary": rules.interaction_text(F.col("summary"), F.col("_text"), cjk_ratio)}
     confidence = F.get(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("_rank"))
-    return rows.select(*_card("record_interaction", fields, confidence, joined_quotes(F.concat(own, F.col("_facts"), F.transform(said, lambda q: q["source_quote"])))))
+    return rows.select(*_card("record_interaction", fields, confidence, joined_quotes(F.concat("_own", "_facts", F.transform("_quotes", lambda q: q["source_quote"])))))
 
 
 def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame, people: DataFrame, meetings: DataFrame, progress: DataFrame | None = None, now: Column | None = None) -> DataFrame:

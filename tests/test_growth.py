@@ -144,3 +144,12 @@ def test_documents_are_parsed_once(spark, monkeypatch):
     except Built:
         pass
     assert len(seen) == 1
+
+
+def test_keys_of_acknowledgements_are_made_once_a_text(spark):
+    from skeinflow.functions import rules
+
+    said = spark.createDataFrame([("收到！",), ("好的收到了",), ("大家都已到 了",), ("报价单我明天整理好发给您" * 9,), ("🙂",), (None,)], "t string")
+    found = said.select("t", rules.pure_acknowledgement(F.col("t")).alias("a"))
+    assert [r["a"] for r in found.collect()] == [True, True, True, False, True, None]
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
