@@ -92,15 +92,20 @@ def _named(events: DataFrame, names: Column, now: Column | None) -> DataFrame:
     """Title keys, days and names of events or meetings, as notices are compared with them. now: a timestamp
     whose year a month and day without a year has; without it only times count."""
     day = calendar_day(F.col("time_iso"))
-    day = day if now is None else F.coalesce(day, text_day(F.col("time_text"), now))
-    return events.withColumns({"_t": norm_contact(F.col("title")), "day": day, "names": F.array_distinct(F.filter(F.transform(names, norm_compare), lambda n: n != ""))})
+    said = day if now is None else F.coalesce(day, text_day(F.col("time_text"), now))
+    return events.withColumns({"_t": norm_contact(F.col("title")), "_day": day, "day": said, "names": F.array_distinct(F.filter(F.transform(names, norm_compare), lambda n: n != ""))})
+
+
+def named_meetings(meetings: DataFrame, now: Column | None = None) -> DataFrame:
+    """Known meetings with what events are compared with (``_named``), unless they have it."""
+    return meetings if "_t" in meetings.columns else _named(meetings, F.transform("participants", lambda p: p["name"]), now)
 
 
 def notice_targets(routed: DataFrame, meetings: DataFrame, now: Column | None = None) -> DataFrame:
     """screenshot_id, pos, meeting_id of notices: the one meeting of a like title, else, if no title is alike,
     the one of the day with a common participant."""
     n = _named(routed.where("route = 'notice'"), F.col("participant_names"), now).select(F.struct(KEY, "pos").alias("_n"), "_t", "day", "names")
-    m = _named(meetings.where("kind = 'meeting'"), F.transform("participants", lambda p: p["name"]), now).select(F.col("id").alias("_m"), F.col("_t").alias("_u"), "day", "names")
+    m = named_meetings(meetings, now).where("kind = 'meeting'").select(F.col("id").alias("_m"), F.col("_t").alias("_u"), "day", "names")
     alike = materialize(match.similar_ends(n, m, "_n", "_t", "_m", "_u", 0.9))
     first = match.one_target(alike, "_n", "_m")
     rest = n.join(alike.select("_n").distinct(), "_n", "left_anti").where("day is not null")
@@ -149,7 +154,7 @@ def changed_targets(routed: DataFrame, targets: DataFrame) -> DataFrame:
 def repeated_meetings(events: DataFrame, meetings: DataFrame) -> DataFrame:
     """_id (screenshot_id, pos) and _m (known meeting) of events that repeat a known meeting."""
     rows = events.select(F.struct(KEY, "pos").alias("_id"), "kind", norm_contact(F.col("title")).alias("_title"), calendar_day(F.col("time_iso")).alias("_day"))
-    known = meetings.select(F.col("id").alias("_m"), "kind", norm_contact(F.col("title")).alias("_title"), calendar_day(F.col("time_iso")).alias("_day"))
+    known = named_meetings(meetings).select(F.col("id").alias("_m"), "kind", F.col("_t").alias("_title"), "_day")
     return match.duplicate_meetings(rows, known, "_id", "_m", "kind", "_title", "_day").drop("tier")
 
 
@@ -171,10 +176,11 @@ def with_people(events: DataFrame, resolved: DataFrame | None) -> DataFrame:
     return events.join(found.groupBy(KEY, "pos").agg(people.alias("people")), [KEY, "pos"], "left").withColumn("people", F.coalesce("people", F.array().cast(PEOPLE)))
 
 
-def meeting_cards(kept: DataFrame, meetings: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
-    """A meeting card per kept event; one that repeats a known meeting names it, keeps what it doesn't say itself
-    and lists what it changes."""
-    rows = with_people(kept, resolved).withColumn("_id", F.struct(KEY, "pos")).join(repeated_meetings(kept, meetings), "_id", "left")
+def meeting_cards(kept: DataFrame, meetings: DataFrame, resolved: DataFrame | None = None, repeated: DataFrame | None = None) -> DataFrame:
+    """A meeting card per kept event; one that repeats a known meeting (``repeated_meetings``, if they are at hand)
+    names it, keeps what it doesn't say itself and lists what it changes."""
+    repeated = repeated_meetings(kept, meetings) if repeated is None else repeated
+    rows = with_people(kept, resolved).withColumn("_id", F.struct(KEY, "pos")).join(repeated, "_id", "left")
     known = F.struct("title", "time_iso", "time_text", "location", F.coalesce("participants", F.array().cast(PEOPLE)).cast(PEOPLE).alias("participants"), "agenda")
     rows = rows.join(meetings.select(F.col("id").alias("_m"), known.alias("_old")), "_m", "left")
     said = lambda c: F.nullif(trimmed(c), F.lit(""))
@@ -243,13 +249,15 @@ def propose(parts: dict[str, DataFrame], related: DataFrame, resolved: DataFrame
     contact = materialize(contact_cards(drafted, resolved, people))
     events = parts["events"] if now is None else parts["events"].withColumn("time_iso", event_time(F.col("time_text"), F.col("time_iso"), now))
     routed = materialize(routed_events(events))
+    meetings = materialize(named_meetings(meetings, now))
     stored = materialize(notice_targets(routed, meetings, now))
     targets = materialize(batch_targets(routed, stored, now))
     # a target that repeats a known meeting passes its notices on to it
-    twins = repeated_meetings(routed.where("route = 'keep'"), meetings).select(F.col(f"_id.{KEY}").alias(KEY), F.col("_id.pos").alias("target"), F.col("_m").alias("meeting_id"))
+    repeated = materialize(repeated_meetings(routed.where("route = 'keep'"), meetings))
+    twins = repeated.select(F.col(f"_id.{KEY}").alias(KEY), F.col("_id.pos").alias("target"), F.col("_m").alias("meeting_id"))
     passed = targets.join(twins, [KEY, "target"]).select(KEY, "pos", "meeting_id")
     kept = materialize(changed_targets(routed, targets.join(twins, [KEY, "target"], "left_anti")))
-    cards = [contact, meeting_cards(kept, meetings, resolved), interaction_cards(drafted, resolved, events, contact)]
+    cards = [contact, meeting_cards(kept, meetings, resolved, repeated), interaction_cards(drafted, resolved, events, contact)]
     told = stored.unionByName(passed).join(routed.select(KEY, "pos", F.col("source_quote").alias("content"), "source_quote"), [KEY, "pos"])
     found = told.select(KEY, "pos", "meeting_id", "content", "source_quote", F.lit(1).alias("of"))
     if progress is not None:

@@ -153,3 +153,23 @@ def test_keys_of_acknowledgements_are_made_once_a_text(spark):
     found = said.select("t", rules.pure_acknowledgement(F.col("t")).alias("a"))
     assert [r["a"] for r in found.collect()] == [True, True, True, False, True, None]
     assert found._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+
+
+def test_meetings_are_named_once_and_those_of_other_lengths_make_no_pieces(spark, monkeypatch):
+    from skeinflow.plans import fixtures_queries, propose
+
+    held, pairs = [], match.similar_pairs
+    monkeypatch.setattr(match, "similar_pairs", lambda a, b, *more: held.append(sorted(r["_text"] for r in b.select("_text").collect())) or pairs(a, b, *more))
+    notices = spark.createDataFrame([(1, "abcdefghij")], "n long, t string")
+    titles = [w[:k] for w in ("abcdefghijklmnopqrstuvwxyz",) for k in range(1, 27)] + ["", None]
+    known = spark.createDataFrame(list(enumerate(titles)), "m long, u string")
+    found = match.similar_ends(notices, known, "n", "t", "m", "u", 0.9).collect()
+    assert [tuple(r) for r in found] == [(1, 8, 10)]  # of 9, 10 and 11 characters
+    assert {len(t) for t in held[0]} >= {9, 10, 11} and {len(t) for t in held[0]} <= set(range(8, 14))
+    sizes = (1, 2, 5, 9, 18, 81, 90, 99, 729, 1000)  # texts of lengths at the very limit meet
+    left = spark.createDataFrame([(n, "x" * n) for n in sizes], "n long, t string")
+    right = spark.createDataFrame([(n, "x" * int(n / 0.9 + 1e-9)) for n in sizes], "m long, u string")
+    ends = match.similar_ends(left, right, "n", "t", "m", "u", 0.9).collect()
+    assert {r["n"] for r in ends} == set(sizes) and held[-1] == sorted(r["u"] for r in right.collect())
+    named = propose.named_meetings(fixtures_queries.meetings(spark))
+    assert propose.named_meetings(named) is named
