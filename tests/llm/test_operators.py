@@ -395,6 +395,26 @@ def test_alignment_equals_plain_tree_matching():
         assert all(a.tree.labels[i] == b.tree.labels[j] for i, j in pairs) and len(set(pairs)) == len({i for i, _ in pairs}) == len({j for _, j in pairs})
 
 
+def test_long_rows_of_children_are_matched_as_well_as_short_ones(monkeypatch):
+    r = random.Random(9)
+    found = html_extract.Shapes()
+    first, others = found.number("p", ()), [found.number("li", ()) for _ in range(1200)]  # paired with the next of its kind, the first row would cost all others
+    a, b = found.number("#root", (first, *others)), found.number("#root", (*others, first, found.number("hr", ())))
+    assert found.match(a, b) == 1201
+
+    def shape(shapes, depth):
+        return shapes.number(r.choice("abc"), tuple(shape(shapes, depth - 1) for _ in range(r.randint(0, 5) if depth else 0)))
+
+    for cells in (1, 4, 30):
+        monkeypatch.setattr(html_extract, "CELLS", cells)
+        for _ in range(40):
+            shapes = html_extract.Shapes()
+            a, b = (shapes.number("#root", tuple(shape(shapes, 2) for _ in range(r.randint(1, 12)))) for _ in "ab")
+            assert shapes.match(a, b) == plain_tree_matching(shapes, a, b)
+            pairs = sorted(shapes.found[a, b][1] or [])
+            assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+
+
 # --- 8
 
 
