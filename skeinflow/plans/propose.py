@@ -227,9 +227,10 @@ def interaction_cards(drafted: DataFrame, resolved: DataFrame, events: DataFrame
     grouped = grouped.where((F.col("status") == "same_as") | F.col("_has"))
     evidence = F.array_distinct(F.filter(F.transform(F.when(F.size("_said") > 0, F.col("_said")).otherwise(F.col("_own")), lambda e: trimmed(without_speaker(e, F.array("name")))), lambda e: e != ""))
     held = events.groupBy(KEY).agg(F.collect_set("source_quote").alias("_held"), F.bool_or(F.col("kind").isin("meeting", "appointment")).alias("_meets"))
+    held = held.withColumn("_held", rules.coverage(F.col("_held")))  # once a document, not once a person
     # dealt to as many tasks as there are, and written before what it filters: short rows, but much to do for each
     rows = grouped.join(held, KEY, "left").repartition(int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY, "_key")
-    rows = rows.withColumn("_evidence", evidence).withColumn("_held", rules.coverage(F.coalesce("_held", F.array().cast("array<string>"))))
+    rows = rows.withColumns({"_evidence": evidence, "_held": F.coalesce("_held", F.array().cast("array<struct<key:string,segments:array<string>>>"))})
     rows = materialize(rows.withColumn("_keyed", F.arrays_zip("_evidence", norm_contacts(F.col("_evidence")).alias("key"))))
     alive = F.filter("_keyed", lambda e: ~rules.pure_acknowledgement(e["_evidence"]) & ~rules.covered_by(e["key"], F.col("_held")))
     rows = rows.withColumn("_alive", F.transform(alive, lambda e: e["_evidence"])).where((F.size("_alive") > 0) & ~(F.coalesce("_meets", F.lit(False)) & F.forall("_alive", rules.meeting_logistics)))
